@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import quality
+from strandline.llm import quality, setsketch
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": quality.query}
+    return {
+        "op9_setsketch_near_dedup": setsketch.query,
+        "op10_quality_rules": quality.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
