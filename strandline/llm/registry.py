@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from strandline.llm import quality, setsketch
+from strandline.llm import packing, quality, setsketch, shards
 
 
 def queries() -> dict:
     return {
+        "op3_token_id_index": shards.query,
+        "op8_mixture_packing": packing.query,
         "op9_setsketch_near_dedup": setsketch.query,
         "op10_quality_rules": quality.query,
     }
