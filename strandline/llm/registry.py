@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import packing, quality, setsketch, shards
+from strandline.llm import leaks, packing, quality, secrets, setsketch, shards
 
 
 def queries() -> dict:
     return {
         "op3_token_id_index": shards.query,
+        "op4_benchmark_leaks": leaks.query,
+        "op6_secret_crf": secrets.query,
         "op8_mixture_packing": packing.query,
         "op9_setsketch_near_dedup": setsketch.query,
         "op10_quality_rules": quality.query,
