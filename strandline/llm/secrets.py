@@ -17,6 +17,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 # features
 
 _BUCKETS = (4, 8, 12, 16, 20, 24, 32, 40, 64)
-_SHAPES = ["len%d" % i for i in range(10)] + ["digit", "lower", "upper", "mixed", "hexonly", "alnum", "b64", "symbol", "high", "middle", "flat", "wide", "numeric", "prefix", "assign", "keyword", "quoted", "equals", "colon", "turns", "address", "path", "pem", "plain"]
+_LEN = tuple(f"len{i}" for i in range(10))
+_SHAPES = [*_LEN, "digit", "lower", "upper", "mixed", "hexonly", "alnum", "b64", "symbol", "high", "middle", "flat", "wide", "numeric", "prefix", "assign", "keyword", "quoted", "equals", "colon", "turns", "address", "path", "pem", "plain"]
 OWN = {n: i for i, n in enumerate(["bias", *_SHAPES])}
 _NEAR = ["keyword", "equals", "colon", "prefix", "pem", "b64", "hexonly", "plain"]
 NAMES = [*OWN, *(f"prev.{n}" for n in _NEAR), *(f"prev2.{n}" for n in _NEAR), *(f"next.{n}" for n in _NEAR), "prev.ends", "file.keyword", "file.symbols"]
@@ -65,14 +67,15 @@ AT = {n: i for i, n in enumerate(NAMES)}
 
 def shape(word: str) -> set[str]:
     """Names of the features of one word."""
-    n = len(word)
-    if word.isalpha() and not KEYWORD.search(word):
-        f = {"plain", "len%d" % sum(n >= x for x in _BUCKETS)}
-        if not word.islower() and not word[1:].islower():
-            f.add("upper" if word.isupper() else "mixed")
+    core = word.strip(EDGE + ".!?")
+    if core.isalpha() and not KEYWORD.search(core):
+        f = {"plain", _LEN[bisect_right(_BUCKETS, len(core))]}
+        if not core.islower() and not core[1:].islower():
+            f.add("upper" if core.isupper() else "mixed")
+        if word[-1] == ":":
+            f.add("colon")
         return f
     f: set[str] = set()
-    core = word.strip(EDGE + ".!?")
     if core != word and word[0] in EDGE or word[-1] in "\"'`":
         f.add("quoted")
     if word in ("=", ":=", "=>"):
@@ -94,7 +97,7 @@ def shape(word: str) -> set[str]:
     if PREFIX.match(core):
         f.add("prefix")
     k = len(core)
-    f.add("len%d" % sum(k >= x for x in _BUCKETS))
+    f.add(_LEN[bisect_right(_BUCKETS, k)])
     if core.isalpha():
         f.add("plain")
     if not k:
@@ -129,35 +132,33 @@ def shape(word: str) -> set[str]:
 
 
 class Table:
-    """Word -> row of its scores, each word once: own (3), as prev, as prev2, as next; and file counts."""
+    """Word -> row of its scores: own (3), as prev, as prev2, as next; and file counts. Words of one shape share a row."""
 
-    limit = 300_000
+    limit = 500_000
 
     def __init__(self, weights: np.ndarray):
-        self.w, self.rows, self.at = weights, np.zeros((1024, 14)), {}
-        self.rows[0] = 0  # beyond the text's ends
-        self.n = 1
+        self.w, self.rows, self.at, self.shapes = weights, np.zeros((1, 14)), {}, {}
 
     def start(self) -> None:
-        if self.n > self.limit:
+        if len(self.at) > self.limit:
             self.at.clear()
-            self.n = 1
 
     def row(self, word: bytes) -> int:
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         s = word.decode("utf-8", "replace")
         f = shape(s)
-        r = self.rows[self.n]
-        r[:3] = self.w[:, [AT["bias"], *(AT[x] for x in f)]].sum(1)
-        for k, side in enumerate(("prev", "prev2", "next")):
-            r[3 + 3 * k : 6 + 3 * k] = self.w[:, [AT[f"{side}.{x}"] for x in _NEAR if x in f]].sum(1)
-        if s[-1] in ".!?":
-            r[3:6] += self.w[:, AT["prev.ends"]]
-        r[12], r[13] = "keyword" in f or "assign" in f, "symbol" in f
-        self.at[word] = self.n
-        self.n += 1
-        return self.n - 1
+        key = (frozenset(f), s[-1] in ".!?")
+        if key not in self.shapes:
+            r = np.zeros(14)
+            r[:3] = self.w[:, [AT["bias"], *(AT[x] for x in f)]].sum(1)
+            for k, side in enumerate(("prev", "prev2", "next")):
+                r[3 + 3 * k : 6 + 3 * k] = self.w[:, [AT[f"{side}.{x}"] for x in _NEAR if x in f]].sum(1)
+            if key[1]:
+                r[3:6] += self.w[:, AT["prev.ends"]]
+            r[12], r[13] = "keyword" in f or "assign" in f, "symbol" in f
+            self.shapes[key] = len(self.rows)
+            self.rows = np.concatenate([self.rows, r[None]])
+        self.at[word] = self.shapes[key]
+        return self.at[word]
 
     def of(self, words: list[bytes]) -> np.ndarray:
         get = self.at.get
@@ -201,7 +202,7 @@ def viterbi(texts: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
             x = best[:, :, None] + trans[None]
             p = x.argmax(1)
             back[s] = p
-            best = np.take_along_axis(x, p[:, None, :], 1)[:, 0] + e[s]
+            best = x.max(1) + e[s]
         tags = np.empty((size, len(own)), np.int8)
         tags[-1] = best.argmax(1)
         at = np.arange(len(own))
