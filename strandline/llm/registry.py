@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import leaks, packing, quality, secrets, setsketch, shards
+from strandline.llm import leaks, packing, quality, secrets, setsketch, shards, suffixes
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_token_id_index": shards.query,
         "op4_benchmark_leaks": leaks.query,
         "op6_secret_crf": secrets.query,
+        "op7_suffix_dedup": suffixes.query,
         "op8_mixture_packing": packing.query,
         "op9_setsketch_near_dedup": setsketch.query,
         "op10_quality_rules": quality.query,
