@@ -10,9 +10,15 @@ estimate of J; a pair under ``FLOOR`` (six standard deviations below the thresho
 are confirmed on the full sets.
 
 No bucket is expanded into all its pairs. Equal sets are one node. Each bucket's most shared member
-(largest total of bucket sizes, which the original of a family of edited copies has) is tested against
-the rest; then, in buckets that still hold several components, the next leader; then all pairs across
-components that remain there, so that no link between components is lost and no partner is capped.
+(largest total of bucket sizes, which the original of a family of edited copies has) is its leader L and is
+compared with the rest; in buckets that then hold several components, so is the most shared member of those not with L. Of the
+pairs across components that remain, two members x, y of L's family can be a link only in two ways. With removals
+R = L - x and additions A = x - L, if they share no addition,
+
+    J(x, y) <= (|L| - max |R|) / (|L| - min |R| + |A_x| + |A_y|),
+
+which decides most by four counts; pairs that share an addition are found by joining on it. Both kinds are tested, so
+no link between components is lost and no partner is capped.
 
 Null text: an empty set. Null id: alone, component null, kept. Rows that repeat an id are one document
 whose links are those of any of its rows. Extra columns are not used.
@@ -117,18 +123,21 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _likely(batches):
+    """Pairs whose estimate reaches FLOOR, and those that are to be compared whatever it is."""
     for x in batches:
         if x.num_rows:
             a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
-            j = np.concatenate([estimate(a[i : i + 2000], b[i : i + 2000], x.column("na").to_numpy()[i : i + 2000], x.column("nb").to_numpy()[i : i + 2000]) for i in range(0, len(a), 2000)])
-            yield x.select(["a", "b"]).filter(pa.array(j >= FLOOR))
+            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
+            j = np.concatenate([estimate(a[i : i + 2000], b[i : i + 2000], na[i : i + 2000], nb[i : i + 2000]) for i in range(0, len(a), 2000)])
+            yield x.select(["a", "b", "whole"]).filter(pa.array((j >= FLOOR) | np.asarray(x.column("whole"))))
 
 
-def _confirm(batches):
+def _compare(batches):
+    """Full sets of a and b: linked, |a - b|, |b - a|, |a|, and where asked for b - a itself."""
     ids, sets = WordIds(), {}
     for x in batches:
-        keep = []
-        for ta, tb in zip(x.column("ta"), x.column("tb"), strict=True):
+        cols: list[list] = [[] for _ in range(5)]
+        for ta, tb, whole in zip(x.column("ta"), x.column("tb"), x.column("whole").to_pylist(), strict=True):
             pair = []
             for t in (ta.as_py(), tb.as_py()):
                 if t not in sets:
@@ -136,23 +145,30 @@ def _confirm(batches):
                         sets.clear()
                     sets[t] = shingle_sets([t], ids)[0]
                 pair.append(sets[t])
-            both = len(np.intersect1d(*pair, assume_unique=True))
-            keep.append(both > 0 and INTER * both >= UNION * (len(pair[0]) + len(pair[1]) - both))
-        yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            more = np.setdiff1d(pair[1], pair[0], assume_unique=True)
+            both = len(pair[1]) - len(more)
+            row = (both > 0 and INTER * both >= UNION * (len(pair[0]) + len(more)), len(pair[0]) - both, len(more), len(pair[0]), more.view(np.int64) if whole else None)
+            for c, v in zip(cols, row, strict=True):
+                c.append(v)
+        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["a", "b", "linked", "removed", "added", "size", "additions"])
 
 
-def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: size bound, likelihood of the sketches, then the full sets."""
+def compared(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b, whole): what _compare gives for those that may be links, and for all that are ``whole``."""
     side = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("regs").alias(f"r{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(INTER * F.least("na", "nb") >= UNION * F.greatest("na", "nb"))
-    near = near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long").distinct()
-    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("data").alias(f"t{c}"))
-    full = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb")
-    return full.mapInArrow(_confirm, "a long, b long")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("whole") | (INTER * F.least("na", "nb") >= UNION * F.greatest("na", "nb")))
+    near = near.select("a", "b", "whole", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long, whole boolean").distinct()
+    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("data").alias(f"t{c}")).hint("merge")
+    full = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "whole", "ta", "tb")
+    return full.mapInArrow(_compare, "a long, b long, linked boolean, removed long, added long, size long, additions array<long>")
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Distinct pairs (x, y) in either order as (a, b), without those tested in either order."""
+    key = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.select(*key).distinct().join(old, ["a", "b"], "left_anti").withColumn("whole", F.lit(False))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,52 +176,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = stored(sketches(docs, id_col, text_col))
     named = sig.filter("n_shingles > 0 and doc_id is not null")
     reps = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    nodes = named.join(reps, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"])
-    band = nodes.select(F.col("doc_id").alias("x"), "n_shingles", F.explode(F.array_distinct("bands")).alias("band"))
-    count = band.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = stored(band.join(count, "band"))
-    total = shared.groupBy("x").agg(F.sum("size").alias("total"))
-    shared = stored(shared.join(total, "x"))
-
-    members = shared.select(F.col("x").alias("doc_id")).distinct()
+    nodes = named.join(reps.hint("merge"), "set_key").filter("doc_id = rep").dropDuplicates(["set_key"])
+    band = nodes.select(F.col("doc_id").alias("x"), F.explode(F.array_distinct("bands")).alias("band"))
+    count = band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(band.join(count.hint("merge"), "band"))
+    shared = stored(shared.join(shared.groupBy("x").agg(F.sum("n").alias("total")), "x"))
+
+    members = shared.select(F.col("x").alias("doc_id")).distinct().hint("merge")
     sigs = stored(nodes.join(members, "doc_id", "left_semi").select("doc_id", "n_shingles", "regs"))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     texts = stored(d.join(members, "doc_id", "left_semi"))
 
-    best = F.max(F.struct("total", (-F.col("x")).alias("m")))
-    lead = stored(shared.groupBy("band").agg((-best["m"]).alias("y")))
-    tested = stored(_pairs(shared.join(lead, "band")))
-    links = stored(confirmed(tested, sigs, texts))
+    first = (-F.max(F.struct("total", (-F.col("x")).alias("m")))["m"]).alias("a")
+    lead = stored(shared.groupBy("band").agg(first))
+    star = shared.join(lead, "band").filter("a <> x").groupBy("a", F.col("x").alias("b")).agg((F.max("n") > 2).alias("whole"))
+    facts = stored(compared(star, sigs, texts))
+    tested, links = facts.select("a", "b"), facts.filter("linked").select("a", "b")
 
-    # rows that repeat an id tie its sets together
+    # rows that repeat an id tie their sets together
     ties = named.join(reps, "set_key").select("doc_id", "rep").distinct().groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("r")).filter(F.size("r") > 1).select("a", F.explode("r").alias("b"))
-    ties = stored(ties.filter("a <> b"))
-
-    for step in ("next leader", "all that remain"):
-        label = components(links.union(ties))
-        open_ = shared.join(label.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-        open_ = open_.filter("size > 2")
-        mixed = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-        open_ = stored(open_.join(mixed, "band"))
-        if open_.isEmpty():
-            break
-        main = open_.join(lead.withColumnRenamed("y", "x"), ["band", "x"]).select("band", F.col("component").alias("main"))
-        rest = stored(open_.join(main, "band").filter("component <> main"))
-        one = rest.select("band", F.col("x").alias("y"), F.col("component").alias("other"), F.col("n_shingles").alias("ny"))
-        if step == "next leader":
-            second = rest.groupBy("band").agg((-best["m"]).alias("y"))
-            one = one.join(second, ["band", "y"])
-        across = open_.join(one, "band").filter((F.col("component") != F.col("other")) & (INTER * F.least("n_shingles", "ny") >= UNION * F.greatest("n_shingles", "ny")))
-        new = stored(_pairs(across).join(tested, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            continue
-        links = links.union(stored(confirmed(new, sigs, texts)))
-        tested = tested.union(new)
-
-    label = components(links.union(ties))
-    out = sig.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
-    out = out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    links = links.union(stored(ties.filter("a <> b")))
+
+    def mixed(label: DataFrame) -> DataFrame:
+        """(band, a, x, total, component, main): members of buckets with several components; main is the leader's."""
+        of = lambda c, name: label.select(F.col("id").alias(c), F.col("component").alias(name))
+        rows = shared.filter("n > 2").join(lead, "band").join(of("x", "_c"), "x", "left").join(of("a", "_m"), "a", "left")
+        rows = rows.select("band", "a", "x", "total", F.coalesce("_c", "x").alias("component"), F.coalesce("_m", "a").alias("main"))
+        several = rows.filter("component <> main").select("band").distinct()
+        return stored(rows.join(several, "band", "left_semi"))
+
+    label = components(links)
+    rows = mixed(label)
+    if not rows.isEmpty():
+        rest = rows.filter("component <> main")
+        second = rest.groupBy("band").agg(first).withColumnRenamed("a", "y")
+        more = stored(_untested(rest.join(second, "band").filter("x <> y"), tested))
+        links = links.union(stored(compared(more, sigs, texts)).filter("linked").select("a", "b"))
+        tested = tested.union(more.select("a", "b"))
+        label = components(links)
+        rows = mixed(label)
+        family = rows.select("a", "x", "component", "main").distinct().join(facts.withColumnRenamed("b", "x"), ["a", "x"])
+        family = stored(family.select("a", "x", "component", "main", "removed", "added", "size", "additions"))
+        out = family.filter("component <> main").select("a", F.col("x").alias("y"), F.col("component").alias("c2"), F.col("removed").alias("r2"), F.col("added").alias("a2"), F.col("additions").alias("t2"))
+        bound = INTER * (F.col("size") - F.greatest("removed", "r2")) >= UNION * (F.col("size") - F.least("removed", "r2") + F.col("added") + F.col("a2"))
+        near = family.join(out, "a").filter((F.col("component") != F.col("c2")) & bound).select("x", "y")
+        by = family.select("a", "x", "component", F.explode("additions").alias("h"))
+        same = by.join(out.select("a", "y", "c2", F.explode("t2").alias("h")), ["a", "h"]).filter("component <> c2").select("x", "y")
+        last = stored(_untested(near.union(same), tested))
+        if not last.isEmpty():
+            links = links.union(stored(compared(last, sigs, texts)).filter("linked").select("a", "b"))
+            label = components(links)
+    res = sig.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
+    res = res.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    return res.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
