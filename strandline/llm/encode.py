@@ -9,12 +9,25 @@ goes to the library whole. Special-token strings in a text are ordinary text.
 from __future__ import annotations
 
 import os
+import string
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words held in each of a worker's two generations.
 WORDS = 400_000
+#: A word that splits the library's answer; words that hold it are encoded alone.
+MARK = "\x01"
+PUNCTUATION = string.punctuation
+_ENCODERS: dict = {}
+
+
+def encoder(path: str, byte_level: bool) -> Encoder:
+    """This Python worker's encoder: its words outlive the task."""
+    if (path, byte_level) not in _ENCODERS:
+        _ENCODERS[path, byte_level] = Encoder(path, byte_level)
+    return _ENCODERS[path, byte_level]
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,43 +48,90 @@ class Encoder:
         self.t.encode_special_tokens = True
         self.byte_level = byte_level
         self.dtype = id_dtype(self.t.get_vocab_size(with_added_tokens=True))
-        self.cache: dict[str, bytes | None] = {}
+        self.cache: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        mark = "\n" if byte_level else MARK
+        self.mark = self.raw([mark])[0]
+        self.mark_id = np.frombuffer(self.mark, self.dtype)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _each(self, words: list[str], join: str) -> list[bytes]:
+        """The words' ids from one call of the library: a mark that no word holds stands between them."""
+        if not words:
+            return []
+        ids = np.frombuffer(self.raw([join.join(words)])[0], self.dtype)
+        at = np.flatnonzero(ids == self.mark_id[0])
+        if len(self.mark_id) != 1 or len(at) != len(words) - 1:
+            return self.raw(words)
+        k, data = self.dtype_size, ids.tobytes()
+        ends = [*(at * k).tolist(), len(data)]
+        return [data[s:e] for s, e in zip([0, *(e + k for e in ends[:-1])], ends, strict=True)]
+
+    @property
+    def dtype_size(self) -> int:
+        return np.dtype(self.dtype).itemsize
+
+    def _learn(self, words: set[str]) -> None:
+        if self.old:
+            again = words & self.old.keys()
+            self.cache |= {w: self.old[w] for w in again}
+            words -= again
         if self.byte_level:
-            good = [w for w in words if w and not w[0].isspace() and w.split() == [w] or len(w) > 1 and w[0] == "\n" and w[1:].split() == [w[1:]]]
-            self.cache |= dict.fromkeys(set(words).difference(good))
-            self.cache |= zip(good, self.raw([w if w[0] == "\n" else f" {w}" for w in good]), strict=True)
+            first = [w for w in words if w[:1] == "\n" and w[1:].split() == [w[1:]]]
+            later = [w for w in words if w.split() == [w]]
+            self.cache |= dict.fromkeys(words.difference(first, later), False)
+            self.cache |= zip(first, (self.mark + x for x in self._each([w[1:] for w in first], "\n")), strict=True)
+            self.cache |= self._split(later, "\n", " ")
         else:
-            self.cache |= zip(words, self.raw(words), strict=True)
+            odd = [w for w in words if MARK in w or not w]
+            self.cache |= self._split(list(words.difference(odd)), f" {MARK} ", "")
+            self.cache |= zip(odd, self.raw(odd), strict=True)
+
+    def _split(self, words: list[str], join: str, space: str) -> dict[str, bytes]:
+        """Ids of words; letters with ASCII punctuation after them are two pre-tokens, encoded apart and once each."""
+        cores = [w.rstrip(PUNCTUATION) for w in words]
+        plain = [c if c.isalpha() else "" for c in cores]
+        if not self.byte_level:
+            plain = [c.lower() if c.isascii() else c for c in plain]
+        get = {c: x for c in set(plain) if c and (x := self.cache.get(c))}
+        fresh = list(set(plain).difference(get, ("",)))
+        get |= zip(fresh, self._each([space + c for c in fresh], join), strict=True)
+        self.cache |= get
+        tails = list({w[len(c) :] for w, c, p in zip(words, cores, plain, strict=True) if p}.difference(self.tails))
+        self.tails |= zip(tails, self.raw(tails) if tails else (), strict=True)
+        other = [w for w, p in zip(words, plain, strict=True) if not p]
+        out = dict(zip(other, self._each([space + w for w in other], join), strict=True))
+        out.update((w, get[p] + self.tails[w[len(c) :]]) for w, c, p in zip(words, cores, plain, strict=True) if p)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > WORDS:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         if self.byte_level:
-            # a leading line feed stands for the start of the text; its id is cut off again below
+            # a line feed before the text stands for its start; the id is cut off again below
             split = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
         else:
             split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*split).difference(self.cache)
-        if fresh:
-            self._learn(list(fresh))
-        get, out, whole = self.cache.__getitem__, [], []
-        if self.byte_level:
-            if (feed := self.cache.get("\n\n")) is None:
-                self.cache["\n\n"] = feed = self.raw(["\n"])[0]
-            skip = len(feed)
-        for i, words in enumerate(split):
+        words = [w for x in split for w in x]
+        ids = list(map(self.cache.get, words))
+        miss = [i for i, x in enumerate(ids) if x is None]
+        if miss:
+            self._learn({words[i] for i in miss})
+            for i in miss:
+                ids[i] = self.cache[words[i]]
+        out, whole, at, skip = [], [], 0, len(self.mark) if self.byte_level else 0
+        for k, x in enumerate(split):
             try:
-                out.append(b"".join(map(get, words))[skip:] if self.byte_level else b"".join(map(get, words)))
-            except TypeError:  # a word is None: white space that the cut may not cross
+                out.append(b"".join(ids[at : at + len(x)])[skip:])
+            except TypeError:  # False: white space that the cut may not cross
                 out.append(b"")
-                whole.append(i)
-        for i, x in zip(whole, self.raw([texts[i] for i in whole]) if whole else (), strict=True):
-            out[i] = x
+                whole.append(k)
+            at += len(x)
+        for k, x in zip(whole, self.raw([texts[k] for k in whole]) if whole else (), strict=True):
+            out[k] = x
         return out
 
 
@@ -79,11 +139,6 @@ def id_dtype(n: int) -> str:
     return "<u2" if n <= 1 << 16 else "<u4"
 
 
-def deal_in_order(docs: DataFrame, n: int, *order: str) -> DataFrame:
-    """Partitions that hold consecutive ranges of the order, each sorted."""
-    return docs.repartitionByRange(n, *order).sortWithinPartitions(*order)
-
-
 def before(totals: DataFrame, order: str, n: str, span: int = 1024) -> DataFrame:
     """totals (order int, n long), a row a part -> with ``base``: the sum of all parts before it.
 

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.common import n_blocks, stored, table
-from strandline.llm.encode import Encoder, tokenizer_path
+from strandline.llm.encode import encoder, tokenizer_path
 
 TOKENIZER, END, LENGTH, MAX_QUEUES = "word_bpe_49k.json", 1, 2048, 1024
 
@@ -102,7 +102,7 @@ def _encode(path: str, byte_level: bool, end: int):
     def run(batches):
         from pyspark import TaskContext
 
-        enc, pid = Encoder(path, byte_level), TaskContext.get().partitionId()
+        enc, pid = encoder(path, byte_level), TaskContext.get().partitionId()
         tail = np.asarray([end], enc.dtype).tobytes()
         queue, start = None, 0
         for batch in batches:
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer: st
     last = max(0, -(-used // length) - 1)
     bases = parts.select("queue", "pid", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     cut = ids.join(bases, ["queue", "pid"]).select("doc_id", "queue", (F.col("_base") + F.col("at")).alias("base"), "n", "ids")
-    return cut.mapInArrow(_cut(plan, Encoder(path, byte_level).dtype, length, last, used - last * length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long")
+    return cut.mapInArrow(_cut(plan, encoder(path, byte_level).dtype, length, last, used - last * length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

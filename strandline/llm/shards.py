@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import mix64, n_blocks, table, work_dir
-from strandline.llm.encode import Encoder, before, deal_in_order, id_dtype, tokenizer_path
+from strandline.llm.encode import before, encoder, id_dtype, tokenizer_path
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 SHARD_IDS, PART_KEYS, LOAD = 1 << 20, 20_000, 4
@@ -90,7 +90,7 @@ def _encoder(path: str, byte_level: bool, end: int):
     def run(batches):
         from pyspark import TaskContext
 
-        enc, pid = Encoder(path, byte_level), TaskContext.get().partitionId()
+        enc, pid = encoder(path, byte_level), TaskContext.get().partitionId()
         tail = np.asarray([end], enc.dtype).tobytes()
         held, ends, keys, seq, last, occ = [], [], [], 0, (), 0
 
