@@ -17,8 +17,9 @@ R = L - x and additions A = x - L, if they share no addition,
 
     J(x, y) <= (|L| - max |R|) / (|L| - min |R| + |A_x| + |A_y|),
 
-which decides most by four counts; pairs that share an addition are found by joining on it. Both kinds are tested, so
-no link between components is lost and no partner is capped.
+which decides most by four counts. If they share s additions, s must reach a number that the same counts give; the least such number over the
+family's counts cuts each member's additions, rarest first, to a prefix in which two linked members must meet.
+Both kinds are tested, so no link between components is lost and no partner is capped.
 
 Null text: an empty set. Null id: alone, component null, kept. Rows that repeat an id are one document
 whose links are those of any of its rows. Extra columns are not used.
@@ -29,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.common import WordIds, mix64, slices, stored, table
@@ -171,6 +173,22 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.select(*key).distinct().join(old, ["a", "b"], "left_anti").withColumn("whole", F.lit(False))
 
 
+def _meeting(family: DataFrame) -> DataFrame:
+    """Pairs (x, y) of a family, in different components, that may share enough additions to be a link."""
+    kind = family.select("a", "size", "removed", "added").distinct()
+    other = kind.select("a", F.col("removed").alias("r2"), F.col("added").alias("a2"))
+    least = F.ceil((UNION * (F.col("size") - F.least("removed", "r2") + F.col("added") + F.col("a2")) - INTER * (F.col("size") - F.greatest("removed", "r2"))) / F.lit(float(INTER + UNION)) - 1e-9)
+    need = kind.join(other, "a").select("a", "removed", "added", "a2", F.greatest(least, F.lit(1)).alias("need")).filter(F.col("need") <= F.least("added", "a2"))
+    need = need.groupBy("a", "removed", "added").agg(F.min("need").alias("need"))
+    by = family.join(need, ["a", "removed", "added"]).select("a", "x", "component", "main", "need", F.explode("additions").alias("h"))
+    often = by.groupBy("a", "h").agg(F.count("*").alias("times")).filter("times > 1")
+    w = W.partitionBy("a", "x")
+    by = by.join(often, ["a", "h"]).withColumn("of", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("times", "h")))
+    by = by.filter(F.col("rank") <= F.col("of") - F.col("need") + 1)
+    out = by.filter("component <> main").select("a", "h", F.col("x").alias("y"), F.col("component").alias("c2"))
+    return by.join(out, ["a", "h"]).filter((F.col("component") != F.col("c2")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("y")))).select("x", "y")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id, kept."""
     sig = stored(sketches(docs, id_col, text_col))
@@ -220,8 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = family.filter("component <> main").select("a", F.col("x").alias("y"), F.col("component").alias("c2"), F.col("removed").alias("r2"), F.col("added").alias("a2"), F.col("additions").alias("t2"))
         bound = INTER * (F.col("size") - F.greatest("removed", "r2")) >= UNION * (F.col("size") - F.least("removed", "r2") + F.col("added") + F.col("a2"))
         near = family.join(out, "a").filter((F.col("component") != F.col("c2")) & bound).select("x", "y")
-        by = family.select("a", "x", "component", F.explode("additions").alias("h"))
-        same = by.join(out.select("a", "y", "c2", F.explode("t2").alias("h")), ["a", "h"]).filter("component <> c2").select("x", "y")
+        same = _meeting(family)
         last = stored(_untested(near.union(same), tested))
         if not last.isEmpty():
             links = links.union(stored(compared(last, sigs, texts)).filter("linked").select("a", "b"))
