@@ -26,6 +26,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.common import blocked, mix64, n_blocks, table
@@ -349,9 +350,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start:end in bytes, comma-joined)."""
     n = n_blocks(docs)
     d = blocked(docs, n, id_col, text_col)
-    listed = d.groupBy("block").applyInArrow(_hashes, "h long, block int, many boolean").repartition("h")
-    twice = listed.groupBy("h").agg(F.count("*").alias("n"), F.max("many").alias("many")).filter("n > 1 or many").select("h")
-    hot = listed.select("h", "block").join(twice.hint("shuffle_hash"), "h", "left_semi")
+    listed = d.groupBy("block").applyInArrow(_hashes, "h long, block int, many boolean").repartition(n, "h")
+    w = W.partitionBy("h")
+    hot = listed.withColumn("n", F.count("*").over(w)).withColumn("any", F.max("many").over(w)).filter("n > 1 or any").select("h", "block")
     sent = d.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(_contexts, _CONTEXT)
     found = sent.repartition(n, "route").mapInArrow(_compare, "doc_id long, copy int, at long, until long")
     id_of = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
