@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import block_of, n_blocks, slices, table
+from strandline.llm.common import block_of, n_blocks, slices, stored, table
 
 ORDER, FOLDS, FOLD = 4, 7, 2
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
@@ -139,9 +139,10 @@ def _value(low: np.ndarray, order: int):
         t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if t is None or not t.num_rows:
             return
-        key = t.column("k1").to_numpy()
-        v = code_lengths(key.view(np.uint64), t.column("c").to_numpy(), low, order)
-        yield from pa.table({"kind": pa.array(np.zeros(len(key), np.int8)), "k1": key, "k2": np.zeros(len(key), np.int64), "v": v}).to_batches()
+        kind, key, c = (t.column(x).to_numpy() for x in ("kind", "k1", "c"))
+        v, g = c.astype(np.float64), kind == GRAM
+        v[g] = code_lengths(key[g].view(np.uint64), c[g], low, order)
+        yield from t.select(["kind", "k1", "k2"]).append_column("v", pa.array(v)).append_column("owner", t.column("owner")).to_batches()
 
     return run
 
@@ -151,8 +152,11 @@ def _score(order: int, n_train: int):
         import pandas as pd
 
         if not t.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_sum": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_sum": pa.array([], pa.float64()), "score": pa.array([], pa.float64()), "owned": pa.array([], pa.int64())})
         kind, k1, k2, v = (asked.column(c).to_numpy() for c in ("kind", "k1", "k2", "v"))
+        mine = asked.column("owner").to_numpy() == t.column("block")[0].as_py()
+        owned = np.zeros(t.num_rows, np.int64)
+        owned[0] = (mine & (kind == WORD) & (v > 0)).sum()  # each distinct training word counts in one block
         g = kind == GRAM
         o = np.argsort(k1[g].view(np.uint64))
         keys, logs = k1[g].view(np.uint64)[o], v[g][o]
@@ -178,7 +182,7 @@ def _score(order: int, n_train: int):
                 cols[1].append(len(words) - got.count(0.0) + (n_train > 0))
                 cols[2].append(math.fsum(got) + end)
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.Table.from_arrays([t.column("doc_id"), t.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "score"])
+        return pa.Table.from_arrays([t.column("doc_id"), t.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, types, strict=True)), pa.array(owned)], ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "score", "owned"])
 
     return run
 
@@ -196,16 +200,17 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int =
         low[r["pair"] >> BITS, r["pair"] & 511] = r["c"]
     n_train = int(low[:, END].sum())
     d = d.repartition(n, "block")
-    asked = d.groupBy("block").applyInArrow(_ask(order), "kind byte, k1 long, k2 long, block int, c long").repartition(n, "kind", "k1", "k2")
-    model = asked.groupBy("kind", "k1", "k2").agg(F.sum("c").alias("c"))
-    grams = model.filter(f"kind = {GRAM}").select("k1", "c", F.shiftright("k1", BITS).bitwiseAND((1 << 2 * BITS) - 1).alias("near")).repartition(n, "near").select("k1", "c")
-    words = model.filter(f"kind = {WORD}")
-    value = grams.mapInArrow(_value(low, order), "kind byte, k1 long, k2 long, v double").union(words.select("kind", "k1", "k2", F.col("c").cast("double")))
-    answer = asked.select("kind", "k1", "k2", "block").join(value, ["kind", "k1", "k2"]).select("block", "kind", "k1", "k2", "v")
-    out = d.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_score(order, n_train), "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double")
-    size = words.filter("c > 0").agg(F.struct(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).alias("x")).scalar()
-    total = size["n"] + F.lit(n_train)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", total.cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * F.log10((total + size["v"] + F.lit(int(n_train > 0)) + 1).cast("double"))).alias("base_score"), "score")
+    # both uses of ``asked`` read all its columns and pass the same filter, so that Spark deals it out once
+    asked = d.groupBy("block").applyInArrow(_ask(order), "kind byte, k1 long, k2 long, block int, c long").filter("kind is not null and k1 is not null and k2 is not null").repartition(n, "kind", "k1", "k2")
+    model = asked.groupBy("kind", "k1", "k2").agg(F.sum("c").alias("c"), F.max("block").alias("owner"))
+    near = F.when(F.col("kind") == GRAM, F.shiftright("k1", BITS).bitwiseAND((1 << 2 * BITS) - 1)).otherwise(F.col("k1"))
+    value = model.withColumn("near", near).repartition(n, "near").select("kind", "k1", "k2", "c", "owner").mapInArrow(_value(low, order), "kind byte, k1 long, k2 long, v double, owner int")
+    answer = asked.join(value, ["kind", "k1", "k2"]).select("block", "kind", "k1", "k2", "c", "v", "owner")
+    out = d.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_score(order, n_train), "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, owned long")
+    out = stored(out)
+    size = out.agg(F.sum("owned").alias("v"), F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("n")).first()
+    v, total = (size["v"] or 0) + (n_train > 0), size["n"] or 0
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * math.log10(total + v + 1)).alias("base_score"), "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandline.llm import leaks, packing, quality, secrets, setsketch, shards, suffixes
+from strandline.llm import leaks, packing, ppm, quality, secrets, setsketch, shards, suffixes
 
 
 def queries() -> dict:
     return {
+        "op2_ppm_scores": ppm.query,
         "op3_token_id_index": shards.query,
         "op4_benchmark_leaks": leaks.query,
         "op6_secret_crf": secrets.query,
