@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from strandline.llm import leaks, packing, ppm, quality, secrets, setsketch, shards, suffixes
+from strandline.llm import html, leaks, licenses, packing, ppm, quality, secrets, setsketch, shards, suffixes
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": licenses.query,
         "op2_ppm_scores": ppm.query,
         "op3_token_id_index": shards.query,
         "op4_benchmark_leaks": leaks.query,
+        "op5_html_text": html.query,
         "op6_secret_crf": secrets.query,
         "op7_suffix_dedup": suffixes.query,
         "op8_mixture_packing": packing.query,

@@ -248,5 +248,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return res.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs, all columns, without the documents that near_duplicates does not keep."""
+    lost = stored(near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct())
+    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
