@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words held in each of a worker's two generations.
-WORDS = 400_000
+WORDS = 250_000
 #: A word that splits the library's answer; words that hold it are encoded alone.
 MARK = "\x01"
 PUNCTUATION = string.punctuation
@@ -62,18 +62,36 @@ class Encoder:
         """The words' ids from one call of the library: a mark that no word holds stands between them."""
         if not words:
             return []
+        if self.byte_level:
+            return self._model(words)
         ids = np.frombuffer(self.raw([join.join(words)])[0], self.dtype)
         at = np.flatnonzero(ids == self.mark_id[0])
         if len(self.mark_id) != 1 or len(at) != len(words) - 1:
             return self.raw(words)
-        k, data = self.dtype_size, ids.tobytes()
+        return self._cut(ids, at)
+
+    def _model(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one pre-token each, of ASCII letters (its byte-level alphabet is itself), by the library's model; of others, by all of it."""
+        out, other = {}, []
+        for w in words:
+            if w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
+                out[w] = np.asarray([x.id for x in self.t.model.tokenize(w.replace(" ", "\u0120"))], self.dtype).tobytes()
+            else:
+                other.append(w)
+        if other:
+            ids = np.frombuffer(self.raw(["\n".join(other)])[0], self.dtype)
+            at = np.flatnonzero(ids == self.mark_id[0])
+            if len(self.mark_id) == 1 and len(at) == len(other) - 1:
+                out.update(zip(other, self._cut(ids, at), strict=True))
+            else:
+                out.update(zip(other, self.raw(other), strict=True))
+        return [out[w] for w in words]
+
+    def _cut(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        k, data = np.dtype(self.dtype).itemsize, ids.tobytes()
         ends = [*(at * k).tolist(), len(data)]
         return [data[s:e] for s, e in zip([0, *(e + k for e in ends[:-1])], ends, strict=True)]
 
-    @property
-    def dtype_size(self) -> int:
-        return np.dtype(self.dtype).itemsize
-
     def _learn(self, words: set[str]) -> None:
         if self.old:
             again = words & self.old.keys()
@@ -115,21 +133,18 @@ class Encoder:
             split = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
         else:
             split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for x in split for w in x]
-        ids = list(map(self.cache.get, words))
-        miss = [i for i, x in enumerate(ids) if x is None]
-        if miss:
-            self._learn({words[i] for i in miss})
-            for i in miss:
-                ids[i] = self.cache[words[i]]
-        out, whole, at, skip = [], [], 0, len(self.mark) if self.byte_level else 0
+        # the batch's distinct words meet the large table once; its tokens a small one
+        words = list(set().union(*split))
+        if fresh := {w for w, x in zip(words, map(self.cache.get, words), strict=True) if x is None}:
+            self._learn(fresh)
+        get = dict(zip(words, map(self.cache.__getitem__, words), strict=True)).__getitem__
+        out, whole, skip = [], [], len(self.mark) if self.byte_level else 0
         for k, x in enumerate(split):
             try:
-                out.append(b"".join(ids[at : at + len(x)])[skip:])
+                out.append(b"".join(map(get, x))[skip:])
             except TypeError:  # False: white space that the cut may not cross
                 out.append(b"")
                 whole.append(k)
-            at += len(x)
         for k, x in zip(whole, self.raw([texts[k] for k in whole]) if whole else (), strict=True):
             out[k] = x
         return out

@@ -28,7 +28,7 @@ from strandline.llm.common import mix64, n_blocks, table, work_dir
 from strandline.llm.encode import before, encoder, id_dtype, tokenizer_path
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
-SHARD_IDS, PART_KEYS, LOAD = 1 << 20, 20_000, 4
+SHARD_IDS, PART_KEYS, LOAD = 1 << 19, 20_000, 4
 
 
 def key_hash(ids: np.ndarray, null: np.ndarray, occ: np.ndarray) -> np.ndarray:
