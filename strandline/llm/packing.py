@@ -135,16 +135,18 @@ def _cut(plan: list[Phase], dtype: str, length: int, last: int, last_size: int):
                             continue
                         x -= p.at[q]
                         w = p.sequence(k, x)
+                        before, upto = p.edge(k, w), p.edge(k + 1, w)
                         while done < n and x < p.take[k]:
-                            have, upto = p.allot(k, w), p.allot(k, w + 1)
-                            if upto <= x:
+                            before2, upto2 = p.edge(k, w + 1), p.edge(k + 1, w + 1)
+                            size = min(upto2 - before2 - x, n - done)
+                            if size > 0:
+                                row = (doc, done, size, zlib.crc32(ids[done : done + size]), n, p.first + w, before2 - before + x - (upto - before), short if p.first + w == last else length)
+                                for c, v in zip(out, row, strict=True):
+                                    c.append(v)
+                                x, done, w, before, upto = x + size, done + size, w + 1, before2, upto2
+                            else:
                                 w = p.sequence(k, x)
-                                continue
-                            size = min(upto - x, n - done)
-                            row = (doc, done, size, zlib.crc32(ids[done : done + size]), n, p.first + w, p.edge(k, w + 1) - p.edge(k, w) + x - have, short if p.first + w == last else length)
-                            for c, v in zip(out, row, strict=True):
-                                c.append(v)
-                            x, done, w = x + size, done + size, w + 1
+                                before, upto = p.edge(k, w), p.edge(k + 1, w)
                         x += p.at[q]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"])
 
@@ -165,7 +167,8 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer: st
     used = sum(totals.values())
     last = max(0, -(-used // length) - 1)
     bases = parts.select("queue", "pid", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    cut = ids.join(bases, ["queue", "pid"]).select("doc_id", "queue", (F.col("_base") + F.col("at")).alias("base"), "n", "ids")
+    # a row a partition and queue: written, so that its size is known when the join is planned
+    cut = ids.join(stored(bases), ["queue", "pid"]).select("doc_id", "queue", (F.col("_base") + F.col("at")).alias("base"), "n", "ids")
     return cut.mapInArrow(_cut(plan, encoder(path, byte_level).dtype, length, last, used - last * length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long")
 
 
