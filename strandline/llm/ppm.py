@@ -9,7 +9,7 @@ context alone, and a trie node's code length is the same wherever it is met: it
 
 Documents are dealt into blocks. A block sends each distinct (ORDER + 1)-gram and each distinct word once,
 with its training count; the counts meet by gram and word. Grams that share their last two context symbols
-hold all contexts of two and more symbols they need (at most 258**2 * 257 rows for ORDER 4); shorter
+hold all contexts of two and more symbols they need (at most 258**3 * 257 for ORDER 5, far fewer in texts); shorter
 contexts are one table of 258 x 257 counts. Code lengths go back to the blocks that asked, which score
 their texts. All that is gathered grows with the corpus and is spread over the tasks.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import block_of, n_blocks, slices, stored, table
 
-ORDER, FOLDS, FOLD = 4, 7, 2
+ORDER, FOLDS, FOLD = 5, 7, 2
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
 BLOCK_BYTES = 8 << 20
 GRAM, WORD = 0, 1
@@ -93,43 +93,59 @@ def _pairs(batches):
     total = np.zeros((START + 1) << BITS, np.int64)
     for b in batches:
         data = b.column(0)
-        for lo, hi in slices(np.diff(np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)), _CHUNK):
+        for lo, hi in slices(_sizes(data), _CHUNK):
             total += np.bincount(stream(data.slice(lo, hi - lo).to_pylist(), 1)[0].astype(np.int64), minlength=len(total))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
 
 
-def _digest(words: list[bytes]) -> np.ndarray:
-    import xxhash
+def _sizes(data: pa.BinaryArray) -> np.ndarray:
+    return np.diff(np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4))
 
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), ">i8").astype(np.int64).reshape(-1, 2)
+
+class Block:
+    """A block's texts with its distinct grams and words, numbered alike whenever the block is read: rows in the order of
+    (doc_id, text), grams and words in the order they first occur.
+    """
+
+    def __init__(self, t: pa.Table, order: int):
+        import pandas as pd
+
+        rows = sorted(range(t.num_rows), key=lambda i, d=t.column("doc_id").to_pylist(), x=t.column("data").to_pylist(): (d[i] is not None, d[i] or 0, x[i]))
+        self.t = t.take(pa.array(rows, pa.int64()))
+        self.data = self.t.column("data").combine_chunks()
+        self.held = np.asarray(self.t.column("held_out"))
+        self.parts = list(slices(_sizes(self.data), _CHUNK))
+        self.order = order
+        firsts, self.count = [], []
+        for lo, hi in self.parts:
+            key, sizes = stream(self.texts(lo, hi), order)
+            code, u = pd.factorize(key)
+            firsts.append(u)
+            self.count.append(np.bincount(code[np.repeat(~self.held[lo:hi], sizes)], minlength=len(u)))
+        at, self.grams = pd.factorize(np.concatenate(firsts))
+        self.at = np.split(at, np.cumsum([len(u) for u in firsts])[:-1])  # number of each part's distinct grams
+
+    def texts(self, lo: int, hi: int) -> list[bytes]:
+        return self.data.slice(lo, hi - lo).to_pylist()
 
 
 def _ask(order: int):
     def run(t: pa.Table) -> pa.Table:
-        import pandas as pd
+        import xxhash
         from collections import Counter
 
-        held, data = np.asarray(t.column("held_out")), t.column("data").combine_chunks()
-        grams, counts, known, all_ = [], [], Counter(), set()
-        for lo, hi in slices(np.diff(np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)), _CHUNK):
-            texts = data.slice(lo, hi - lo).to_pylist()
-            key, sizes = stream(texts, order)
-            code, u = pd.factorize(key)
-            grams.append(u)
-            counts.append(np.bincount(code[np.repeat(~held[lo:hi], sizes)], minlength=len(u)))
-            for x, h in zip(texts, held[lo:hi].tolist(), strict=True):
-                if h:
-                    all_.update(x.lower().split())
-                else:
-                    known.update(x.lower().split())
-        code, u = pd.factorize(np.concatenate(grams))
-        c = np.bincount(code, weights=np.concatenate(counts)).astype(np.int64)
-        new = list(all_.difference(known))
-        words = _digest([*known, *new])
-        n, m = len(u), len(words)
+        x = Block(t, order)
+        c = np.bincount(np.concatenate(x.at), weights=np.concatenate(x.count)).astype(np.int64)
+        known: Counter = Counter()
+        for lo, hi in x.parts:
+            for text, held in zip(x.texts(lo, hi), x.held[lo:hi].tolist(), strict=True):
+                words = text.lower().split()
+                known.update(dict.fromkeys(words, 0) if held else words)
+        words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), ">i8").astype(np.int64).reshape(-1, 2)
+        n, m = len(x.grams), len(words)
         block = t.column("block")[0].as_py()
-        return pa.table({"kind": pa.array(np.repeat([GRAM, WORD], [n, m]).astype(np.int8)), "k1": np.concatenate([u.view(np.int64), words[:, 0]]), "k2": np.concatenate([np.zeros(n, np.int64), words[:, 1]]), "block": pa.array(np.full(n + m, block, np.int32)), "c": np.concatenate([c, np.fromiter(known.values(), np.int64, len(known)), np.zeros(len(new), np.int64)])})
+        return pa.table({"kind": pa.array(np.repeat([GRAM, WORD], [n, m]).astype(np.int8)), "k1": np.concatenate([x.grams.view(np.int64), words[:, 0]]), "k2": np.concatenate([np.zeros(n, np.int64), words[:, 1]]), "block": pa.array(np.full(n + m, block, np.int32)), "i": pa.array(np.arange(n + m, dtype=np.int32)), "c": np.concatenate([c, np.fromiter(known.values(), np.int64, m)])})
 
     return run
 
@@ -142,47 +158,46 @@ def _value(low: np.ndarray, order: int):
         kind, key, c = (t.column(x).to_numpy() for x in ("kind", "k1", "c"))
         v, g = c.astype(np.float64), kind == GRAM
         v[g] = code_lengths(key[g].view(np.uint64), c[g], low, order)
-        yield from t.select(["kind", "k1", "k2"]).append_column("v", pa.array(v)).append_column("owner", t.column("owner")).to_batches()
+        yield from t.select(["kind", "k1", "k2"]).append_column("v", pa.array(v)).append_column("owner", t.column("owner")).to_batches(max_chunksize=50_000)
 
     return run
 
 
 def _score(order: int, n_train: int):
-    def run(t: pa.Table, asked: pa.Table) -> pa.Table:
+    def run(t: pa.Table, answer: pa.Table) -> pa.Table:
         import pandas as pd
 
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "score", "owned"]
         if not t.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_sum": pa.array([], pa.float64()), "score": pa.array([], pa.float64()), "owned": pa.array([], pa.int64())})
-        kind, k1, k2, v = (asked.column(c).to_numpy() for c in ("kind", "k1", "k2", "v"))
-        mine = asked.column("owner").to_numpy() == t.column("block")[0].as_py()
+            return pa.table({n: pa.array([], k) for n, k in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)})
+        v = np.empty(answer.num_rows)
+        v[answer.column("i").to_numpy()] = answer.column("v").to_numpy()
+        mine = answer.column("mine").to_numpy(zero_copy_only=False) 
+        x = Block(t, order)
+        n = len(x.grams)
         owned = np.zeros(t.num_rows, np.int64)
-        owned[0] = (mine & (kind == WORD) & (v > 0)).sum()  # each distinct training word counts in one block
-        g = kind == GRAM
-        o = np.argsort(k1[g].view(np.uint64))
-        keys, logs = k1[g].view(np.uint64)[o], v[g][o]
-        table_ = dict(zip(zip(k1[~g].tolist(), k2[~g].tolist(), strict=True), v[~g].tolist(), strict=True))
-        del kind, k1, k2, v, g, o
-        data = t.column("data").combine_chunks()
+        owned[0] = (mine & (answer.column("i").to_numpy() >= n) & (answer.column("v").to_numpy() > 0)).sum()  # a distinct training word counts in one block
+        del answer, mine
+        logc = np.log10(v[n:] + 1).tolist()
+        number: dict[bytes, float] = {}  # word -> log10 (count + 1), in the order of _ask
         cols: list[list] = [[], [], [], []]
-        logc: dict[bytes, float] = {}
         end = math.log10(n_train + 1)
-        for lo, hi in slices(np.diff(np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)), _CHUNK):
-            texts = data.slice(lo, hi - lo).to_pylist()
+        for (lo, hi), at in zip(x.parts, x.at, strict=True):
+            texts = x.texts(lo, hi)
             key, sizes = stream(texts, order)
-            code, u = pd.factorize(key)
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            cols[3] += np.add.reduceat(logs[np.searchsorted(keys, u)][code], at).tolist()
-            for x in texts:
-                words = x.lower().split()
-                fresh = [w for w in set(words) if w not in logc]
-                if fresh:
-                    logc.update((w, math.log10(table_[a, b] + 1)) for w, (a, b) in zip(fresh, _digest(fresh).tolist(), strict=True))
-                got = list(map(logc.__getitem__, words))
+            code, _ = pd.factorize(key)
+            cols[3] += np.add.reduceat(v[:n][at][code], np.concatenate([[0], np.cumsum(sizes)[:-1]])).tolist()
+            for text in texts:
+                words = text.lower().split()
+                for w in words:
+                    if w not in number:
+                        number[w] = logc[len(number)]
+                got = list(map(number.__getitem__, words))
                 cols[0].append(len(words) + 1)
                 cols[1].append(len(words) - got.count(0.0) + (n_train > 0))
                 cols[2].append(math.fsum(got) + end)
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.Table.from_arrays([t.column("doc_id"), t.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, types, strict=True)), pa.array(owned)], ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "score", "owned"])
+        return pa.Table.from_arrays([x.t.column("doc_id"), x.t.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, types, strict=True)), pa.array(owned)], names)
 
     return run
 
@@ -201,11 +216,11 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int =
     n_train = int(low[:, END].sum())
     d = d.repartition(n, "block")
     # both uses of ``asked`` read all its columns and pass the same filter, so that Spark deals it out once
-    asked = d.groupBy("block").applyInArrow(_ask(order), "kind byte, k1 long, k2 long, block int, c long").filter("kind is not null and k1 is not null and k2 is not null").repartition(n, "kind", "k1", "k2")
-    model = asked.groupBy("kind", "k1", "k2").agg(F.sum("c").alias("c"), F.max("block").alias("owner"))
+    asked = d.groupBy("block").applyInArrow(_ask(order), "kind byte, k1 long, k2 long, block int, i int, c long").filter("kind is not null and k1 is not null and k2 is not null").repartition(n, "kind", "k1", "k2")
+    model = asked.groupBy("kind", "k1", "k2").agg(F.sum("c").alias("c"), F.max(F.struct("block", "i"))["block"].alias("owner"))
     near = F.when(F.col("kind") == GRAM, F.shiftright("k1", BITS).bitwiseAND((1 << 2 * BITS) - 1)).otherwise(F.col("k1"))
     value = model.withColumn("near", near).repartition(n, "near").select("kind", "k1", "k2", "c", "owner").mapInArrow(_value(low, order), "kind byte, k1 long, k2 long, v double, owner int")
-    answer = asked.join(value, ["kind", "k1", "k2"]).select("block", "kind", "k1", "k2", "c", "v", "owner")
+    answer = asked.join(value, ["kind", "k1", "k2"]).select("block", "i", (F.col("v") + F.col("c") * 0).alias("v"), (F.col("owner") == F.col("block")).alias("mine"))
     out = d.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_score(order, n_train), "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, owned long")
     out = stored(out)
     size = out.agg(F.sum("owned").alias("v"), F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("n")).first()
