@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE
+from strandline.llm.common import SPACE, stored, table
 
 MAX_DOCS, MAX_LOST = 10, 70
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -66,9 +66,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "words")).alias("lost"))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
-    """Every row's counts, the words it loses to repeated lines, base_failed and kept."""
-    lost = repeated_lines(docs, id_col, text_col, host_col, max_docs)
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST, lost: DataFrame | None = None) -> DataFrame:
+    """Every row's counts, the words it loses to repeated lines, base_failed and kept.
+
+    Write the result before filtering it: a filter on it would be pushed into the counts and repeat them for each word.
+    """
+    lost = lost if lost is not None else repeated_lines(docs, id_col, text_col, host_col, max_docs)
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.aggregate("lost", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("_lost"))
     d = counts(docs, id_col, text_col)
     d = d.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
@@ -79,8 +82,10 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
     """The kept documents, all columns, without the repeated lines; n_chars follows the text where there is one."""
-    v = verdicts(docs, max_docs=max_docs, max_lost=max_lost).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    lost = repeated_lines(docs, max_docs=max_docs).select(F.col("doc_id").alias("_id2"), F.col("text_key").alias("_key2"), F.transform("lost", lambda x: x["pos"]).alias("_pos"))
+    lines = stored(repeated_lines(docs, max_docs=max_docs))
+    v = stored(verdicts(docs, max_docs=max_docs, max_lost=max_lost, lost=lines).select("doc_id", "text_key", "kept"))
+    v = v.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    lost = lines.select(F.col("doc_id").alias("_id2"), F.col("text_key").alias("_key2"), F.transform("lost", lambda x: x["pos"]).alias("_pos"))
     v = v.join(lost, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left").select("_id", "_key", "_pos")
     d = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
     d = d.join(v, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
@@ -92,8 +97,6 @@ def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from strandline.llm.common import table
-
     return verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
