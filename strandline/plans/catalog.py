@@ -1,15 +1,534 @@
-"""Named queries over the driver's tables, with the SQL that gives the same rows."""
+"""Named queries over the driver's tables, with the SQL that gives the same rows.
+
+Events are read as trajectories, embeddings as feature vectors; values are rounded at the edge of a query so that two
+engines' sums agree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions import vector as V
+from strandline.operators import classify, encoding, geometry, integral, ndsparse, pairwise, resample, segmentation, sequence
+from strandline.plans import sql
+from strandline.sources import trajectories
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+ODD = [1, 3, 5, 7, 9, 11]
+XYZ = ["x", "y", "z"]
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def traj(spark: SparkSession, d: str) -> DataFrame:
+    return trajectories.from_events(spark.read.parquet(f"{d}/events.parquet"))
+
+
+def coarse(spark: SparkSession, d: str) -> DataFrame:
+    return traj(spark, d).select("seq_id", "t", F.floor(F.col("x") / 50).cast("double").alias("x"), F.floor(F.col("y") / 50).cast("double").alias("y"), F.floor(F.col("z") / 30).cast("double").alias("z"))
+
+
+def emb(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"), (F.col("label") + 1).alias("label"))
+
+
+def rounded(df: DataFrame, k: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, k) + F.lit(0.0) for n in names})
+
+
+def theta() -> np.ndarray:
+    """Fixed weights (64, 10) that the SQL builds by the same rule."""
+    d, c = np.meshgrid(np.arange(64), np.arange(10), indexing="ij")
+    return ((d * 7 + c * 3) % 5 - 2) / 10.0
+
+
+# sequences
+
+
+@query
+def srvf(s, d):
+    return rounded(sequence.square_root_velocity(traj(s, d)), 6, "sx", "sy", "sz")
+
+
+@query
+def gradient(s, d):
+    return rounded(sequence.gradient(traj(s, d), *XYZ).select("seq_id", "t", "vx", "vy", "vz"), 6, "vx", "vy", "vz")
+
+
+@query
+def drop_missing(s, d):
+    return sequence.drop_missing(traj(s, d).withColumn("x", F.when(F.col("y") == 0, F.lit(float("nan"))).otherwise(F.col("x")))).select("seq_id", "t")
+
+
+@query
+def repeat_removal(s, d):
+    return sequence.remove_repeats(coarse(s, d)).select("seq_id", "t", "orig_t", *XYZ)
+
+
+@query
+def fill_repeat(s, d):
+    c = coarse(s, d)
+    return sequence.fill_repeats(c, sequence.remove_repeats(c), *XYZ)
+
+
+@query
+def grid_range(s, d):
+    return sequence.grid_range(traj(s, d))
+
+
+@query
+def grid_mean(s, d):
+    t = traj(s, d)
+    return sequence.grid_mean(t.join(pairwise.mean_distance(t), "seq_id"), F.col("mean_dist"), 100_000)
+
+
+@query
+def unit_scale(s, d):
+    return rounded(sequence.unit_scale(traj(s, d)), 6, *XYZ, "scale")
+
+
+@query
+def next_frame(s, d):
+    return sequence.next_frame(traj(s, d), "x").select("seq_id", "t", "next_x")
+
+
+@query
+def trim(s, d):
+    return sequence.trim(traj(s, d)).select("seq_id", "t")
+
+
+@query
+def arc_length(s, d):
+    return rounded(sequence.arc_length(traj(s, d)), 6, "arc", "radius")
+
+
+@query
+def absent_hand(s, d):
+    return sequence.absent(traj(s, d))
+
+
+@query
+def two_hands(s, d):
+    t = traj(s, d)
+    return sequence.concat_hands(t, t.withColumns({"x": 2 * F.col("x"), "y": 2 * F.col("y")}), "x", "y")
+
+
+def _members(s):
+    return s.createDataFrame([(k,) for k in ODD], "label long")
+
+
+@query
+def split_semi(s, d):
+    return traj(s, d).join(F.broadcast(_members(s)), "label", "left_semi").groupBy("seq_id").agg(F.count("*").alias("n"))
+
+
+@query
+def split_anti(s, d):
+    return traj(s, d).join(F.broadcast(_members(s)), "label", "left_anti").groupBy("seq_id").agg(F.count("*").alias("n"))
+
+
+@query
+def split_train_test(s, d):
+    t = trajectories.exclude(traj(s, d).drop("split"), F.col("label") == 12)
+    return trajectories.split_by_membership(t, _members(s), "label").select("seq_id", "split").distinct()
+
+
+@query
+def labels(s, d):
+    return trajectories.labels(traj(s, d))
+
+
+@query
+def distinct_labels(s, d):
+    return traj(s, d).agg(F.count_distinct("label").alias("n"))
+
+
+@query
+def diff_invariants(s, d):
+    return rounded(sequence.differential_invariants(traj(s, d)), 6, "curvature", "curvature_d", "torsion", "torsion_d")
+
+
+# pairs
+
+
+@query
+def pair_distance(s, d):
+    return rounded(pairwise.distances(traj(s, d).filter("seq_id % 10 = 0")), 4, "d2")
+
+
+@query
+def mean_pair_dist(s, d):
+    return rounded(pairwise.mean_distance(traj(s, d)), 6, "mean_dist")
+
+
+@query
+def ssm(s, d):
+    return rounded(pairwise.self_similarity(sequence.patches(traj(s, d), 2, *XYZ)), 4, "s")
+
+
+@query
+def ssm_tanh(s, d):
+    return rounded(pairwise.self_similarity(sequence.patches(traj(s, d), 2, *XYZ), 0.0005, 0.1), 6, "s")
+
+
+def _bins(s, d):
+    t = traj(s, d)
+    return t, pairwise.shape_bins(t, pairwise.mean_distance(t))
+
+
+@query
+def shape_ctx_810(s, d):
+    return pairwise.shape_context(_bins(s, d)[1])
+
+
+@query
+def shape_ctx_inliers(s, d):
+    t, b = _bins(s, d)
+    return pairwise.shape_context(b, t.filter("t % 5 <> 0"))
+
+
+@query
+def shape_ctx_135(s, d):
+    return pairwise.shape_context_marginals(_bins(s, d)[1])
+
+
+# geometry
+
+
+def _keys(s, d):
+    t = traj(s, d)
+    return t, geometry.key_points(t, geometry.fixed_segments(t))
+
+
+@query
+def asof_keypoints(s, d):
+    return _keys(s, d)[1]
+
+
+@query
+def circumcentre(s, d):
+    t, k = _keys(s, d)
+    side = lambda n: t.select("seq_id", F.col("t").alias(n), *(F.col(c).alias(f"{n}{c}") for c in XYZ))
+    j = t.join(k, ["seq_id", "t"]).join(side("l"), ["seq_id", "l"]).join(side("r"), ["seq_id", "r"])
+    a, b, c = (V.cols(*(f"{n}{x}" for x in XYZ)) for n in ("l", "", "r"))
+    w = V.cross(V.sub(b, a), V.sub(c, a))
+    out = j.filter(2 * V.dot(w, w) > 1e3).select("seq_id", "t", *(v.alias(f"c{x}") for v, x in zip(V.circumcentre(a, b, c), XYZ, strict=True)))
+    return rounded(out, 3, "cx", "cy", "cz")
+
+
+@query
+def frames_fixed(s, d):
+    return rounded(geometry.frames(*_keys(s, d)).drop("status"), 5, *geometry.AXES)
+
+
+@query
+def quat(s, d):
+    t = traj(s, d).select("seq_id", "t", (F.col("x") % 7 - 3).alias("p"), (F.col("y") % 6 - 3).alias("w"))
+    c, sn = F.cos, F.sin
+    m = [[c("p") * c("w"), -sn("p"), c("p") * sn("w")], [sn("p") * c("w"), c("p"), sn("p") * sn("w")], [-sn("w"), F.lit(0.0), c("w")]]
+    t = t.select("seq_id", "t", *(m[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)))
+    q = V.quaternion([[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)])
+    return rounded(t.select("seq_id", "t", *(v.alias(n) for v, n in zip(q, ("qw", "qx", "qy", "qz"), strict=True))), 6, "qw", "qx", "qy", "qz")
+
+
+@query
+def rrv_fixed(s, d):
+    t, k = _keys(s, d)
+    return geometry.rotation_velocity(t, geometry.frames(t, k))
+
+
+@query
+def mbs_segments(s, d):
+    t = sequence.grid_range(traj(s, d))
+    return segmentation.maximal_segments(t)
+
+
+@query
+def lrf_descriptor(s, d):
+    return segmentation.local_descriptor(traj(s, d))
+
+
+@query
+def resample64(s, d):
+    return resample.resample(traj(s, d), 64)
+
+
+@query
+def integral_inv(s, d):
+    return integral.integral_invariants(traj(s, d))
+
+
+@query
+def ssm_hog(s, d):
+    return integral.similarity_gradients(pairwise.self_similarity(sequence.patches(traj(s, d), 2, *XYZ)))
+
+
+# encoding
+
+
+@query
+def pyramid_counts(s, d):
+    return encoding.pool(traj(s, d), "count")
+
+
+@query
+def pyramid_sum(s, d):
+    return rounded(encoding.pool(traj(s, d), "sum", "x", "y"), 6, "x", "y")
+
+
+@query
+def pyramid_max(s, d):
+    return rounded(encoding.pool(traj(s, d), "max", "x", "y"), 6, "x", "y")
+
+
+@query
+def fisher_fixed_gmm(s, d):
+    return rounded(encoding.fisher(traj(s, d), XYZ, sql.GMM, ["seq_id"]), 6, "val")
+
+
+@query
+def fisher_pyramid_fixed(s, d):
+    return rounded(encoding.fisher_pyramid(traj(s, d), XYZ, sql.GMM), 6, "val")
+
+
+@query
+def em_one_step(s, d):
+    e = encoding.em_step(traj(s, d), XYZ, sql.GMM)
+    return rounded(rounded(rounded(e, 6, "prior"), 4, "mean0", "mean1", "mean2"), 3, "var0", "var1", "var2")
+
+
+@query
+def l2_normalise(s, d):
+    v = V.l2(F.array(*XYZ))
+    return rounded(traj(s, d).select("seq_id", "t", *(F.get(v, F.lit(i)).alias(f"n{c}") for i, c in enumerate(XYZ))), 6, "nx", "ny", "nz")
+
+
+@query
+def nonzero_rows(s, d):
+    return encoding.drop_zero(coarse(s, d), *XYZ).select("seq_id", "t")
+
+
+@query
+def stratified_sample(s, d):
+    t = traj(s, d)
+    n = t.select("seq_id").distinct().count()
+    return encoding.stratified_sample(t, 100 * n, n).select("seq_id", "t", F.col("copy").cast("long").alias("copy"))
+
+
+@query
+def batch_ids(s, d):
+    return trajectories.batch_ids(traj(s, d).select("seq_id", "t"), 256, "seq_id", "t")
+
+
+@query
+def union_batches(s, d):
+    t = traj(s, d)
+    return t.filter("split = 0").select("seq_id", "t").unionByName(t.filter("label <= 6").select("seq_id", "t"))
+
+
+@query
+def out_of_bag(s, d):
+    t = traj(s, d)
+    return t.select("seq_id", "t").exceptAll(t.filter("(t * 7 + seq_id) % 3 = 0").select("seq_id", "t"))
+
+
+@query
+def row_membership(s, d):
+    c = coarse(s, d)
+    return c.filter("seq_id % 2 = 0").select("x", "y").intersect(c.filter("seq_id % 2 = 1").select("x", "y"))
+
+
+@query
+def gmm_fit(s, d):
+    gmm, history = encoding.fit_gmm(traj(s, d), XYZ, 4, iterations=10)
+    return s.createDataFrame([(k, float(p), [float(x) for x in m], [float(x) for x in v]) for k, (p, m, v) in enumerate(gmm)], "k int, prior double, mean array<double>, var array<double>")
+
+
+@query
+def pca_directions(s, d):
+    p = encoding.pca(traj(s, d), XYZ)
+    return s.createDataFrame([(i, k, float(p[i, k])) for i in range(p.shape[0]) for k in range(p.shape[1])], "i int, k int, v double")
+
+
+@query
+def encode_full(s, d):
+    return encoding.encode(traj(s, d), XYZ, k=3, samples=2000)
+
+
+def _basis() -> np.ndarray:
+    b = np.random.default_rng(5).normal(size=(3, 6))
+    return b / np.linalg.norm(b, axis=0)
+
+
+@query
+def sparse_codes(s, d):
+    return encoding.sparse_codes(sequence.unit_scale(traj(s, d)).select("seq_id", "t", *XYZ), XYZ, _basis())
+
+
+@query
+def sparse_codes_nearest(s, d):
+    return encoding.sparse_codes(sequence.unit_scale(traj(s, d)).select("seq_id", "t", *XYZ), XYZ, _basis(), nearest=3)
+
+
+@query
+def sparse_pyramid(s, d):
+    return encoding.sparse_pyramid(sequence.unit_scale(traj(s, d)), XYZ, _basis())
+
+
+@query
+def dictionary(s, d):
+    b = encoding.learn_basis(sequence.unit_scale(traj(s, d)).select(*XYZ), XYZ, 5, rounds=2)
+    return s.createDataFrame([(i, k, float(b[i, k])) for i in range(b.shape[0]) for k in range(b.shape[1])], "i int, atom int, v double")
+
+
+@query
+def topk_atoms(s, d):
+    e = emb(s, d)
+    atoms = e.filter("vec_id < 20").select(F.col("vec_id").alias("atom"), F.col("features").alias("v"))
+    return encoding.top_atoms(e.select(F.col("vec_id").alias("id"), F.col("features").alias("v")), atoms, 5).select("id", "atom", "rank")
+
+
+@query
+def concat_modalities(s, d):
+    e = emb(s, d)
+    two = e.join(e.select("vec_id", F.transform("features", lambda x: 2 * x).alias("b")), "vec_id").select("vec_id", F.concat("features", "b").alias("f"))
+    return two.select("vec_id", F.size("f").alias("width"), (F.round(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 4) + F.lit(0.0)).alias("total"))
+
+
+# classifiers
+
+
+@query
+def predict_fixed_theta(s, d):
+    return classify.predict(emb(s, d), theta()).select("vec_id", "prediction")
+
+
+@query
+def confusion(s, d):
+    return classify.confusion(classify.predict(emb(s, d), theta()), 10)
+
+
+@query
+def accuracy(s, d):
+    return rounded(classify.accuracy(classify.predict(emb(s, d), theta())), 6, "accuracy")
+
+
+@query
+def ridge_objective(s, d):
+    return s.createDataFrame([(round(float(classify.ridge_objective(emb(s, d), theta(), 0.5)[0]), 3),)], "objective double")
+
+
+@query
+def ridge_gradient(s, d):
+    g = classify.ridge_objective(emb(s, d), theta(), 0.5)[1]
+    return s.createDataFrame([(i, k, round(float(g[i, k]), 3) + 0.0) for i in range(64) for k in range(10)], "d int, c int, g double")
+
+
+@query
+def mixed_norm_objective(s, d):
+    v, _ = classify.mixed_norm(theta(), [np.arange(32), np.arange(32, 64)], 0.4, 0.7)
+    return s.createDataFrame([(round(v, 6),)], "objective double")
+
+
+@query
+def onehot(s, d):
+    return emb(s, d).select("vec_id", F.posexplode(V.one_hot(F.col("label"), 10)).alias("k", "v")).select("vec_id", (F.col("k") + 1).alias("class"), "v")
+
+
+@query
+def inverse_onehot(s, d):
+    return emb(s, d).select("vec_id", V.arg_max(V.one_hot(F.col("label"), 10)).cast("int").alias("class"))
+
+
+@query
+def majority(s, d):
+    return classify.majority(traj(s, d).select("seq_id", (F.col("y").cast("long") % 5).alias("label")), "seq_id")
+
+
+@query
+def weighted_votes(s, d):
+    return rounded(classify.weighted_votes(traj(s, d).withColumnRenamed("y", "weight")), 6, "weight")
+
+
+def _weights(s, w: np.ndarray) -> DataFrame:
+    return s.createDataFrame([(i, k, float(w[i, k])) for i in range(w.shape[0]) for k in range(w.shape[1])], "d int, c int, w double")
+
+
+@query
+def ridge_fit(s, d):
+    return _weights(s, classify.fit_ridge(emb(s, d), 10))
+
+
+@query
+def mixed_norm_fit(s, d):
+    return _weights(s, classify.fit_mixed(emb(s, d), 10, [np.arange(32), np.arange(32, 64)], 0.1, 0.1, rounds=5)[0])
+
+
+@query
+def squared_hinge_fit(s, d):
+    return _weights(s, classify.fit_squared_hinge(emb(s, d), 10, rounds=8))
+
+
+@query
+def svm_fit(s, d):
+    e = emb(s, d).filter("label <= 3")
+    return classify.predict_pairwise(e, classify.fit_pairwise_svm(e, rounds=10)).select("vec_id", "label", "prediction")
+
+
+@query
+def forest_fit(s, d):
+    e = emb(s, d)
+    return classify.predict_forest(e, classify.fit_forest(e, trees=10, depth=5)).select("vec_id", "label", "prediction")
+
+
+# N-dimensional sparse arrays
+
+
+def nda(s, d) -> DataFrame:
+    e = s.read.parquet(f"{d}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return ndsparse.build(e.select((F.col("user_id") % 7 + 1).alias("i"), (k % 5 + 1).alias("j"), (F.floor(F.col("value") / 100) % 4 + 1).alias("k"), F.floor("value").cast("double").alias("val")))
+
+
+def _even(s, d):
+    return nda(s, d).filter("(i + j + k) % 2 = 0")
+
+
+def nd(name: str, f: Callable) -> None:
+    _QUERIES[f"ndsparse_{name}"] = f
+
+
+nd("build", nda)
+nd("sum", lambda s, d: ndsparse.reduce(nda(s, d), "k", 4, "sum"))
+nd("mean", lambda s, d: rounded(ndsparse.reduce(nda(s, d), "k", 4, "mean"), 6, "val"))
+nd("max", lambda s, d: ndsparse.reduce(nda(s, d), "j", 5, "max"))
+nd("min", lambda s, d: ndsparse.reduce(nda(s, d), "j", 5, "min"))
+nd("plus", lambda s, d: ndsparse.elementwise(nda(s, d), _even(s, d), lambda a, b: a + b))
+nd("times", lambda s, d: ndsparse.elementwise(nda(s, d), _even(s, d), lambda a, b: a * b))
+nd("mtimes", lambda s, d: ndsparse.multiply(ndsparse.reduce(nda(s, d), "k", 4, "sum"), ndsparse.reduce(nda(s, d), "i", 7, "sum"), "j"))
+nd("bsxfun", lambda s, d: ndsparse.spread(nda(s, d), ndsparse.reduce(ndsparse.reduce(nda(s, d), "i", 7, "sum"), "k", 4, "sum"), lambda a, b: F.round(V.over(a, b), 9)))
+nd("permute", lambda s, d: ndsparse.permute(nda(s, d), ["k", "i", "j"]))
+nd("reshape", lambda s, d: ndsparse.reshape(nda(s, d), {"i": 7, "j": 5, "k": 4}, {"p": 35, "q": 4}))
+nd("circshift", lambda s, d: ndsparse.shift(nda(s, d), "i", 7, 3))
+nd("flip", lambda s, d: ndsparse.flip(nda(s, d), "j", 5))
+nd("repmat", lambda s, d: ndsparse.repeat(nda(s, d), "k", 4, 3))
+nd("cat", lambda s, d: ndsparse.concat(nda(s, d), nda(s, d), "i", 7))
+nd("triu", lambda s, d: ndsparse.triangle(ndsparse.reduce(nda(s, d), "k", 4, "sum"), "i", "j"))
+_QUERIES["occupancy"] = lambda s, d: rounded(ndsparse.occupancy(nda(s, d), 140), 6, "ratio")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
