@@ -36,8 +36,13 @@ def frames(df: DataFrame, keys: DataFrame) -> DataFrame:
     side = lambda k: pts.select("seq_id", F.col("t").alias(k), *(F.col(c).alias(f"{k}{c}") for c in XYZ))
     d = pts.withColumn("n", F.count("*").over(whole())).join(keys, ["seq_id", "t"]).join(side("l"), ["seq_id", "l"]).join(side("r"), ["seq_id", "r"])
     p, q, o = V.cols("lx", "ly", "lz"), V.cols("rx", "ry", "rz"), V.cols(*XYZ)
-    centre = V.add(V.circumcentre(p, o, q), p)
-    d = d.select("seq_id", "t", "n", *(c.alias(f"a{x}") for c, x in zip(V.unit(V.sub(centre, o)), XYZ, strict=True)), *(c.alias(f"c{x}") for c, x in zip(V.unit(V.cross(V.unit(V.sub(o, p)), V.unit(V.sub(q, o)))), XYZ, strict=True)))
+    step = lambda df, **v: df.select("*", *(c.alias(f"_{n}{x}") for n, e in v.items() for c, x in zip(e, XYZ, strict=True)))
+    own = lambda n: V.cols(*(f"_{n}{x}" for x in XYZ))
+    # each step names what the next one reads several times
+    d = step(d.select("seq_id", "t", "n", *p, *q, *o), u=V.sub(o, p), w=V.sub(q, p), f=V.sub(q, o))
+    d = step(d, c=V.circumcentre([F.lit(0.0)] * 3, own("u"), own("w")), g=V.unit(own("u")), h=V.unit(own("f")))
+    d = step(d, i=V.sub(own("c"), own("u")), e=V.cross(own("g"), own("h")))
+    d = d.select("seq_id", "t", "n", *(c.alias(f"a{x}") for c, x in zip(V.unit(own("i")), XYZ, strict=True)), *(c.alias(f"c{x}") for c, x in zip(V.unit(own("e")), XYZ, strict=True)))
     nrm, bin_ = V.cols("ax", "ay", "az"), V.cols("cx", "cy", "cz")
     inner = (F.col("t") >= 3) & (F.col("t") <= F.col("n") - 2)
     full = [*V.cross(nrm, bin_), *nrm, *bin_]

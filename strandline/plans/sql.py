@@ -67,8 +67,8 @@ CENTRE = SEG + f""", pt AS (SELECT k.seq_id, k.t, n.n, p.x - l.x AS ux, p.y - l.
   c3 AS (SELECT *, {_cross('h', 'g', 'c')} FROM c2),
   cc AS (SELECT *, CASE WHEN den <> 0 THEN -hx/den END AS ox, CASE WHEN den <> 0 THEN -hy/den END AS oy, CASE WHEN den <> 0 THEN -hz/den END AS oz FROM c3)"""
 FRAMES = CENTRE + f""", d1 AS (SELECT seq_id, t, n, ox - ux AS ix, oy - uy AS iy, oz - uz AS iz, {_unit('p', 'u')}, {_unit('q', 'f')} FROM cc),
-  d2 AS (SELECT seq_id, t, n, {_unit('a', 'i')}, {_cross('e', 'p', 'q')} FROM d1), d3 AS (SELECT seq_id, t, n, ax, ay, az, {_unit('b', 'e')} FROM d2),
-  fr AS (SELECT seq_id, t, n, t >= 3 AND t <= n - 2 AS inn, {_cross('t', 'a', 'b')}, ax, ay, az, bx, by, bz FROM d3)"""
+  d2 AS (SELECT seq_id, t, n, {_unit('a', 'i')}, {_cross('e', 'p', 'q')} FROM d1), d3 AS (SELECT seq_id, t, n, ax, ay, az, {_unit('s', 'e')} FROM d2),
+  fr AS (SELECT seq_id, t, n, (t >= 3 AND t <= n - 2) AS inn, {_cross('t', 'a', 's')}, ax, ay, az, sx, sy, sz FROM d3)"""
 QUAT = """, qq AS (SELECT *, 1 + r00 + r11 + r22 AS s0, 1 + 2*r00 - (r00+r11+r22) AS s1, 1 + 2*r11 - (r00+r11+r22) AS s2, 1 + 2*r22 - (r00+r11+r22) AS s3, greatest(r00+r11+r22, r00, r11, r22) AS big FROM rot),
   qs AS (SELECT *, CASE WHEN r00+r11+r22 = big THEN 0 WHEN r00 = big THEN 1 WHEN r11 = big THEN 2 ELSE 3 END AS c FROM qq),
   q4 AS (SELECT *, sqrt(greatest(CASE c WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END, 0)) / 2 AS m FROM qs),
@@ -117,7 +117,7 @@ ORACLES = {
     "shape_ctx_135": f"WITH {SHAPE} SELECT seq_id, t, theta, alpha, radius, count(*) AS cnt FROM b WHERE radius > 0 GROUP BY GROUPING SETS ((seq_id, t, theta, radius), (seq_id, t, alpha, radius))",
     "circumcentre": f"WITH {CENTRE} SELECT seq_id, t, {R('ox', 'cx', 3)}, {R('oy', 'cy', 3)}, {R('oz', 'cz', 3)} FROM cc WHERE den > 1e3",
     "asof_keypoints": f"WITH {SEG} SELECT seq_id, t, l, r FROM keys",
-    "frames_fixed": f"WITH {FRAMES} SELECT seq_id, t, " + ", ".join(R(f"CASE WHEN inn THEN {a}{c} ELSE 0 END", f"{o}{c}", 5) for o, a in (("t", "t"), ("n", "a"), ("b", "b")) for c in "xyz") + " FROM fr",
+    "frames_fixed": f"WITH {FRAMES} SELECT seq_id, t, " + ", ".join(R(f"CASE WHEN inn THEN {a}{c} ELSE 0 END", f"{o}{c}", 5) for o, a in (("t", "t"), ("n", "a"), ("b", "s")) for c in "xyz") + " FROM fr",
     "quat": f"WITH {TRAJ}, ang AS (SELECT seq_id, t, (x % 7) - 3 AS p, (y % 6) - 3 AS w FROM traj), rot AS (SELECT seq_id, t, cos(p)*cos(w) AS r00, -sin(p) AS r01, cos(p)*sin(w) AS r02, sin(p)*cos(w) AS r10, cos(p) AS r11, sin(p)*sin(w) AS r12, -sin(w) AS r20, 0.0 AS r21, cos(w) AS r22 FROM ang){QUAT} SELECT seq_id, t, {R('aw/nq', 'qw')}, {R('ax/nq', 'qx')}, {R('ay/nq', 'qy')}, {R('az/nq', 'qz')} FROM qn",
     "pyramid_counts": f"WITH {PYR} SELECT b.seq_id, b.level, b.bin, count(p.t) AS cnt FROM bins b LEFT JOIN pyr p ON p.seq_id = b.seq_id AND p.level = b.level AND p.bin = b.bin GROUP BY ALL",
     "pyramid_sum": f"WITH {PYR} SELECT b.seq_id, b.level, b.bin, {R('coalesce(sum(x), 0)', 'x')}, {R('coalesce(sum(y), 0)', 'y')} FROM bins b LEFT JOIN pyr p ON p.seq_id = b.seq_id AND p.level = b.level AND p.bin = b.bin GROUP BY b.seq_id, b.level, b.bin",
@@ -144,7 +144,7 @@ ORACLES = {
     "onehot": "SELECT vec_id, CAST(unnest(range(1, 11)) AS INTEGER) AS class, CASE WHEN label + 1 = unnest(range(1, 11)) THEN 1.0 ELSE 0.0 END AS v FROM embeddings",
     "inverse_onehot": "SELECT vec_id, label + 1 AS class FROM embeddings",
     "concat_modalities": "SELECT vec_id, CAST(len(embedding) * 2 AS INTEGER) AS width, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * 3)), 4) + 0.0 AS total FROM embeddings",
-    "topk_atoms": "WITH at AS (SELECT vec_id AS atom, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT q.vec_id AS id, atom, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * at.e[i]::DOUBLE)) AS score FROM embeddings q CROSS JOIN at), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, atom) AS rank FROM s) SELECT id, atom, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
+    "topk_atoms": "WITH ats AS (SELECT vec_id AS atom, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT q.vec_id AS id, atom, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * ats.e[i]::DOUBLE)) AS score FROM embeddings q CROSS JOIN ats), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, atom) AS rank FROM s) SELECT id, atom, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
     "occupancy": f"WITH {NDA} SELECT round(count(*) / 140.0, 6) AS ratio FROM a",
     "ndsparse_build": f"WITH {NDA} SELECT i, j, k, val FROM a",
     "ndsparse_sum": f"WITH {NDA} SELECT i, j, sum(val) AS val FROM a GROUP BY ALL",
