@@ -10,16 +10,24 @@ from __future__ import annotations
 
 import os
 import string
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words held in each of a worker's two generations.
-WORDS = 250_000
+WORDS = 400_000
 #: A word that splits the library's answer; words that hold it are encoded alone.
 MARK = "\x01"
 PUNCTUATION = string.punctuation
+LATIN = "\u0250"
+#: Byte-level BPE writes each byte as a character: the printable ones as themselves, the rest from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _ENCODERS: dict = {}
 
 
@@ -51,6 +59,7 @@ class Encoder:
         self.cache: dict[str, bytes | bool] = {}
         self.old: dict[str, bytes | bool] = {}
         self.tails: dict[str, bytes] = {"": b""}
+        self.kind = "H" if self.dtype == "<u2" else "I"
         mark = "\n" if byte_level else MARK
         self.mark = self.raw([mark])[0]
         self.mark_id = np.frombuffer(self.mark, self.dtype)
@@ -58,33 +67,26 @@ class Encoder:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, words: list[str], join: str) -> list[bytes]:
-        """The words' ids from one call of the library: a mark that no word holds stands between them."""
-        if not words:
-            return []
-        if self.byte_level:
-            return self._model(words)
-        ids = np.frombuffer(self.raw([join.join(words)])[0], self.dtype)
-        at = np.flatnonzero(ids == self.mark_id[0])
-        if len(self.mark_id) != 1 or len(at) != len(words) - 1:
-            return self.raw(words)
-        return self._cut(ids, at)
-
-    def _model(self, words: list[str]) -> list[bytes]:
-        """Ids of words of one pre-token each, of ASCII letters (its byte-level alphabet is itself), by the library's model; of others, by all of it."""
+    def _each(self, words: list[str], space: str) -> list[bytes]:
+        """The words' ids, each with ``space`` before it.
+
+        A word of Latin letters is one pre-token that the normaliser leaves alone: it goes to the library's model. The
+        others go to the whole library in one call, a mark that no word holds between them.
+        """
         out, other = {}, []
+        tokenize, kind, lead = self.t.model.tokenize, self.kind, "\u0120" if space else ""
         for w in words:
-            if w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
-                out[w] = np.asarray([x.id for x in self.t.model.tokenize(w.replace(" ", "\u0120"))], self.dtype).tobytes()
+            if w.isalpha() and (w.isascii() or max(w) < LATIN and is_normalized("NFC", w)) and (self.byte_level or w == w.lower()):
+                form = w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)
+                out[w] = array(kind, [x.id for x in tokenize(lead + form)]).tobytes()
             else:
                 other.append(w)
         if other:
-            ids = np.frombuffer(self.raw(["\n".join(other)])[0], self.dtype)
+            join = f"\n{space}" if self.byte_level else f" {MARK} "
+            ids = np.frombuffer(self.raw([space + join.join(other)])[0], self.dtype)
             at = np.flatnonzero(ids == self.mark_id[0])
-            if len(self.mark_id) == 1 and len(at) == len(other) - 1:
-                out.update(zip(other, self._cut(ids, at), strict=True))
-            else:
-                out.update(zip(other, self.raw(other), strict=True))
+            alone = len(self.mark_id) != 1 or len(at) != len(other) - 1
+            out.update(zip(other, self.raw([space + w for w in other]) if alone else self._cut(ids, at), strict=True))
         return [out[w] for w in words]
 
     def _cut(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -101,14 +103,14 @@ class Encoder:
             first = [w for w in words if w[:1] == "\n" and w[1:].split() == [w[1:]]]
             later = [w for w in words if w.split() == [w]]
             self.cache |= dict.fromkeys(words.difference(first, later), False)
-            self.cache |= zip(first, (self.mark + x for x in self._each([w[1:] for w in first], "\n")), strict=True)
-            self.cache |= self._split(later, "\n", " ")
+            self.cache |= zip(first, (self.mark + x for x in self._each([w[1:] for w in first], "")), strict=True)
+            self.cache |= self._split(later, " ")
         else:
             odd = [w for w in words if MARK in w or not w]
-            self.cache |= self._split(list(words.difference(odd)), f" {MARK} ", "")
+            self.cache |= self._split(list(words.difference(odd)), "")
             self.cache |= zip(odd, self.raw(odd), strict=True)
 
-    def _split(self, words: list[str], join: str, space: str) -> dict[str, bytes]:
+    def _split(self, words: list[str], space: str) -> dict[str, bytes]:
         """Ids of words; letters with ASCII punctuation after them are two pre-tokens, encoded apart and once each."""
         cores = [w.rstrip(PUNCTUATION) for w in words]
         plain = [c if c.isalpha() else "" for c in cores]
@@ -116,37 +118,47 @@ class Encoder:
             plain = [c.lower() if c.isascii() else c for c in plain]
         get = {c: x for c in set(plain) if c and (x := self.cache.get(c))}
         fresh = list(set(plain).difference(get, ("",)))
-        get |= zip(fresh, self._each([space + c for c in fresh], join), strict=True)
+        get |= zip(fresh, self._each(fresh, space), strict=True)
         self.cache |= get
         tails = list({w[len(c) :] for w, c, p in zip(words, cores, plain, strict=True) if p}.difference(self.tails))
         self.tails |= zip(tails, self.raw(tails) if tails else (), strict=True)
         other = [w for w, p in zip(words, plain, strict=True) if not p]
-        out = dict(zip(other, self._each([space + w for w in other], join), strict=True))
+        out = dict(zip(other, self._each(other, space), strict=True))
         out.update((w, get[p] + self.tails[w[len(c) :]]) for w, c, p in zip(words, cores, plain, strict=True) if p)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text. Arrow cuts the texts and numbers the distinct words; only those meet the cache."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
         if len(self.cache) > WORDS:
             self.old, self.cache = self.cache, {}
         if self.byte_level:
-            # a line feed before the text stands for its start; the id is cut off again below
-            split = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
+            # a line feed stands for a text's start, its id is cut off again below; each line feed begins a word
+            led = pc.binary_join_element_wise(pa.scalar(""), texts, pa.scalar("\n"))
+            cut = pc.split_pattern(pc.utf8_slice_codeunits(pc.replace_substring(led, "\n", " \n"), 1), " ")
         else:
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-        # the batch's distinct words meet the large table once; its tokens a small one
-        words = list(set().union(*split))
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ends, words = np.asarray(cut.offsets) - cut.offsets[0].as_py(), cut.flatten().dictionary_encode()
+        which, words = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if fresh := {w for w, x in zip(words, map(self.cache.get, words), strict=True) if x is None}:
             self._learn(fresh)
-        get = dict(zip(words, map(self.cache.__getitem__, words), strict=True)).__getitem__
-        out, whole, skip = [], [], len(self.mark) if self.byte_level else 0
-        for k, x in enumerate(split):
-            try:
-                out.append(b"".join(map(get, x))[skip:])
-            except TypeError:  # False: white space that the cut may not cross
-                out.append(b"")
-                whole.append(k)
-        for k, x in zip(whole, self.raw([texts[k] for k in whole]) if whole else (), strict=True):
-            out[k] = x
+        ids = list(map(self.cache.__getitem__, words))
+        # False: white space that the cut may not cross
+        odd = np.fromiter((x is False for x in ids), bool, len(ids))
+        ids = [x or b"" for x in ids]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
+        flat, start = np.frombuffer(b"".join(ids), self.dtype), np.concatenate([[0], np.cumsum(size)[:-1]])
+        n = size[which]
+        at = np.concatenate([[0], np.cumsum(n)])
+        data = flat[np.repeat(start[which] - at[:-1], n) + np.arange(at[-1])]
+        bounds, skip = at[ends].tolist(), len(self.mark_id) if self.byte_level else 0
+        out = [data[s + skip : e].tobytes() for s, e in zip(bounds, bounds[1:], strict=False)]
+        if odd.any():
+            whole = np.flatnonzero(np.add.reduceat(odd[which].astype(np.int64), ends[:-1])).tolist()
+            for k, x in zip(whole, self.raw(texts.take(pa.array(whole)).to_pylist()), strict=True):
+                out[k] = x
         return out
 
 
