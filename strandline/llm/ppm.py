@@ -7,11 +7,12 @@ symbols of the longer context are excluded: the next shorter context counts only
 symbols never seen share what is left. Contexts nest, so what an escape excludes depends on its
 context alone, and a trie node's code length is the same wherever it is met: it is computed once.
 
-Documents are dealt into blocks. A block sends each distinct (ORDER + 1)-gram and each distinct word once,
-with its training count; the counts meet by gram and word. Grams that share their last two context symbols
-hold all contexts of two and more symbols they need (at most 258**3 * 257 for ORDER 5, far fewer in texts); shorter
-contexts are one table of 258 x 257 counts. Code lengths go back to the blocks that asked, which score
-their texts. All that is gathered grows with the corpus and is spread over the tasks.
+Documents are dealt into blocks, the trie and the words into parts: a gram of ORDER + 1 symbols by its last two context
+symbols, so that a part has all contexts of two and more symbols that its grams need, a word by its hash. A block
+sends each part its distinct grams and words with their training counts, as sorted arrays; the part adds the
+counts up, computes the code lengths and sends each block its answers in the order it asked. Shorter contexts are one
+table of 258 x 257 counts. All that is gathered grows with the corpus and is spread over the tasks.
+Words are known by 128-bit hashes.
 
 Null text is empty: just its end. A null id has the text ''. Rows that repeat an id are scored each.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import block_of, n_blocks, slices, stored, table
+from strandline.llm.common import block_of, mix64, n_blocks, slices, stored, table
 
 ORDER, FOLDS, FOLD = 5, 7, 2
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
@@ -111,12 +112,13 @@ class Block:
     def __init__(self, t: pa.Table, order: int):
         import pandas as pd
 
-        rows = sorted(range(t.num_rows), key=lambda i, d=t.column("doc_id").to_pylist(), x=t.column("data").to_pylist(): (d[i] is not None, d[i] or 0, x[i]))
+        ids, data = t.column("doc_id").to_pylist(), t.column("data").to_pylist()
+        rows = sorted(range(t.num_rows), key=lambda i: (ids[i] is not None, ids[i] or 0, data[i]))
+        del data
         self.t = t.take(pa.array(rows, pa.int64()))
         self.data = self.t.column("data").combine_chunks()
         self.held = np.asarray(self.t.column("held_out"))
         self.parts = list(slices(_sizes(self.data), _CHUNK))
-        self.order = order
         firsts, self.count = [], []
         for lo, hi in self.parts:
             key, sizes = stream(self.texts(lo, hi), order)
@@ -124,78 +126,128 @@ class Block:
             firsts.append(u)
             self.count.append(np.bincount(code[np.repeat(~self.held[lo:hi], sizes)], minlength=len(u)))
         at, self.grams = pd.factorize(np.concatenate(firsts))
-        self.at = np.split(at, np.cumsum([len(u) for u in firsts])[:-1])  # number of each part's distinct grams
+        self.at = np.split(at, np.cumsum([len(u) for u in firsts])[:-1])  # number of each chunk's distinct grams
 
     def texts(self, lo: int, hi: int) -> list[bytes]:
         return self.data.slice(lo, hi - lo).to_pylist()
 
-
-def _ask(order: int):
-    def run(t: pa.Table) -> pa.Table:
-        import xxhash
+    def words(self) -> dict[bytes, int]:
+        """Training counts of the distinct words, in the order they first occur."""
         from collections import Counter
 
+        known: Counter = Counter()
+        for lo, hi in self.parts:
+            for text, held in zip(self.texts(lo, hi), self.held[lo:hi].tolist(), strict=True):
+                w = text.lower().split()
+                known.update(dict.fromkeys(w, 0) if held else w)
+        return known
+
+
+def _digests(words) -> np.ndarray:
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def _runs(part: np.ndarray, *keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(part, members) with the members in the order of the keys, the last key first."""
+    o = np.lexsort((*keys, part))
+    edge = np.flatnonzero(np.diff(part[o])) + 1
+    return [(int(part[x[0]]), x) for x in np.split(o, edge)] if len(o) else []
+
+
+def _plan(grams: np.ndarray, words: np.ndarray, n_parts: int) -> list[tuple[int, int, np.ndarray]]:
+    """(kind, part, members): what a block asks each part for, in the order of the answers."""
+    with np.errstate(over="ignore"):
+        near = mix64((grams >> np.uint64(BITS)) & np.uint64((1 << 2 * BITS) - 1)) % np.uint64(n_parts)
+        own = words[:, 0] % np.uint64(n_parts)
+    return [(GRAM, p, x) for p, x in _runs(near, grams)] + [(WORD, p, x) for p, x in _runs(own, words[:, 1], words[:, 0])]
+
+
+def _ask(order: int, n_parts: int):
+    def run(t: pa.Table) -> pa.Table:
         x = Block(t, order)
         c = np.bincount(np.concatenate(x.at), weights=np.concatenate(x.count)).astype(np.int64)
-        known: Counter = Counter()
-        for lo, hi in x.parts:
-            for text, held in zip(x.texts(lo, hi), x.held[lo:hi].tolist(), strict=True):
-                words = text.lower().split()
-                known.update(dict.fromkeys(words, 0) if held else words)
-        words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), ">i8").astype(np.int64).reshape(-1, 2)
-        n, m = len(x.grams), len(words)
+        known = x.words()
+        words, m = _digests(known), np.fromiter(known.values(), np.int64, len(known))
+        rows = []
+        for kind, p, x_ in _plan(x.grams, words, n_parts):
+            # sorted keys are sent as differences, which compress
+            key = np.diff(x.grams[x_], prepend=np.uint64(0)).tobytes() if kind == GRAM else np.diff(words[x_, 0], prepend=np.uint64(0)).tobytes() + words[x_, 1].tobytes()
+            rows.append((p, kind, key, (c if kind == GRAM else m)[x_].tobytes()))
+        p, kind, key, count = zip(*rows, strict=True) if rows else [()] * 4
         block = t.column("block")[0].as_py()
-        return pa.table({"kind": pa.array(np.repeat([GRAM, WORD], [n, m]).astype(np.int8)), "k1": np.concatenate([x.grams.view(np.int64), words[:, 0]]), "k2": np.concatenate([np.zeros(n, np.int64), words[:, 1]]), "block": pa.array(np.full(n + m, block, np.int32)), "i": pa.array(np.arange(n + m, dtype=np.int32)), "c": np.concatenate([c, np.fromiter(known.values(), np.int64, m)])})
+        return pa.table({"part": pa.array(p, pa.int32()), "block": pa.array([block] * len(p), pa.int32()), "kind": pa.array(kind, pa.int8()), "keys": pa.array(key, pa.binary()), "counts": pa.array(count, pa.binary())})
 
     return run
 
 
-def _value(low: np.ndarray, order: int):
-    def run(batches):
-        t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        kind, key, c = (t.column(x).to_numpy() for x in ("kind", "k1", "c"))
-        v, g = c.astype(np.float64), kind == GRAM
-        v[g] = code_lengths(key[g].view(np.uint64), c[g], low, order)
-        yield from t.select(["kind", "k1", "k2"]).append_column("v", pa.array(v)).append_column("owner", t.column("owner")).to_batches(max_chunksize=50_000)
+def _answer(low: np.ndarray, order: int):
+    def run(t: pa.Table) -> pa.Table:
+        out, kinds, blocks = [], t.column("kind").to_pylist(), t.column("block").to_pylist()
+        keys, counts = t.column("keys").to_pylist(), t.column("counts").to_pylist()
+        rows, distinct = [], 0
+        for kind in (GRAM, WORD):
+            own = [i for i, k in enumerate(kinds) if k == kind]
+            if not own:
+                continue
+            c = np.concatenate([np.frombuffer(counts[i], np.int64) for i in own])
+            sizes = [len(counts[i]) // 8 for i in own]
+            if kind == GRAM:
+                k = np.concatenate([np.cumsum(np.frombuffer(keys[i], np.uint64), dtype=np.uint64) for i in own])
+                u, inv = np.unique(k, return_inverse=True)
+                v = code_lengths(u, np.bincount(inv, weights=c).astype(np.int64), low, order)[inv].astype(np.float32)
+            else:
+                k = np.concatenate([np.rec.fromarrays([np.cumsum(np.frombuffer(keys[i], np.uint64, n), dtype=np.uint64), np.frombuffer(keys[i], np.uint64, n, 8 * n)]) for i, n in zip(own, sizes, strict=True)])
+                o = np.lexsort((k["f1"], k["f0"]))
+                new = np.ones(len(o), bool)
+                new[1:] = k[o[1:]] != k[o[:-1]]
+                inv = np.empty(len(o), np.int64)
+                inv[o] = np.cumsum(new) - 1
+                total = np.bincount(inv, weights=c).astype(np.int64)
+                distinct, v = int((total > 0).sum()), total[inv]
+            for i, x in zip(own, np.split(v, np.cumsum(sizes)[:-1]), strict=True):
+                rows.append((blocks[i], kind, x.tobytes()))
+        part = t.column("part")[0].as_py()
+        b, kind, v = zip(*rows, strict=True)
+        out = [distinct] + [0] * (len(rows) - 1)  # a part's distinct training words ride on one of its answers
+        return pa.table({"block": pa.array(b, pa.int32()), "part": pa.array([part] * len(b), pa.int32()), "kind": pa.array(kind, pa.int8()), "v": pa.array(v, pa.binary()), "distinct": pa.array(out, pa.int64())})
 
     return run
 
 
-def _score(order: int, n_train: int):
+def _score(order: int, n_train: int, n_parts: int):
     def run(t: pa.Table, answer: pa.Table) -> pa.Table:
         import pandas as pd
 
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "score", "owned"]
         if not t.num_rows:
             return pa.table({n: pa.array([], k) for n, k in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)})
-        v = np.empty(answer.num_rows)
-        v[answer.column("i").to_numpy()] = answer.column("v").to_numpy()
-        mine = answer.column("mine").to_numpy(zero_copy_only=False) 
         x = Block(t, order)
-        n = len(x.grams)
+        known = x.words()
+        got = {(k, p): v for k, p, v in zip(*(answer.column(c).to_pylist() for c in ("kind", "part", "v")), strict=True)}
         owned = np.zeros(t.num_rows, np.int64)
-        owned[0] = (mine & (answer.column("i").to_numpy() >= n) & (answer.column("v").to_numpy() > 0)).sum()  # a distinct training word counts in one block
-        del answer, mine
-        logc = np.log10(v[n:] + 1).tolist()
-        number: dict[bytes, float] = {}  # word -> log10 (count + 1), in the order of _ask
+        owned[0] = sum(answer.column("distinct").to_pylist())
+        log, total = np.empty(len(x.grams)), np.empty(len(known), np.int64)
+        for kind, p, o in _plan(x.grams, _digests(known), n_parts):
+            if kind == GRAM:
+                log[o] = np.frombuffer(got[kind, p], np.float32)
+            else:
+                total[o] = np.frombuffer(got[kind, p], np.int64)
+        del got, answer
+        number = dict(zip(known, np.log10(total + 1.0).tolist(), strict=True))
         cols: list[list] = [[], [], [], []]
         end = math.log10(n_train + 1)
         for (lo, hi), at in zip(x.parts, x.at, strict=True):
             texts = x.texts(lo, hi)
             key, sizes = stream(texts, order)
             code, _ = pd.factorize(key)
-            cols[3] += np.add.reduceat(v[:n][at][code], np.concatenate([[0], np.cumsum(sizes)[:-1]])).tolist()
+            cols[3] += np.add.reduceat(log[at][code], np.concatenate([[0], np.cumsum(sizes)[:-1]])).tolist()
             for text in texts:
-                words = text.lower().split()
-                for w in words:
-                    if w not in number:
-                        number[w] = logc[len(number)]
-                got = list(map(number.__getitem__, words))
-                cols[0].append(len(words) + 1)
-                cols[1].append(len(words) - got.count(0.0) + (n_train > 0))
-                cols[2].append(math.fsum(got) + end)
+                found = list(map(number.__getitem__, text.lower().split()))
+                cols[0].append(len(found) + 1)
+                cols[1].append(len(found) - found.count(0.0) + (n_train > 0))
+                cols[2].append(math.fsum(found) + end)
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.Table.from_arrays([x.t.column("doc_id"), x.t.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, types, strict=True)), pa.array(owned)], names)
 
@@ -215,13 +267,10 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int =
         low[r["pair"] >> BITS, r["pair"] & 511] = r["c"]
     n_train = int(low[:, END].sum())
     d = d.repartition(n, "block")
-    # both uses of ``asked`` read all its columns and pass the same filter, so that Spark deals it out once
-    asked = d.groupBy("block").applyInArrow(_ask(order), "kind byte, k1 long, k2 long, block int, i int, c long").filter("kind is not null and k1 is not null and k2 is not null").repartition(n, "kind", "k1", "k2")
-    model = asked.groupBy("kind", "k1", "k2").agg(F.sum("c").alias("c"), F.max(F.struct("block", "i"))["block"].alias("owner"))
-    near = F.when(F.col("kind") == GRAM, F.shiftright("k1", BITS).bitwiseAND((1 << 2 * BITS) - 1)).otherwise(F.col("k1"))
-    value = model.withColumn("near", near).repartition(n, "near").select("kind", "k1", "k2", "c", "owner").mapInArrow(_value(low, order), "kind byte, k1 long, k2 long, v double, owner int")
-    answer = asked.join(value, ["kind", "k1", "k2"]).select("block", "i", (F.col("v") + F.col("c") * 0).alias("v"), (F.col("owner") == F.col("block")).alias("mine"))
-    out = d.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_score(order, n_train), "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, owned long")
+    parts = 2 * n
+    asked = d.groupBy("block").applyInArrow(_ask(order, parts), "part int, block int, kind byte, keys binary, counts binary")
+    answer = asked.groupBy("part").applyInArrow(_answer(low, order), "block int, part int, kind byte, v binary, distinct long")
+    out = d.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_score(order, n_train, parts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, owned long")
     out = stored(out)
     size = out.agg(F.sum("owned").alias("v"), F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("n")).first()
     v, total = (size["v"] or 0) + (n_train > 0), size["n"] or 0
