@@ -39,12 +39,12 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks for df, from Catalyst's size of its files; a frame that joins is sized by its text."""
+def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> int:
+    """Blocks for df, from Catalyst's size of its files; a frame that has no such size is measured by its text."""
     plan = df._jdf.queryExecution().optimizedPlan()
     size = int(str(plan.stats().sizeInBytes()))
-    if "Join" in plan.toString():
-        size = df.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size >> 55 or "Join" in plan.toString():
+        size = (df.select(F.sum(F.octet_length(text_col))).first()[0] or 0) // 2
     return max(1, -(-size // block_bytes))
 
 

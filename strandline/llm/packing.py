@@ -159,7 +159,7 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer: st
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("queue"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if d.select("queue").distinct().count() > MAX_QUEUES:
         d = d.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
-    d = d.repartitionByRange(n_blocks(docs), "queue", "doc_id").sortWithinPartitions("queue", "doc_id")
+    d = d.repartitionByRange(n_blocks(docs, text_col=text_col), "queue", "doc_id").sortWithinPartitions("queue", "doc_id")
     ids = stored(d.mapInArrow(_encode(path, byte_level, end), "pid int, queue string, doc_id long, at long, n long, ids binary"))
     parts = ids.groupBy("queue", "pid").agg(F.sum("n").alias("n"))
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}

@@ -259,7 +259,7 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int =
 
     A document is held out if crc32 of its id's text, modulo folds, is fold; the others are the training set.
     """
-    n = n_blocks(docs, BLOCK_BYTES)
+    n = n_blocks(docs, BLOCK_BYTES, text_col)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
     d = docs.select(block_of(F.col(id_col), n).alias("block"), F.col(id_col).cast("long").alias("doc_id"), (F.crc32(name) % folds == fold).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     low = np.zeros((START + 1, SYMBOLS), np.int64)

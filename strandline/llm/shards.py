@@ -134,7 +134,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, byte_level:
     """Write docs as shards, bases and index under path; returns the number of index parts."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.repartitionByRange(n_blocks(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    d = d.repartitionByRange(n_blocks(docs, text_col=text_col), "doc_id").sortWithinPartitions("doc_id", "text")
     schema = "pid int, shard long, n_ids long, payload binary, ends binary, ids array<long>, occs array<int>"
     d.mapInArrow(_encoder(tokenizer or tokenizer_path(TOKENIZER), byte_level, end), schema).write.parquet(f"{path}/shards")
     shards = spark.read.parquet(f"{path}/shards")

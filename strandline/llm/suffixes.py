@@ -282,9 +282,10 @@ def _contexts(t: pa.Table, hot: pa.Table) -> pa.Table:
 
 def _compare(batches):
     """One task's contexts, all of each hash; runs that a block has settled pass through."""
-    rows = pa.Table.from_batches(list(batches)) if batches else None
-    if rows is None or not rows.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    rows = pa.Table.from_batches(batches)
     import pyarrow.compute as pc
 
     done = rows.filter(pc.is_null(rows["h"]))
@@ -348,7 +349,7 @@ def _cut(t: pa.Table, found: pa.Table) -> pa.Table:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start:end in bytes, comma-joined)."""
-    n = n_blocks(docs)
+    n = n_blocks(docs, text_col=text_col)
     d = blocked(docs, n, id_col, text_col)
     listed = d.groupBy("block").applyInArrow(_hashes, "h long, block int, many boolean").repartition(n, "h")
     w = W.partitionBy("h")
