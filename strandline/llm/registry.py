@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.ORACLE}
+    return {"op7_suffix_dedup": suffixes.ORACLE, "op9_setsketch_near_dedup": setsketch.ORACLE, "op10_quality_rules": quality.ORACLE}

@@ -365,3 +365,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def query(spark, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
+
+
+#: Bytes as pairs of hexadecimal digits.
+ORACLE = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM d)),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM a)),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, s, e FROM r UNION ALL SELECT doc_id, len(h) // 2 + 1, len(h) // 2 + 1 FROM d),
+p AS (SELECT k.doc_id, k.s, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY k.doc_id ORDER BY s, e), 1) - 1, 2 * (s - coalesce(lag(e) OVER (PARTITION BY k.doc_id ORDER BY s, e), 1))) AS part FROM k JOIN d USING (doc_id)),
+t AS (SELECT doc_id, sha256(unhex(string_agg(part, '' ORDER BY s))) AS kept_sha256 FROM p GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM d JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
