@@ -65,7 +65,7 @@ def circumcentre(a: Vec, b: Vec, c: Vec) -> Vec:
     w = cross(u, v)
     den = F.lit(2.0) * dot(w, w)
     num = cross(sub(scale(v, dot(u, u)), scale(u, dot(v, v))), w)
-    return [over(-x, den) for x in num]
+    return [over(x, den) for x in num]
 
 
 def right_divide(a: list[Vec], b: list[Vec]) -> list[Vec]:

@@ -210,7 +210,7 @@ def feature_sign(a: np.ndarray, b: np.ndarray, lam: float, rounds: int = 200) ->
                 g += a[:, j] * (new - x[j])
                 moved = max(moved, abs(new - x[j]))
                 x[j] = new
-        if moved < 1e-12:
+        if moved < 1e-14:
             break
     return x
 

@@ -23,7 +23,7 @@ def _frame(left: np.ndarray, mid: np.ndarray, right: np.ndarray) -> tuple[np.nda
     w = np.cross(u, v)
     if not (w @ w > 0):
         return None
-    centre = left + np.cross((u @ u) * v - (v @ v) * u, w) / (-2 * (w @ w))
+    centre = left + np.cross((u @ u) * v - (v @ v) * u, w) / (2 * (w @ w))
     if np.linalg.norm(centre - mid) == 0:
         return None
     normal, binormal = _unit(centre - mid), _unit(np.cross(_unit(mid - left), _unit(right - mid)))

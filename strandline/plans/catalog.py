@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import vector as V
-from strandline.operators import classify, encoding, geometry, integral, ndsparse, pairwise, resample, segmentation, sequence
+from strandline.operators import classify, describe, encoding, geometry, integral, ndsparse, pairwise, resample, segmentation, sequence
 from strandline.plans import sql
 from strandline.sources import trajectories
 
@@ -526,6 +526,16 @@ nd("triu", lambda s, d: ndsparse.triangle(ndsparse.reduce(nda(s, d), "k", 4, "su
 _QUERIES["occupancy"] = lambda s, d: rounded(ndsparse.occupancy(nda(s, d), 140), 6, "ratio")
 
 
+def _describe(name: str) -> None:
+    _QUERIES[f"describe_{name}"] = lambda s, d: describe.describe(traj(s, d), name)
+
+
+for _m in describe.METHODS:
+    _describe(_m)
+_QUERIES["describe_two_hands"] = lambda s, d: describe.two_hands(traj(s, d), traj(s, d).withColumn("x", 2 * F.col("x")), "velocity")
+_QUERIES["shape_pyramid"] = lambda s, d: describe.shape_pyramid(traj(s, d))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

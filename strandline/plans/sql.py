@@ -65,7 +65,7 @@ CENTRE = SEG + f""", pt AS (SELECT k.seq_id, k.t, n.n, p.x - l.x AS ux, p.y - l.
   c1 AS (SELECT *, {_cross('c', 'u', 'w')}, {_dot('u', 'u')} AS uu, {_dot('w', 'w')} AS ww FROM pt),
   c2 AS (SELECT *, uu*wx - ww*ux AS gx, uu*wy - ww*uy AS gy, uu*wz - ww*uz AS gz, 2 * {_dot('c', 'c')} AS den FROM c1),
   c3 AS (SELECT *, {_cross('h', 'g', 'c')} FROM c2),
-  cc AS (SELECT *, CASE WHEN den <> 0 THEN -hx/den END AS ox, CASE WHEN den <> 0 THEN -hy/den END AS oy, CASE WHEN den <> 0 THEN -hz/den END AS oz FROM c3)"""
+  cc AS (SELECT *, CASE WHEN den <> 0 THEN hx/den END AS ox, CASE WHEN den <> 0 THEN hy/den END AS oy, CASE WHEN den <> 0 THEN hz/den END AS oz FROM c3)"""
 FRAMES = CENTRE + f""", d1 AS (SELECT seq_id, t, n, ox - ux AS ix, oy - uy AS iy, oz - uz AS iz, {_unit('p', 'u')}, {_unit('q', 'f')} FROM cc),
   d2 AS (SELECT seq_id, t, n, {_unit('a', 'i')}, {_cross('e', 'p', 'q')} FROM d1), d3 AS (SELECT seq_id, t, n, ax, ay, az, {_unit('s', 'e')} FROM d2),
   fr AS (SELECT seq_id, t, n, (t >= 3 AND t <= n - 2) AS inn, {_cross('t', 'a', 's')}, ax, ay, az, sx, sy, sz FROM d3)"""

@@ -28,9 +28,9 @@ def read_text_records(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     name = F.col("path")
-    cut = lambda a, n: F.substring(name, F.length(name) - a, n).cast("int")
+    cut = lambda a, n: F.substring(name, F.length(name) - a, n).try_cast("int")
     fields = F.filter(F.split(F.replace("value", F.lit(","), F.lit(".")), r"\s+"), lambda s: s != "")
-    rows = raw.select("path", cut(11, 2).alias("person_id"), cut(8, 2).alias("gesture_id"), cut(5, 1).alias("session_id"), cut(3, 1).alias("record_id"), fields.alias("f"))
+    rows = raw.select("path", cut(12, 2).alias("person_id"), cut(9, 2).alias("gesture_id"), cut(6, 1).alias("session_id"), cut(4, 1).alias("record_id"), fields.alias("f"))
     rows = rows.withColumn("cols", F.get("f", F.lit(1)).cast("int")).withColumn("n", F.get("f", F.lit(0)).cast("int"))
     rows = rows.filter("n > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("t"))
     at = lambda k: F.get("f", F.lit(2) + (F.col("t") - 1) * F.col("cols") + k).cast("double")
