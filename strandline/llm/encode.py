@@ -142,9 +142,12 @@ class Encoder:
             cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         ends, words = np.asarray(cut.offsets) - cut.offsets[0].as_py(), cut.flatten().dictionary_encode()
         which, words = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if fresh := {w for w, x in zip(words, map(self.cache.get, words), strict=True) if x is None}:
-            self._learn(fresh)
-        ids = list(map(self.cache.__getitem__, words))
+        ids = list(map(self.cache.get, words))
+        fresh = [k for k, x in enumerate(ids) if x is None]
+        if fresh:
+            self._learn({words[k] for k in fresh})
+            for k in fresh:
+                ids[k] = self.cache[words[k]]
         # False: white space that the cut may not cross
         odd = np.fromiter((x is False for x in ids), bool, len(ids))
         ids = [x or b"" for x in ids]

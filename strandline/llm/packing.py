@@ -106,8 +106,8 @@ def _encode(path: str, byte_level: bool, end: int):
         tail = np.asarray([end], enc.dtype).tobytes()
         queue, start = None, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 ids = [x + tail for x in enc.encode(part.column("text"))]
                 sizes, starts = [len(x) // len(tail) for x in ids], []
                 for q, n in zip(part.column("queue").to_pylist(), sizes, strict=True):

@@ -102,8 +102,8 @@ def _encoder(path: str, byte_level: bool, end: int):
 
         size = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 for doc, x in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     occ = occ + 1 if last == (doc,) else 0
                     last = (doc,)
