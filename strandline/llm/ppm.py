@@ -268,7 +268,7 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int =
     n_train = int(low[:, END].sum())
     d = d.repartition(n, "block")
     parts = 2 * n
-    asked = d.groupBy("block").applyInArrow(_ask(order, parts), "part int, block int, kind byte, keys binary, counts binary")
+    asked = d.groupBy("block").applyInArrow(_ask(order, parts), "part int, block int, kind byte, keys binary, counts binary").repartition(n, "part")
     answer = asked.groupBy("part").applyInArrow(_answer(low, order), "block int, part int, kind byte, v binary, distinct long")
     out = d.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(_score(order, n_train, parts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, owned long")
     out = stored(out)
