@@ -269,8 +269,6 @@ def render(root: Node, hidden: set[str], depth: int = 0) -> list[str]:
             else:
                 lines.flush()
             lines.indent, lines.mark = state[0], "" if tag == "li" else lines.mark
-        if tag == "q":
-            pass
     lines.flush()
     while lines.out and not lines.out[-1]:
         lines.out.pop()
@@ -310,8 +308,7 @@ def rows_of(node: Node, hidden: set[str], depth: int) -> list[str]:
             for dr in range(1, span("rowspan")):
                 for dc in range(wide):
                     taken[r + dr, c + dc] = True
-            if wide > 1:
-                line[c + wide - 1] = line.get(c + wide - 1, []) if wide > 1 else line[c]
+            line.setdefault(c + wide - 1, [])
             c += wide
         cells.append(line)
     width: dict[int, int] = {}
