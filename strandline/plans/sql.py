@@ -108,7 +108,7 @@ ORACLES = {
     "split_train_test": f"WITH {TRAJ} SELECT DISTINCT seq_id, CASE WHEN label IN (1, 3, 5, 7, 9, 11) THEN 'train' ELSE 'test' END AS split FROM traj WHERE NOT label = 12",
     "labels": f"WITH {TRAJ} SELECT DISTINCT seq_id, label FROM traj",
     "distinct_labels": f"WITH {TRAJ} SELECT count(DISTINCT label) AS n FROM traj",
-    "pair_distance": f"WITH {PAIRS} SELECT seq_id, t, u, " + R("dx*dx + dy*dy + dz*dz", "d2", 4) + " FROM pr WHERE seq_id % 10 = 0",
+    "pair_distance": f"WITH {PAIRS} SELECT seq_id, t, u, " + R("dx*dx + dy*dy + dz*dz", "d2", 4) + " FROM pr",
     "mean_pair_dist": f"WITH {PAIRS} SELECT seq_id, {R('mean_dist', 'mean_dist')} FROM md",
     "ssm": f"WITH {PATCH} SELECT seq_id, t, u, {R('d', 's', 4)} FROM ss",
     "ssm_tanh": f"WITH {PATCH} SELECT seq_id, t, u, {R('tanh(0.0005 * d - 0.1)', 's')} FROM ss",
