@@ -13,8 +13,9 @@ anchor, so equal windows have equal anchors at equal distances, and about one po
    if the orders' common prefixes are r to the left and LENGTH - r to the right; all but the first of a class are repeats.
 4. Each document gets its repeated runs back.
 
-A block holds each distinct context once, so a passage in every document costs a hash one context a block
-and, at the passage's two ends, one a document. Documents order by (doc_id, bytes); a null id comes first; rows that
+A block sends each distinct context once, so a group of copies costs a hash one context a block. An anchor with more than
+WIDE occurrences, such as those at the ends of a passage that a third of all documents hold in different
+surroundings, is not sent whole: each of its windows goes by its own hash, and equal ones again once a block. Documents order by (doc_id, bytes); a null id comes first; rows that
 repeat an id are documents of their own, in the order of their texts. Null text is empty. Extra columns are not used.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import blocked, mix64, n_blocks, table
 
-LENGTH, KEY, SHALLOW = 100, 32, 48
+LENGTH, KEY, SHALLOW, WIDE = 100, 32, 48, 20_000
 LEFT = LENGTH - KEY
 _BASE = 0x9E3779B97F4A7C15
 NULL_ID = -(1 << 63)
@@ -237,7 +238,7 @@ def _hashes(t: pa.Table) -> pa.Table:
     h = [anchors(np.frombuffer(d, np.uint8))[1] for _, _, d in _ordered(t)]
     u, c = np.unique(np.concatenate(h), return_counts=True)
     block = t.column("block")[0].as_py()
-    return pa.table({"h": u.view(np.int64), "block": pa.array(np.full(len(u), block, np.int32)), "many": pa.array(c > 1)})
+    return pa.table({"h": u.view(np.int64), "block": pa.array(np.full(len(u), block, np.int32)), "times": c.astype(np.int64)})
 
 
 def _merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -254,17 +255,26 @@ _CONTEXT = "route long, h long, doc_id long, copy int, at long, ctx binary, unti
 
 
 def _contexts(t: pa.Table, hot: pa.Table) -> pa.Table:
+    import xxhash
+
     cols: list[list] = [[] for _ in range(7)]
     if t.num_rows and hot.num_rows:
-        known = np.sort(hot.column("h").to_numpy().view(np.uint64))
+        known = hot.column("h").to_numpy().view(np.uint64)
+        o = np.argsort(known)
+        known, wide = known[o], hot.column("wide").to_numpy(zero_copy_only=False)[o]
         seen: set[tuple[int, bytes]] = set()
         for doc, copy, data in _ordered(t):
             at, h = anchors(np.frombuffer(data, np.uint8))
             k = np.minimum(np.searchsorted(known, h), len(known) - 1)
             keep = known[k] == h
-            at, h = at[keep], h[keep]
+            at, h, w = at[keep], h[keep], wide[k[keep]]
             settled = []
-            for p, x, c in zip(at.tolist(), h.view(np.int64).tolist(), contexts(data, at), strict=True):
+            one = np.flatnonzero(~w)
+            send = list(zip(at[one].tolist(), h[one].view(np.int64).tolist(), contexts(data, at[one]), strict=True))
+            for s in sorted({s for p in at[w].tolist() for s in range(max(0, p - LEFT), min(p, len(data) - LENGTH) + 1)}):
+                c = data[s : s + LENGTH]
+                send.append((s, xxhash.xxh3_64_intdigest(c) - (1 << 63), b"\0" + c))
+            for p, x, c in send:
                 if (x, c) in seen:
                     right = len(c) - 1 - c[0]
                     if c[0] + right >= LENGTH:
@@ -347,13 +357,13 @@ def _cut(t: pa.Table, found: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE) -> DataFrame:
     """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start:end in bytes, comma-joined)."""
     n = n_blocks(docs, text_col=text_col)
     d = blocked(docs, n, id_col, text_col)
-    listed = d.groupBy("block").applyInArrow(_hashes, "h long, block int, many boolean").repartition(n, "h")
+    listed = d.groupBy("block").applyInArrow(_hashes, "h long, block int, times long").repartition(n, "h")
     w = W.partitionBy("h")
-    hot = listed.withColumn("n", F.count("*").over(w)).withColumn("any", F.max("many").over(w)).filter("n > 1 or any").select("h", "block")
+    hot = listed.withColumn("all", F.sum("times").over(w)).filter("all > 1").select("h", "block", (F.col("all") > wide).alias("wide"))
     sent = d.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(_contexts, _CONTEXT)
     found = sent.repartition(n, "route").mapInArrow(_compare, "doc_id long, copy int, at long, until long")
     id_of = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))

@@ -181,7 +181,8 @@ def test_secrets(spark):
     assert clean[7].text == "deploy with [secret] now" and clean[7].n_chars == 24 and clean[4].text is None
 
 
-def test_suffix_dedup(docs, rows):
+@pytest.mark.parametrize("wide", [suffixes.WIDE, 3])
+def test_suffix_dedup(docs, rows, wide):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, (rows[k][1] or "").encode()))
     seen, want = set(), []
     for k in order:
@@ -193,7 +194,7 @@ def test_suffix_dedup(docs, rows):
             seen.add(b[i : i + 100])
         want.append((rows[k][0], len(b), sum(cover), len([x for x in bytes(cover).split(b"\0") if x]), hashlib.sha256(bytes(c for c, x in zip(b, cover, strict=True) if not x)).hexdigest()))
     key = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_passages(docs).collect()]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_passages(docs, wide=wide).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sum(x[2] for x in want) > 1000
 
