@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """(band, a, x, total, component, main): members of buckets with several components; main is the leader's."""
         of = lambda c, name: label.select(F.col("id").alias(c), F.col("component").alias(name))
         rows = shared.filter("n > 2").join(lead, "band").join(of("x", "_c"), "x", "left").join(of("a", "_m"), "a", "left")
-        rows = rows.select("band", "a", "x", "total", F.coalesce("_c", "x").alias("component"), F.coalesce("_m", "a").alias("main"))
+        # written: a hot band is then combined before it is dealt out again, and its join can be split
+        rows = stored(rows.select("band", "a", "x", "total", F.coalesce("_c", "x").alias("component"), F.coalesce("_m", "a").alias("main")))
         several = rows.filter("component <> main").select("band").distinct()
         return stored(rows.join(several, "band", "left_semi"))
 
