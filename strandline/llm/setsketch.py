@@ -4,10 +4,10 @@ A text is lower-cased (A-Z), cut into words at ASCII white space, and stands for
 five-word shingles (all its words as one shingle if it has fewer; no words: an empty set, linked with
 nothing). Each of M registers holds floor(1 - log_B x) cut to Q + 1, x the smallest of the set's
 exponentially distributed hash values: registers merge by maximum, and two sets agree in one with
-nearly the probability of their Jaccard similarity J. Bands of R registers are bucketed; at J = 0.85 a pair shares no bucket
-with probability (1 - 0.85**5)**25 < 5e-7. Two sketches' wins and ties give a joint maximum-likelihood
-estimate of J; a pair under ``FLOOR`` (six standard deviations below the threshold) is left, all others
-are confirmed on the full sets.
+nearly the probability of their Jaccard similarity J. Bands of registers are bucketed, as wide as the threshold of J allows: a
+pair at it shares no bucket with a probability under MISS (at 0.85 bands of 5: (1 - 0.85**5)**25 < 5e-7; at 0.80 bands of 4).
+Two sketches' wins and ties give a joint maximum-likelihood estimate of J; a pair six standard deviations
+below the threshold is left, all others are confirmed on the full sets.
 
 No bucket is expanded into all its pairs. Equal sets are one node. Each bucket's most shared member
 (largest total of bucket sizes, which the original of a family of edited copies has) is its leader L and is
@@ -27,6 +27,8 @@ whose links are those of any of its rows. Extra columns are not used.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,14 +39,28 @@ from strandline.llm.common import WordIds, mix64, slices, stored, table
 from strandline.llm.graph import components
 
 SHINGLE = 5
-M, R, BANDS = 128, 5, 25
+M, MISS = 128, 5e-7
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
-INTER, UNION = 100, 85
-FLOOR = 0.85 - 6 * (0.85 * 0.15 / M) ** 0.5
+THRESHOLD = 0.85
 _MULT = mix64(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _POS = mix64(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
+class Limit:
+    """What follows from a threshold of J: a link has inter * |x & y| >= union * |x | y|; least estimate; registers a band."""
+
+    def __init__(self, threshold: float):
+        t = Fraction(str(threshold))
+        if not 0 < t <= 1:
+            raise ValueError("the threshold must be above 0 and at most 1")
+        self.inter, self.union = t.denominator, t.numerator
+        t = float(t)
+        self.floor = t - 6 * (t * (1 - t) / M) ** 0.5
+        self.rows = max((r for r in range(1, M + 1) if (1 - t**r) ** (M // r) < MISS), default=0)
+        if not self.rows:
+            raise ValueError("the sketches are too small for this threshold")
+
+
 def shingle_sets(datas: list[bytes], ids: WordIds) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     words = [d.lower().split() for d in datas]
@@ -78,12 +94,12 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(B)), 0, Q + 1).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(regs), BANDS), np.uint64)
+def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
+    keys = np.empty((len(regs), M // rows), np.uint64)
     with np.errstate(over="ignore"):
-        for b in range(BANDS):
+        for b in range(M // rows):
             h = np.full(len(regs), b + 1, np.uint64)
-            for j in range(b * R, b * R + R):
+            for j in range(b * rows, b * rows + rows):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + regs[:, j].astype(np.uint64))
             keys[:, b] = h
     return keys
@@ -101,69 +117,80 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, grid:
     return j[np.arange(len(j)), ll.argmax(1)]
 
 
-def _sign(batches):
-    import hashlib
+def _sign(rows: int):
+    def run(batches):
+        import hashlib
 
-    ids = WordIds()
-    for batch in batches:
-        doc, data = batch.column(0), batch.column(1)
-        for lo, hi in slices(np.diff(np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)), 2 << 20):
-            sets = shingle_sets(data.slice(lo, hi - lo).to_pylist(), ids)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            regs = registers([sets[i] for i in full]) if full else np.empty((0, M), np.uint16)
-            keys = band_keys(regs).view(np.int64)
-            key, reg, band = [None] * len(sets), [None] * len(sets), [None] * len(sets)
-            for k, i in enumerate(full):
-                key[i], reg[i], band[i] = hashlib.md5(sets[i].tobytes()).digest(), regs[k].tobytes(), keys[k]
-            yield pa.RecordBatch.from_arrays([doc.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(reg, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "regs", "bands"])
+        ids = WordIds()
+        for batch in batches:
+            doc, data = batch.column(0), batch.column(1)
+            for lo, hi in slices(np.diff(np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)), 2 << 20):
+                sets = shingle_sets(data.slice(lo, hi - lo).to_pylist(), ids)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                regs = registers([sets[i] for i in full]) if full else np.empty((0, M), np.uint16)
+                keys = band_keys(regs, rows).view(np.int64)
+                key, reg, band = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+                for k, i in enumerate(full):
+                    key[i], reg[i], band[i] = hashlib.md5(sets[i].tobytes()).digest(), regs[k].tobytes(), keys[k]
+                yield pa.RecordBatch.from_arrays([doc.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(reg, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "regs", "bands"])
 
+    return run
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row a document: doc_id, n_shingles, set_key, regs (M little-endian uint16), bands."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    return d.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, regs binary, bands array<long>")
+    return d.mapInArrow(_sign(Limit(threshold).rows), "doc_id long, n_shingles long, set_key binary, regs binary, bands array<long>")
+
 
+def _likely(limit: Limit):
+    """Pairs whose estimate reaches the limit's floor, and those that are to be compared whatever it is."""
 
-def _likely(batches):
-    """Pairs whose estimate reaches FLOOR, and those that are to be compared whatever it is."""
-    for x in batches:
-        if x.num_rows:
-            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
-            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
-            j = np.concatenate([estimate(a[i : i + 2000], b[i : i + 2000], na[i : i + 2000], nb[i : i + 2000]) for i in range(0, len(a), 2000)])
-            yield x.select(["a", "b", "whole"]).filter(pa.array((j >= FLOOR) | np.asarray(x.column("whole"))))
+    def run(batches):
+        for x in batches:
+            if x.num_rows:
+                a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
+                na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
+                j = np.concatenate([estimate(a[i : i + 2000], b[i : i + 2000], na[i : i + 2000], nb[i : i + 2000]) for i in range(0, len(a), 2000)])
+                yield x.select(["a", "b", "whole"]).filter(pa.array((j >= limit.floor) | np.asarray(x.column("whole"))))
 
+    return run
 
-def _compare(batches):
+
+def _compare(limit: Limit):
     """Full sets of a and b: linked, |a - b|, |b - a|, |a|, and where asked for b - a itself."""
-    ids, sets = WordIds(), {}
-    for x in batches:
-        cols: list[list] = [[] for _ in range(5)]
-        for ta, tb, whole in zip(x.column("ta"), x.column("tb"), x.column("whole").to_pylist(), strict=True):
-            pair = []
-            for t in (ta.as_py(), tb.as_py()):
-                if t not in sets:
-                    if len(sets) >= 64:
-                        sets.clear()
-                    sets[t] = shingle_sets([t], ids)[0]
-                pair.append(sets[t])
-            more = np.setdiff1d(pair[1], pair[0], assume_unique=True)
-            both = len(pair[1]) - len(more)
-            row = (both > 0 and INTER * both >= UNION * (len(pair[0]) + len(more)), len(pair[0]) - both, len(more), len(pair[0]), more.view(np.int64) if whole else None)
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["a", "b", "linked", "removed", "added", "size", "additions"])
-
-
-def compared(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+
+    def run(batches):
+        ids, sets = WordIds(), {}
+        for x in batches:
+            cols: list[list] = [[] for _ in range(5)]
+            for ta, tb, whole in zip(x.column("ta"), x.column("tb"), x.column("whole").to_pylist(), strict=True):
+                pair = []
+                for t in (ta.as_py(), tb.as_py()):
+                    if t not in sets:
+                        if len(sets) >= 64:
+                            sets.clear()
+                        sets[t] = shingle_sets([t], ids)[0]
+                    pair.append(sets[t])
+                more = np.setdiff1d(pair[1], pair[0], assume_unique=True)
+                both = len(pair[1]) - len(more)
+                row = (both > 0 and limit.inter * both >= limit.union * (len(pair[0]) + len(more)), len(pair[0]) - both, len(more), len(pair[0]), more.view(np.int64) if whole else None)
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+            types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["a", "b", "linked", "removed", "added", "size", "additions"])
+
+    return run
+
+
+def compared(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
     """pairs (a, b, whole): what _compare gives for those that may be links, and for all that are ``whole``."""
     side = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("regs").alias(f"r{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("whole") | (INTER * F.least("na", "nb") >= UNION * F.greatest("na", "nb")))
-    near = near.select("a", "b", "whole", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long, whole boolean").distinct()
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("whole") | (limit.inter * F.least("na", "nb") >= limit.union * F.greatest("na", "nb")))
+    near = near.select("a", "b", "whole", "na", "nb", "ra", "rb").mapInArrow(_likely(limit), "a long, b long, whole boolean").distinct()
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("data").alias(f"t{c}")).hint("merge")
     full = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "whole", "ta", "tb")
-    return full.mapInArrow(_compare, "a long, b long, linked boolean, removed long, added long, size long, additions array<long>")
+    return full.mapInArrow(_compare(limit), "a long, b long, linked boolean, removed long, added long, size long, additions array<long>")
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -173,11 +200,11 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.select(*key).distinct().join(old, ["a", "b"], "left_anti").withColumn("whole", F.lit(False))
 
 
-def _meeting(family: DataFrame) -> DataFrame:
+def _meeting(family: DataFrame, limit: Limit) -> DataFrame:
     """Pairs (x, y) of a family, in different components, that may share enough additions to be a link."""
     kind = family.select("a", "size", "removed", "added").distinct()
     other = kind.select("a", F.col("removed").alias("r2"), F.col("added").alias("a2"))
-    least = F.ceil((UNION * (F.col("size") - F.least("removed", "r2") + F.col("added") + F.col("a2")) - INTER * (F.col("size") - F.greatest("removed", "r2"))) / F.lit(float(INTER + UNION)) - 1e-9)
+    least = F.ceil((limit.union * (F.col("size") - F.least("removed", "r2") + F.col("added") + F.col("a2")) - limit.inter * (F.col("size") - F.greatest("removed", "r2"))) / F.lit(float(limit.inter + limit.union)) - 1e-9)
     need = kind.join(other, "a").select("a", "removed", "added", "a2", F.greatest(least, F.lit(1)).alias("need")).filter(F.col("need") <= F.least("added", "a2"))
     need = need.groupBy("a", "removed", "added").agg(F.min("need").alias("need"))
     by = family.join(need, ["a", "removed", "added"]).select("a", "x", "component", "main", "need", F.explode("additions").alias("h"))
@@ -189,9 +216,10 @@ def _meeting(family: DataFrame) -> DataFrame:
     return by.join(out, ["a", "h"]).filter((F.col("component") != F.col("c2")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("y")))).select("x", "y")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: doc_id, n_shingles, component_id, kept."""
-    sig = stored(sketches(docs, id_col, text_col))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """A row a document: doc_id, n_shingles, component_id, kept. Documents of J >= threshold are linked."""
+    limit = Limit(threshold)
+    sig = stored(sketches(docs, id_col, text_col, threshold))
     named = sig.filter("n_shingles > 0 and doc_id is not null")
     reps = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     nodes = named.join(reps.hint("merge"), "set_key").filter("doc_id = rep").dropDuplicates(["set_key"])
@@ -208,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = (-F.max(F.struct("total", (-F.col("x")).alias("m")))["m"]).alias("a")
     lead = stored(shared.groupBy("band").agg(first))
     star = shared.join(lead, "band").filter("a <> x").groupBy("a", F.col("x").alias("b")).agg((F.max("n") > 2).alias("whole"))
-    facts = stored(compared(star, sigs, texts))
+    facts = stored(compared(star, sigs, texts, limit))
     tested, links = facts.select("a", "b"), facts.filter("linked").select("a", "b")
 
     # rows that repeat an id tie their sets together
@@ -230,28 +258,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = rows.filter("component <> main")
         second = rest.groupBy("band").agg(first).withColumnRenamed("a", "y")
         more = stored(_untested(rest.join(second, "band").filter("x <> y"), tested))
-        links = links.union(stored(compared(more, sigs, texts)).filter("linked").select("a", "b"))
+        links = links.union(stored(compared(more, sigs, texts, limit)).filter("linked").select("a", "b"))
         tested = tested.union(more.select("a", "b"))
         label = components(links)
         rows = mixed(label)
         family = rows.select("a", "x", "component", "main").distinct().join(facts.withColumnRenamed("b", "x"), ["a", "x"])
         family = stored(family.select("a", "x", "component", "main", "removed", "added", "size", "additions"))
         out = family.filter("component <> main").select("a", F.col("x").alias("y"), F.col("component").alias("c2"), F.col("removed").alias("r2"), F.col("added").alias("a2"), F.col("additions").alias("t2"))
-        bound = INTER * (F.col("size") - F.greatest("removed", "r2")) >= UNION * (F.col("size") - F.least("removed", "r2") + F.col("added") + F.col("a2"))
+        bound = limit.inter * (F.col("size") - F.greatest("removed", "r2")) >= limit.union * (F.col("size") - F.least("removed", "r2") + F.col("added") + F.col("a2"))
         near = family.join(out, "a").filter((F.col("component") != F.col("c2")) & bound).select("x", "y")
-        same = _meeting(family)
+        same = _meeting(family, limit)
         last = stored(_untested(near.union(same), tested))
         if not last.isEmpty():
-            links = links.union(stored(compared(last, sigs, texts)).filter("linked").select("a", "b"))
+            links = links.union(stored(compared(last, sigs, texts, limit)).filter("linked").select("a", "b"))
             label = components(links)
     res = sig.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
     res = res.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return res.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, without the documents that near_duplicates does not keep."""
-    lost = stored(near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct())
+    lost = stored(near_duplicates(docs, threshold=threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct())
     return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
 
 

@@ -124,6 +124,40 @@ def test_family_of_edited_copies(spark):
     assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(d).collect()} == {k: find(k) for k in range(len(texts))}
 
 
+def test_near_duplicates_of_a_lower_threshold(spark):
+    """Pairs of Jaccard 0.80 to 0.85, alone and in a family, and the pipeline's stage, which links them."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(40):
+        w = [f"v{k}x{i}" for i in range(204)]
+        texts.append(" ".join(w))
+        for i in r.choice([(50, 100, 150), (50, 100, 150, 190), (50, 100, 101, 150), (50, 100, 101, 150, 190)]):
+            w[i] = f"new{k}x{i}"
+        texts.append(" ".join(w))
+    for _ in range(100):
+        w = list(base)
+        for _ in range(r.randint(1, 7)):
+            w[r.randrange(120)] = r.choice(["x", "y", "z"]) + str(r.randrange(3))
+        texts.append(" ".join(w[: r.choice([120, 120, 110, 100])]))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    up = list(range(len(texts)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    between = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            k, u = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            between += 80 * u <= 100 * k < 85 * u
+            if 100 * k >= 80 * u:
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    assert between > 20
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in setsketch.near_duplicates(d, threshold=0.8).collect()} == {k: find(k) for k in range(len(texts))}
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, d, "").collect()} == {k for k in range(len(texts)) if find(k) == k}
+    assert setsketch.Limit(0.85).rows == 5 and setsketch.Limit(0.8).rows == 4
+
+
 def test_sketch_estimate():
     r = np.random.default_rng(1)
     common, own = r.integers(1 << 62, size=900).astype(np.uint64), r.integers(1 << 62, size=(2, 50)).astype(np.uint64)
