@@ -1,11 +1,12 @@
 """Benchmark passages in documents by spaced-seed hashing.
 
 Texts become words (ASCII white space cuts, A-Z lowered, ASCII punctuation stripped at both ends, empty words
-dropped). Each mask reads some of SPAN token positions and ignores the others, so a substituted word spoils
-only the masks that read it. Seeds of the benchmark are held in sorted arrays behind a bit table; every
-window of every document is looked up, under every mask. A hit fixes an alignment of an item with the document; along it the
-best segment (+1 a match, -2 a mismatch) is found, and the pair is a leak if that segment has MIN_MATCH
-matches (or 80 % of the item, if less) at an identity of MIN_IDENTITY or more. Items of MIN_ITEM to SPAN - 1 words are sought
+dropped). Each mask reads some of the token positions of its span and ignores the others, so a substituted word spoils
+only the masks that read it. MASKS meet in every segment of ten matches and up to three mismatches, of nine and two,
+of twelve and four, and of fifteen and five. Seeds of the benchmark are held in sorted arrays behind a bit table; every
+window of every document is looked up, under every mask. A hit fixes an alignment of an item with the document; the pair is a
+leak if any segment along it has MIN_MATCH matches (or 80 % of the item, if less) at an identity of
+MIN_IDENTITY or more; of such segments that of most matches is given. Items of MIN_ITEM to SPAN - 1 words are sought
 whole under a mask of their length; shorter ones never match.
 
 The benchmark is the stated query set: it is sent to the tasks in batches of at most BATCH_BYTES of
@@ -16,6 +17,7 @@ one row for each item; null ids are values like others.
 from __future__ import annotations
 
 import string
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import WordIds, mix64, slices, stored, table
 
-MASKS = ("111011011", "1101100111", "11011010011", "11100010111")
-SPAN = max(map(len, MASKS))
+MASKS = ("11010111", "11100010011", "11101101", "101000001111", "1111000101", "10111011", "110010111", "1111101")
+SPAN = 11
 MIN_MATCH, MIN_IDENTITY, MIN_ITEM = 10, 0.75, 4
-BATCH_BYTES = 32 << 20
+LOSS = Fraction(str(MIN_IDENTITY))
+BATCH_BYTES = 16 << 20
 _PUNCT = string.punctuation.encode()
 _MULT = mix64(np.arange(500, 564, dtype=np.uint64)) | np.uint64(1)
 
@@ -85,12 +88,23 @@ class Seeds:
 
 
 def best_segment(match: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the segment of largest score; the first and longest of equals."""
-    total = np.concatenate([[0], np.cumsum(np.where(match, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = len(match) - int(np.argmax((total - low)[:0:-1]))
-    start = int(np.argmax(total[: end + 1] == low[end]))
-    return start, end, int(match[start:end].sum())
+    """(start, end, matches) of the segment of most matches at an identity of MIN_IDENTITY or more; the first of equals."""
+    total = np.concatenate([[0], np.cumsum(np.where(match, LOSS.denominator - LOSS.numerator, -LOSS.numerator))])
+    count = np.concatenate([[0], np.cumsum(match)])
+    # the first start whose total is not above the end's
+    first = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int(np.argmax(count - count[first]))
+    start = int(first[end])
+    start += int(np.argmax(match[start:end])) if end > start else 0
+    return start, end, int(count[end] - count[start])
+
+
+def distinct(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """Distinct triples in order."""
+    if found:
+        x = np.stack([np.concatenate(c) for c in zip(*found, strict=True)])
+        x = x[:, np.lexsort(x[::-1])]
+        yield from zip(*x[:, np.append(True, (np.diff(x) != 0).any(0))[: x.shape[1]]].tolist(), strict=True)
 
 
 def leaks_in(docs: list[np.ndarray], items: list[np.ndarray], seeds: list[Seeds]) -> list[tuple[int, int, int, int, int]]:
@@ -98,19 +112,22 @@ def leaks_in(docs: list[np.ndarray], items: list[np.ndarray], seeds: list[Seeds]
     flat = np.concatenate(docs) if docs else np.empty(0, np.uint64)
     ends = np.cumsum([len(d) for d in docs])
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    found: set[tuple[int, int, int]] = set()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s in seeds:
         at, item, pos = s.hits(flat)
         doc = np.searchsorted(ends, at, "right")
         ok = at + len(s.mask) <= ends[np.minimum(doc, len(ends) - 1)] if len(at) else np.empty(0, bool)
-        found.update(zip(doc[ok].tolist(), item[ok].tolist(), (at - pos - starts[np.minimum(doc, len(starts) - 1)])[ok].tolist(), strict=True))
+        found.append((doc[ok], item[ok], (at - pos - starts[np.minimum(doc, len(starts) - 1)])[ok]))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for doc, item, shift in sorted(found):
+    for doc, item, shift in distinct(found):
         d, b = docs[doc], items[item]
         lo, hi = max(0, shift), min(len(d), shift + len(b))
-        start, end, n = best_segment(d[lo:hi] == b[lo - shift : hi - shift])
-        if n >= min(MIN_MATCH, -(-len(b) * 4 // 5)) and n >= MIN_IDENTITY * (end - start) and n > best.get((doc, item), (0, 0, 0))[2]:
-            best[doc, item] = (lo + start, lo + end, n)
+        match = d[lo:hi] == b[lo - shift : hi - shift]
+        least = max(min(MIN_MATCH, -(-len(b) * 4 // 5)), best.get((doc, item), (0, 0, 0))[2] + 1)
+        if np.count_nonzero(match) >= least:
+            start, end, n = best_segment(match)
+            if n >= least:
+                best[doc, item] = (lo + start, lo + end, n)
     return [(d, k, *x) for (d, k), x in best.items()]
 
 

@@ -185,6 +185,33 @@ def test_leaks(spark):
     assert {x.doc_id for x in leaks.decontaminated(d, b).collect()} == {*range(20), 104}
 
 
+def test_leaks_with_substituted_words():
+    """Items of 11 to 40 words with every tenth to third word substituted, against all segments of all alignments."""
+    r = random.Random(4)
+    missed = total = 0
+    for n, least in [(11, 9), (12, 10), (15, 10), (20, 10), (40, 10)]:
+        items = [np.array([r.getrandbits(60) for _ in range(n)], np.uint64) for _ in range(150)]
+        docs, want = [], {}
+        for k, b in enumerate(items):
+            d = b.copy()
+            for i in range(n):
+                if r.random() < r.choice([0.1, 0.2, 0.3]):
+                    d[i] = r.getrandbits(60)
+            docs.append(np.concatenate([np.array([r.getrandbits(60) for _ in range(k % 3)], np.uint64), d, b[:1]]))
+            m = (d == b).tolist()
+            # a chain of matches is judged by all its segments
+            fit = [sum(m[i:j]) for i in range(n) for j in range(i + 1, n + 1) if 4 * sum(m[i:j]) >= 3 * (j - i)]
+            if max(fit, default=0) >= least:
+                want[k] = max(fit)
+        seeds = [leaks.Seeds(x, list(enumerate(items))) for x in leaks.MASKS]
+        got = {d: (e - s, c) for d, k, s, e, c in leaks.leaks_in(docs, items, seeds) if d == k}
+        assert set(got) <= set(want) and all(c == want[k] and 4 * c >= 3 * x for k, (x, c) in got.items())
+        missed, total = missed + len(want) - len(got), total + len(want)
+        if n <= 15:
+            assert set(got) == set(want)
+    assert total > 300 and missed <= total // 500
+
+
 def test_crf_held_out():
     w, trans = secrets.train()
     t = secrets.Table(w)
