@@ -6,8 +6,8 @@ only the masks that read it. MASKS meet in every segment of ten matches and up t
 of twelve and four, and of fifteen and five. Seeds of the benchmark are held in sorted arrays behind a bit table; every
 window of every document is looked up, under every mask. A hit fixes an alignment of an item with the document; the pair is a
 leak if any segment along it has MIN_MATCH matches (or 80 % of the item, if less) at an identity of
-MIN_IDENTITY or more; of such segments that of most matches is given. Items of MIN_ITEM to SPAN - 1 words are sought
-whole under a mask of their length; shorter ones never match.
+MIN_IDENTITY or more; of such segments that of most matches is given. Items of MIN_ITEM to SPAN - 1 words have
+masks of their own, which between them spare any one or two words that the 80 % leave room for; shorter ones never match.
 
 The benchmark is the stated query set: it is sent to the tasks in batches of at most BATCH_BYTES of
 text, as many as it takes, each against all documents. Null texts have no words; rows that repeat an id give
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import string
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -131,14 +132,24 @@ def leaks_in(docs: list[np.ndarray], items: list[np.ndarray], seeds: list[Seeds]
     return [(d, k, *x) for (d, k), x in best.items()]
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """Masks for an item of n words: of a short one, all words but as many groups as it may have substitutions."""
+    if n >= SPAN:
+        return MASKS
+    groups = [range(i, i + 1 + (n > 5)) for i in range(0, n, 1 + (n > 5))]
+    left = combinations(groups, n - -(-n * 4 // 5))
+    return tuple(sorted({"".join("01"[all(i not in g for g in out)] for i in range(n)).strip("0") for out in left}))
+
+
 def prepare(rows: list[tuple[int | None, bytes]]) -> tuple[list, list[np.ndarray], list[Seeds]]:
     ids = PlainIds()
     keys, items = [k for k, _ in rows], [tokens(x, ids) for _, x in rows]
-    full = [(k, t) for k, t in enumerate(items) if len(t) >= SPAN]
-    seeds = [Seeds(m, full) for m in MASKS]
-    for n in range(MIN_ITEM, SPAN):
-        if short := [(k, t) for k, t in enumerate(items) if len(t) == n]:
-            seeds.append(Seeds("1" * n, short))
+    by_mask: dict[str, list[tuple[int, np.ndarray]]] = {m: [] for m in MASKS}
+    for k, t in enumerate(items):
+        if len(t) >= MIN_ITEM:
+            for m in masks_of(len(t)):
+                by_mask.setdefault(m, []).append((k, t))
+    seeds = [Seeds(m, x) for m, x in by_mask.items()]
     return keys, items, seeds
 
 

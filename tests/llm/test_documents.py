@@ -212,6 +212,26 @@ def test_leaks_with_substituted_words():
     assert total > 300 and missed <= total // 500
 
 
+def test_short_leaks_with_substituted_words():
+    """Items of 4 to 10 words with any one or two words substituted, or cut by the document's edge, by the 80 % rule."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("bcdfghklmnprst") for _ in range(9))
+    for n in range(4, 11):
+        item = [word() for _ in range(n)]
+        keys, items, seeds = leaks.prepare([(7, " ".join(item).encode())])
+        texts, want = [], set()
+        for out in [(i, j) for i in range(n) for j in range(i, n)] + [()]:
+            for cut in (False, True):
+                w = [word() if i in out else x for i, x in enumerate(item)]
+                m = n - len(set(out))
+                texts.append([*([] if cut else [word()]), *(w[1:] if cut and 0 in out else w), *([] if cut else [word()])])
+                if m >= math.ceil(n * 0.8 - 1e-9):
+                    want.add(len(texts) - 1)
+        ids = leaks.PlainIds()
+        got = {d for d, *_ in leaks.leaks_in([leaks.tokens(" ".join(t).encode(), ids) for t in texts], items, seeds)}
+        assert got == want and (n < 5 or len(want) > 2 * n)
+
+
 def test_crf_held_out():
     w, trans = secrets.train()
     t = secrets.Table(w)
