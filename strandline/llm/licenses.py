@@ -1,9 +1,13 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A file's segments are its lines and its paragraphs (runs of lines between empty ones) that hold an anchor word. A segment's
-sparse TF-IDF vector (words of letters, digits, dots and dashes, lower case) is compared with each
+A file's segments are the file itself, its lines, paragraphs (runs of lines between empty ones) and sentences, and
+windows of a template's length at the places that its rarer words point to. Templates are notices, standard headers and whole
+licences (``license_texts``). A segment's sparse TF-IDF vector (words of letters, digits, dots and dashes, lower case) is compared with each
 template's; inverse document frequencies are those of the templates, and a word of no template weighs as a rarest
 one. The best template of cosine THRESHOLD or more is the file's own licence; of equals, the first by name. Whole texts are scanned.
+A template of over LONG words is compared with segments of half to twice its words; a shorter one with those that
+hold SHARE of its words or more, or with any that has an anchor word. No segment is passed over that could reach the threshold: one that does
+holds a key of the template, the words left when its commonest of together less than THRESHOLD**2 of its squared length are set aside.
 
 A file named like LICENSE or COPYING, or whose licence segment is at least half of its words, speaks for its
 directory (best cosine first, then path). A file without an own licence takes that of its nearest
@@ -15,7 +19,9 @@ Null text: no licence. Null path: never inherits. Rows that repeat an id or path
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -39,73 +45,140 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
+#: Standard headers and file titles.
+HEADERS = {
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: AGPL-3.0"],
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.', "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MIT": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "MIT License"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "This Source Code Form is subject to the terms of the Mozilla Public", "Mozilla Public License Version 2.0"],
+}
+TEXTS = ("Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
+LONG, SHARE = 60, 0.6
 ANCHORS = ("licen", "redistribut", "permission", "free software")
 FILE_NAME = r"^(?i)(licen[cs]e|copying|copyright|notice)([._-].*)?$"
-_WORD = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]")
+_WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*[A-Za-z0-9]|[A-Za-z0-9]")
+_BREAK = re.compile(r"[.!?][\"')\]]*\s+(?=[^a-z0-9\s])|\n[ \t\r\f\v]*(?=\n)")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def all_templates() -> dict[str, list[str]]:
+    """Notices, standard headers and whole licences by name."""
+    out = {n: [*TEMPLATES.get(n, []), *HEADERS.get(n, [])] for n in {**TEMPLATES, **HEADERS}}
+    for n in TEXTS:
+        out[n].append(pkgutil.get_data("strandline.llm", f"license_texts/{n}.txt").decode())
+    return out
 
 
 class Templates:
-    """Inverted lists of normalised TF-IDF weights."""
+    """Normalised TF-IDF weights, a row a word; the keys of each template and their places."""
 
-    def __init__(self, templates: dict[str, list[str]]):
+    def __init__(self, templates: dict[str, list[str]], threshold: float = THRESHOLD):
+        self.threshold, self.least = threshold, threshold**2 - 1e-9
         docs = [(name, Counter(words(x))) for name in sorted(templates) for x in templates[name]]
         n = len(docs)
         df = Counter(w for _, c in docs for w in c)
         self.idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in df.items()}
         self.rare = math.log((1 + n) / 2) + 1
         self.names = [name for name, _ in docs]
-        self.lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.size = np.array([c.total() for _, c in docs])
+        self.distinct = np.array([len(c) for _, c in docs])
+        self.id = {w: i for i, w in enumerate(df)}
+        self.weight = np.zeros((len(df), n))
         for k, (_, c) in enumerate(docs):
             norm = math.sqrt(sum((f * self.idf[w]) ** 2 for w, f in c.items()))
             for w, f in c.items():
-                self.lists[w].append((k, f * self.idf[w] / norm))
-
-    def best(self, text: str) -> tuple[float, str]:
-        c = Counter(words(text))
-        norm = math.sqrt(sum((f * self.idf.get(w, self.rare)) ** 2 for w, f in c.items()))
-        score: dict[int, float] = defaultdict(float)
-        for w, f in c.items():
-            for k, v in self.lists.get(w, ()):
-                score[k] += f * self.idf[w] * v
-        if not score:
+                self.weight[self.id[w], k] = f * self.idf[w] / norm
+        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.keys: set[str] = set()
+        self.votes = np.ones(n, int)
+        for k, (x, (_, c)) in enumerate(zip((x for name in sorted(templates) for x in templates[name]), docs, strict=True)):
+            spare, keys = threshold**2, set(c)
+            for w in sorted(c, key=lambda w: (self.idf[w], w)):
+                if (spare := spare - self.weight[self.id[w], k] ** 2) <= 0:
+                    break
+                keys.discard(w)
+            if self.size[k] <= LONG:
+                self.keys |= keys
+            if self.size[k] <= 4 * LONG:
+                at = [(i, w) for i, w in enumerate(words(x)) if w in keys]
+                self.votes[k] = max(1, len(at) // 3)
+                for i, w in at:
+                    self.places[w].append((k, i))
+
+    def best(self, segment: list[str], anchor: bool) -> tuple[float, str]:
+        c = Counter(segment)
+        known = [w for w in c if w in self.id]
+        square = sum((f * self.idf.get(w, self.rare)) ** 2 for w, f in c.items())
+        v = [c[w] * self.idf[w] for w in known]
+        if not known or sum(x * x for x in v) < self.least * square:
             return 0.0, ""
-        k = min(score, key=lambda k: (-score[k], k))
-        return score[k] / norm, self.names[k]
-
-    def scan(self, text: str, threshold: float = THRESHOLD) -> tuple[str | None, float | None, int, int]:
+        n = len(segment)
+        weight = self.weight[[self.id[w] for w in known]]
+        fits = np.where(self.size > LONG, (2 * n >= self.size) & (n <= 2 * self.size), anchor | ((weight > 0).sum(0) >= SHARE * self.distinct))
+        score = np.where(fits, np.array(v) @ weight, 0.0)
+        k = int(score.argmax())
+        return float(score[k]) / math.sqrt(square), self.names[k]
+
+    def scan(self, text: str) -> tuple[str | None, float | None, int, int]:
         """(licence, cosine, start, end) of the best segment."""
-        low = text.lower()
-        if not any(a in low for a in ANCHORS):
-            return None, None, 0, 0
-        segments, at, block = [], 0, None
-        for line in [*text.split("\n"), ""]:
-            end = at + len(line)
-            hot = any(a in line.lower() for a in ANCHORS)
-            if hot:
-                segments.append((at, end))
-            if line.strip():
-                block = (block[0], end, block[2] or hot, block[3] + 1) if block else (at, end, hot, 1)
+        at, tokens = [], []
+        for m in _WORD.finditer(text):
+            at.append(m.start())
+            tokens.append(m[0].lower())
+        spans, start = [], 0
+        for line in text.split("\n"):
+            spans.append((start, start + len(line)))
+            start += len(line) + 1
+        block = None
+        for s, e in [*spans, (len(text), len(text))]:
+            if text[s:e].strip():
+                block = (block[0] if block else s, e)
             elif block:
-                if block[2] and block[3] > 1:
-                    segments.append(block[:2])
+                spans.append(block)
                 block = None
-            at = end + 1
-        found = [(*self.best(text[s:e]), s, e) for s, e in segments]
-        score, name, s, e = min(found, key=lambda x: (-x[0], x[1], x[2]), default=(0.0, "", 0, 0))
-        return (name, score, s, e) if score >= threshold else (None, None, 0, 0)
+        start = 0
+        for m in _BREAK.finditer(text):
+            spans.append((start, m.end()))
+            start = m.end()
+        spans += [(start, len(text)), (0, len(text))]
+        segments: dict[tuple[int, int], tuple[int, int]] = {}
+        for s, e in spans:
+            segments.setdefault((bisect_left(at, s), bisect_left(at, e)), (s, e))
+        hot = [0]
+        seen: Counter = Counter()
+        for i, w in enumerate(tokens):
+            hot.append(hot[-1] + (w in self.keys))
+            for k, place in self.places.get(w, ()):
+                seen[k, i - place] += 1
+        for (k, i), n in seen.items():
+            if n >= self.votes[k] and (i >= 0 or i + self.size[k] > 0):
+                a, b = max(0, i), min(len(tokens), i + int(self.size[k]))
+                segments.setdefault((a, b), (at[a], at[b - 1] + len(tokens[b - 1])))
+        best = (0.0, "", 0, 0)
+        for (a, b), (s, e) in segments.items():
+            if b > a and (hot[b] > hot[a] or 2 * (b - a) > LONG):
+                low = text[s:e].lower() if b - a <= 4 * LONG else ""
+                found = (*self.best(tokens[a:b], any(x in low for x in ANCHORS)), s, e)
+                best = min(best, found, key=lambda x: (-round(x[0], 12), x[1], x[2]))
+        score, name, s, e = best
+        return (name, min(score, 1.0), s, e) if score >= self.threshold else (None, None, 0, 0)
 
 
 def _scan(templates: dict, threshold: float):
     def run(batches):
-        t = Templates(templates)
+        t = Templates(templates, threshold)
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in slices(np.fromiter((len(x or "") for x in texts), np.int64, len(texts)), 4 << 20):
-                rows = [t.scan(x or "", threshold) for x in texts[lo:hi]]
+                rows = [t.scan(x or "") for x in texts[lo:hi]]
                 half = [r[0] is not None and 2 * len((x or "")[r[2] : r[3]].split()) >= len((x or "").split()) for r, x in zip(rows, texts[lo:hi], strict=True)]
                 name, score, s, e = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("path").slice(lo, hi - lo), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(half)], ["doc_id", "path", "own", "cosine", "start", "end", "mostly"])
@@ -116,7 +189,7 @@ def _scan(templates: dict, threshold: float):
 def licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row a file: doc_id, path, license, origin (own or inherited), cosine, start, end, license_dir."""
     f = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    s = stored(f.mapInArrow(_scan(templates or TEMPLATES, threshold), "doc_id long, path string, own string, cosine double, start long, end long, mostly boolean"))
+    s = stored(f.mapInArrow(_scan(templates or all_templates(), threshold), "doc_id long, path string, own string, cosine double, start long, end long, mostly boolean"))
     s = s.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
     speaks = s.filter(F.col("own").isNotNull() & F.col("path").isNotNull() & (F.col("mostly") | F.col("name").rlike(FILE_NAME)))
     best = F.min_by(F.struct("own", "cosine"), F.struct((-F.col("cosine")).alias("c"), "path", "own"))

@@ -431,6 +431,29 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "a"), 3: ("GPL-3.0", "inherited", "a/b"), 4: ("Apache-2.0", "own", None), 5: (None, None, None), 6: ("GPL-3.0", "own", None), 7: ("GPL-3.0", "inherited", "a/b"), 8: (None, None, None), 9: (None, None, None)}
 
 
+def test_license_texts_and_headers():
+    """Whole licences, their titles, standard headers as comments, with a copyright before them, and wrapped anywhere."""
+    t = licenses.Templates(licenses.all_templates())
+    code = "\nimport os\n\n\ndef run(x):\n    return os.path.join(x, 'data') if x else None\n"
+    mpl = " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    mit = licenses.all_templates()["MIT"][-1]
+    for want, text in [
+        ("MPL-2.0", f"/*\n{mpl} */{code}"),
+        ("MPL-2.0", mpl.split("\n")[0] + "\n"),
+        ("MPL-2.0", "Mozilla Public License Version 2.0\n=================================="),
+        ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"),
+        ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"),
+        ("MIT", " ".join(mit.split("\n\n")[1].split())),
+        ("MIT", "Copyright (c) 2019 Some Body. All rights reserved. Released under the MIT License."),
+        ("Apache-2.0", f"// Copyright 2020 The Some Authors Licensed under the Apache License, Version 2.0{code}"),
+        ("MIT", mit.replace("MIT License", "Copyright (c) 2001 A B")),
+        *((n, licenses.all_templates()[n][-1]) for n in licenses.TEXTS),
+    ]:
+        assert t.scan(text)[0] == want, (want, text[:80])
+    for text in (code, "MIT", "mit der", "in mit", "Mit mit.", "the of and to", "the licence fee is due", "We may not use this file, except in an emergency.", ""):
+        assert t.scan(text)[0] is None, text
+
+
 def test_empty_tables(none, spark):
     assert quality.verdicts(none).count() == setsketch.near_duplicates(none).count() == suffixes.repeated_passages(none).count() == 0
     assert ppm.scores(none).count() == packing.pack(none).count() == secrets.secrets(none).count() == licenses.licenses(none).count() == 0
