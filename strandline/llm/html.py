@@ -1,9 +1,10 @@
 """Visible text of HTML pages by layout-aware rendering.
 
 A tree is built with the tags that HTML implies (p, li, dt, dd, option, table rows and cells end where
-another begins; a cell gets its row). Not rendered: head, script, style, template and the like, form choices, elements
+another begins; a cell gets its row). Of a select the options shown are rendered (the selected or first one, all of a list
+box), of svg the text elements, of math all but annotations. Not rendered: head, script, style, template and the like, elements
 with ``hidden``, with display:none or visibility:hidden in their style attribute or in a rule of a style
-sheet for one tag, class or id, and closed details but for their summary. Blocks stand on lines of their own,
+sheet for one tag, class or id (not inside an at-rule that does not apply to a screen of SCREEN px), and closed details but for their summary. Blocks stand on lines of their own,
 those with margins between blank lines; white space collapses outside pre; list items are indented and
 marked; the cells of a table are padded into columns (a column pads to PAD characters at most; longer text
 is kept whole). All else that is visible is emitted, in order.
@@ -26,7 +27,12 @@ from strandline.llm.common import table
 PAD, DEEP = 48, 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes iframe".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math select datalist title noframes area param map".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title annotation annotation-xml mphantom noframes area param map".split())
+#: Parts of svg that are not drawn, and parents of math whose children stand apart.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata lineargradient radialgradient filter".split())
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtable mtr mmultiscripts".split())
+CHOOSY = APART | {"details", "select", "svg"}
+SCREEN = {"width": 1280, "height": 800}
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset form".split())
 BLOCK = MARGIN | frozenset("html body div article section main nav header footer aside address li dt dd center details summary dialog figcaption legend tr caption thead tbody tfoot menu hgroup search optgroup".split())
 CLOSES_P = BLOCK - {"html", "body", "tr", "caption", "thead", "tbody", "tfoot", "legend", "optgroup"} | {"hr"}
@@ -40,7 +46,9 @@ _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""\s*/*([^\s=>"'/][^\s=>/]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_EDGE = re.compile(r"([^{}]*)([{}])")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.DOTALL)
+_SIZE = re.compile(r"(min|max)-(width|height)\s*:\s*([\d.]+)(px|em|rem)?")
 
 
 class Node:
@@ -50,6 +58,47 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+def on_screen(queries: str) -> bool:
+    """Whether a media query list applies to a screen; a feature that is not known does not."""
+
+    def feature(x: str) -> bool:
+        m = _SIZE.fullmatch(x.strip(" ()"))
+        if not m:
+            return x.strip(" ()") in ("color", "hover", "orientation: landscape", "orientation:landscape")
+        size = float(m[3] if m[3].count(".") < 2 else 0) * (1 if m[4] in (None, "px") else 16)
+        return SCREEN[m[2]] >= size if m[1] == "min" else SCREEN[m[2]] <= size
+
+    for q in queries.lower().split(","):
+        first, *rest = re.split(r"\s+and\s+|\s+and(?=\()", q.strip())
+        kind = first.split()
+        no = kind[:1] == ["not"]
+        if kind[:1] in (["not"], ["only"]):
+            kind = kind[1:]
+        head = " ".join(kind)
+        yes = (feature(head) if head.startswith("(") else head in ("screen", "all", "")) and all(map(feature, rest))
+        if yes != no:
+            return True
+    return False
+
+
+def hides(css: str) -> set[str]:
+    """The simple selectors that a style sheet hides on a screen."""
+    out: set[str] = set()
+    open_: list[tuple[str, bool]] = []
+    for m in _EDGE.finditer(_COMMENT.sub(" ", css)):
+        if m[2] == "{":
+            head, on = m[1].rsplit(";", 1)[-1].strip(), not open_ or open_[-1][1]
+            if head.startswith("@"):
+                kind, _, rest = head[1:].partition(" ") if " " in head else (head[1:].partition("(")[0], "", head[head.find("(") :] if "(" in head else "")
+                on = on and (on_screen(rest) if kind.lower() == "media" else kind.lower() in ("supports", "layer"))
+            open_.append((head, on))
+        elif open_:
+            head, on = open_.pop()
+            if on and not head.startswith("@") and _HIDE.search(m[1]):
+                out |= {x.strip().lower() for x in head.split(",")}
+    return out
+
+
 def parse(html: str) -> tuple[Node, set[str]]:
     """The tree, and the simple selectors (tag, .class, #id) that style sheets hide."""
     root = Node("html", {})
@@ -96,6 +145,7 @@ def parse(html: str) -> tuple[Node, set[str]]:
             v = a[2] or ""
             attrs.setdefault(a[1].lower(), unescape(v[1:-1] if v[:1] in "\"'" and v[-1:] == v[:1] and len(v) > 1 else v))
         close = html.find(">", at)
+        closed = close > at - 1 and html[close - 1] == "/" and close - 1 >= at
         at = n if close < 0 else close + 1
         if html[lt + 1] == "/":
             if tag == "br":
@@ -126,13 +176,13 @@ def parse(html: str) -> tuple[Node, set[str]]:
             stack.pop()
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if tag in VOID:
+        if tag in VOID or closed and (tag in ("svg", "math") or any(x.tag in ("svg", "math") for x in stack)):
             continue
         if tag in RAW:
             m = re.compile(f"</{re.escape(tag)}", re.IGNORECASE).search(html, at)
             body = html[at : m.start() if m else n]
             if tag == "style":
-                hidden |= {s.strip().lower() for sel, rule in _RULE.findall(body) if _HIDE.search(rule) for s in sel.split(",")}
+                hidden |= hides(body) if on_screen(attrs.get("media", "")) else set()
             else:
                 node.kids.append(unescape(body) if tag in ("textarea", "title") else body)
             close = html.find(">", m.end()) if m else -1
@@ -151,6 +201,37 @@ def visible(node: Node, hidden: set[str]) -> bool:
     return not (hidden and (node.tag in hidden or "id" in a and f"#{a['id'].lower()}" in hidden or "class" in a and any(f".{c}" in hidden for c in a["class"].lower().split())))
 
 
+def below(node: Node, hidden: set[str], tags: tuple[str, ...], skip: frozenset[str]) -> list[Node]:
+    """The topmost visible nodes of these tags."""
+    out, stack = [], list(reversed(node.kids))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Node) and x.tag not in skip and visible(x, hidden):
+            if x.tag in tags:
+                out.append(x)
+            else:
+                stack += reversed(x.kids)
+    return out
+
+
+def shown(node: Node, hidden: set[str]) -> list:
+    """The kids of a node that are rendered."""
+    kids, a = node.kids, node.attrs
+    if node.tag == "details" and "open" not in a:
+        return [x for x in kids if isinstance(x, Node) and x.tag == "summary"]
+    if node.tag == "select":
+        found = below(node, hidden, ("option",), frozenset())
+        if "multiple" not in a and not (a.get("size", "").isdecimal() and int(a["size"]) > 1):
+            chosen = [x for x in found if "selected" in x.attrs]
+            found = chosen[-1:] or [x for x in found if "disabled" not in x.attrs][:1]
+        return [y for x in found for y in (" ", x.attrs.get("label") or x, " ")]
+    if node.tag == "svg":
+        return [y for x in below(node, hidden, ("text", "foreignobject"), UNDRAWN) for y in (" ", x, " ")]
+    if node.tag in APART:
+        return [y for x in kids for y in (x, " ")]
+    return kids
+
+
 class Lines:
     """Collects lines: text collapses into the open one, breaks and margins end it."""
 
@@ -252,9 +333,11 @@ def render(root: Node, hidden: set[str], depth: int = 0) -> list[str]:
             elif tag in ("td", "th") and lines.open:
                 lines.text(" ", False)
             pre = pre or tag in ("pre", "textarea", "xmp")
+        if k == 0 and tag in CHOOSY:
+            kids = shown(node, hidden)
+            if kids is not node.kids:
+                node.kids = kids
         kids = node.kids
-        if tag == "details" and "open" not in node.attrs:
-            kids = [x for x in kids if isinstance(x, Node) and x.tag == "summary"]
         if k < len(kids):
             stack.append((node, k + 1, pre, state))
             stack.append((kids[k], 0, pre, None))

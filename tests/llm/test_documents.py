@@ -409,6 +409,19 @@ def test_html():
     assert html.text_of("a < b <!-- open") == "a < b"
 
 
+def test_html_shows_formulas_figures_choices_and_screen_rules():
+    text = lambda x: html.text_of(x).split()
+    assert text("a <math><semantics><mrow><mi>xx</mi><mo>=</mo><mfrac><mn>11</mn><mn>22</mn></mfrac></mrow><annotation>no</annotation></semantics></math> b") == ["a", "xx=11", "22", "b"]
+    assert text('a<svg><title>no</title><defs><text>no</text></defs><path d="M0 0"/><g><text x="1">axis <tspan>label</tspan></text><circle r=1 /><text>end</text></g></svg>b') == ["a", "axis", "label", "end", "b"]
+    assert text("<select><option>one<option selected>two<option>three</select> x") == ["two", "x"]
+    assert text("<select><optgroup label=g><option disabled>no<option>one<option>two</optgroup></select>") == ["one"]
+    assert text("<select multiple><option>one<option>two</select>") == ["one", "two"]
+    css = "/* .c{display:none} */ @import 'x.css'; @media print {.nav {display:none} .b{display:none}} @media screen and (max-width: 600px) {.wide{display:none}} @media(min-width:600px){.narrow{display:none}} @media not print {.o{display:none}} .p{color:red} .q{display:none}"
+    page = "".join(f"<div class={c}>{c}</div>" for c in ("nav", "b", "c", "wide", "narrow", "o", "p", "q"))
+    assert text(f"<style>{css}</style>{page}") == ["nav", "b", "c", "wide", "p"]
+    assert text("<style media=print>.nav{display:none}</style><b class=nav>nav</b>") == ["nav"]
+
+
 def test_html_keeps_all_visible_words(spark):
     r = random.Random(1)
     tags = ["p", "div", "ul", "li", "b", "table", "tr", "td", "h2", "section", "ol", "blockquote", "dd", "pre", "span"]
