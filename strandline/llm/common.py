@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a temporary one only where none is set."""
+    """A new folder under the shared checkpoint folder; a temporary one only where none is set and all runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             top = got.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             top = tempfile.mkdtemp(prefix="strandline-")
             spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/work-{uuid.uuid4().hex}"
@@ -48,6 +50,12 @@ def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES, text_col: str = "tex
     return max(1, -(-size // block_bytes))
 
 
+def n_ranges(df: DataFrame, text_col: str = "text") -> int:
+    """Partitions for work that streams its rows: small ones for up to a thousand tasks, then 32 times as large."""
+    n = n_blocks(df, text_col=text_col)
+    return min(n, max(1000, n // 32))
+
+
 def block_of(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 

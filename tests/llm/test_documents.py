@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from strandline.llm import html, leaks, licenses, packing, ppm, quality, secrets, setsketch, shards, suffixes
+from strandline.llm import encode, html, leaks, licenses, packing, ppm, quality, secrets, setsketch, shards, suffixes
 from strandline.llm.encode import Encoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, path string, component_id long"
@@ -335,12 +335,17 @@ def test_ppm(docs, rows):
     assert sum(10 ** log([257] * n, a) for a in range(257)) == pytest.approx(1)
 
 
-def test_encoder_agrees_with_the_library(rows):
-    odd = ["", " ", "\n", "a\n\nb", "  two", "x\ty", "it's o'k", "<|endoftext|>", "\x01 \x01a", "ǅ Σς ÀÉ", "é ñ", "12 3a4 b-c", "日本 語", "\x1c a"]
+@pytest.mark.parametrize("name, level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_agrees_with_the_library(rows, name, level, monkeypatch):
+    odd = ["", " ", "\n", "a\n\nb", "  two", "x\ty", "it's o'k", "a <|endoftext|> b", "<|startoftext|>x <|ENDOFTEXT|>,", "\x01 \x01a", "ǅ Σς ÀÉ", "é ñ", "12 3a4 b-c", "日本 語", "\x1c a"]
+    odd += ["İstanbul Ⱥb ȾX ÀB, É!! K", "\n x\n", "_a_ (b) c!?", "ÁÉ Í, ß.", "e\u0301 a\u0327,", "ƻ ʰ ª º.", "\u2028a b", "a" * 3000 + " b." * 2000]
     texts = [t or "" for _, t, *_ in rows] + odd
-    for name, level in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        e = Encoder(tokenizer_path(name), level)
-        assert e.encode(texts) == e.raw(texts) and e.encode(texts[::-1]) == e.raw(texts[::-1]) and e.encode([]) == []
+    e = Encoder(tokenizer_path(name), level)
+    want = [np.asarray(x, e.dtype).tobytes() for x in e.raw(texts)]
+    assert e.encode(texts) == want and e.encode(texts[::-1]) == want[::-1] and e.encode([]) == []
+    monkeypatch.setattr(encode, "CUT_BYTES", 100)
+    monkeypatch.setattr(encode, "WORDS", 50)
+    assert Encoder(tokenizer_path(name), level).encode(texts) == want
 
 
 def test_shards_round_trip(spark, docs, rows, tmp_path, monkeypatch):
@@ -349,7 +354,7 @@ def test_shards_round_trip(spark, docs, rows, tmp_path, monkeypatch):
     n = shards.write(docs, path)
     e = Encoder(tokenizer_path(shards.TOKENIZER), True)
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode()))
-    ids = [np.frombuffer(x, e.dtype).tolist() + [2] for x in e.raw([t or "" for _, t, *_ in order])]
+    ids = [[*x, 2] for x in e.raw([t or "" for _, t, *_ in order])]
     start = np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]]).tolist()
     want = [(x[0], s, len(i), zlib.crc32(np.asarray(i, "<u4").tobytes())) for x, s, i in zip(order, start, ids, strict=True)]
     assert sorted(map(tuple, shards.read_back(docs, path, n).collect()), key=lambda x: x[1]) == want
@@ -370,7 +375,7 @@ def test_packing(docs, rows, weights):
     size = Counter()
     whole = defaultdict(list)
     for (i, *_), x in zip(rows, e.raw([t or "" for _, t, *_ in rows]), strict=True):
-        ids = np.append(np.frombuffer(x, e.dtype), 1).astype("<u4")
+        ids = np.append(x, 1).astype("<u4")
         whole[i].append(ids)
         size[i] += len(ids)
     got = packing.pack(docs, weights, length=256).collect()
@@ -391,11 +396,55 @@ def test_packing(docs, rows, weights):
 
 
 def test_mixture_holds_in_every_sequence():
-    plan = packing.phases({"a": 1000, "b": 3000, "c": 333}, None, 100)
-    p = plan[0]
-    for w in range(43):
-        for k, t in enumerate((1000, 3000, 333)):
-            assert abs(p.allot(k, w) - t * 100 * w / 4333) < 1 + 1e-9
+    totals, at = {"a": 1000, "b": 3000, "c": 333}, 0
+    plan = packing.plan(4333, totals, *packing.weighted(totals, None, 100), 100)
+    for s, t in totals.items():
+        (p,) = plan[s]
+        assert p.low == at
+        at += t
+        for w in range(43):
+            assert abs(p.allot(w) - t * 100 * w / 4333) < 1 + 1e-9
+
+
+def test_packing_of_two_thousand_sources(spark):
+    """Every source keeps its own share, by ids or by documents, and a given weight holds whatever the number of the others."""
+    rows = [(k, "w " * (20 + k % 60), None, f"host{k % 2000}", None, None, None) for k in range(4000)] + [(9000 + k, "v " * 200, None, "big", None, None, None) for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    total = Counter()
+    for _, t, _, s, *_ in rows:
+        total[s] += t.count(" ") + 1
+    source = {i: s for i, _, _, s, *_ in rows}
+    got = packing.pack(docs, length=1024).collect()
+    assert sum(r.length for r in got) == sum(total.values())
+    share = defaultdict(Counter)
+    for r in got:
+        share[r.sequence_id][source[r.doc_id]] += r.length
+    n, done = len(share), Counter()
+    for w in range(n - 1):
+        done += share[w]
+        assert sum(share[w].values()) == 1024
+        for s in ("big", "host0", "host777", "host1999"):
+            assert abs(done[s] - total[s] * 1024 * (w + 1) / sum(total.values())) <= (1 if s == "big" else 82)
+    share = defaultdict(Counter)
+    for r in packing.pack(docs, {"big": 3.0, "host1": 1.0}, length=64).collect():
+        share[r.sequence_id][source[r.doc_id]] += r.length
+    assert share[0] == {"big": 48, "host1": 16}
+    assert all(sum(x.values()) == 64 for w, x in share.items() if w < len(share) - 1) and sum(sum(x.values()) for x in share.values()) == sum(total.values())
+
+
+def test_rows_of_one_id_in_many_tasks(spark, tmp_path, monkeypatch):
+    """A third of all rows, and all rows, under one id; null ids too."""
+    monkeypatch.setattr(packing, "n_ranges", lambda *a: 5)
+    monkeypatch.setattr(shards, "n_ranges", lambda *a: 5)
+    monkeypatch.setattr(shards, "PART_KEYS", 16)
+    for k, ids in enumerate(([7] * 40 + list(range(80)), [None] * 120)):
+        docs = spark.createDataFrame([(i, f"text {j}", None, "s", None, None, None) for j, i in enumerate(ids)], SCHEMA)
+        got = packing.pack(docs, length=64).collect()
+        assert sum(r.length for r in got) == sum({(r.sequence_id, r.offset): r.length for r in got}.values()) == sum(len(x) + 1 for x in Encoder(tokenizer_path(packing.TOKENIZER), False).raw([f"text {j}" for j in range(120)]))
+        path = str(tmp_path / f"ids{k}")
+        back = sorted(shards.read_back(docs, path, shards.write(docs, path)).collect(), key=lambda r: r.start)
+        assert len(back) == 120 and back[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(back, back[1:]))
+        assert [r.doc_id for r in back] == sorted(ids, key=lambda i: i or 0)
 
 
 def test_html():
