@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for x in names:
+        while x.lower() in taken:
+            x += "_"
+        taken.add(x.lower())
+        out.append(x)
+    return out
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder; a temporary one only where none is set and all runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,8 +6,11 @@ over the whole table. A line in more than ``max_docs`` documents of one host is
 document of smallest id keeps it, all others lose it, so a group of copies keeps one whole copy. A
 document that loses more than ``max_lost`` percent of its words is depleted and rejected.
 
-Null text has no words (so it fails the base rules); a null host or id is a value like others; each row
-counts as a document; rows that agree in id and text share one verdict; extra columns pass by unused.
+Null text has no words (so it fails the base rules); a null host or id is a value like others, but the smallest id is
+never null; rows that repeat an id are one document to the count, and each loses and keeps lines like a document of its own;
+rows that agree in id and text share one verdict. Lines of equal count have no order: all above the limit go. A very
+long text is one row's arrays of words and lines. An empty table gives no rows. Extra columns pass by unused, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE, stored, table
+from strandline.llm.common import SPACE, stored, table, unused
 
 MAX_DOCS, MAX_LOST = 10, 70
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -54,12 +57,12 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """doc_id, text_key, lost array<struct<pos, words>>: the lines that each document loses.
 
-    The count is combined before its shuffle, so a line in every document costs a row a task. The lines then
-    meet the counts in a join that Spark can split at a hot line.
+    Lines are first made distinct by host and document, which spreads a line in every document over all tasks; the
+    count is then combined before its shuffle. The lines meet the counts in a join that Spark can split at a hot line.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("text_key"), lines_of(text).alias("_lines"))
-    once = d.select("doc_id", "host", F.explode(F.array_distinct(F.transform("_lines", lambda r: r["h"]))).alias("h"))
+    once = d.select("doc_id", "host", F.explode(F.array_distinct(F.transform("_lines", lambda r: r["h"]))).alias("h")).distinct()
     hot = once.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") > max_docs).select(F.col("host").alias("_host"), F.col("h").alias("_h"), "first_doc")
     every = d.select("doc_id", "host", "text_key", F.explode("_lines").alias("r")).select("doc_id", "host", "text_key", "r.*")
     found = every.join(hot, (F.col("h") == F.col("_h")) & F.col("host").eqNullSafe(F.col("_host")) & ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
@@ -84,16 +87,17 @@ def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST)
     """The kept documents, all columns, without the repeated lines; n_chars follows the text where there is one."""
     lines = stored(repeated_lines(docs, max_docs=max_docs))
     v = stored(verdicts(docs, max_docs=max_docs, max_lost=max_lost, lost=lines).select("doc_id", "text_key", "kept"))
-    v = v.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    lost = lines.select(F.col("doc_id").alias("_id2"), F.col("text_key").alias("_key2"), F.transform("lost", lambda x: x["pos"]).alias("_pos"))
-    v = v.join(lost, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left").select("_id", "_key", "_pos")
-    d = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    d = d.join(v, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
-    text = F.when(F.col("_pos").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_pos"), i)), "\n"))
+    at, key, own, pos, at2, key2 = unused(docs, "_id", "_key", "_own", "_pos", "_id2", "_key2")
+    v = v.filter("kept").select(F.col("doc_id").alias(at), F.col("text_key").alias(key)).distinct()
+    lost = lines.select(F.col("doc_id").alias(at2), F.col("text_key").alias(key2), F.transform("lost", lambda x: x["pos"]).alias(pos))
+    v = v.join(lost, F.col(at).eqNullSafe(F.col(at2)) & (F.col(key) == F.col(key2)), "left").select(at, key, pos)
+    d = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    d = d.join(v, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(own) == F.col(key)))
+    text = F.when(F.col(pos).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(pos), i)), "\n"))
     d = d.withColumn("text", text)
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    return d.select(*(f"`{c}`" for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -109,8 +113,8 @@ g AS (SELECT doc_id, i, row(w[i], w[i+1], w[i+2]) AS k FROM (SELECT doc_id, w, u
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS p FROM r) GROUP BY doc_id),
 ln AS (SELECT doc_id, source, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT doc_id, source, unnest(l) AS x FROM w)),
-hot AS (SELECT source, line, min(doc_id) AS first_doc FROM ln GROUP BY ALL HAVING count(DISTINCT doc_id) > 10),
-lost AS (SELECT ln.doc_id, sum(len(string_split(ln.line, ' '))) AS n FROM ln JOIN hot ON ln.source IS NOT DISTINCT FROM hot.source AND ln.line = hot.line WHERE ln.doc_id <> hot.first_doc GROUP BY ALL),
+hot AS (SELECT source, line, min(doc_id) AS first_doc FROM ln GROUP BY ALL HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) > 10),
+lost AS (SELECT ln.doc_id, sum(len(string_split(ln.line, ' '))) AS n FROM ln JOIN hot ON ln.source IS NOT DISTINCT FROM hot.source AND ln.line = hot.line WHERE ln.doc_id IS DISTINCT FROM hot.first_doc GROUP BY ALL),
 a AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS lost_words

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordIds, mix64, slices, stored, table
+from strandline.llm.common import WordIds, mix64, slices, stored, table, unused
 from strandline.llm.graph import components
 
 SHINGLE = 5
@@ -279,8 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, without the documents that near_duplicates does not keep."""
-    lost = stored(near_duplicates(docs, threshold=threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct())
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    (lost,) = unused(docs, "_lost")
+    found = stored(near_duplicates(docs, threshold=threshold).filter(~F.col("kept")).select(F.col("doc_id").alias(lost)).distinct())
+    return docs.join(found, F.col("doc_id") == F.col(lost), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

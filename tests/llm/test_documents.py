@@ -3,9 +3,11 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -80,6 +82,33 @@ def test_repeated_lines_leave_one_copy(spark):
     assert kept[0].endswith("footer text") and not kept[1].endswith("footer text")
 
 
+def test_lines_of_rows_that_repeat_an_id(spark):
+    """Twelve rows of one id are one document: their footer is in two documents only. Agrees with the SQL."""
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, f"{body(0)}\nThe footer line", "s")] * 12 + [(2, f"{body(1)}\nThe footer line", "s"), (3, f"{body(2)}\nAnother line", "s")] + [(k, f"{body(k)}\nAnother  LINE", "s") for k in range(4, 15)]
+    got = quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "lost_words", "kept").distinct().collect()
+    assert {(r.doc_id, r.lost_words) for r in got} == {(1, 0), (2, 0), (3, 0), *((k, 2) for k in range(4, 15))}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    names = [d[0] for d in con.execute(quality.ORACLE).description]
+    assert {(r[names.index("doc_id")], r[names.index("lost_words")]) for r in con.fetchall()} == {(r.doc_id, r.lost_words) for r in got}
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, rows, name, stage):
+    """Extra columns named like the stages' own come back unchanged; nulls, repeats and empty tables pass."""
+    extra = ["_k", "_id", "_key", "_own", "_pos", "_lost", "_leak", "_m", "_id2", "_key2", "_text", "block", "band", "data", "a", "h", "host", "tie", "queue", "pid"]
+    spark.createDataFrame([(1, "nothing of this is there at all " * 3)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(*r, *([f"{r[0]}-{k}"] * len(extra))) for k, r in enumerate(rows)], SCHEMA + "".join(f", {c} string" for c in extra))
+    got = stage(spark, docs, str(tmp_path))
+    assert got.schema.names == docs.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+    back = got.collect()
+    mine = {f"{r[0]}-{k}" for k, r in enumerate(rows)}
+    assert back and all({r[c] for c in extra} == {r["_k"]} and r["_k"] in mine and str(r.doc_id) == r["_k"].split("-")[0] for r in back)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_near_duplicates(docs, rows):
     sets = []
     for _, t, *_ in rows:
@@ -180,7 +209,7 @@ def test_leaks(spark):
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in leaks.leaks(d, b).collect()}
     assert got == {(100, 0), (101, 0), (102, 1), (103, 3), (None, 2)}
-    assert {(x.doc_id, x.item_id) for x in leaks.leaks(d, b, batch_bytes=60).collect()} == got
+    assert {(x.doc_id, x.item_id) for x in leaks.leaks(d, b, block_words=20).collect()} == got
     assert leaks.leaks(d.limit(0), b).count() == 0 and leaks.leaks(d, b.limit(0)).count() == 0
     assert {x.doc_id for x in leaks.decontaminated(d, b).collect()} == {*range(20), 104}
 
@@ -203,7 +232,7 @@ def test_leaks_with_substituted_words():
             fit = [sum(m[i:j]) for i in range(n) for j in range(i + 1, n + 1) if 4 * sum(m[i:j]) >= 3 * (j - i)]
             if max(fit, default=0) >= least:
                 want[k] = max(fit)
-        seeds = [leaks.Seeds(x, list(enumerate(items))) for x in leaks.MASKS]
+        seeds = [leaks.Seeds(x, [(k * n, t) for k, t in enumerate(items)]) for x in leaks.MASKS]
         got = {d: (e - s, c) for d, k, s, e, c in leaks.leaks_in(docs, items, seeds) if d == k}
         assert set(got) <= set(want) and all(c == want[k] and 4 * c >= 3 * x for k, (x, c) in got.items())
         missed, total = missed + len(want) - len(got), total + len(want)
@@ -212,6 +241,42 @@ def test_leaks_with_substituted_words():
     assert total > 300 and missed <= total // 500
 
 
+@pytest.mark.parametrize("pairs, heavy", [(1 << 20, 1 << 16), (50, 1 << 16), (1, 20), (1, 0)])
+def test_alignments_of_repeated_words(monkeypatch, pairs, heavy):
+    """Texts of one to three words against items of the same, all pairs of equal seeds counted out."""
+    monkeypatch.setattr(leaks, "PAIRS", pairs)
+    monkeypatch.setattr(leaks, "HEAVY", heavy)
+    r = random.Random(8)
+    make = lambda n, v: np.array([r.randrange(1, v + 1) for _ in range(n)], np.uint64)
+    docs = [make(r.randint(0, 70), v) for v in (1, 2, 3, 1, 2, 3)] + [make(0, 1)]
+    items = [make(n, v) for n, v in ((12, 1), (30, 2), (25, 3), (3, 1), (40, 1))]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in items])]).tolist()
+    seeds = [leaks.Seeds(m, [(a, t) for a, t in zip(at, items, strict=False) if len(t) >= leaks.SPAN]) for m in leaks.MASKS]
+    want = set()
+    for d, k in [(d, k) for d in range(len(docs)) for k in range(len(items)) if len(items[k]) >= leaks.SPAN]:
+        for m in leaks.MASKS:
+            use = [j for j, c in enumerate(m) if c == "1"]
+            for i in range(len(docs[d]) - len(m) + 1):
+                want |= {(d, k, i - j) for j in range(len(items[k]) - len(m) + 1) if all(docs[d][i + x] == items[k][j + x] for x in use)}
+    ends = np.cumsum([len(d) for d in docs])
+    got = leaks.alignments(np.concatenate(docs), ends, np.concatenate([[0], ends[:-1]]), np.array(at[:-1]), seeds)
+    assert list(map(tuple, got.T.tolist())) == sorted(want)
+    best = {(d, k): n for d, k, _, _, n in leaks.leaks_in(docs, items, seeds)}
+    for d, k in {(d, k) for d, k, _ in want}:
+        b, full = items[k], [leaks.best_segment(docs[d][max(0, x) : x + len(items[k])] == items[k][max(0, -x) : len(docs[d]) - x])[2] for x in range(-len(items[k]) + 1, len(docs[d]))]
+        assert best.get((d, k), 0) == (max(full) if max(full) >= min(leaks.MIN_MATCH, -(-len(b) * 4 // 5)) else 0)
+
+
+def test_one_word_repeated_against_itself_is_quick():
+    keys, items, seeds = leaks.prepare([(1, b"word " * 2000)])
+    ids = leaks.PlainIds()
+    texts = [leaks.tokens(b"word " * 8000, ids), leaks.tokens(b"word other " * 4000, ids)]
+    start = time.process_time()
+    assert leaks.leaks_in(texts[:1], items, seeds) == [(0, 0, 0, 2000, 2000)]
+    assert time.process_time() - start < 2
+    assert leaks.leaks_in(texts, items, seeds) == [(0, 0, 0, 2000, 2000)]
+
+
 def test_short_leaks_with_substituted_words():
     """Items of 4 to 10 words with any one or two words substituted, or cut by the document's edge, by the 80 % rule."""
     r = random.Random(6)
