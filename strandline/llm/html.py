@@ -6,11 +6,14 @@ box), of svg the text elements, of math all but annotations. Not rendered: head,
 with ``hidden``, with display:none or visibility:hidden in their style attribute or in a rule of a style
 sheet for one tag, class or id (not inside an at-rule that does not apply to a screen of SCREEN px), and closed details but for their summary. Blocks stand on lines of their own,
 those with margins between blank lines; white space collapses outside pre; list items are indented and
-marked; the cells of a table are padded into columns (a column pads to PAD characters at most; longer text
-is kept whole). All else that is visible is emitted, in order.
-
-Null html gives ''. Unclosed and misnested tags, comments and quotes end where a browser would end them or at the end of the
-page; nesting has no limit (tables deeper than DEEP are rendered as blocks). Ids may be null or repeat.
+marked; the cells of a table stand in columns. A cell with others to its right is wrapped at PAD characters, at white space (a
+word longer than that is kept whole and moves what follows it on its line); a cell that spans columns takes
+their width together. Spans are as long as the HTML standard lets them be. All else that is visible is emitted, in order.
+
+Null and empty html give ''. Unclosed and misnested tags, comments and quotes end where a browser would end them or at the
+end of the page. Nesting has no limit: inner tables are rendered before the tables that hold them, and nothing calls
+itself. Very long pages are whole. Ids may be null or repeat: a row gives a row. An empty table gives no rows. Extra
+columns are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import table
 
-PAD, DEEP = 48, 20
+PAD = 48
+#: The longest spans of the HTML standard, columns and rows; a row span of 0 is as many as there are.
+SPANS = 1000, 65534
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes iframe".split())
 UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title annotation annotation-xml mphantom noframes area param map".split())
@@ -52,10 +57,10 @@ _SIZE = re.compile(r"(min|max)-(width|height)\s*:\s*([\d.]+)(px|em|rem)?")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "lines")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.lines = tag, attrs, [], None
 
 
 def on_screen(queries: str) -> bool:
@@ -276,8 +281,8 @@ class Lines:
         self.gap = True
 
 
-def render(root: Node, hidden: set[str], depth: int = 0) -> list[str]:
-    """Lines of the visible text below a node."""
+def render(root: Node, hidden: set[str]) -> list[str]:
+    """Lines of the visible text below a node; those of its tables are known."""
     lines = Lines()
     stack: list[tuple] = [(root, 0, False, None)]
     while stack:
@@ -303,9 +308,9 @@ def render(root: Node, hidden: set[str], depth: int = 0) -> list[str]:
             if tag == "hr":
                 lines.margin()
                 continue
-            if tag == "table" and node is not root and depth < DEEP:
+            if tag == "table" and node is not root:
                 lines.margin()
-                for x in rows_of(node, hidden, depth):
+                for x in node.lines:
                     lines.open.append(x)
                     lines.flush(keep=True)
                 lines.margin()
@@ -358,8 +363,29 @@ def render(root: Node, hidden: set[str], depth: int = 0) -> list[str]:
     return lines.out
 
 
-def rows_of(node: Node, hidden: set[str], depth: int) -> list[str]:
-    """A table's lines, its cells aligned."""
+def span(node: Node, name: str, most: int) -> int:
+    v = node.attrs.get(name, "1")
+    n = int(v[:9]) if v.isascii() and v.isdecimal() else 1
+    return min(n, most) if n else most if name == "rowspan" else 1
+
+
+def wrapped(lines: list[str]) -> list[str]:
+    """Lines cut at white space to at most PAD characters, or to one word."""
+    out = []
+    for x in lines:
+        while len(x) > PAD:
+            at = x.rfind(" ", 1, PAD + 1)
+            at = at if at > 0 and x[:at].strip() else x.find(" ", PAD)
+            if at < 0:
+                break
+            out.append(x[:at].rstrip())
+            x = x[at:].lstrip()
+        out.append(x)
+    return out
+
+
+def rows_of(node: Node, hidden: set[str]) -> list[str]:
+    """A table's lines, its cells aligned; the lines of tables in it are known."""
     out, grid, stack = [], [], [x for x in reversed(node.kids)]
     while stack:
         x = stack.pop()
@@ -376,37 +402,67 @@ def rows_of(node: Node, hidden: set[str], depth: int) -> list[str]:
             holder = Node("div", {})
             holder.kids = rest
             if any(isinstance(y, Node) or y.strip() for y in rest):
-                out += render(holder, hidden, depth + 1)
+                out += render(holder, hidden)
         else:
-            out += render(x, hidden, depth + 1)
-    cells, taken = [], {}
+            out += render(x, hidden)
+    cells: list[list[tuple[int, int, list[str]]]] = []
+    down: list[tuple[int, int, int]] = []  # columns from, to, and the row at which a cell from above ends
     for r, row in enumerate(grid):
-        line, c = {}, 0
+        down = sorted(x for x in down if x[2] > r)
+        line, c, k = [], 0, 0
         for y in row:
-            while (r, c) in taken:
-                c += 1
-            span = lambda a: min(200, int(v)) if (v := y.attrs.get(a, "1")).isdecimal() and int(v) else 1  # noqa: B023, E731
-            line[c] = render(y, hidden, depth + 1)
-            wide = span("colspan")
-            for dr in range(1, span("rowspan")):
-                for dc in range(wide):
-                    taken[r + dr, c + dc] = True
-            line.setdefault(c + wide - 1, [])
+            while k < len(down) and down[k][0] <= c:
+                c, k = max(c, down[k][1]), k + 1
+            wide, high = span(y, "colspan", SPANS[0]), span(y, "rowspan", SPANS[1])
+            line.append((c, wide, render(y, hidden)))
+            if high > 1:
+                down.append((c, c + wide, r + high))
             c += wide
         cells.append(line)
-    width: dict[int, int] = {}
+    end = max((c for line in cells for c, _, text in line if text), default=0)
+    cells = [[(c, wide, wrapped(text) if c + wide - 1 < end else text) for c, wide, text in line] for line in cells]
+    width = dict.fromkeys((k for line in cells for c, wide, _ in line for k in (c, c + wide - 1)), 0)
+    size = lambda text: max((len(x) for x in text if len(x) <= PAD), default=0)
     for line in cells:
-        for c, text in line.items():
-            width[c] = max(width.get(c, 0), min(PAD, max(map(len, text), default=0)))
+        for c, wide, text in line:
+            if wide == 1:
+                width[c] = max(width[c], size(text))
     columns = sorted(width)
+    at = {c: k for k, c in enumerate(columns)}
+    for line in cells:
+        for c, wide, text in line:
+            if wide > 1:
+                over = columns[at[c] : at[c + wide - 1] + 1]
+                have = sum(width[k] + 2 for k in over if width[k]) - 2
+                width[over[-1]] += max(0, size(text) - max(0, have) - 2 * (have > 0 and not width[over[-1]]))
+    start, x = {}, 0
+    for c in columns:
+        start[c], x = x, x + (width[c] + 2 if width[c] else 0)
     for line in cells:
-        for i in range(max((len(t) for t in line.values()), default=0)):
-            out.append("  ".join((line[c][i] if c in line and i < len(line[c]) else "").ljust(width[c]) for c in columns).rstrip())
+        for i in range(max((len(text) for _, _, text in line), default=0)):
+            s = ""
+            for c, _, text in line:
+                if i < len(text) and text[i]:
+                    s = (s + "  " if len(s) + 2 > start[c] and s else s.ljust(start[c])) + text[i]
+            out.append(s.rstrip())
     return out
 
 
+def laid_out(root: Node, hidden: set[str]) -> list[str]:
+    """Lines of a page: its tables first, the innermost of them foremost."""
+    stack, tables = [root], []
+    while stack:
+        x = stack.pop()
+        if x.tag == "table" and x is not root:
+            tables.append(x)
+        stack += [y for y in x.kids if isinstance(y, Node)]
+    for x in reversed(tables):
+        x.lines = rows_of(x, hidden)
+    return render(root, hidden)
+
+
 def text_of(html: str | None) -> str:
-    return "\n".join(render(*parse(html or "")))
+    return "\n".join(laid_out(*parse(html or "")))
 
 
 def _run(batches):
