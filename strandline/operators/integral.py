@@ -10,62 +10,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.segmentation import segments
+from strandline.operators.sequence import spread
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(v)
-    return v / n if n > 0 else v * math.nan
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _frame(left: np.ndarray, mid: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Tangent, normal and binormal at mid from the circle through three points; None on a line."""
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _frames(left: np.ndarray, mid: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tangents, normals and binormals at mid from the circles through three points, and whether there is one."""
     u, v = mid - left, right - left
     w = np.cross(u, v)
-    if not (w @ w > 0):
-        return None
-    centre = left + np.cross((u @ u) * v - (v @ v) * u, w) / (2 * (w @ w))
-    if np.linalg.norm(centre - mid) == 0:
-        return None
-    normal, binormal = _unit(centre - mid), _unit(np.cross(_unit(mid - left), _unit(right - mid)))
-    return np.cross(normal, binormal), normal, binormal
-
-
-def _side(curve: np.ndarray, pos: int, step: int, tangent: np.ndarray, up: np.ndarray, radius: float, cell: float) -> float:
-    """Signed area between the curve and the disc's edge on one side of pos: cells of width ``cell`` along the tangent."""
-    total, k, away = 0.0, pos, 0.0
-    while away <= radius and 0 <= k + step < len(curve):
-        edge = (curve[k + step] - curve[k]) * step
-        length = np.linalg.norm(edge)
-        cosine = edge @ tangent / (length * np.linalg.norm(tangent)) if length > 0 else math.nan
-        if cosine and not math.isnan(cosine):
-            stride = cell / cosine
-            count = int(length / stride)  # towards zero
-            i = np.arange(1, abs(count) + 1) * (1 if count > 0 else -1)
-            p = curve[k] + step * (i * stride)[:, None] * (edge / length)[None, :] - curve[pos]
-            p = p[np.sqrt((p**2).sum(1)) < radius]
-            if len(p):
-                total += (cell * (np.sqrt(np.abs(radius**2 - (p @ tangent) ** 2)) - p @ up)).sum() * math.copysign(1, stride)
-        k += step
-        away = np.linalg.norm(curve[k] - curve[pos])
-    return total
-
-
-def invariants(points: np.ndarray, keys: list[tuple[int, int]], radius: float) -> np.ndarray:
+    size = _dot(w, w)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = left + np.cross(_dot(u, u)[:, None] * v - _dot(v, v)[:, None] * u, w) / (2 * size)[:, None] - mid
+    ok = (size > 0) & (np.linalg.norm(out, axis=1) != 0)
+    normal, binormal = _unit(out), _unit(np.cross(_unit(mid - left), _unit(right - mid)))
+    return np.cross(normal, binormal), normal, binormal, ok
+
+
+def _areas(points: np.ndarray, at: np.ndarray, off: np.ndarray, tangent: np.ndarray, up: np.ndarray, radius: float, cell: float) -> np.ndarray:
+    """For each point ``at``: signed area between the curve, projected along ``off``, and the disc's edge, on both sides.
+
+    Cells of width ``cell`` along the tangent. All points take their first edge at once, then those still in the disc their
+    second, and so on.
+    """
+    n, out, off2 = len(points), np.zeros(len(at)), _dot(off, off)
+    for step in (-1, 1):
+        row, k = np.arange(len(at)), at.copy()
+        while True:
+            go = (k + step >= 0) & (k + step < n)
+            row, k = row[go], k[go]
+            if not len(row):
+                break
+            flat = lambda p, r=row: p - (_dot(p, off[r]) / off2[r])[:, None] * off[r]
+            start, stop = flat(points[k] - points[at[row]]), flat(points[k + step] - points[at[row]])
+            edge = (stop - start) * step
+            length = np.linalg.norm(edge, axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                stride = cell / (_dot(edge, tangent[row]) / (length * np.linalg.norm(tangent[row], axis=1)))
+                count = np.trunc(length / stride)
+                # sample m of an edge stands at start + step * m * part * edge; those in the disc are a run of m
+                part, square = np.abs(stride) / length, length * length
+                middle, across = -_dot(start, edge) * step / square, (_dot(start, edge) / square) ** 2 - (_dot(start, start) - radius**2) / square
+                half = np.sqrt(across)
+                first, last = np.maximum(1, np.floor((middle - half) / part)), np.minimum(np.abs(count), np.ceil((middle + half) / part))
+            use = np.flatnonzero(np.isfinite(stride) & np.isfinite(count) & (across > 0) & (last >= first))
+            times = (last - first)[use].astype(np.int64) + 1
+            of = np.repeat(use, times)
+            c = step * (np.arange(len(of)) - np.repeat(np.cumsum(times) - times - first[use].astype(np.int64), times)) * part[of]
+            linear = lambda v, c, of: _dot(start, v)[of] + c * _dot(edge, v)[of]  # noqa: B023, E731
+            inside = _dot(start, start)[of] + c * (2 * _dot(start, edge)[of] + c * square[of]) < radius**2
+            c, of = c[inside], of[inside]
+            area = cell * (np.sqrt(np.abs(radius**2 - linear(tangent[row], c, of) ** 2)) - linear(up[row], c, of)) * np.sign(stride[of])
+            out += np.bincount(row[of], weights=area, minlength=len(out))
+            near = np.linalg.norm(stop, axis=1) <= radius
+            row, k = row[near], k[near] + step
+    return out
+
+
+def invariants(points: np.ndarray, keys: np.ndarray, radius: float, block: int = 64) -> np.ndarray:
     """(n, 2): shares on the osculating and rectifying planes; 0.5 at the ends and where no frame exists."""
     n = len(points)
     out = np.full((n, 2), 0.5)
-    for i in range(1, n - 2):
-        f = _frame(points[keys[i][0]], points[i], points[keys[i][1]])
-        if f is None:
-            continue
-        tangent, normal, binormal = f
+    for lo in range(1, n - 2, block):
+        at = np.arange(lo, min(lo + block, n - 2))
+        tangent, normal, binormal, ok = _frames(points[keys[at, 0]], points[at], points[keys[at, 1]])
+        at, tangent, normal, binormal = at[ok], tangent[ok], normal[ok], binormal[ok]
         for j, (off, up) in enumerate(((binormal, normal), (normal, binormal))):
-            flat = points - ((points - points[i]) @ off / (off @ off))[:, None] * off[None, :]
-            area = (_side(flat, i, -1, tangent, up, radius, 2 * radius / 500) + _side(flat, i, 1, tangent, up, radius, 2 * radius / 500)) / (math.pi * radius**2)
-            out[i, j] = abs(area) if j else 1 - area if area > 0.5 else area
+            area = _areas(points, at, off, tangent, up, radius, 2 * radius / 500) / (math.pi * radius**2)
+            out[at, j] = np.abs(area) if j else np.where(area > 0.5, 1 - area, area)
     return out
 
 
+def key_rows(segments: list[tuple[int, int]], n: int) -> np.ndarray:
+    """(n, 2), from 0: the begin of the first segment that ends at or after a row, and the largest end of those that begin by it."""
+    t, (b, e) = np.arange(1, n + 1), np.array(segments).T
+    left = np.searchsorted(np.maximum.accumulate(e), t, "left")
+    right = np.searchsorted(b, t, "right") - 1
+    return np.column_stack([b[np.minimum(left, len(b) - 1)], np.where(right >= 0, np.maximum.accumulate(e)[right], n)]) - 1
+
+
 def integral_invariants(df: DataFrame, width: int = 6, radius: float = 0.1) -> DataFrame:
     """(seq_id, t, x, y, z) -> osculating and rectifying shares; repeated points copy the one before them."""
 
@@ -80,12 +110,11 @@ def integral_invariants(df: DataFrame, width: int = 6, radius: float = 0.1) -> D
         if len(q) > 3 and span > 0:
             unit = (q - q.min(0)) / span
             seg = segments(np.floor(unit * 1000 + 0.5).astype(int), width)
-            keys = [(next((b for b, e in seg if e >= t), seg[-1][0]) - 1, max((e for b, e in seg if b <= t), default=len(q)) - 1) for t in range(1, len(q) + 1)]
-            res = invariants(unit, keys, radius)
+            res = invariants(unit, key_rows(seg, len(q)), radius)
         res = res[np.cumsum(new) - 1]
         return pd.DataFrame({"seq_id": key[0], "t": pdf["t"].to_numpy(), "osculating": res[:, 0], "rectifying": res[:, 1]})
 
-    return df.select("seq_id", "t", "x", "y", "z").groupBy("seq_id").applyInPandas(run, "seq_id long, t long, osculating double, rectifying double")
+    return spread(df.select("seq_id", "t", "x", "y", "z")).groupBy("seq_id").applyInPandas(run, "seq_id long, t long, osculating double, rectifying double")
 
 
 def polar_gradients(image: np.ndarray, radius: int = 30, rings: int = 4, sectors: int = 8, bins: int = 6, norm: str = "l2") -> np.ndarray:
@@ -135,4 +164,4 @@ def similarity_gradients(ssm: DataFrame, norm: str = "l2") -> DataFrame:
         h = polar_gradients(np.floor(a / (a.max() or 1.0) * (2**16 - 1)), norm=norm)
         return pd.DataFrame({"seq_id": key[0], "t": m.index.to_numpy(), "hog": list(h)})
 
-    return ssm.select("seq_id", "t", "u", F.col("s").cast("double")).groupBy("seq_id").applyInPandas(run, "seq_id long, t long, hog array<double>")
+    return spread(ssm.select("seq_id", "t", "u", F.col("s").cast("double"))).groupBy("seq_id").applyInPandas(run, "seq_id long, t long, hog array<double>")

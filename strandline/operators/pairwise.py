@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import vector as V
-from strandline.operators.sequence import XYZ
+from strandline.operators.sequence import XYZ, spread
 
 TAU = 2 * math.pi
 
@@ -16,6 +16,7 @@ TAU = 2 * math.pi
 def pairs(df: DataFrame, *names: str) -> DataFrame:
     """All ordered pairs (t, u) of a sequence's frames, the pair of a frame with itself too."""
     names = names or XYZ
+    df = spread(df.select("seq_id", "t", *names))
     a = df.select("seq_id", "t", *(F.col(c).alias(f"{c}1") for c in names))
     b = df.select("seq_id", F.col("t").alias("u"), *(F.col(c).alias(f"{c}2") for c in names))
     return a.join(b, "seq_id")
@@ -73,6 +74,5 @@ def shape_context(bins: DataFrame, inliers: DataFrame | None = None) -> DataFram
 
 def shape_context_marginals(bins: DataFrame) -> DataFrame:
     """Two histograms, (theta, radius) and (alpha, radius), by grouping sets in one pass."""
-    view = f"_bins_{id(bins)}"
-    bins.createOrReplaceTempView(view)
-    return bins.sparkSession.sql(f"SELECT seq_id, t, theta, alpha, radius, count(*) AS cnt FROM {view} GROUP BY GROUPING SETS ((seq_id, t, theta, radius), (seq_id, t, alpha, radius))")
+    k, theta, alpha, radius = [F.col("seq_id"), F.col("t")], F.col("theta"), F.col("alpha"), F.col("radius")
+    return bins.groupingSets([[*k, theta, radius], [*k, alpha, radius]], *k, theta, alpha, radius).agg(F.count("*").alias("cnt"))

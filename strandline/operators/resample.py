@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from strandline.operators.sequence import XYZ
+from strandline.operators.sequence import XYZ, spread
 
 
 def not_a_knot(y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -50,4 +50,4 @@ def resample(df: DataFrame, length: int = 64) -> DataFrame:
         p = resample_points(pdf.sort_values("t")[list(XYZ)].to_numpy(float), length)
         return pd.DataFrame({"seq_id": key[0], "t": np.arange(1, length + 1), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
 
-    return df.select("seq_id", "t", *XYZ).groupBy("seq_id").applyInPandas(run, "seq_id long, t long, x double, y double, z double")
+    return spread(df.select("seq_id", "t", *XYZ)).groupBy("seq_id").applyInPandas(run, "seq_id long, t long, x double, y double, z double")

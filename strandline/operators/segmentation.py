@@ -10,8 +10,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.sequence import spread
+
 #: The four views of a point in which a segment may run.
 VIEWS = (lambda x, y: (x, y), lambda x, y: (-x, y), lambda x, y: (-y, -x), lambda x, y: (y, x))
 SEGMENTS = "seq_id long, seg_id long, b long, e long, status string"
@@ -21,102 +24,137 @@ def _turn(o, a, b) -> int:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
 
-class Border:
-    """Upper or lower hull of points whose abscissa never falls."""
+class Run:
+    """One view of a growing piece: the hull's borders, the number of points it takes, and the first that gives it an extent."""
+
+    __slots__ = ("up", "low", "n", "wide", "open")
 
-    def __init__(self, sign: int):
-        self.sign, self.p = sign, []
+    def __init__(self):
+        self.up, self.low, self.n, self.wide, self.open = [], [], 0, 0, True
 
-    def add(self, q) -> None:
-        p, s = self.p, self.sign
-        if p and q[0] == p[-1][0]:
-            if s * (q[1] - p[-1][1]) <= 0:
+    def add(self, q: tuple[int, int], width: int) -> None:
+        """Take q unless its abscissa falls or the borders come to stand ``width`` apart; then the view is closed."""
+        up, low = self.up, self.low
+        if up:
+            if q[0] < up[-1][0]:
+                self.open = False
                 return
-            if len(p) == 1:
-                p[0] = q
+            _extend(up, q, 1)
+            _extend(low, q, -1)
+            if not (_near(up, low, width) and _near(low, up, width)):
+                self.open = False
                 return
-        while len(p) > 1 and s * _turn(p[-2], p[-1], q) >= 0:
-            p.pop()
-        p.append(q)
-
-
-def height(upper: list, lower: list) -> tuple[int, int]:
-    """Largest vertical distance of the borders, as a fraction: it is met above a vertex of either."""
-    best = (0, 1)
-    for own, other in ((upper, lower), (lower, upper)):
-        k = 0
-        for x, y in own:
-            while k + 2 < len(other) and other[k + 1][0] < x:
-                k += 1
-            a, b = other[k], other[min(k + 1, len(other) - 1)]
-            if b[0] == a[0]:
-                n, d = abs(y - (a[1] if x == a[0] else b[1])), 1
-            else:
-                n, d = abs((y - a[1]) * (b[0] - a[0]) - (b[1] - a[1]) * (x - a[0])), b[0] - a[0]
-            if n * best[1] > best[0] * d:
-                best = (n, d)
-    return best
+            if not self.wide and up[0][0] != up[-1][0]:
+                self.wide = self.n
+        else:
+            up.append(q)
+            low.append(q)
+        self.n += 1
+
+
+def _extend(p: list[tuple[int, int]], q: tuple[int, int], sign: int) -> None:
+    """The upper (1) or lower (-1) border of a hull, with a point at its right end."""
+    if q[0] == p[-1][0]:
+        if sign * (q[1] - p[-1][1]) <= 0:
+            return
+        if len(p) == 1:
+            p[0] = q
+            return
+    while len(p) > 1 and sign * _turn(p[-2], p[-1], q) >= 0:
+        p.pop()
+    p.append(q)
+
+
+def _near(own: list[tuple[int, int]], other: list[tuple[int, int]], width: int) -> bool:
+    """Do the vertices of the other border stand less than ``width`` from the last edge of this one? All before did."""
+    bx, by = own[-1]
+    if len(own) == 1:
+        return abs(by - other[-1][1]) < width
+    ax, ay = own[-2]
+    dx, dy = bx - ax, by - ay
+    for k in range(len(other) - 1, -1, -1):
+        x, y = other[k]
+        if x < ax:
+            break
+        if abs((y - ay) * dx - dy * (x - ax)) >= width * dx:
+            return False
+    return True
 
 
-def longest_prefix(points: list[tuple[int, int]], width: int, recheck: bool = False) -> int:
+class Piece:
+    """A growing piece of an integer curve in both projections, each in all views."""
+
+    def __init__(self, views: list[list[list[tuple[int, int]]]], begin: int, end: int, width: int, recheck: bool):
+        self.views, self.width, self.recheck, self.size = views, width, recheck, end - begin
+        self.runs = [[Run() for _ in v] for v in views]
+        for runs, each in zip(self.runs, views, strict=True):
+            for run, points in zip(runs, each, strict=True):
+                for k in range(begin, end):
+                    run.add(points[k], width)
+                    if not run.open:
+                        break
+
+    def add(self, k: int) -> None:
+        self.size += 1
+        for runs, each in zip(self.runs, self.views, strict=True):
+            for run, points in zip(runs, each, strict=True):
+                if run.open:
+                    run.add(points[k], self.width)
+
+    def accepted(self) -> int:
+        """Longest prefix that both projections accept; a projection without extent has none of its own."""
+        return min(prefix(runs, self.recheck) or self.size + 1 for runs in self.runs)
+
+
+def prefix(runs: list[Run], recheck: bool) -> int:
     """Length of the longest prefix that is a blurred segment; 0 if none has an extent.
 
     Views share their best: once some view has an extent, another that reaches as far extends it without one of its own, unless
     ``recheck``.
     """
     best = 0
-    for view in VIEWS:
-        up, down, last = Border(1), Border(-1), None
-        for k, (x, y) in enumerate(points):
-            q = view(int(x), int(y))
-            if last is not None and q[0] < last:
-                break
-            last = q[0]
-            up.add(q)
-            down.add(q)
-            n, d = height(up.p, down.p)
-            if n >= width * d:
-                break
-            wide = up.p[0][0] != up.p[-1][0]
-            if best == 0 and wide:
-                best = 1
-            if best > 0 and k >= best and (wide or not recheck):
-                best = k + 1
+    for r in runs:
+        if best == 0:
+            best = r.n if r.wide else 0
+        elif not recheck or r.wide and r.n > r.wide:
+            best = max(best, r.n)
     return best
 
 
-def _accepts(g: np.ndarray, width: int, recheck: bool) -> int:
-    """Longest prefix of a piece that both of its projections accept; a piece without extent has none of its own."""
-    n = []
-    for axes in ((0, 1), (0, 2)):
-        k = longest_prefix([(p[axes[0]], p[axes[1]]) for p in g.tolist()], width, recheck)
-        n.append(len(g) + 1 if k == 0 else k)
-    return min(n)
+def longest_prefix(points: list[tuple[int, int]], width: int, recheck: bool = False) -> int:
+    return prefix(Piece([[[view(int(x), int(y)) for x, y in points] for view in VIEWS]], 0, len(points), width, recheck).runs[0], recheck)
 
 
 def segments(g: np.ndarray, width: int, recheck: bool = False) -> list[tuple[int, int]]:
     """Overlapping maximal segments (1-based, inclusive) of an integer curve: grow, then slide the begin until the piece
     is accepted again. The last one ends before the last point if the curve ends while it grows.
+
+    A piece grows by one point a step in each view; only a begin that slides starts it anew.
     """
     n = len(g)
     if n < 2:
         return []
-    out, b, k = [], 1, 1
-    first = None
+    rows = g.tolist()
+    views = [[[view(p[0], p[axis]) for p in rows] for view in VIEWS] for axis in (1, 2)]
+    out, b, k, first = [], 1, 1, 0
+    piece = Piece(views, 0, 1, width, recheck)
     while k < n:
+        piece.add(k)
         k += 1
-        first = _accepts(g[:k], width, recheck)
+        first = piece.accepted()
         if first < k:
             break
     out.append((1, min(first, n)))
     while k < n:
         while b < k:
             b += 1
-            if b == k or _accepts(g[b - 1 : k], width, recheck) == k - b + 1:
+            piece = Piece(views, b - 1, k, width, recheck)
+            if b == k or piece.accepted() == k - b + 1:
                 break
         while k < n:
+            piece.add(k)
             k += 1
-            if _accepts(g[b - 1 : k], width, recheck) < k - b + 1:
+            if piece.accepted() < k - b + 1:
                 break
         out.append((b, k - 1))
     return out
@@ -132,7 +170,7 @@ def maximal_segments(grid: DataFrame, width: int = 5, recheck: bool = False) ->
             return pd.DataFrame({"seq_id": [key[0]], "seg_id": [0], "b": [0], "e": [0], "status": ["short"]})
         return pd.DataFrame({"seq_id": key[0], "seg_id": range(1, len(s) + 1), "b": [x for x, _ in s], "e": [y for _, y in s], "status": "ok"})
 
-    return grid.groupBy("seq_id").applyInPandas(run, SEGMENTS)
+    return spread(grid).groupBy("seq_id").applyInPandas(run, SEGMENTS)
 
 
 def local_descriptor(df: DataFrame, width: int = 5, mean: DataFrame | None = None) -> DataFrame:
@@ -149,6 +187,8 @@ def local_descriptor(df: DataFrame, width: int = 5, mean: DataFrame | None = Non
         grid = sequence.grid_mean(kept.join(mean, "seq_id"), F.col("mean_dist"))
     seg = maximal_segments(grid, width).filter("status = 'ok'")
     keys = geometry.key_points(kept, seg)
-    frame = geometry.frames(kept, keys).filter("status <> 'degenerate'").join(kept.select("seq_id", "t", "orig_t"), ["seq_id", "t"])
+    # through a window no filter is pushed into the frames, whose algebra would be copied into it
+    own = F.first("status").over(W.partitionBy("seq_id").orderBy("t").rowsBetween(0, 0))
+    frame = geometry.frames(kept, keys).withColumn("own", own).filter("own <> 'degenerate'").drop("own", "status").join(kept.select("seq_id", "t", "orig_t"), ["seq_id", "t"])
     full = sequence.fill_repeats(df, frame.drop("t"), *geometry.AXES)
     return geometry.rotation_velocity(df, full)

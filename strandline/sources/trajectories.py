@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.sequence import spread
+
 
 def from_events(events: DataFrame) -> DataFrame:
-    """The driver's event stream as trajectories: a sequence a user, ordered by time."""
-    t = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events.select(
-        F.col("user_id").alias("seq_id"),
+    """The driver's event stream as trajectories: a sequence a user, ordered by time.
+
+    Dealt by sequence once, so that what follows on sequences shuffles no more.
+    """
+    e = spread(events.select(F.col("user_id").alias("seq_id"), "ts", "event_id", "value", "props"))
+    t = F.row_number().over(W.partitionBy("seq_id").orderBy("ts", "event_id"))
+    return e.select(
+        "seq_id",
         t.cast("long").alias("t"),
         F.col("value").alias("x"),
         F.get_json_object("props", "$.k").cast("double").alias("y"),
         F.second("ts").cast("double").alias("z"),
-        (F.col("user_id") % 2).alias("split"),
-        (F.col("user_id") % 12 + 1).alias("label"),
+        (F.col("seq_id") % 2).alias("split"),
+        (F.col("seq_id") % 12 + 1).alias("label"),
     )
 
 
