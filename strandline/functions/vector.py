@@ -95,7 +95,8 @@ def quaternion(m: list[Vec]) -> Vec:
 def l2(a: Column, guard: bool = True) -> Column:
     """An array over its length; with guard a zero vector stays, without it is null."""
     n = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a if guard else F.lit(None))
+    # the length is bound once, not taken anew for every entry
+    return F.get(F.transform(F.array(n), lambda m: F.when(m > 0, F.transform(a, lambda x: x / m)).otherwise(a if guard else F.lit(None))), F.lit(0))
 
 
 def one_hot(label: Column, classes: int) -> Column:

@@ -6,12 +6,16 @@ Features are an array column ``features``, labels integers 1..C in ``label``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _sums(df: DataFrame, size: int, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -21,9 +25,9 @@ def _sums(df: DataFrame, size: int, f: Callable[[np.ndarray, np.ndarray], np.nda
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column("features").to_pylist(), float)
-                total += f(x, np.asarray(b.column("label")))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "v"])
+                total += f(_rows(b), np.asarray(b.column("label")))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "v"])
 
     got = df.select("features", "label").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
@@ -32,6 +36,10 @@ def _sums(df: DataFrame, size: int, f: Callable[[np.ndarray, np.ndarray], np.nda
     return out
 
 
+def _rows(batch) -> np.ndarray:
+    return batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+
+
 def conjugate_gradient(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 100, tol: float = 1e-9) -> tuple[np.ndarray, list[float]]:
     """Polak-Ribiere directions with a backtracking and expanding line search; returns x and the values so far."""
     v, g = f(x)
@@ -121,20 +129,48 @@ def mixed_norm(theta: np.ndarray, groups: list[np.ndarray], lam1: float, lam2: f
     return float(value), g
 
 
-def fit_ridge(df: DataFrame, classes: int, lam: float = 1.0) -> np.ndarray:
-    """Weights (features, classes) of the ridge regression on one-hot labels, by the normal equations."""
+#: Features up to which ridge regression is solved by its normal equations; beyond, the Gram matrix would be large in every task.
+NORMAL = 1024
+
+
+def fit_ridge(df: DataFrame, classes: int, lam: float = 1.0, rounds: int = 200) -> np.ndarray:
+    """Weights (features, classes) of the ridge regression on one-hot labels, by the normal equations or, of many
+    features, by conjugate gradients on them: products with X'X + lam I alone, a pass over the rows each.
+    """
     d = len(df.select("features").first()[0])
 
     def f(x, y):
         return np.concatenate([(x.T @ x).ravel(), (x.T @ np.eye(classes)[y - 1]).ravel()])
 
-    v = _sums(df, d * d + d * classes, f)
-    return np.linalg.solve(v[: d * d].reshape(d, d) + lam * np.eye(d), v[d * d :].reshape(d, classes))
+    if d <= NORMAL:
+        v = _sums(df, d * d + d * classes, f)
+        return np.linalg.solve(v[: d * d].reshape(d, d) + lam * np.eye(d), v[d * d :].reshape(d, classes))
+    df = df.select("features", "label").persist()
+    try:
+        r = _sums(df, d * classes, lambda x, y: (x.T @ np.eye(classes)[y - 1]).ravel()).reshape(d, classes)
+        theta, p, square = np.zeros((d, classes)), r.copy(), (r**2).sum(0)
+        start = square.copy()
+        for _ in range(rounds):
+            live = square > 1e-20 * np.maximum(start, 1e-300)
+            if not live.any():
+                break
+            q = _sums(df, d * classes, lambda x, y, p=p: (x.T @ (x @ p)).ravel()).reshape(d, classes) + lam * p
+            step = np.where(live, square / np.maximum((p * q).sum(0), 1e-300), 0.0)
+            theta, r = theta + step * p, r - step * q
+            new = (r**2).sum(0)
+            p, square = r + np.where(live, new / np.maximum(square, 1e-300), 0.0) * p, new
+    finally:
+        df.unpersist()
+    return theta
+
 
+def fit_mixed(df: DataFrame, classes: int, groups: list[np.ndarray], lam1: float, lam2: float, rounds: int = 30, checkpoint: str | None = None, every: int = 5) -> tuple[np.ndarray, list[float]]:
+    """Least squares with the mixed norm, by conjugate gradients.
 
-def fit_mixed(df: DataFrame, classes: int, groups: list[np.ndarray], lam1: float, lam2: float, rounds: int = 30) -> tuple[np.ndarray, list[float]]:
-    """Least squares with the mixed norm, by conjugate gradients."""
-    d = len(df.select("features").first()[0])
+    With ``checkpoint`` the weights and the number of rounds done are written there every few rounds, and a later call goes on
+    from them.
+    """
+    spark, d = df.sparkSession, len(df.select("features").first()[0])
     df = df.select("features", "label").persist()
 
     def f(t):
@@ -144,12 +180,81 @@ def fit_mixed(df: DataFrame, classes: int, groups: list[np.ndarray], lam1: float
         return v + m, (g + h).ravel()
 
     try:
-        x, values = conjugate_gradient(f, np.full(d * classes, 1e-3), rounds)
+        done, x, values = 0, np.full(d * classes, 1e-3), []
+        if checkpoint and (kept := load_weights(spark, checkpoint)):
+            done, x = kept[0], kept[1].ravel()
+        while done < rounds:
+            n = min(every, rounds - done) if checkpoint else rounds - done
+            x, more = conjugate_gradient(f, x, n)
+            values, done = values + more[bool(values) :], done + n
+            if checkpoint:
+                save_weights(spark, checkpoint, done, x.reshape(d, classes))
+            if len(more) <= n:
+                break
     finally:
         df.unpersist()
     return x.reshape(d, classes), values
 
 
+def fit_two(df: DataFrame, first: str, second: str, classes: int, lam1: float, lam2: float, **settings) -> tuple[np.ndarray, list[float]]:
+    """Mixed-norm regression on two modalities (array columns) side by side, each a group of its own."""
+    a, b = (len(df.select(c).first()[0]) for c in (first, second))
+    both = df.select(F.concat(first, second).alias("features"), "label")
+    return fit_mixed(both, classes, [np.arange(a), np.arange(a, a + b)], lam1, lam2, **settings)
+
+
+def fit_batches(df: DataFrame, classes: int, groups: list[np.ndarray], lam1: float, lam2: float, size: int = 256, epochs: int = 40, seed: int = 1) -> np.ndarray:
+    """Mini-batch training: in each epoch every batch of ``size`` rows takes one conjugate-gradient step from the weights so far.
+
+    Batches follow one another, so they stream through the driver, one at a time, in a fixed pseudo-random order of the rows.
+    """
+    d = len(df.select("features").first()[0])
+    rows = df.select("features", "label").withColumn("_o", F.xxhash64(F.lit(seed), "features", "label")).orderBy("_o").select("features", "label").persist()
+    theta = np.full((d, classes), 1e-3)
+    try:
+        for _ in range(epochs):
+            held = []
+            for r in rows.toLocalIterator(prefetchPartitions=True):
+                held.append(r)
+                if len(held) == size:
+                    theta = _step(theta, held, groups, lam1, lam2)
+                    held = []
+            if held:
+                theta = _step(theta, held, groups, lam1, lam2)
+    finally:
+        rows.unpersist()
+    return theta
+
+
+def _step(theta: np.ndarray, rows: list, groups: list[np.ndarray], lam1: float, lam2: float) -> np.ndarray:
+    x, y = np.array([r["features"] for r in rows], float), np.eye(theta.shape[1])[np.array([r["label"] for r in rows]) - 1]
+
+    def f(t):
+        t = t.reshape(theta.shape)
+        e = x @ t - y
+        m, h = mixed_norm(t, groups, lam1, lam2)
+        return float((e**2).sum() + m), (2 * x.T @ e + h).ravel()
+
+    return conjugate_gradient(f, theta.ravel(), 1)[0].reshape(theta.shape)
+
+
+def save_weights(spark: SparkSession, path: str, rounds: int, theta: np.ndarray) -> None:
+    """One row a feature under a folder a number of rounds: an older one stays whole while a newer is written."""
+    spark.createDataFrame([(i, list(map(float, w))) for i, w in enumerate(theta)], "d long, w array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/rounds={rounds}")
+
+
+def load_weights(spark: SparkSession, path: str) -> tuple[int, np.ndarray] | None:
+    """The rounds and weights of the latest checkpoint that was finished, if any."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(top)] if files.exists(top) else []
+    done = [int(x.split("=")[1]) for x in names if x.startswith("rounds=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS"))]
+    if not done:
+        return None
+    rows = spark.read.parquet(f"{path}/rounds={max(done)}").orderBy("d").collect()
+    return max(done), np.array([r["w"] for r in rows])
+
+
 def fit_squared_hinge(df: DataFrame, classes: int, lam: float = 1e-3, rounds: int = 40) -> np.ndarray:
     """One-versus-rest weights (features + 1, classes): sum of max(0, 1 - y f)^2 + lam |w|^2, the bias free."""
     d = len(df.select("features").first()[0])
@@ -176,12 +281,17 @@ def fit_squared_hinge(df: DataFrame, classes: int, lam: float = 1e-3, rounds: in
 
 
 def predict(df: DataFrame, theta: np.ndarray, bias: np.ndarray | None = None) -> DataFrame:
-    """prediction: the class of the first largest score."""
-    cols = F.array(*(F.array(*map(F.lit, map(float, c))) for c in theta.T))
-    b = F.array(*(F.lit(float(x)) for x in (bias if bias is not None else np.zeros(theta.shape[1]))))
-    dots = F.transform(cols, lambda w: F.aggregate(F.zip_with("features", w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-    scores = F.zip_with(dots, b, lambda x, y: x + y)
-    return df.withColumn("scores", scores).withColumn("prediction", F.array_position("scores", F.array_max("scores")).cast("int"))
+    """scores and prediction, the class of the first largest score; the weights go to the tasks as one array."""
+    b0 = np.zeros(theta.shape[1]) if bias is None else np.asarray(bias, float)
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                s = _rows(part) @ theta + b0
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(s), pa.list_(pa.float64())), pa.array(s.argmax(1).astype(np.int32) + 1)], [*part.schema.names, "scores", "prediction"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("prediction", T.IntegerType())]))
 
 
 # library classifiers
@@ -193,33 +303,122 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("vec", array_to_vector(F.col("features").cast("array<double>"))).withColumn("y", F.col("label").cast("double"))
 
 
-def fit_pairwise_svm(df: DataFrame, c: float = 1.0, rounds: int = 50) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
-    """A linear hinge machine for each pair of classes."""
+def fit_pairwise_svm(df: DataFrame, c: float = 1.0, rounds: int = 50, parallel: int = 8) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
+    """A linear hinge machine for each pair of classes; ``parallel`` pairs are fitted at a time, each by jobs of its own."""
     from pyspark.ml.classification import LinearSVC
 
     d = _vectors(df).select("vec", "label").persist()
-    out = {}
     try:
         sizes = {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}
-        for a, b in combinations(sorted(sizes), 2):
+
+        def one(pair):
+            a, b = pair
             two = d.filter(F.col("label").isin(a, b)).withColumn("y", (F.col("label") == a).cast("double"))
             m = LinearSVC(featuresCol="vec", labelCol="y", maxIter=rounds, standardization=False, regParam=1.0 / (c * (sizes[a] + sizes[b]))).fit(two)
-            out[a, b] = (m.coefficients.toArray(), m.intercept)
+            return pair, (m.coefficients.toArray(), m.intercept)
+
+        with ThreadPoolExecutor(parallel) as pool:
+            return dict(pool.map(inheritable_thread_target(df.sparkSession)(one), list(combinations(sorted(sizes), 2))))
     finally:
         d.unpersist()
-    return out
 
 
-def predict_pairwise(df: DataFrame, machines: dict) -> DataFrame:
-    """prediction: most votes, the lowest class of equals."""
+def fit_sigmoids(df: DataFrame, machines: dict, rounds: int = 100) -> dict[tuple[int, int], tuple[float, float]]:
+    """A and B of P(first of a pair | score s) = 1 / (1 + exp(A s + B)) for each pair, by Newton's method on smoothed targets.
+
+    The rows of a pair are summed to two gradients and three curvatures a round; all pairs take their rounds together.
+    """
+    pairs = sorted(machines)
+    w, w0 = np.array([machines[p][0] for p in pairs]).T, np.array([machines[p][1] for p in pairs])
+    first, second = (np.array([p[i] for p in pairs]) for i in (0, 1))
+    df = df.select("features", "label").persist()
+    try:
+        n = _sums(df, 2 * len(pairs), lambda x, y: np.concatenate([(y[:, None] == first).sum(0), (y[:, None] == second).sum(0)]).astype(float))
+        n1, n2 = n[: len(pairs)], n[len(pairs) :]
+        a, b = np.zeros(len(pairs)), np.log((n2 + 1) / (n1 + 1))
+
+        def sums(a, b):
+            def f(x, y):
+                own, s = (y[:, None] == first) | (y[:, None] == second), x @ w + w0
+                t = np.where(y[:, None] == first, (n1 + 1) / (n1 + 2), 1 / (n2 + 2))
+                z = a * s + b
+                p = 1 / (1 + np.exp(np.clip(z, -500, 500)))
+                loss = t * z + np.logaddexp(0, -z)
+                q, e = p * (1 - p), t - p
+                return np.concatenate([(own * v).sum(0) for v in (loss, e * s, e, q * s * s, q * s, q)])
+
+            return _sums(df, 6 * len(pairs), f).reshape(6, -1)
+
+        loss, ga, gb, haa, hab, hbb = sums(a, b)
+        for _ in range(rounds):
+            if max(np.abs(ga).max(), np.abs(gb).max()) < 1e-5:
+                break
+            haa, hbb = haa + 1e-12, hbb + 1e-12
+            det = np.maximum(haa * hbb - hab * hab, 1e-300)
+            da, db = -(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det
+            step = np.ones(len(pairs))
+            for _ in range(20):
+                new = sums(a + step * da, b + step * db)
+                worse = new[0] > loss + 1e-4 * step * (ga * da + gb * db) + 1e-12
+                if not worse.any():
+                    break
+                step = np.where(worse, step / 2, step)
+            a, b = a + step * da, b + step * db
+            loss, ga, gb, haa, hab, hbb = new
+    finally:
+        df.unpersist()
+    return {p: (float(x), float(y)) for p, x, y in zip(pairs, a, b, strict=True)}
+
+
+def coupled(r: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Class probabilities p (rows, classes) from pairwise ones r (rows, i, j): P(i | i or j).
+
+    The minimum of the sum over pairs of (r_ji p_i - r_ij p_j)^2 on the simplex, by its fixed-point iteration.
+    """
+    n, k, _ = r.shape
+    q = -np.swapaxes(r, 1, 2) * r
+    at = np.arange(k)
+    q[:, at, at] = (np.swapaxes(r, 1, 2) ** 2).sum(2) - np.swapaxes(r, 1, 2)[:, at, at] ** 2
+    p = np.full((n, k), 1 / k)
+    for _ in range(rounds):
+        qp = np.einsum("nij,nj->ni", q, p)
+        if np.abs(qp - (p * qp).sum(1, keepdims=True)).max() < 0.005 / k / 100:
+            break
+        for i in range(k):
+            qp = np.einsum("nij,nj->ni", q, p)
+            diff = ((p * qp).sum(1) - qp[:, i]) / np.maximum(q[:, i, i], 1e-300)
+            p[:, i] += diff
+            p /= (1 + diff)[:, None]
+    return p
+
+
+def predict_pairwise(df: DataFrame, machines: dict, sigmoids: dict | None = None) -> DataFrame:
+    """prediction: most votes, the lowest class of equals; with sigmoids, the largest of the coupled probabilities (also given)."""
     classes = sorted({k for p in machines for k in p})
-    votes = {k: F.lit(0) for k in classes}
-    for (a, b), (w, w0) in machines.items():
-        s = F.aggregate(F.zip_with("features", F.array(*map(F.lit, map(float, w))), lambda x, y: x * y), F.lit(float(w0)), lambda t, x: t + x)
-        votes[a] = votes[a] + F.when(s >= 0, 1).otherwise(0)
-        votes[b] = votes[b] + F.when(s < 0, 1).otherwise(0)
-    v = F.array(*(votes[k] for k in classes))
-    return df.withColumn("prediction", F.get(F.array(*map(F.lit, classes)), F.array_position(v, F.array_max(v)).cast("int") - 1))
+    pairs, place = sorted(machines), {c: k for k, c in enumerate(classes)}
+    w, w0 = np.array([machines[p][0] for p in pairs]).T, np.array([machines[p][1] for p in pairs])
+    first, second = (np.array([place[p[i]] for p in pairs]) for i in (0, 1))
+    ab = np.array([sigmoids[p] for p in pairs]) if sigmoids else None
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                s = _rows(part) @ w + w0
+                if ab is None:
+                    score = np.zeros((len(s), len(classes)))
+                    for j in range(len(pairs)):
+                        score[np.arange(len(s)), np.where(s[:, j] >= 0, first[j], second[j])] += 1
+                else:
+                    p = np.clip(1 / (1 + np.exp(np.clip(s * ab[:, 0] + ab[:, 1], -500, 500))), 1e-7, 1 - 1e-7)
+                    r = np.zeros((len(s), len(classes), len(classes)))
+                    r[:, first, second], r[:, second, first] = p, 1 - p
+                    score = coupled(r)
+                out = [pa.array(np.array(classes, np.int32)[score.argmax(1)])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *([] if ab is None else [pa.array(list(score), pa.list_(pa.float64()))]), *out], [*part.schema.names, *([] if ab is None else ["probabilities"]), "prediction"])
+
+    more = [] if ab is None else [T.StructField("probabilities", T.ArrayType(T.DoubleType()))]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *more, T.StructField("prediction", T.IntegerType())]))
 
 
 def fit_forest(df: DataFrame, trees: int = 200, depth: int = 10, seed: int = 1):
@@ -232,6 +431,30 @@ def predict_forest(df: DataFrame, model) -> DataFrame:
     return model.transform(_vectors(df)).withColumn("prediction", F.col("prediction").cast("int")).drop("vec", "y", "rawPrediction", "probability")
 
 
+def out_of_bag(df: DataFrame, trees: int = 200, depth: int = 10, seed: int = 1, id_col: str = "vec_id", share: int = 1000, parallel: int = 8) -> float:
+    """Accuracy of each row's vote among the trees that did not see it.
+
+    A row is in tree k's sample by a fixed hash, with probability 1 - 1/e, as one of a bootstrap is; ``parallel`` trees are fitted at a time.
+    """
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    d = _vectors(df).select(F.col(id_col).alias("id"), "vec", "y").persist()
+
+    def tree(k):
+        out = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(share)) < int(share / np.e)
+        m = DecisionTreeClassifier(featuresCol="vec", labelCol="y", impurity="entropy", maxDepth=depth, seed=seed + k).fit(d.filter(~out))
+        return m.transform(d.filter(out)).select("id", "y", "prediction")
+
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            votes = reduce(DataFrame.unionAll, pool.map(inheritable_thread_target(df.sparkSession)(tree), range(trees)))
+        n = votes.groupBy("id", "y", "prediction").agg(F.count("*").alias("n"))
+        best = n.groupBy("id", "y").agg(F.max_by("prediction", F.struct("n", -F.col("prediction"))).alias("p"))
+        return best.agg(F.avg((F.col("y") == F.col("p")).cast("double"))).first()[0]
+    finally:
+        d.unpersist()
+
+
 # evaluation
 
 

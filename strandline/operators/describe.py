@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions import vector as V
 from strandline.operators import encoding, integral, pairwise, segmentation, sequence
 
 METHODS = ("local", "differential", "integral", "velocity", "similarity", "similarity_gradients", "shape")
@@ -28,15 +28,20 @@ def describe(df: DataFrame, method: str) -> DataFrame:
             return integral.similarity_gradients(s).select("seq_id", "t", F.col("hog").alias("d"))
         return s.groupBy("seq_id", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "s"))), lambda x: x["s"]).alias("d"))
     elif method == "shape":
-        b = pairwise.shape_context(pairwise.shape_bins(df, pairwise.mean_distance(df)))
-        i = ((F.col("radius") - 1) * 9 + F.col("alpha") - 1) * 18 + F.col("theta") - 1
-        m = b.groupBy("seq_id", "t").agg(F.map_from_entries(F.collect_list(F.struct(i.cast("int"), "cnt"))).alias("m"))
+        m = _shape(df).groupBy("seq_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("i", "cnt"))).alias("m"))
         d = m.select("seq_id", "t", F.transform(F.sequence(F.lit(0), F.lit(809)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double")).alias("d"))
     else:
         raise ValueError(f"method is one of {', '.join(METHODS)}")
     return sequence.trim(d)
 
 
+def _shape(df: DataFrame) -> DataFrame:
+    """Shape contexts in long form: (seq_id, t, i, cnt), i the place of a bin among the 810."""
+    b = pairwise.shape_context(pairwise.shape_bins(df, pairwise.mean_distance(df)))
+    i = ((F.col("radius") - 1) * 9 + F.col("alpha") - 1) * 18 + F.col("theta") - 1
+    return b.select("seq_id", "t", i.cast("int").alias("i"), "cnt")
+
+
 def two_hands(left: DataFrame, right: DataFrame, method: str) -> DataFrame:
     """Both hands' descriptors of a frame, one after the other."""
     r = describe(right, method).select("seq_id", "t", F.col("d").alias("_r"))
@@ -45,11 +50,11 @@ def two_hands(left: DataFrame, right: DataFrame, method: str) -> DataFrame:
 
 def shape_pyramid(df: DataFrame, guard: bool = False) -> DataFrame:
     """Summed shape contexts of every pyramid bin, in long form, and the sequence's unit length; without guard a zero vector is null."""
-    d = encoding.pyramid(describe(df, "shape"))
-    c = d.select("seq_id", "level", "bin", F.posexplode("d").alias("i", "v")).filter("v <> 0").groupBy("seq_id", "level", "bin", "i").agg(F.sum("v").alias("val"))
-    a = c.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("level", "bin", "i", "val"))).alias("a"))
-    a = a.withColumn("u", V.l2(F.transform("a", lambda x: x["val"]), guard))
-    return a.select("seq_id", F.explode(F.arrays_zip("a", "u")).alias("x")).select("seq_id", "x.a.level", "x.a.bin", "x.a.i", F.col("x.u").alias("val"))
+    h = _shape(df)
+    bins = encoding.pyramid(sequence.trim(h.select("seq_id", "t").distinct()))
+    c = h.join(bins, ["seq_id", "t"]).groupBy("seq_id", "level", "bin", "i").agg(F.sum("cnt").cast("double").alias("val"))
+    size = F.sqrt(F.sum(F.col("val") * F.col("val")).over(W.partitionBy("seq_id")))
+    return c.withColumn("val", F.when(size > 0, F.col("val") / size).otherwise(F.col("val") if guard else F.lit(None)))
 
 
 def shuffled(df: DataFrame, seed: int) -> DataFrame:

@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import vector as V
 from strandline.operators.sequence import whole
@@ -65,6 +66,7 @@ def stratified_sample(df: DataFrame, total: int, sequences: int | None = None, a
 
 def fill_to_quota(df: DataFrame, total: int, *names: str, most: int = 20) -> DataFrame:
     """Samples without zero rows until there are total rows; stops with an error after ``most`` passes."""
+    total = max(total, df.select("seq_id").distinct().count())  # a row a sequence at least
     out, have = None, 0
     for k in range(most):
         batch = drop_zero(stratified_sample(df, total, a=7919 + 2 * k), *names)
@@ -77,40 +79,98 @@ def fill_to_quota(df: DataFrame, total: int, *names: str, most: int = 20) -> Dat
     raise ValueError("the sample cannot be filled: all rows are zero")
 
 
-def _log_density(x: list[Column], mean: list[float], var: list[float], prior: float) -> Column:
-    out = F.lit(math.log(prior) - 0.5 * sum(math.log(2 * math.pi * v) for v in var))
-    for c, m, v in zip(x, mean, var, strict=True):
-        out = out - (c - m) * (c - m) / (2 * v)
+Mixture = list[tuple[float, list[float], list[float]]]
+
+
+def _matrix(batch, names: list[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names])
+
+
+def _leaves(batch, names: list[str]) -> list[pa.Array]:
+    """Columns, structs as their fields."""
+    out, stack = [], [batch.column(c) for c in reversed(names)]
+    while stack:
+        c = stack.pop()
+        if pa.types.is_struct(c.type):
+            stack += reversed(c.flatten())
+        else:
+            out.append(c)
     return out
 
 
-def posteriors(df: DataFrame, names: list[str], gmm: list[tuple[float, list[float], list[float]]], floor: float = 0.0) -> DataFrame:
+def _posteriors(x: np.ndarray, gmm: Mixture) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times components, and each row's log-likelihood."""
+    prior, mean, var = (np.array(c, float) for c in zip(*gmm, strict=True))
+    logs = np.log(prior) - 0.5 * np.log(2 * np.pi * var).sum(1)
+    logs = logs[None, :] - 0.5 * ((x**2) @ (1 / var).T - 2 * x @ (mean / var).T + (mean**2 / var).sum(1))
+    top = logs.max(1, keepdims=True)
+    q = np.exp(logs - top)
+    total = q.sum(1, keepdims=True)
+    return q / total, (top + np.log(total))[:, 0]
+
+
+def posteriors(df: DataFrame, names: list[str], gmm: Mixture, floor: float = 0.0) -> DataFrame:
     """Frames times components, in long form: k and q."""
-    x = [F.col(c) for c in names]
-    logs = [_log_density(x, m, v, p) for p, m, v in gmm]
-    d = df.withColumns({f"_l{k}": e for k, e in enumerate(logs)})
-    top = F.greatest(*(F.col(f"_l{k}") for k in range(len(gmm)))) if len(gmm) > 1 else F.col("_l0")
-    d = d.withColumn("_top", top)
-    total = sum((F.exp(F.col(f"_l{k}") - F.col("_top")) for k in range(len(gmm))), F.lit(0.0))
-    each = F.array(*(F.exp(F.col(f"_l{k}") - F.col("_top")) / total for k in range(len(gmm))))
-    d = d.select(*[c for c in d.columns if not c.startswith("_l") and c != "_top"], F.posexplode(each).alias("k", "q"))
-    return d.withColumn("q", F.when(F.col("q") < floor, 0.0).otherwise(F.col("q")))
 
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                q, _ = _posteriors(_matrix(part, names), gmm)
+                q[q < floor] = 0.0
+                rows = part.take(pa.array(np.repeat(np.arange(len(q)), len(gmm))))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.tile(np.arange(len(gmm), dtype=np.int32), len(q))), pa.array(q.ravel())], [*rows.schema.names, "k", "q"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("k", T.IntegerType()), T.StructField("q", T.DoubleType())]))
 
-def fisher(df: DataFrame, names: list[str], gmm: list, by: list[str]) -> DataFrame:
-    """Improved Fisher vector of each group in long form: (by, part u or v, k, d, val), signed root and unit length.
 
-    Sums are combined before the shuffle; a frame costs one row a component and no more.
+def moments(df: DataFrame, names: list[str], gmm: Mixture, by: list[str], floor: float = 0.0) -> DataFrame:
+    """(by, k): n rows, sums of q, of q z and of q z^2 for z = (x - mean) / deviation, and of the log-likelihood once a group.
+
+    The mixture goes to the tasks as arrays. Each batch is summed by group and component before the shuffle.
     """
-    q = posteriors(df, names, gmm, 1e-6)
-    mean = F.array(*(F.array(*map(F.lit, m)) for _, m, _ in gmm))
-    dev = F.array(*(F.array(*(F.lit(math.sqrt(x)) for x in v)) for _, _, v in gmm))
-    prior = F.array(*(F.lit(p) for p, _, _ in gmm))
-    for j, c in enumerate(names):
-        q = q.withColumn(f"_z{j}", (F.col(c) - F.get(F.get(mean, "k"), F.lit(j))) / F.get(F.get(dev, "k"), F.lit(j)))
-    sums = q.groupBy(*by, "k").agg(F.count("*").alias("n"), *(F.sum(F.col("q") * F.col(f"_z{j}")).alias(f"u{j}") for j in range(len(names))), *(F.sum(F.col("q") * (F.col(f"_z{j}") * F.col(f"_z{j}") - 1)).alias(f"v{j}") for j in range(len(names))))
-    w = F.get(prior, "k")
-    cells = F.array(*(F.struct(F.lit("u").alias("part"), F.lit(j).alias("d"), (F.col(f"u{j}") / (F.col("n") * F.sqrt(w))).alias("val")) for j in range(len(names))), *(F.struct(F.lit("v").alias("part"), F.lit(j).alias("d"), (F.col(f"v{j}") / (F.col("n") * F.sqrt(2 * w))).alias("val")) for j in range(len(names))))
+    width = 2 + 2 * len(names)
+
+    def run(batches):
+        mean, dev = np.array([m for _, m, _ in gmm], float), np.sqrt(np.array([v for _, _, v in gmm], float))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = np.zeros(b.num_rows, np.int64)
+            for c in _leaves(b, by):  # each column's codes, mixed into one number
+                codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                group = np.unique(group * (codes.max() + 1) + codes, return_inverse=True)[1]
+            n = int(group.max()) + 1
+            first = np.full(n, b.num_rows)
+            np.minimum.at(first, group, np.arange(b.num_rows))
+            order = np.argsort(group, kind="stable")
+            start = np.searchsorted(group[order], np.arange(n))
+            x = _matrix(b, names)
+            q, ll = _posteriors(x, gmm)
+            q[q < floor] = 0.0
+            sums = np.empty((n, len(gmm), width))
+            sums[:, :, 0] = np.add.reduceat(ll[order], start)[:, None]
+            sums[:, :, 1] = np.add.reduceat(q[order], start)
+            for k in range(len(gmm)):
+                z = (x - mean[k]) / dev[k]
+                sums[:, k, 2 : 2 + len(names)] = np.add.reduceat((q[:, k : k + 1] * z)[order], start)
+                sums[:, k, 2 + len(names) :] = np.add.reduceat((q[:, k : k + 1] * z * z)[order], start)
+            count = np.diff(np.append(start, b.num_rows))
+            rows = b.select(by).take(pa.array(np.repeat(first, len(gmm)))).columns if by else []
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(np.tile(np.arange(len(gmm), dtype=np.int32), n)), pa.array(np.repeat(count, len(gmm))), pa.array(list(sums.reshape(-1, width)), pa.list_(pa.float64()))], [*by, "k", "n", "s"])
+
+    schema = T.StructType([*(df.schema[c] for c in by), T.StructField("k", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
+    part = df.select(*by, *names).mapInArrow(run, schema)
+    cells = ["ll", "q", *(f"u{j}" for j in range(len(names))), *(f"v{j}" for j in range(len(names)))]
+    return part.groupBy(*by, "k").agg(F.sum("n").alias("n"), *(F.sum(F.get("s", F.lit(i))).alias(c) for i, c in enumerate(cells)))
+
+
+def fisher(df: DataFrame, names: list[str], gmm: Mixture, by: list[str]) -> DataFrame:
+    """Improved Fisher vector of each group in long form: (by, part u or v, k, d, val), signed root and unit length."""
+    sums = moments(df, names, gmm, by, 1e-6)
+    w = F.get(F.lit([p for p, _, _ in gmm]), "k")
+    dims = range(len(names))
+    cells = F.array(*(F.struct(F.lit("u").alias("part"), F.lit(j).alias("d"), (F.col(f"u{j}") / (F.col("n") * F.sqrt(w))).alias("val")) for j in dims), *(F.struct(F.lit("v").alias("part"), F.lit(j).alias("d"), ((F.col(f"v{j}") - F.col("q")) / (F.col("n") * F.sqrt(2 * w))).alias("val")) for j in dims))
     r = sums.select(*by, "k", F.explode(cells).alias("c")).select(*by, "k", "c.*")
     r = r.withColumn("val", F.signum("val") * F.sqrt(F.abs("val")))
     size = F.sqrt(F.sum(F.col("val") * F.col("val")).over(W.partitionBy(*by)))
@@ -124,29 +184,26 @@ def fisher_pyramid(df: DataFrame, names: list[str], gmm: list, levels: tuple[int
     return f.withColumn("val", F.when(n > 0, F.col("val") / n).otherwise(0.0))
 
 
-def em_step(df: DataFrame, names: list[str], gmm: list, floor: float = 1e-6) -> DataFrame:
-    """One pass: k, prior, and mean and variance of each dimension, from combinable sums."""
-    q = posteriors(df, names, gmm)
-    s = q.groupBy("k").agg(F.sum("q").alias("w"), *(F.sum(F.col("q") * F.col(c)).alias(f"a{j}") for j, c in enumerate(names)), *(F.sum(F.col("q") * F.col(c) * F.col(c)).alias(f"b{j}") for j, c in enumerate(names)))
-    total = F.sum("w").over(W.partitionBy())
-    return s.select("k", (F.col("w") / total).alias("prior"), *(V.over(F.col(f"a{j}"), F.col("w")).alias(f"mean{j}") for j in range(len(names))), *(F.greatest(V.over(F.col(f"b{j}"), F.col("w")) - V.over(F.col(f"a{j}"), F.col("w")) * V.over(F.col(f"a{j}"), F.col("w")), F.lit(floor)).alias(f"var{j}") for j in range(len(names))))
+def em_step(df: DataFrame, names: list[str], gmm: Mixture, floor: float = 1e-6) -> DataFrame:
+    """One pass: k, prior, mean and variance of each dimension, and the log-likelihood before the pass."""
+    s = moments(df, names, gmm, [])
+    mean, var = ([F.get(F.lit([float(c[i][j]) for c in gmm]), "k") for j in range(len(names))] for i in (1, 2))
+    z = [V.over(F.col(f"u{j}"), F.col("q")) for j in range(len(names))]
+    square = [V.over(F.col(f"v{j}"), F.col("q")) for j in range(len(names))]
+    return s.select("k", (F.col("q") / F.sum("q").over(W.partitionBy())).alias("prior"), *((mean[j] + z[j] * F.sqrt(var[j])).alias(f"mean{j}") for j in range(len(names))), *(F.greatest((square[j] - z[j] * z[j]) * var[j], F.lit(floor)).alias(f"var{j}") for j in range(len(names))), "ll")
 
 
-def fit_gmm(df: DataFrame, names: list[str], k: int, iterations: int = 100, seed: int = 240925, tol: float = 1e-6, floor: float = 1e-6) -> tuple[list, list[float]]:
+def fit_gmm(df: DataFrame, names: list[str], k: int, iterations: int = 100, seed: int = 240925, tol: float = 1e-6, floor: float = 1e-6) -> tuple[Mixture, list[float]]:
     """Diagonal mixture by EM: components and the log-likelihood of each round. Only k rows of sums reach the driver."""
-    start = df.select(*names).orderBy(F.xxhash64(F.lit(seed), *names)).limit(k).collect()
-    var = df.agg(*(F.var_pop(c).alias(c) for c in names)).first()
-    spread = [max(var[c] or 0.0, floor) for c in names]
-    gmm = [(1 / len(start), [float(r[c]) for c in names], list(spread)) for r in start]
     df, history = df.select(*names).persist(), []
     try:
+        start = df.distinct().orderBy(F.xxhash64(F.lit(seed), *names), *names).limit(k).collect()
+        var = df.agg(*(F.var_pop(c).alias(c) for c in names)).first()
+        spread = [max(var[c] or 0.0, floor) for c in names]
+        gmm = [(1 / len(start), [float(r[c]) for c in names], list(spread)) for r in start]
         for _ in range(iterations):
-            x = [F.col(c) for c in names]
-            logs = [_log_density(x, m, v, p) for p, m, v in gmm]
-            top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-            ll = df.agg(F.sum(top + F.log(sum((F.exp(e - top) for e in logs), F.lit(0.0))))).first()[0]
-            history.append(ll)
             rows = em_step(df, names, gmm, floor).collect()
+            history.append(rows[0]["ll"])
             gmm = [(max(r["prior"], 1e-12), [r[f"mean{j}"] for j in range(len(names))], [r[f"var{j}"] for j in range(len(names))]) for r in sorted(rows, key=lambda r: r["k"]) if r["mean0"] is not None]
             if len(history) > 1 and abs(history[-1] - history[-2]) <= tol * abs(history[-2]):
                 break
@@ -155,6 +212,15 @@ def fit_gmm(df: DataFrame, names: list[str], k: int, iterations: int = 100, seed
     return gmm, history
 
 
+def save_gmm(spark: SparkSession, gmm: Mixture, path: str) -> None:
+    """The mixture as a table: k, prior, mean, var."""
+    spark.createDataFrame([(k, float(p), list(map(float, m)), list(map(float, v))) for k, (p, m, v) in enumerate(gmm)], "k int, prior double, mean array<double>, var array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_gmm(spark: SparkSession, path: str) -> Mixture:
+    return [(r["prior"], list(r["mean"]), list(r["var"])) for r in spark.read.parquet(path).orderBy("k").collect()]
+
+
 def pca(df: DataFrame, names: list[str], ratio: float = 0.98) -> np.ndarray:
     """Directions (columns) whose cumulative share of the variance is under ratio; from one pass of sums."""
     n = len(names)
@@ -172,12 +238,23 @@ def project(df: DataFrame, names: list[str], directions: np.ndarray) -> DataFram
     return df.withColumns({f"pc{k}": sum((F.col(c) * float(x) for c, x in zip(names, d, strict=True)), F.lit(0.0)) for k, d in enumerate(directions.T)})
 
 
-def encode(df: DataFrame, names: list[str], k: int = 4, samples: int = 2000, parts: int = 2, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def encode(df: DataFrame, names: list[str], k: int = 4, samples: int = 2000, parts: int = 2, levels: tuple[int, ...] = LEVELS, gmm: Mixture | None = None, ratio: float | None = None, iterations: int = 20) -> DataFrame:
     """The whole encoder: sample, mixture, and a Fisher pyramid of each of ``parts`` equal stretches of a sequence.
 
     Rows that do not fill a stretch are dropped. Codes are arrays ordered by stretch, level, bin, u then v, component and dimension.
+    A mixture that is given is not fitted again. With ``ratio`` the columns are projected on the principal directions that
+    hold that share of the variance.
     """
-    gmm, _ = fit_gmm(fill_to_quota(df, samples, *names), names, k, iterations=20)
+    sample = None
+    if ratio is not None:
+        sample = fill_to_quota(df, samples, *names)
+        directions = pca(sample, names, ratio)
+        if not directions.shape[1]:
+            raise ValueError("no direction is under the ratio")
+        new = [f"pc{j}" for j in range(directions.shape[1])]
+        df, sample, names = project(df, names, directions), project(sample, names, directions), new
+    if gmm is None:
+        gmm, _ = fit_gmm(sample if sample is not None else fill_to_quota(df, samples, *names), names, k, iterations)
     n = F.floor(F.count("*").over(whole()) / parts)
     d = df.withColumn("_len", n).withColumn("part_no", F.ceil(F.col("t") / F.col("_len"))).filter(F.col("part_no") <= parts)
     d = d.withColumn("t", F.col("t") - (F.col("part_no") - 1) * F.col("_len")).withColumn("whole", F.col("seq_id")).withColumn("seq_id", F.struct("whole", "part_no"))
@@ -188,31 +265,66 @@ def encode(df: DataFrame, names: list[str], k: int = 4, samples: int = 2000, par
         at = F.when(F.col("level") == p, F.col("bin") - 1 + first[p]).otherwise(at)
     width = 2 * len(gmm) * len(names)
     index = (F.col("seq_id.part_no") - 1) * (sum(levels) * width) + at * width + F.when(F.col("part") == "v", len(gmm) * len(names)).otherwise(0) + F.col("k") * len(names) + F.col("d")
-    size = parts * sum(levels) * width
-    cells = f.select(F.col("seq_id.whole").alias("seq_id"), index.cast("long").alias("i"), "val")
-    m = cells.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "val"))).alias("m"))
-    return m.select("seq_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0))).alias("code"))
+    return _codes(f.select(F.col("seq_id.whole").alias("seq_id"), index.cast("long").alias("i"), "val"), parts * sum(levels) * width)
+
+
+def _codes(cells: DataFrame, size: int) -> DataFrame:
+    """(seq_id, i, val) -> one array of ``size`` numbers a sequence."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part, out = b.slice(lo, 256), []
+                for cell in part.column("c"):
+                    v = np.zeros(size)
+                    v[cell.values.field("i").to_numpy()] = cell.values.field("val").to_numpy(zero_copy_only=False)
+                    out.append(v)
+                yield pa.RecordBatch.from_arrays([part.column("seq_id"), pa.array(out, pa.list_(pa.float64()))], ["seq_id", "code"])
+
+    rows = cells.groupBy("seq_id").agg(F.collect_list(F.struct("i", "val")).alias("c"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["seq_id"], T.StructField("code", T.ArrayType(T.DoubleType()))]))
+
+
+def encode_two(a: DataFrame, names_a: list[str], b: DataFrame, names_b: list[str], **settings) -> DataFrame:
+    """Two modalities of the same sequences, each with a mixture of its own, their codes one after the other; and the first's width."""
+    one, two = encode(a, names_a, **settings), encode(b, names_b, **settings).withColumnRenamed("code", "_b")
+    return one.join(two, "seq_id").select("seq_id", F.concat("code", "_b").alias("code"), F.size("code").alias("width"))
+
+
+def write_batches(codes: DataFrame, path: str, size: int = 256) -> DataFrame:
+    """Codes in batches of ``size`` sequences, a folder a batch (batch=0, 1, ...), read back."""
+    from strandline.sources.trajectories import batch_ids
+
+    batch_ids(codes, size, "seq_id").write.mode("overwrite").partitionBy("batch").parquet(path)
+    return codes.sparkSession.read.parquet(path)
 
 
 # sparse coding
 
 
-def feature_sign(a: np.ndarray, b: np.ndarray, lam: float, rounds: int = 200) -> np.ndarray:
-    """argmin x'Ax/2 + b'x + lam |x|_1 by coordinate descent to convergence."""
-    x = np.zeros(len(b))
-    g = b.copy()
+def l1_quadratic(a: np.ndarray, b: np.ndarray, lam: float, on: np.ndarray | None = None, rounds: int = 50_000) -> np.ndarray:
+    """For each row of b: argmin x'Ax/2 + b'x + lam |x|_1 over the coordinates that are ``on``, by coordinate descent to
+    convergence. All rows take a coordinate's step at once; rows at rest leave.
+    """
+    out, rows = np.zeros(b.shape), np.arange(len(b))
+    x, g, on = np.zeros(b.shape), b.copy(), np.ones(b.shape, bool) if on is None else on
     for _ in range(rounds):
-        moved = 0.0
-        for j in range(len(b)):
-            r = g[j] - a[j, j] * x[j]
-            new = -np.sign(r) * max(abs(r) - lam, 0.0) / a[j, j]
-            if new != x[j]:
-                g += a[:, j] * (new - x[j])
-                moved = max(moved, abs(new - x[j]))
-                x[j] = new
-        if moved < 1e-14:
-            break
-    return x
+        moved = np.zeros(len(x))
+        for j in range(b.shape[1]):
+            r = g[:, j] - a[j, j] * x[:, j]
+            step = np.where(on[:, j], -np.sign(r) * np.maximum(np.abs(r) - lam, 0.0) / a[j, j], 0.0) - x[:, j]
+            if step.any():
+                g += step[:, None] * a[j]
+                x[:, j] += step
+                moved = np.maximum(moved, np.abs(step))
+        rest = moved < 1e-14
+        if rest.any():
+            out[rows[rest]] = x[rest]
+            rows, x, g, on = rows[~rest], x[~rest], g[~rest], on[~rest]
+            if not len(rows):
+                return out
+    out[rows] = x
+    return out
 
 
 def sparse_codes(df: DataFrame, names: list[str], basis: np.ndarray, lam: float = 0.15, beta: float = 1e-4, nearest: int | None = None) -> DataFrame:
@@ -221,17 +333,23 @@ def sparse_codes(df: DataFrame, names: list[str], basis: np.ndarray, lam: float
     def run(batches):
         gram = basis.T @ basis + 2 * beta * np.eye(basis.shape[1])
         for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-            inner, codes = x @ basis, np.zeros((len(x), basis.shape[1]))
-            for i in range(len(x)):
-                on = np.sort(np.argsort(-inner[i], kind="stable")[:nearest]) if nearest else np.arange(basis.shape[1])
-                codes[i, on] = feature_sign(gram[np.ix_(on, on)], -inner[i, on], lam)
+            inner, on = _matrix(batch, names) @ basis, None
+            if nearest:
+                on = np.zeros(inner.shape, bool)
+                np.put_along_axis(on, np.argsort(-inner, axis=1, kind="stable")[:, :nearest], True, 1)
+            codes = l1_quadratic(gram, -inner, lam, on)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.float64()))], [*batch.schema.names, "code"])
 
-    from pyspark.sql import types as T
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("code", T.ArrayType(T.DoubleType()))]))
 
-    schema = T.StructType([*df.schema.fields, T.StructField("code", T.ArrayType(T.DoubleType()))])
-    return df.mapInArrow(run, schema)
+
+def sparse_objective(df: DataFrame, names: list[str], basis: np.ndarray, lam: float, beta: float = 0.0) -> DataFrame:
+    """One row for rows with a ``code``: residual |x - B s|^2 / 2, penalty lam |s|_1, ridge beta |s|^2, and their sum."""
+    hit = [sum((F.get("code", F.lit(k)) * float(basis[i, k]) for k in range(basis.shape[1])), F.lit(0.0)) for i in range(len(names))]
+    off = sum(((F.col(c) - h) * (F.col(c) - h) for c, h in zip(names, hit, strict=True)), F.lit(0.0))
+    fold = lambda f: F.aggregate("code", F.lit(0.0), lambda s, x: s + f(x))
+    d = df.agg((F.sum(off) / 2).alias("residual"), (lam * F.sum(fold(F.abs))).alias("penalty"), (beta * F.sum(fold(lambda x: x * x))).alias("ridge"))
+    return d.withColumn("objective", F.col("residual") + F.col("penalty") + F.col("ridge"))
 
 
 def learn_basis(df: DataFrame, names: list[str], atoms: int, lam: float = 0.15, rounds: int = 5, seed: int = 1) -> np.ndarray:
@@ -243,7 +361,7 @@ def learn_basis(df: DataFrame, names: list[str], atoms: int, lam: float = 0.15,
         def sums(batches):
             ss, xs = np.zeros((atoms, atoms)), np.zeros((len(names), atoms))
             for b in batches:
-                x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in names])
+                x = _matrix(b, names)
                 s = np.array(b.column("code").to_pylist()).reshape(len(x), atoms)
                 ss += s.T @ s
                 xs += x.T @ s
@@ -269,11 +387,16 @@ def sparse_pyramid(df: DataFrame, names: list[str], basis: np.ndarray, lam: floa
     return c.groupBy("seq_id", "level", "bin", "atom").agg(F.max(F.abs("v")).alias("val"))
 
 
-def top_atoms(df: DataFrame, atoms: DataFrame, k: int) -> DataFrame:
-    """The k atoms (atom, v) of largest inner product with each row's v; the atoms are a model and broadcast."""
-    p = df.select("id", F.col("v").alias("_x")).join(F.broadcast(atoms.select("atom", F.col("v").alias("_a"))), F.lit(True))
-    s = F.aggregate(F.zip_with("_x", "_a", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    p = p.select("id", "atom", s.alias("score"))
-    return p.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "atom"))).filter(F.col("rank") <= k)
-
+def top_atoms(df: DataFrame, atoms: np.ndarray, k: int) -> DataFrame:
+    """The k atoms (rows of a learned dictionary) of largest inner product with each row's v: id, atom, score, rank."""
 
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                x = np.asarray(part.column("v").flatten().to_numpy(zero_copy_only=False), float).reshape(part.num_rows, -1)
+                scores = x @ atoms.T
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(np.repeat(np.arange(len(x)), best.shape[1]))), pa.array(best.ravel().astype(np.int64)), pa.array(np.take_along_axis(scores, best, 1).ravel()), pa.array(np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(x)))], ["id", "atom", "score", "rank"])
+
+    return df.select("id", "v").mapInArrow(run, T.StructType([df.schema["id"], T.StructField("atom", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]))

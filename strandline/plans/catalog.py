@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions import scalar
 from strandline.functions import vector as V
 from strandline.operators import classify, describe, encoding, geometry, integral, ndsparse, pairwise, resample, segmentation, sequence
 from strandline.plans import sql
@@ -221,7 +222,9 @@ def circumcentre(s, d):
     j = t.join(k, ["seq_id", "t"]).join(side("l"), ["seq_id", "l"]).join(side("r"), ["seq_id", "r"])
     a, b, c = (V.cols(*(f"{n}{x}" for x in XYZ)) for n in ("l", "", "r"))
     w = V.cross(V.sub(b, a), V.sub(c, a))
-    out = j.filter(2 * V.dot(w, w) > 1e3).select("seq_id", "t", *(v.alias(f"c{x}") for v, x in zip(V.circumcentre(a, b, c), XYZ, strict=True)))
+    # a triangle that is nearly flat has a status and no centre: its place would be rounding error
+    out = j.withColumn("flat", ~(2 * V.dot(w, w) > 1e3))
+    out = out.select("seq_id", "t", "flat", *(F.when(~F.col("flat"), v).alias(f"c{x}") for v, x in zip(V.circumcentre(a, b, c), XYZ, strict=True)))
     return rounded(out, 3, "cx", "cy", "cz")
 
 
@@ -243,7 +246,7 @@ def quat(s, d):
 @query
 def rrv_fixed(s, d):
     t, k = _keys(s, d)
-    return geometry.rotation_velocity(t, geometry.frames(t, k))
+    return rounded(geometry.rotation_velocity(t, geometry.frames(t, k)), 5, "qw", "qx", "qy", "qz", "ux", "uy", "uz")
 
 
 @query
@@ -302,7 +305,7 @@ def fisher_pyramid_fixed(s, d):
 
 @query
 def em_one_step(s, d):
-    e = encoding.em_step(traj(s, d), XYZ, sql.GMM)
+    e = encoding.em_step(traj(s, d), XYZ, sql.GMM).drop("ll")
     return rounded(rounded(rounded(e, 6, "prior"), 4, "mean0", "mean1", "mean2"), 3, "var0", "var1", "var2")
 
 
@@ -349,7 +352,7 @@ def row_membership(s, d):
 
 @query
 def gmm_fit(s, d):
-    gmm, history = encoding.fit_gmm(traj(s, d), XYZ, 4, iterations=10)
+    gmm, history = encoding.fit_gmm(traj(s, d), XYZ, 4)
     return s.createDataFrame([(k, float(p), [float(x) for x in m], [float(x) for x in v]) for k, (p, m, v) in enumerate(gmm)], "k int, prior double, mean array<double>, var array<double>")
 
 
@@ -361,12 +364,11 @@ def pca_directions(s, d):
 
 @query
 def encode_full(s, d):
-    return encoding.encode(traj(s, d), XYZ, k=3, samples=2000)
+    return encoding.encode(traj(s, d), XYZ, k=64, samples=50_000, iterations=100)
 
 
 def _basis() -> np.ndarray:
-    b = np.random.default_rng(5).normal(size=(3, 6))
-    return b / np.linalg.norm(b, axis=0)
+    return sql.BASIS
 
 
 @query
@@ -386,15 +388,15 @@ def sparse_pyramid(s, d):
 
 @query
 def dictionary(s, d):
-    b = encoding.learn_basis(sequence.unit_scale(traj(s, d)).select(*XYZ), XYZ, 5, rounds=2)
+    b = encoding.learn_basis(sequence.unit_scale(traj(s, d)).select(*XYZ), XYZ, 5)
     return s.createDataFrame([(i, k, float(b[i, k])) for i in range(b.shape[0]) for k in range(b.shape[1])], "i int, atom int, v double")
 
 
 @query
 def topk_atoms(s, d):
-    e = emb(s, d)
-    atoms = e.filter("vec_id < 20").select(F.col("vec_id").alias("atom"), F.col("features").alias("v"))
-    return encoding.top_atoms(e.select(F.col("vec_id").alias("id"), F.col("features").alias("v")), atoms, 5).select("id", "atom", "rank")
+    a, k = np.meshgrid(np.arange(256), np.arange(64), indexing="ij")
+    atoms = (((a * 13 + k * 7) % 11 - 5) * (1 + a)) / 997.0
+    return encoding.top_atoms(emb(s, d).select(F.col("vec_id").alias("id"), F.col("features").alias("v")), atoms, 5).select("id", "atom", "rank")
 
 
 @query
@@ -470,24 +472,24 @@ def ridge_fit(s, d):
 
 @query
 def mixed_norm_fit(s, d):
-    return _weights(s, classify.fit_mixed(emb(s, d), 10, [np.arange(32), np.arange(32, 64)], 0.1, 0.1, rounds=5)[0])
+    return _weights(s, classify.fit_mixed(emb(s, d), 10, [np.arange(32), np.arange(32, 64)], 0.1, 0.1)[0])
 
 
 @query
 def squared_hinge_fit(s, d):
-    return _weights(s, classify.fit_squared_hinge(emb(s, d), 10, rounds=8))
+    return _weights(s, classify.fit_squared_hinge(emb(s, d), 10))
 
 
 @query
 def svm_fit(s, d):
     e = emb(s, d)
-    return classify.predict_pairwise(e, classify.fit_pairwise_svm(e, rounds=5)).select("vec_id", "label", "prediction")
+    return classify.predict_pairwise(e, classify.fit_pairwise_svm(e)).select("vec_id", "label", "prediction")
 
 
 @query
 def forest_fit(s, d):
     e = emb(s, d)
-    return classify.predict_forest(e, classify.fit_forest(e, trees=10, depth=5)).select("vec_id", "label", "prediction")
+    return classify.predict_forest(e, classify.fit_forest(e)).select("vec_id", "label", "prediction")
 
 
 # N-dimensional sparse arrays
@@ -526,14 +528,196 @@ nd("triu", lambda s, d: ndsparse.triangle(ndsparse.reduce(nda(s, d), "k", 4, "su
 _QUERIES["occupancy"] = lambda s, d: rounded(ndsparse.occupancy(nda(s, d), 140), 6, "ratio")
 
 
+nd("any", lambda s, d: ndsparse.reduce(nda(s, d), "k", 4, "any"))
+nd("all", lambda s, d: ndsparse.reduce(nda(s, d), "k", 4, "all"))
+nd("inspect", lambda s, d: ndsparse.inspect(nda(s, d)))
+nd("find", lambda s, d: ndsparse.find(nda(s, d), SHAPE))
+nd("sqrt", lambda s, d: rounded(ndsparse.apply(nda(s, d), lambda v: F.sqrt(F.abs(v))), 6, "val"))
+nd("power", lambda s, d: ndsparse.apply(nda(s, d), lambda v: v * v))
+nd("index", lambda s, d: ndsparse.index(nda(s, d), {"i": [3, 1, 3, 7], "k": [4, 2]}))
+nd("assign", lambda s, d: ndsparse.assign(nda(s, d), {"i": [2, 5], "j": [1, 3]}, _even(s, d).filter("i <= 2 and j <= 2")))
+nd("minus", lambda s, d: ndsparse.elementwise(nda(s, d), _even(s, d), lambda a, b: a - 2 * b))
+nd("gt", lambda s, d: ndsparse.compare(nda(s, d), ndsparse.shift(nda(s, d), "i", 7, 1), lambda a, b: a > b))
+nd("eq", lambda s, d: ndsparse.compare(nda(s, d), _even(s, d), lambda a, b: a == b, SHAPE))
+nd("dense", lambda s, d: ndsparse.dense(_even(s, d), SHAPE))
+nd("mpower", lambda s, d: ndsparse.matrix_power(ndsparse.apply(ndsparse.reduce(nda(s, d), "k", 4, "sum").filter("i <= 5"), lambda v: v % 7), 3))
+nd("rot90", lambda s, d: ndsparse.rotate90(nda(s, d), "i", "j", 5))
+nd("squeeze", lambda s, d: ndsparse.squeeze(nda(s, d).filter("j = 1"), {"i": 7, "j": 1, "k": 4}))
+nd("convolve", lambda s, d: ndsparse.convolve(nda(s, d), nda(s, d).filter("i <= 2 and j <= 2 and k = 1").withColumn("val", F.col("i") * 1.0 - F.col("j") * 3)))
+nd("random", lambda s, d: rounded(ndsparse.random(s, SHAPE, 0.3), 9, "val"))
+SHAPE = {"i": 7, "j": 5, "k": 4}
+
+
+@query
+def ndsparse_solve(s, d):
+    """A x = b for the sums over i and j with a heavy diagonal, and the product A x, which is b."""
+    a = ndsparse.reduce(nda(s, d), "k", 4, "sum").filter("i <= 5").withColumn("val", F.col("val") % 7 + F.when(F.col("i") == F.col("j"), 50.0).otherwise(0.0)).select("i", "j", "val")
+    b = s.range(1, 6).select(F.col("id").alias("i"), (F.col("id") * 2.0 - 1).alias("val"))
+    x = s.createDataFrame([(k + 1, v) for k, v in enumerate(ndsparse.solve(a, b, 5))], "j long, val double")
+    return rounded(ndsparse.multiply(a, x, "j"), 6, "val")
+
+
+# functions and sources
+
+
+@query
+def rounding_functions(s, d):
+    x, y = F.col("x") - 500, F.col("y") % 13 - 6
+    return traj(s, d).select("seq_id", "t", scalar.fix(x / 7).cast("long").alias("fix"), F.round(scalar.rem(x, y), 6).alias("rem"), F.round(scalar.mod(x, y), 6).alias("mod"))
+
+
+@query
+def integer_functions(s, d):
+    return traj(s, d).select("seq_id", "t", scalar.gcd(F.col("t") * 6, F.col("seq_id") * 4).alias("g"), scalar.factorial(F.col("t") % 15).alias("f"))
+
+
+@query
+def time_stamps(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", scalar.stamp(F.col("ts")).alias("stamp"))
+
+
+@query
+def inverse3(s, d):
+    t = traj(s, d).select("seq_id", "t", (F.col("x") % 7 + 20).alias("a"), (F.col("y") % 5).alias("b"), (F.col("z") % 3).alias("c"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    m = scalar.inverse3([[a, b, c], [c, a, b], [b, c, a]])
+    return rounded(t.select("seq_id", "t", *(m[0][j].alias(f"m{j}") for j in range(3))), 9, "m0", "m1", "m2")
+
+
+@query
+def permuted_rows(s, d):
+    return trajectories.permuted(traj(s, d)).select("seq_id", "t", "p")
+
+
+@query
+def excluded_records(s, d):
+    return trajectories.exclude(traj(s, d), (F.col("label") == 12) | ((F.col("label") == 3) & (F.col("seq_id") % 5 == 0))).groupBy("label").agg(F.count_distinct("seq_id").alias("n"))
+
+
+@query
+def load_skeletons(s, d):
+    """Events as nested skeletons of two joints, and read as a data set: one joint, one class left out, split by subject."""
+    t = traj(s, d)
+    p = t.groupBy("seq_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x", "y", "z"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"))).alias("p"))
+    joint = lambda k, p: F.struct(F.lit(k).alias("joint_id"), F.array(p).alias("instances"))
+    cells = p.select(F.col("label").alias("class_id"), F.col("seq_id").alias("subject_id"), F.array(joint(7, F.col("p")), joint(11, F.reverse("p"))).alias("skeleton"))
+    train = s.createDataFrame([(k,) for k in range(0, 100_000, 3)], "subject_id long")
+    return trajectories.load_skeletons(cells, [7], train, F.col("class_id") == 12)
+
+
+# encoders and learners, whole
+
+
+@query
+def sparse_objective(s, d):
+    t = sequence.unit_scale(traj(s, d)).withColumn("code", F.array(F.col("x") - 0.5, F.col("y"), F.lit(0.0), -F.col("z"), F.lit(0.25), F.col("x") * F.col("y")))
+    return rounded(encoding.sparse_objective(t, XYZ, sql.BASIS, 0.15, 1e-4), 3, "residual", "penalty", "ridge", "objective")
+
+
+@query
+def sparse_codes_stationary(s, d):
+    """How far each row's code is from the conditions of a minimum: nowhere."""
+    b, lam, beta = _basis(), 0.15, 1e-4
+    c = encoding.sparse_codes(sequence.unit_scale(traj(s, d)).select("seq_id", "t", *XYZ), XYZ, b, lam, beta)
+    gram = b.T @ b + 2 * beta * np.eye(b.shape[1])
+    off = []
+    for j in range(b.shape[1]):
+        x = F.get("code", F.lit(j))
+        g = sum((F.get("code", F.lit(k)) * float(gram[k, j]) for k in range(b.shape[1])), F.lit(0.0)) - sum((F.col(n) * float(b[i, j]) for i, n in enumerate(XYZ)), F.lit(0.0))
+        off.append(F.when(x == 0, F.greatest(F.abs(g) - lam, F.lit(0.0))).otherwise(F.abs(g + lam * F.signum(x))))
+    return rounded(c.select("seq_id", "t", F.greatest(*off).alias("off")), 6, "off")
+
+
+@query
+def encode_two_modalities(s, d):
+    t = traj(s, d)
+    return encoding.encode_two(t, XYZ, sequence.gradient(t, *XYZ), ["vx", "vy", "vz"], k=4, samples=20_000)
+
+
+@query
+def encode_with_pca(s, d):
+    return encoding.encode(sequence.gradient(traj(s, d), *XYZ), [*XYZ, "vx", "vy", "vz"], k=4, samples=20_000, ratio=0.98)
+
+
+@query
+def encode_two_widths(s, d):
+    """Codes of two fixed mixtures side by side: every sequence, its widths, and the codes' lengths, which are one each."""
+    t, g = traj(s, d), [(p, m[:2], v[:2]) for p, m, v in sql.GMM]
+    a = encoding.encode(t, XYZ, gmm=sql.GMM, parts=1)
+    b = encoding.encode(t, ["x", "y"], gmm=g, parts=1).withColumnRenamed("code", "b")
+    size = lambda c: F.round(F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x)), 6)
+    return a.join(b, "seq_id").select("seq_id", F.size("code").alias("width_a"), F.size("b").alias("width_b"), size("code").alias("size_a"), size("b").alias("size_b"))
+
+
+@query
+def encode_whole_fixed(s, d):
+    """The assembled code of one stretch and one level, for a fixed mixture: place and value of every number."""
+    c = encoding.encode(traj(s, d), XYZ, gmm=sql.GMM, parts=1, levels=(1,))
+    return rounded(c.select("seq_id", F.posexplode("code").alias("i", "val")), 6, "val")
+
+
+@query
+def mean_posteriors(s, d):
+    q = encoding.posteriors(traj(s, d).select("seq_id", *XYZ), XYZ, sql.GMM)
+    return rounded(q.groupBy("seq_id", "k").agg(F.avg("q").alias("q")), 6, "q")
+
+
+@query
+def ridge_stationary(s, d):
+    """The objective's gradient at the fitted weights: zero."""
+    g = classify.ridge_objective(emb(s, d), classify.fit_ridge(emb(s, d), 10), 1.0)[1]
+    return s.createDataFrame([(i, k, round(float(g[i, k]), 3) + 0.0) for i in range(64) for k in range(10)], "d int, c int, g double")
+
+
+@query
+def two_modality_fit(s, d):
+    e = emb(s, d).withColumn("second", F.transform("features", lambda x: x * x))
+    return _weights(s, classify.fit_two(e, "features", "second", 10, 0.1, 0.1)[0])
+
+
+@query
+def batched_fit(s, d):
+    return _weights(s, classify.fit_batches(emb(s, d), 10, [np.arange(32), np.arange(32, 64)], 0.1, 0.1))
+
+
+@query
+def svm_probabilities(s, d):
+    e = emb(s, d)
+    m = classify.fit_pairwise_svm(e)
+    return classify.predict_pairwise(e, m, classify.fit_sigmoids(e, m)).select("vec_id", "label", "probabilities", "prediction")
+
+
+@query
+def forest_out_of_bag(s, d):
+    return s.createDataFrame([(classify.out_of_bag(emb(s, d), trees=40),)], "accuracy double")
+
+
 def _describe(name: str) -> None:
-    _QUERIES[f"describe_{name}"] = lambda s, d: describe.describe(traj(s, d), name)
+    def run(s, d):
+        x = describe.describe(traj(s, d), name)
+        if name == "shape":
+            x = x.select("seq_id", "t", F.posexplode("d").alias("i", "v")).filter("v <> 0")
+        elif name in ("differential", "velocity", "similarity"):
+            x = x.select("seq_id", "t", F.posexplode("d").alias("i", "v"))
+        return rounded(x, 4, "v") if "v" in x.columns else x
+
+    _QUERIES[f"describe_{name}"] = run
 
 
 for _m in describe.METHODS:
     _describe(_m)
-_QUERIES["describe_two_hands"] = lambda s, d: describe.two_hands(traj(s, d), traj(s, d).withColumn("x", 2 * F.col("x")), "velocity")
-_QUERIES["shape_pyramid"] = lambda s, d: describe.shape_pyramid(traj(s, d))
+
+
+@query
+def describe_two_hands(s, d):
+    t = traj(s, d)
+    x = describe.two_hands(t, t.withColumn("x", 2 * F.col("x")), "velocity")
+    return rounded(x.select("seq_id", "t", F.posexplode("d").alias("i", "v")), 4, "v")
+
+
+@query
+def shape_pyramid(s, d):
+    return rounded(describe.shape_pyramid(traj(s, d)), 6, "val")
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 TRAJ = """traj AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value AS x,
   CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, CAST(second(ts) AS DOUBLE) AS z, user_id % 2 AS split, user_id % 12 + 1 AS label FROM events)"""
 COARSE = TRAJ + """, coarse AS (SELECT seq_id, t, floor(x / 50) AS x, floor(y / 50) AS y, floor(z / 30) AS z FROM traj)"""
@@ -26,6 +28,10 @@ PYR = TRAJ + """, nn AS (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n FROM
 #: prior, means and variances of a fixed mixture over x, y, z
 GMM = [(0.4, [200.0, 30.0, 20.0], [40000.0, 600.0, 250.0]), (0.6, [600.0, 70.0, 40.0], [60000.0, 500.0, 300.0])]
 
+#: a fixed basis of three rows and six atoms of length one
+_RAW = np.array([[((i * 5 + k * 3) % 7) - 3.0 + 0.5 * (i == k % 3) for k in range(6)] for i in range(3)])
+BASIS = _RAW / np.linalg.norm(_RAW, axis=0)
+
 
 def _mixture(source: str) -> str:
     rows = ", ".join(f"({k}, {p}, {m[0]}, {m[1]}, {m[2]}, {v[0]}, {v[1]}, {v[2]})" for k, (p, m, v) in enumerate(GMM))
@@ -75,6 +81,39 @@ QUAT = """, qq AS (SELECT *, 1 + r00 + r11 + r22 AS s0, 1 + 2*r00 - (r00+r11+r22
   q5 AS (SELECT *, CASE c WHEN 0 THEN m WHEN 1 THEN (r21-r12)/(4*m) WHEN 2 THEN (r02-r20)/(4*m) ELSE (r10-r01)/(4*m) END AS aw, CASE c WHEN 0 THEN (r21-r12)/(4*m) WHEN 1 THEN m WHEN 2 THEN (r01+r10)/(4*m) ELSE (r02+r20)/(4*m) END AS ax,
   CASE c WHEN 0 THEN (r02-r20)/(4*m) WHEN 1 THEN (r01+r10)/(4*m) WHEN 2 THEN m ELSE (r12+r21)/(4*m) END AS ay, CASE c WHEN 0 THEN (r10-r01)/(4*m) WHEN 1 THEN (r02+r20)/(4*m) WHEN 2 THEN (r12+r21)/(4*m) ELSE m END AS az FROM q4),
   qn AS (SELECT *, sqrt(aw*aw+ax*ax+ay*ay+az*az) * CASE WHEN aw < 0 THEN -1 ELSE 1 END AS nq FROM q5)"""
+_ROWS = [[f"{p}{c}" for p in ("t", "a", "s")] for c in "xyz"]
+_COF = [[f"(b{(k + 1) % 3}{(r + 1) % 3}*b{(k + 2) % 3}{(r + 2) % 3} - b{(k + 1) % 3}{(r + 2) % 3}*b{(k + 2) % 3}{(r + 1) % 3})" for r in range(3)] for k in range(3)]
+TURN = FRAMES + """, ft AS (SELECT fr.*, x, y, z FROM fr JOIN traj USING (seq_id, t) WHERE inn),
+  fg AS (SELECT seq_id, t, """ + ", ".join(f"{_ROWS[i][j]} AS b{i}{j}, CASE WHEN lead(t) OVER w IS NULL THEN {_ROWS[i][j]} ELSE lead({_ROWS[i][j]}) OVER w END AS n{i}{j}" for i in range(3) for j in range(3)) + """,
+  """ + ", ".join(f"CASE WHEN lag({c}) OVER w IS NULL AND lead({c}) OVER w IS NULL THEN 0 WHEN lag({c}) OVER w IS NULL THEN lead({c}) OVER w - {c} WHEN lead({c}) OVER w IS NULL THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END AS v{c}" for c in "xyz") + """ FROM ft WINDOW w AS (PARTITION BY seq_id ORDER BY t)),
+  fd AS (SELECT *, """ + " + ".join(f"b0{r} * {_COF[0][r]}" for r in range(3)) + """ AS det FROM fg),
+  fm AS (SELECT *, """ + ", ".join("CASE WHEN det <> 0 THEN (" + " + ".join(f"n{i}{r} * {_COF[j][r]}" for r in range(3)) + f") / det END AS m{i}{j}" for i in range(3) for j in range(3)) + """, sqrt(sqrt(vx*vx + vy*vy + vz*vz) + 2.220446049250313e-16) AS vn FROM fd),
+  rot AS (SELECT *, """ + ", ".join(f"m{j}{i} AS r{i}{j}" for i in range(3) for j in range(3)) + """ FROM fm)"""
+#: curvature and torsion of five points around each, and their derivatives
+_P = {"a": (2, 1), "b": (3, 2), "c": (3, 1), "d": (4, 3), "e": (4, 2), "f": (4, 1), "g": (1, 0), "k": (2, 0), "m": (3, 0)}
+
+
+def _gap(i: int, j: int) -> str:
+    return "sqrt(" + " + ".join(f"({c}{i}-{c}{j})*({c}{i}-{c}{j})" for c in "xyz") + ")"
+
+
+def _cofactor(i: int, j: int, o: int) -> list[str]:
+    u, v = [f"({c}{i}-{c}{o})" for c in "xyz"], [f"({c}{j}-{c}{o})" for c in "xyz"]
+    return [f"({u[(k + 1) % 3]}*{v[(k + 2) % 3]} - {u[(k + 2) % 3]}*{v[(k + 1) % 3]})" for k in range(3)]
+
+
+def _det(o: int) -> str:
+    return " + ".join(f"({c}2-{c}{o})*{x}" for c, x in zip("xyz", _cofactor(1, 3, o), strict=True))
+
+
+DIFF = TRAJ + """, five AS (SELECT seq_id, t, count(*) OVER (PARTITION BY seq_id) AS n, """ + ", ".join(f"{'lag' if k < 2 else 'lead'}({c}, {abs(k - 2)}) OVER w AS {c}{k}" if k != 2 else f"{c} AS {c}2" for k in range(5) for c in "xyz") + """ FROM traj WINDOW w AS (PARTITION BY seq_id ORDER BY t)),
+  gaps AS (SELECT seq_id, t, t >= 3 AND t <= n - 2 AS inn, """ + ", ".join(f"{_gap(*ij)} AS {o}" for o, ij in _P.items()) + ", sqrt(" + " + ".join(f"{x}*{x}" for x in _cofactor(2, 3, 1)) + f") AS w, {_det(4)} AS det1, {_det(0)} AS det2" + """ FROM five),
+  heron AS (SELECT *, sqrt(greatest((a+b+c)/2 * ((a+b+c)/2 - a) * ((a+b+c)/2 - b) * ((a+b+c)/2 - c), 0)) AS area FROM gaps),
+  curv AS (SELECT *, CASE WHEN inn THEN 4 * area / nullif(a * b * c, 0) ELSE 0 END AS curvature FROM heron),
+  tors AS (SELECT *, CASE WHEN inn THEN 3 * (det1 / 2 / nullif(area, 0)) / nullif(d * e * f * curvature, 0) + 3 * (det2 / 2 / nullif(area, 0)) / nullif(g * k * m * curvature, 0) ELSE 0 END AS torsion FROM curv),
+  turns AS (SELECT *, lead(curvature) OVER o - lag(curvature) OVER o AS tc, lead(torsion) OVER o - lag(torsion) OVER o AS tt, w / nullif(c, 0) AS h FROM tors WINDOW o AS (PARTITION BY seq_id ORDER BY t)),
+  slopes AS (SELECT *, 3 * tc / nullif(2*a + 2*b + d + g, 0) AS kd, 4 * (tt + (2*a + 2*b - 2*d - 3*h + g) * (torsion * (tc / nullif(c, 0)) / nullif(6 * curvature, 0))) / nullif(2*a + 2*b*2*d + h + g, 0) AS td FROM turns),
+  diff AS (SELECT seq_id, t, inn, curvature, CASE WHEN inn THEN CASE WHEN kd <> 0 THEN sign(kd) * sqrt(abs(kd)) END ELSE 0 END AS curvature_d, torsion, CASE WHEN inn THEN CASE WHEN td <> 0 THEN sign(td) * sqrt(abs(td)) END ELSE 0 END AS torsion_d FROM slopes)"""
 #: fixed weights theta(d, c) over the 64 features of an embedding
 THETA = "(((d * 7 + c * 3) % 5) - 2) / 10.0"
 EMB = """emb AS (SELECT vec_id, label + 1 AS label, embedding FROM embeddings), el AS (SELECT vec_id, label, unnest(range(0, 64)) AS d, unnest(embedding)::DOUBLE AS v FROM emb),
@@ -115,7 +154,7 @@ ORACLES = {
     "shape_ctx_810": f"WITH {SHAPE} SELECT seq_id, t, theta, alpha, radius, count(*) AS cnt FROM b WHERE radius > 0 GROUP BY ALL",
     "shape_ctx_inliers": f"WITH {SHAPE} SELECT seq_id, t, theta, alpha, radius, count(*) AS cnt FROM b WHERE radius > 0 AND u % 5 <> 0 GROUP BY ALL",
     "shape_ctx_135": f"WITH {SHAPE} SELECT seq_id, t, theta, alpha, radius, count(*) AS cnt FROM b WHERE radius > 0 GROUP BY GROUPING SETS ((seq_id, t, theta, radius), (seq_id, t, alpha, radius))",
-    "circumcentre": f"WITH {CENTRE} SELECT seq_id, t, {R('ox', 'cx', 3)}, {R('oy', 'cy', 3)}, {R('oz', 'cz', 3)} FROM cc WHERE den > 1e3",
+    "circumcentre": f"WITH {CENTRE} SELECT seq_id, t, NOT den > 1e3 AS flat, " + ", ".join(R(f"CASE WHEN den > 1e3 THEN o{c} END", f"c{c}", 3) for c in "xyz") + " FROM cc",
     "asof_keypoints": f"WITH {SEG} SELECT seq_id, t, l, r FROM keys",
     "frames_fixed": f"WITH {FRAMES} SELECT seq_id, t, " + ", ".join(R(f"CASE WHEN inn THEN {a}{c} ELSE 0 END", f"{o}{c}", 5) for o, a in (("t", "t"), ("n", "a"), ("b", "s")) for c in "xyz") + " FROM fr",
     "quat": f"WITH {TRAJ}, ang AS (SELECT seq_id, t, (x % 7) - 3 AS p, (y % 6) - 3 AS w FROM traj), rot AS (SELECT seq_id, t, cos(p)*cos(w) AS r00, -sin(p) AS r01, cos(p)*sin(w) AS r02, sin(p)*cos(w) AS r10, cos(p) AS r11, sin(p)*sin(w) AS r12, -sin(w) AS r20, 0.0 AS r21, cos(w) AS r22 FROM ang){QUAT} SELECT seq_id, t, {R('aw/nq', 'qw')}, {R('ax/nq', 'qx')}, {R('ay/nq', 'qy')}, {R('az/nq', 'qz')} FROM qn",
@@ -144,7 +183,7 @@ ORACLES = {
     "onehot": "SELECT vec_id, CAST(unnest(range(1, 11)) AS INTEGER) AS class, CASE WHEN label + 1 = unnest(range(1, 11)) THEN 1.0 ELSE 0.0 END AS v FROM embeddings",
     "inverse_onehot": "SELECT vec_id, label + 1 AS class FROM embeddings",
     "concat_modalities": "SELECT vec_id, CAST(len(embedding) * 2 AS INTEGER) AS width, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * 3)), 4) + 0.0 AS total FROM embeddings",
-    "topk_atoms": "WITH ats AS (SELECT vec_id AS atom, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT q.vec_id AS id, atom, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * ats.e[i]::DOUBLE)) AS score FROM embeddings q CROSS JOIN ats), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, atom) AS rank FROM s) SELECT id, atom, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
+    "topk_atoms": "WITH ats AS (SELECT a, list_transform(range(0, 64), lambda k: (((a * 13 + k * 7) % 11 - 5) * (1 + a)) / 997.0::DOUBLE) AS e FROM (SELECT unnest(range(0, 256)) AS a)), s AS (SELECT q.vec_id AS id, a AS atom, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * ats.e[i])) AS score FROM embeddings q CROSS JOIN ats), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, atom) AS rank FROM s) SELECT id, atom, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
     "occupancy": f"WITH {NDA} SELECT round(count(*) / 140.0, 6) AS ratio FROM a",
     "ndsparse_build": f"WITH {NDA} SELECT i, j, k, val FROM a",
     "ndsparse_sum": f"WITH {NDA} SELECT i, j, sum(val) AS val FROM a GROUP BY ALL",
@@ -162,4 +201,46 @@ ORACLES = {
     "ndsparse_repmat": f"WITH {NDA} SELECT i, j, k + 4 * r AS k, val FROM a CROSS JOIN (SELECT unnest(range(0, 3)) AS r)",
     "ndsparse_cat": f"WITH {NDA} SELECT i, j, k, val FROM a UNION ALL SELECT i + 7, j, k, val FROM a",
     "ndsparse_triu": f"WITH {NDA} SELECT i, j, sum(val) AS val FROM a WHERE j >= i GROUP BY i, j",
+    "ndsparse_any": f"WITH {NDA} SELECT i, j, 1.0 AS val FROM a GROUP BY i, j",
+    "ndsparse_all": f"WITH {NDA} SELECT i, j, CASE WHEN count(*) = 4 THEN 1.0 ELSE 0.0 END AS val FROM a GROUP BY i, j",
+    "ndsparse_inspect": f"WITH {NDA} SELECT count(*) AS nnz, max(i) AS max_i, max(j) AS max_j, max(k) AS max_k FROM a",
+    "ndsparse_find": f"WITH {NDA} SELECT 1 + (i-1) + (j-1)*7 + (k-1)*35 AS place, val FROM a",
+    "ndsparse_sqrt": f"WITH {NDA} SELECT i, j, k, round(sqrt(abs(val)), 6) + 0.0 AS val FROM a",
+    "ndsparse_power": f"WITH {NDA} SELECT i, j, k, val * val AS val FROM a",
+    "ndsparse_index": f"WITH {NDA} SELECT p AS i, j, q AS k, val FROM a JOIN (VALUES (3, 1), (1, 2), (3, 3), (7, 4)) x(i, p) USING (i) JOIN (VALUES (4, 1), (2, 2)) y(k, q) USING (k)",
+    "ndsparse_assign": f"WITH {NDA} SELECT i, j, k, val FROM a WHERE NOT (i IN (2, 5) AND j IN (1, 3)) UNION ALL SELECT CASE i WHEN 1 THEN 2 ELSE 5 END, CASE j WHEN 1 THEN 1 ELSE 3 END, k, val FROM a WHERE i <= 2 AND j <= 2 AND (i + j + k) % 2 = 0",
+    "ndsparse_minus": f"WITH {NDA} SELECT i, j, k, CASE WHEN (i + j + k) % 2 = 0 THEN -val ELSE val END AS val FROM a",
+    "ndsparse_gt": f"WITH {NDA}, b AS (SELECT i % 7 + 1 AS i, j, k, val FROM a) SELECT i, j, k, 1.0 AS val FROM a FULL JOIN b USING (i, j, k) WHERE coalesce(a.val, 0) > coalesce(b.val, 0)",
+    "ndsparse_eq": f"WITH {NDA}, g AS (SELECT * FROM (SELECT unnest(range(1, 8)) AS i), (SELECT unnest(range(1, 6)) AS j), (SELECT unnest(range(1, 5)) AS k)) SELECT i, j, k, 1.0 AS val FROM g LEFT JOIN a USING (i, j, k) WHERE a.val IS NULL OR (i + j + k) % 2 = 0",
+    "ndsparse_dense": f"WITH {NDA}, g AS (SELECT * FROM (SELECT unnest(range(1, 8)) AS i), (SELECT unnest(range(1, 6)) AS j), (SELECT unnest(range(1, 5)) AS k)) SELECT i, j, k, CASE WHEN (i + j + k) % 2 = 0 THEN coalesce(val, 0) ELSE 0.0 END AS val FROM g LEFT JOIN a USING (i, j, k)",
+    "ndsparse_mpower": f"WITH {NDA}, m AS (SELECT i, j, sum(val) % 7 AS val FROM a WHERE i <= 5 GROUP BY i, j), two AS (SELECT x.i, y.j, sum(x.val * y.val) AS val FROM m x JOIN m y ON x.j = y.i GROUP BY ALL) SELECT x.i, y.j, sum(x.val * y.val) AS val FROM two x JOIN m y ON x.j = y.i GROUP BY ALL HAVING sum(x.val * y.val) <> 0",
+    "ndsparse_rot90": f"WITH {NDA} SELECT 6 - j AS i, i AS j, k, val FROM a",
+    "ndsparse_squeeze": f"WITH {NDA} SELECT i, k, val FROM a WHERE j = 1",
+    "ndsparse_convolve": f"WITH {NDA}, h AS (SELECT i, j, k, i * 1.0 - j * 3 AS val FROM a WHERE i <= 2 AND j <= 2 AND k = 1) SELECT a.i + h.i - 1 AS i, a.j + h.j - 1 AS j, a.k + h.k - 1 AS k, CAST(sum(a.val * h.val) AS DOUBLE) AS val FROM a, h GROUP BY ALL HAVING sum(a.val * h.val) <> 0",
+    "ndsparse_random": "SELECT f % 7 + 1 AS i, (f // 7) % 5 + 1 AS j, f // 35 + 1 AS k, round(((f + 1) * 31337 % 104729 + 1) / 104729.0::DOUBLE, 9) AS val FROM (SELECT unnest(range(0, 140)) AS f) WHERE (f + 1) * 7919 % 104729 < 31418",
+    "ndsparse_solve": "SELECT i, i * 2.0::DOUBLE - 1 AS val FROM (SELECT unnest(range(1, 6)) AS i)",
+    "rounding_functions": f"WITH {TRAJ}, v AS (SELECT seq_id, t, x - 500 AS x, (y % 13) - 6 AS y FROM traj) SELECT seq_id, t, CAST(trunc(x / 7) AS BIGINT) AS fix, round(CASE WHEN y <> 0 THEN x - trunc(x / y) * y END, 6) AS rem, round(CASE WHEN y <> 0 THEN x - floor(x / y) * y ELSE x END, 6) AS mod FROM v",
+    "integer_functions": f"WITH {TRAJ} SELECT seq_id, t, gcd(t * 6, seq_id * 4) AS g, CAST(factorial(CAST(t % 15 AS INTEGER)) AS BIGINT) AS f FROM traj",
+    "time_stamps": "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S') AS stamp FROM events",
+    "inverse3": f"WITH {TRAJ}, m AS (SELECT seq_id, t, (x % 7) + 20 AS a, y % 5 AS b, z % 3 AS c FROM traj), e AS (SELECT *, a*(a*a - b*c) - b*(c*a - b*b) + c*(c*c - a*b) AS det FROM m) SELECT seq_id, t, round((a*a - b*c) / det, 9) + 0.0 AS m0, round((c*c - b*a) / det, 9) + 0.0 AS m1, round((b*b - c*a) / det, 9) + 0.0 AS m2 FROM e",
+    "permuted_rows": f"WITH {TRAJ} SELECT seq_id, t, row_number() OVER (PARTITION BY seq_id ORDER BY (t * 7919 + seq_id * 31) % 104729, t) AS p FROM traj",
+    "excluded_records": f"WITH {TRAJ} SELECT label, count(DISTINCT seq_id) AS n FROM traj WHERE NOT (label = 12 OR (label = 3 AND seq_id % 5 = 0)) GROUP BY label",
+    "load_skeletons": f"WITH {TRAJ} SELECT label AS class_id, seq_id AS subject_id, 7 AS joint_id, 1 AS instance, CAST(t AS INTEGER) AS t, x, y, z, CASE WHEN seq_id % 3 = 0 AND seq_id < 100000 THEN 'train' ELSE 'test' END AS split FROM traj WHERE label <> 12",
+    "sparse_objective": f"WITH {RANGES}, u AS (SELECT (x - lx) / span AS x, (y - ly) / span AS y, (z - lz) / span AS z FROM traj JOIN r USING (seq_id)), c AS (SELECT x, y, z, [x - 0.5, y, 0.0, -z, 0.25, x * y] AS s FROM u), e AS (SELECT s, "
+    + ", ".join(f"{n} - (" + " + ".join(f"s[{k + 1}] * ({BASIS[i, k]!r})".replace("np.float64", "") for k in range(6)) + f") AS e{i}" for i, n in enumerate("xyz"))
+    + " FROM c), o AS (SELECT sum(e0*e0 + e1*e1 + e2*e2) / 2 AS residual, 0.15 * sum(list_sum(list_transform(s, lambda v: abs(v)))) AS penalty, 1e-4 * sum(list_sum(list_transform(s, lambda v: v * v))) AS ridge FROM e) SELECT round(residual, 3) AS residual, round(penalty, 3) AS penalty, round(ridge, 3) AS ridge, round(residual + penalty + ridge, 3) AS objective FROM o",
+    "sparse_codes_stationary": f"WITH {TRAJ} SELECT seq_id, t, 0.0::DOUBLE AS off FROM traj",
+    "encode_two_widths": f"WITH {TRAJ} SELECT DISTINCT seq_id, 180 AS width_a, 120 AS width_b, 1.0::DOUBLE AS size_a, 1.0::DOUBLE AS size_b FROM traj",
+    "encode_whole_fixed": f"WITH {TRAJ}{_fisher('seq_id', 'traj')} SELECT seq_id, CAST(CASE part WHEN 'v' THEN 6 ELSE 0 END + k * 3 + d AS INTEGER) AS i, {R('val', 'val')} FROM fn",
+    "mean_posteriors": f"WITH {TRAJ}{_mixture('traj')}, po AS (SELECT *, exp(l - ml) / sum(exp(l - ml)) OVER (PARTITION BY seq_id, t) AS q FROM (SELECT *, max(l) OVER (PARTITION BY seq_id, t) AS ml FROM dens)) SELECT seq_id, k, {R('avg(q)', 'q')} FROM po GROUP BY seq_id, k",
+    "ridge_stationary": "SELECT CAST(d AS INTEGER) AS d, CAST(c AS INTEGER) AS c, 0.0::DOUBLE AS g FROM (SELECT unnest(range(0, 64)) AS d), (SELECT unnest(range(0, 10)) AS c)",
+    "describe_velocity": f"WITH {GRAD}, s AS (SELECT seq_id, t, [" + ", ".join(f"v{c} / sqrt(sqrt(vx*vx+vy*vy+vz*vz) + 2.220446049250313e-16)" for c in "xyz") + f"] AS d FROM grad WHERE t > 2 AND t <= n - 2) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM s, (SELECT unnest(range(1, 4)) AS i)",
+    "describe_two_hands": f"WITH {GRAD}, s AS (SELECT seq_id, t, [" + ", ".join(f"{f}v{c} / sqrt(sqrt({f}vx*{f}vx+vy*vy+vz*vz) + 2.220446049250313e-16)".replace(f"{f}vy", "vy").replace(f"{f}vz", "vz") for f in ("", "2*") for c in "xyz") + f"] AS d FROM grad WHERE t > 2 AND t <= n - 2) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM s, (SELECT unnest(range(1, 7)) AS i)",
+    "describe_similarity": f"WITH {PATCH} SELECT seq_id, t, CAST(u - 1 AS INTEGER) AS i, {R('d', 'v', 4)} FROM ss",
+    "describe_shape": f"WITH {SHAPE}, n AS (SELECT seq_id, max(t) AS n FROM traj GROUP BY seq_id), h AS (SELECT seq_id, t, CAST(((radius - 1) * 9 + alpha - 1) * 18 + theta - 1 AS INTEGER) AS i, CAST(count(*) AS DOUBLE) AS v FROM b WHERE radius > 0 GROUP BY ALL) SELECT seq_id, t, i, v FROM h JOIN n USING (seq_id) WHERE t > 2 AND t <= n - 2",
+    "shape_pyramid": f"WITH {SHAPE}, n AS (SELECT seq_id, max(t) AS n FROM traj GROUP BY seq_id), f AS (SELECT DISTINCT seq_id, t FROM b WHERE radius > 0), m AS (SELECT seq_id, t, count(*) OVER (PARTITION BY seq_id) AS m FROM f JOIN n USING (seq_id) WHERE t > 2 AND t <= n - 2), h AS (SELECT seq_id, t, CAST(((radius - 1) * 9 + alpha - 1) * 18 + theta - 1 AS INTEGER) AS i, CAST(count(*) AS DOUBLE) AS v FROM b WHERE radius > 0 GROUP BY ALL),"
+    " g AS (SELECT seq_id, level, CAST(ceil(t / (m / level)) AS INTEGER) AS bin, i, sum(v) AS val FROM h JOIN m USING (seq_id, t) CROSS JOIN (SELECT unnest([1, 2, 4, 8]) AS level) GROUP BY ALL) SELECT seq_id, level, bin, i, round(val / sqrt(sum(val * val) OVER (PARTITION BY seq_id)), 6) + 0.0 AS val FROM g",
+    "diff_invariants": f"WITH {DIFF} SELECT seq_id, t, " + ", ".join(R(c, c) for c in ("curvature", "curvature_d", "torsion", "torsion_d")) + " FROM diff",
+    "describe_differential": f"WITH {DIFF}, v AS (SELECT seq_id, t, [curvature, curvature_d, torsion, torsion_d] AS d FROM diff WHERE inn) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM v, (SELECT unnest(range(1, 5)) AS i)",
+    "rrv_fixed": f"WITH {TURN}{QUAT} SELECT seq_id, t, " + ", ".join(R(f"a{c}/nq", f"q{c}", 5) for c in "wxyz") + ", " + ", ".join(R("(" + " + ".join(f"v{c} / vn * m{i}{j}" for i, c in enumerate("xyz")) + ")", f"u{'xyz'[j]}", 5) for j in range(3)) + " FROM qn",
 }

@@ -52,6 +52,31 @@ def from_skeletons(cells: DataFrame, joints: list[int]) -> DataFrame:
     return p.select("class_id", "subject_id", "joint_id", "instance", (F.col("k") + 1).alias("t"), "p.x", "p.y", "p.z")
 
 
+def load_records(spark: SparkSession, path: str, train: DataFrame, without: tuple[int, ...] = (17, 18), length: int = 64, strict: DataFrame | None = None) -> DataFrame:
+    """A folder of text records as a data set: excluded gestures left out, split by person, both hands resampled.
+
+    seq_id (a hash of the record's ids), person_id, gesture_id, session_id, record_id, split, hand, t, x, y, z.
+    """
+    r = exclude(read_text_records(spark, path), F.col("gesture_id").isin(list(without)))
+    r = split_by_membership(r, train, "person_id", strict)
+    ids = ["person_id", "gesture_id", "session_id", "record_id", "split"]
+    r = r.select(F.xxhash64("person_id", "gesture_id", "session_id", "record_id", "path").alias("seq_id"), *ids, "t", F.explode(F.create_map(F.lit("left"), "left", F.lit("right"), "right")).alias("hand", "p"))
+    r = r.select("seq_id", *ids, "hand", "t", "p.x", "p.y", "p.z")
+    meta = r.select("seq_id", *ids).distinct()
+    from strandline.operators.resample import resample
+
+    hands = [resample(r.filter(F.col("hand") == h), length).withColumn("hand", F.lit(h)) for h in ("left", "right")]
+    return hands[0].unionByName(hands[1]).join(meta, "seq_id").select("seq_id", *ids, "hand", "t", "x", "y", "z")
+
+
+def load_skeletons(cells: DataFrame, joints: list[int], train: DataFrame | None = None, without: Column | None = None, seed: int | None = None) -> DataFrame:
+    """Nested skeletons as a data set: joints chosen, records left out, split by subject, with a shuffle key if a seed is given."""
+    d = from_skeletons(cells if without is None else exclude(cells, without), joints)
+    if train is not None:
+        d = split_by_membership(d, train, "subject_id")
+    return d if seed is None else d.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "class_id", "subject_id", "instance"))
+
+
 def exclude(df: DataFrame, rule: Column) -> DataFrame:
     """Records that a dataset leaves out (gestures, or a class of one subject)."""
     return df.filter(~F.coalesce(rule, F.lit(False)))
@@ -59,7 +84,7 @@ def exclude(df: DataFrame, rule: Column) -> DataFrame:
 
 def split_by_membership(df: DataFrame, train: DataFrame, key: str, strict: DataFrame | None = None) -> DataFrame:
     """split = train for keys that are listed; all others are test, or only those in ``strict``."""
-    listed = F.broadcast(train.select(key).distinct().withColumn("_in", F.lit(True))) if train.count() < 1_000_000 else train.select(key).distinct().withColumn("_in", F.lit(True))
+    listed = train.select(key).distinct().withColumn("_in", F.lit(True))
     out = df.join(listed, key, "left").withColumn("split", F.when(F.col("_in"), "train").otherwise("test")).drop("_in")
     if strict is not None:
         out = out.filter("split = 'train'").unionByName(out.filter("split = 'test'").join(strict.select(key).distinct(), key, "left_semi"))
@@ -84,6 +109,12 @@ def cached_artifact(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def permuted(df: DataFrame, a: int = 7919, m: int = 104_729) -> DataFrame:
+    """Each sequence's rows numbered anew (p) in a fixed pseudo-random order of t."""
+    key = (F.col("t") * a + F.col("seq_id") * 31) % m
+    return df.withColumn("p", F.row_number().over(W.partitionBy("seq_id").orderBy(key, "t")).cast("long"))
+
+
 def batch_ids(df: DataFrame, size: int = 256, *order: str) -> DataFrame:
     """Number fixed-size batches of the ordered rows; the last may be short.
 
@@ -93,4 +124,4 @@ def batch_ids(df: DataFrame, size: int = 256, *order: str) -> DataFrame:
     n = d.groupBy("_p").agg(F.count("*").alias("_n"))
     base = n.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     row = F.row_number().over(W.partitionBy("_p").orderBy(*order)) + F.col("_b")
-    return d.join(F.broadcast(base), "_p").withColumn("batch", F.floor((row - 1) / size)).drop("_p", "_b")
+    return d.join(base, "_p").withColumn("batch", F.floor((row - 1) / size)).drop("_p", "_b")

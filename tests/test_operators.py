@@ -241,13 +241,16 @@ def test_pca(spark):
     assert p.shape[1] == 1 and abs(p[0, 0]) > 0.99
 
 
-def test_feature_sign_optimum():
+def test_l1_quadratic_optimum():
     r = np.random.default_rng(10)
     b = r.normal(size=(4, 7))
     a, c, lam = b.T @ b + 0.01 * np.eye(7), r.normal(size=7), 0.3
-    x = encoding.feature_sign(a, c, lam, 50_000)
-    g = a @ x + c
-    assert all(abs(g[j] + lam * np.sign(x[j])) < 1e-6 if x[j] else abs(g[j]) <= lam + 1e-9 for j in range(7))
+    c = np.stack([c, r.normal(size=7), 0 * c])
+    on = np.ones(c.shape, bool)
+    on[1, ::2] = False
+    for x, v, use in zip(encoding.l1_quadratic(a, c, lam, on), c, on, strict=True):
+        g = a @ x + v
+        assert all(abs(g[j] + lam * np.sign(x[j])) < 1e-6 if x[j] else not use[j] or abs(g[j]) <= lam + 1e-9 for j in range(7))
 
 
 def test_basis_lowers_the_error(spark, helices):
