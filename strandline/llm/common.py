@@ -67,17 +67,33 @@ def n_ranges(df: DataFrame, text_col: str = "text") -> int:
     return min(n, max(1000, n // 32))
 
 
-def block_of(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def block_of(n: int, *key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+
+
+#: Texts of one id that can be numbered after their shared key.
+RANKS = 1 << 20
+
+
+def hot_ids(docs: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
+    """Ids (null too) with more rows than a block should have, in a written table of at most n rows."""
+    ids = docs.select(F.col(id_col).cast("long").alias("hot_id"))
+    most = min(-(-ids.count() // n), RANKS)
+    return stored(ids.groupBy("hot_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > most).select("hot_id", F.lit(True).alias("hot")))
 
 
 def blocked(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block, doc_id, data): documents dealt evenly by a hash of their id; text as UTF-8 bytes."""
-    return docs.select(
-        block_of(F.col(id_col), n).alias("block"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"),
-    ).repartition(n, "block")
+    """(block, doc_id, key, hot, data): documents dealt by a hash of their id; text as UTF-8 bytes.
+
+    The rows of an id that would overfill a block are dealt by a hash of their text as well: ``hot``. Rows of one id and
+    one ``key``, a multiple of RANKS, are always in one block.
+    """
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"))
+    d = d.withColumn("key", F.shiftrightunsigned(F.xxhash64("data"), 22) * RANKS)
+    hot = hot_ids(docs, n, id_col)
+    d = d.join(hot, F.col("doc_id").eqNullSafe(F.col("hot_id")), "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    return d.select(block_of(n, F.col("doc_id"), F.when(F.col("hot"), F.col("key")).otherwise(0)).alias("block"), "doc_id", "key", "hot", "data").repartition(n, "block")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

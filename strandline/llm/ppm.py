@@ -7,7 +7,7 @@ symbols of the longer context are excluded: the next shorter context counts only
 symbols never seen share what is left. Contexts nest, so what an escape excludes depends on its
 context alone, and a trie node's code length is the same wherever it is met: it is computed once.
 
-Documents are dealt into blocks, the trie and the words into parts: a gram of ORDER + 1 symbols by its last two context
+Documents are dealt into blocks by id and text, the trie and the words into parts: a gram of ORDER + 1 symbols by its last two context
 symbols, so that a part has all contexts of two and more symbols that its grams need, a word by its hash. A block
 sends each part its distinct grams and words with their training counts, as sorted arrays; the part adds the
 counts up, computes the code lengths and sends each block its answers in the order it asked. Shorter contexts are one
@@ -261,7 +261,7 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, fold: int =
     """
     n = n_blocks(docs, BLOCK_BYTES, text_col)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
-    d = docs.select(block_of(F.col(id_col), n).alias("block"), F.col(id_col).cast("long").alias("doc_id"), (F.crc32(name) % folds == fold).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    d = docs.select(block_of(n, F.col(id_col), F.col(text_col)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), (F.crc32(name) % folds == fold).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     low = np.zeros((START + 1, SYMBOLS), np.int64)
     for r in d.filter(~F.col("held_out")).select("data").mapInArrow(_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect():  # at most 258 * 257 rows
         low[r["pair"] >> BITS, r["pair"] & 511] = r["c"]

@@ -15,14 +15,19 @@ anchor, so equal windows have equal anchors at equal distances, and about one po
 
 A block sends each distinct context once, so a group of copies costs a hash one context a block. An anchor with more than
 WIDE occurrences, such as those at the ends of a passage that a third of all documents hold in different
-surroundings, is not sent whole: each of its windows goes by its own hash, and equal ones again once a block. Documents order by (doc_id, bytes); a null id comes first; rows that
-repeat an id are documents of their own, in the order of their texts. Null text is empty. Extra columns are not used.
+surroundings, is not sent whole: each of its windows goes by its own hash, and equal ones again once a block.
+
+Documents order by doc_id; a null id comes first. Rows that repeat an id are documents of their own, in the order of
+their texts' hashes (common.blocked's key), then bytes; an id with more rows than a block should have is dealt over the
+blocks by that hash. Rows equal in id and text are compared once: all but the first are repeats throughout. Null text is
+empty. Extra columns are not used. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import blocked, mix64, n_blocks, table
+from strandline.llm.common import RANKS, block_of, blocked, mix64, n_blocks, table
 
 LENGTH, KEY, SHALLOW, WIDE = 100, 32, 48, 20_000
 LEFT = LENGTH - KEY
@@ -222,20 +227,24 @@ def runs(again: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
 # the stages
 
 
-def _ordered(t: pa.Table) -> list[tuple[int, int, bytes]]:
-    """(doc, number among rows of the same id, data) in corpus order."""
+def _ordered(t: pa.Table) -> list[tuple[int, int, bytes, int]]:
+    """(doc, copy, data, rows with this id and data) in corpus order.
+
+    copy orders the texts of an id: their number, or for an id that is dealt over many blocks its key and the number after it.
+    """
     ids = t.column("doc_id").fill_null(NULL_ID).to_pylist()
-    rows = sorted(zip(ids, t.column("data").to_pylist(), strict=True))
+    rows = sorted(zip(ids, t.column("key").to_pylist(), t.column("data").to_pylist(), t.column("hot").to_pylist(), strict=True))
     out, last, k = [], None, 0
-    for i, d in rows:
-        k = k + 1 if i == last else 0
-        last = i
-        out.append((i, k, d))
+    for (i, key, d, hot), same in groupby(rows):
+        group = (i, key) if hot else i
+        k = k + 1 if group == last else 0
+        last = group
+        out.append((i, key + k if hot else k, d, len(list(same))))
     return out
 
 
 def _hashes(t: pa.Table) -> pa.Table:
-    h = [anchors(np.frombuffer(d, np.uint8))[1] for _, _, d in _ordered(t)]
+    h = [anchors(np.frombuffer(d, np.uint8))[1] for _, _, d, _ in _ordered(t)]
     u, c = np.unique(np.concatenate(h), return_counts=True)
     block = t.column("block")[0].as_py()
     return pa.table({"h": u.view(np.int64), "block": pa.array(np.full(len(u), block, np.int32)), "times": c.astype(np.int64)})
@@ -251,7 +260,7 @@ def _merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-_CONTEXT = "route long, h long, doc_id long, copy int, at long, ctx binary, until long"
+_CONTEXT = "route long, h long, doc_id long, copy long, at long, ctx binary, until long"
 
 
 def _contexts(t: pa.Table, hot: pa.Table) -> pa.Table:
@@ -263,7 +272,7 @@ def _contexts(t: pa.Table, hot: pa.Table) -> pa.Table:
         o = np.argsort(known)
         known, wide = known[o], hot.column("wide").to_numpy(zero_copy_only=False)[o]
         seen: set[tuple[int, bytes]] = set()
-        for doc, copy, data in _ordered(t):
+        for doc, copy, data, _ in _ordered(t):
             at, h = anchors(np.frombuffer(data, np.uint8))
             k = np.minimum(np.searchsorted(known, h), len(known) - 1)
             keep = known[k] == h
@@ -286,7 +295,7 @@ def _contexts(t: pa.Table, hot: pa.Table) -> pa.Table:
             for s, e in _merge(settled):
                 for col, v in zip(cols, (hash((doc, s)) >> 1, None, doc, copy, s, None, e), strict=True):
                     col.append(v)
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["route", "h", "doc_id", "copy", "at", "ctx", "until"])
 
 
@@ -345,14 +354,17 @@ def _cut(t: pa.Table, found: pa.Table) -> pa.Table:
     for d, c, s, e in zip(*(found.column(x).to_pylist() for x in ("doc_id", "copy", "at", "until")), strict=True):
         by.setdefault((d, c), []).append((s, e))
     rows: list[tuple] = []
-    for doc, copy, data in _ordered(t):
+    for doc, copy, data, times in _ordered(t):
         spans = _merge(by.get((doc, copy), []))
         sha, done = hashlib.sha256(), 0
         for s, e in spans:
             sha.update(data[done:s])
             done = e
         sha.update(data[done:])
-        rows.append((None if doc == NULL_ID else doc, len(data), sum(e - s for s, e in spans), len(spans), sha.hexdigest(), ",".join(f"{s}:{e}" for s, e in spans)))
+        doc = None if doc == NULL_ID else doc
+        rows.append((doc, len(data), sum(e - s for s, e in spans), len(spans), sha.hexdigest(), ",".join(f"{s}:{e}" for s, e in spans)))
+        n = len(data)
+        rows += (times - 1) * [(doc, n, n, 1, hashlib.sha256().hexdigest(), f"0:{n}") if n >= LENGTH else (doc, n, 0, 0, hashlib.sha256(data).hexdigest(), "")]
     cols = list(zip(*rows, strict=True)) or [()] * 6
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
@@ -365,11 +377,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     w = W.partitionBy("h")
     hot = listed.withColumn("all", F.sum("times").over(w)).filter("all > 1").select("h", "block", (F.col("all") > wide).alias("wide"))
     sent = d.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(_contexts, _CONTEXT)
-    found = sent.repartition(n, "route").mapInArrow(_compare, "doc_id long, copy int, at long, until long")
+    found = sent.repartition(n, "route").mapInArrow(_compare, "doc_id long, copy long, at long, until long")
     id_of = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    from strandline.llm.common import block_of
-
-    found = found.withColumn("block", block_of(id_of, n))
+    found = found.withColumn("block", block_of(n, id_of, F.col("copy") - F.col("copy") % RANKS))
     return d.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string")
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import encode, html, leaks, licenses, packing, ppm, quality, secrets, setsketch, shards, suffixes
+from strandline.llm import common, encode, html, leaks, licenses, packing, ppm, quality, secrets, setsketch, shards, suffixes
 from strandline.llm.encode import Encoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, path string, component_id long"
@@ -347,6 +347,38 @@ def test_suffix_dedup(docs, rows, wide):
     assert sum(x[2] for x in want) > 1000
 
 
+@pytest.mark.parametrize("wide", [suffixes.WIDE, 3])
+def test_suffix_dedup_of_an_id_in_many_blocks(spark, rows, wide, monkeypatch):
+    """Half of all rows without an id, a third under one, some of them equal; texts of an id by the hash of common.blocked."""
+    monkeypatch.setattr(suffixes, "n_blocks", lambda *a, **k: 7)
+    texts = [t for _, t, *_ in rows]
+    ids = [None if k % 2 else 7 if k % 3 else k for k in range(len(texts))] + [None, 7, 7]
+    d = spark.createDataFrame([(i, t) for i, t in zip(ids, [*texts, texts[1], texts[2], texts[2]], strict=True)], "doc_id long, text string")
+    dealt = common.blocked(d, 7).collect()
+    assert len({r.block for r in dealt if r.doc_id is None}) > 3 and len({r.block for r in dealt if r.doc_id == 7}) > 3
+    assert len({(r.doc_id, r.key, r.block) for r in dealt}) == len({(r.doc_id, r.key) for r in dealt}) and all(r.key % common.RANKS == 0 for r in dealt)
+    seen, want = set(), []
+    for r in sorted(dealt, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.key, bytes(r.data))):
+        b = bytes(r.data)
+        cover = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                cover[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        want.append((r.doc_id or -1, len(b), sum(cover), len([x for x in bytes(cover).split(b"\0") if x]), hashlib.sha256(bytes(c for c, x in zip(b, cover, strict=True) if not x)).hexdigest()))
+    got = [(r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_passages(d, wide=wide).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_ppm_scores_do_not_depend_on_ids_or_blocks(spark, rows, monkeypatch):
+    """All rows under one id: dealt over the blocks, and scored as in one block."""
+    d = spark.createDataFrame([(1, t) for _, t, *_ in rows], "doc_id long, text string")
+    one = sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 1)) for r in ppm.scores(d).collect())
+    monkeypatch.setattr(ppm, "n_blocks", lambda *a, **k: 5)
+    assert one == sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 1)) for r in ppm.scores(d).collect())
+    assert d.select(common.block_of(5, "doc_id", "text").alias("b")).distinct().count() == 5
+
+
 def test_deep_shallow_orders_like_sorted():
     r = np.random.default_rng(4)
     rows = r.integers(97, 99, size=(400, 60)).astype(np.uint8)
