@@ -14,7 +14,9 @@ counts up, computes the code lengths and sends each block its answers in the ord
 table of 258 x 257 counts. All that is gathered grows with the corpus and is spread over the tasks.
 Words are known by 128-bit hashes.
 
-Null text is empty: just its end. A null id has the text ''. Rows that repeat an id are scored each.
+Null text is empty: just its end. A null id has the text ''. Rows that repeat an id are scored each, equal ones alike; only
+rows equal in id and text share a block for sure. A text of any length is scored whole, in one block. Extra columns are
+not used. An empty table gives no rows.
 """
 
 from __future__ import annotations
