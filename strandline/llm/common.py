@@ -71,6 +71,34 @@ def block_of(n: int, *key: Column | str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
 
 
+#: Blocks grow with the input beyond a thousand, up to so many times BLOCK_BYTES.
+GROW = 8
+
+
+def grown_blocks(docs: DataFrame, text_col: str = "text") -> int:
+    """Blocks for work that sends each key once a block: small ones for up to a thousand tasks, then GROW times as large."""
+    n = n_blocks(docs, text_col=text_col)
+    return min(n, max(1000, -(-n // GROW)))
+
+
+def tallied(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, data, times): documents with their text as UTF-8 bytes; rows equal in both that would overfill one of n blocks
+    are summed up, in the tasks that read them first, before they are dealt.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    k = d.select("doc_id", F.xxhash64("data").alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
+    k = stored(k.groupBy("rows").agg(F.count("*").alias("groups")))
+    total = k.select(F.sum(F.col("rows") * F.col("groups"))).first()[0] or 0
+    most = -(-total // n)
+    once = d.withColumn("times", F.lit(1).cast("long"))
+    if k.filter(F.col("rows") > F.lit(max(1, most // 4))).isEmpty():
+        return once
+    hot = stored(d.select(F.col("doc_id").alias("hot_id"), F.xxhash64("data").alias("hot_key")).groupBy("hot_id", "hot_key").agg(F.count("*").alias("rows")).filter(F.col("rows") > max(1, most // 4)).drop("rows"))
+    match = d["doc_id"].eqNullSafe(hot["hot_id"]) & (F.xxhash64(d["data"]) == hot["hot_key"])
+    cold = once.join(hot, match, "left_anti")
+    return cold.unionByName(d.join(hot, match, "left_semi").groupBy("doc_id", "data").agg(F.count("*").alias("times")))
+
+
 #: Texts of one id that can be numbered after their shared key.
 RANKS = 1 << 20
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import html, leaks, licenses, packing, ppm, quality, secrets, setsketch, shards, suffixes
+from strandline.llm import clusters, covers, html, leaks, licenses, packing, ppm, quality, secrets, setsketch, shards, suffixes
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_mixture_packing": packing.query,
         "op9_setsketch_near_dedup": setsketch.query,
         "op10_quality_rules": quality.query,
+        "op11_gemm_clusters": clusters.query,
+        "op12_difference_cover_dedup": covers.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": suffixes.ORACLE, "op9_setsketch_near_dedup": setsketch.ORACLE, "op10_quality_rules": quality.ORACLE}
+    return {"op7_suffix_dedup": suffixes.ORACLE, "op9_setsketch_near_dedup": setsketch.ORACLE, "op10_quality_rules": quality.ORACLE, "op11_gemm_clusters": clusters.ORACLE, "op12_difference_cover_dedup": covers.ORACLE}
