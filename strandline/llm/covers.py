@@ -9,7 +9,7 @@ from their starts; the KEY = LENGTH - PERIOD + 1 words from there lie in both wi
    occurs twice there. Counted over all blocks, anchors that occur once anywhere are done with.
 2. The others are extended: each window that holds a repeated anchor goes by a 96-bit fingerprint of all its words, again
    once a block, and is counted over all blocks.
-3. Windows that occur twice go back to their blocks, which cut the words they cover.
+3. The places of windows that occur twice go back to their blocks, which cut the words that these and their equals cover.
 
 A key (anchor or window) has at most one row a block, however many documents hold it, so a passage in a third of all
 documents adds no more than that to a task. Blocks grow with the input, up to BLOCK_BYTES * GROW file bytes. Fingerprints
@@ -34,35 +34,48 @@ LENGTH = 35
 #: A perfect difference set (fixed values): every residue but 0 is one difference of two of them.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 ROWS = 65_536
-_BASE, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
 def is_cover(period: int, cover: tuple[int, ...]) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def prints(words: np.ndarray, at: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """64-bit fingerprints of the n words from each position."""
-    out = np.zeros(len(at), np.uint64)
+def prints(words: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
+    """64-bit fingerprints of the n words from each position, by doubling; the last n - 1 positions have none."""
     with np.errstate(over="ignore"):
-        for j in range(n):
-            out = out * base + words[at + j]
-        return mix64(out)
+        part, power, size, out, done = words, base, 1, None, 0
+        while size <= n:
+            if n & size:  # the next size words after those done
+                tail = part[done:]
+                out = tail if out is None else out[: len(tail)] * np.uint64(power) + tail
+                done += size
+            part, power, size = part[:-size] * np.uint64(power) + part[size:], power * power & (1 << 64) - 1, size * 2
+        return mix64(out[: max(0, len(words) - n + 1)])
+
+
+_IDS = WordIds()
 
 
 class Words:
-    """The words of a block's documents end to end: their hashes, where each document begins, and the rows each stands for."""
+    """The words of a block's documents end to end: their hashes, where each document begins, and the rows each stands for.
+
+    A shuffle brings a block's rows in any order, and places must mean the same in each pass: documents are put in order of id and text.
+    """
 
     def __init__(self, t: pa.Table):
-        ids, parts, self.raw = WordIds(), [], []
-        for d in t.column("data").to_pylist():
-            w = d.split()
+        parts, self.raw = [], []
+        ids, data = t.column("doc_id").to_pylist(), t.column("data").to_pylist()
+        o = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, data[i]))
+        self.ids = [ids[i] for i in o]
+        for i in o:
+            w = data[i].split()
             self.raw.append(w)
-            parts.append(ids.of(w))
+            parts.append(_IDS.of(w))
         self.hash = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.size = np.array([len(p) for p in parts], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.times = t.column("times").to_numpy()
+        self.times = t.column("times").to_numpy()[o] if o else np.empty(0, np.int64)
 
     def starts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions from which a document has n words more, and the document of each."""
@@ -71,25 +84,21 @@ class Words:
         return np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + self.start[doc], doc
 
 
-def _once(keys: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each distinct key, and whether its rows stand for two occurrences or more."""
+def _once(keys: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each distinct key, and whether its rows stand for two occurrences or more."""
     if not len(times):
-        return keys, np.empty(0, bool)
-    o = np.lexsort(keys[::-1])
+        return np.empty(0, np.int64), np.empty(0, bool)
+    o = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     new = np.ones(len(o), bool)
     new[1:] = np.any([k[o][1:] != k[o][:-1] for k in keys], axis=0)
     at = np.flatnonzero(new)
-    return [k[o][at] for k in keys], np.add.reduceat(np.minimum(times[o], 2), at) > 1
+    return o[at], np.add.reduceat(np.minimum(times[o], 2), at) > 1
 
 
 def _block(t: pa.Table) -> int | None:
     return t.column("block")[0].as_py() if t.num_rows else None
 
 
-def _second(f: np.ndarray) -> np.ndarray:
-    return (f >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def repeated_words(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id, n_words, n_removed, kept (the other words, joined by one space), removed (start:end in words,
     comma-joined).
@@ -102,13 +111,17 @@ def repeated_words(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         """Positions, documents and hashes of a block's anchors; a document without a window has none."""
         at, doc = w.starts(key)
         keep = inside[(at - w.start[doc]) % period] & (w.size[doc] >= length)
-        return at[keep], doc[keep], prints(w.hash, at[keep], key)
+        return at[keep], doc[keep], prints(w.hash, key)[at[keep]]
+
+    def windows(w: Words, at: np.ndarray) -> list[np.ndarray]:
+        """The 96-bit fingerprints of the windows at some positions, as 64 and 32 bits."""
+        return [prints(w.hash, length)[at], (prints(w.hash, length, _SECOND)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)]
 
     def listed(t: pa.Table) -> pa.Table:
         w = Words(t)
         _, doc, h = anchors(w)
-        (h,), twice = _once([h], w.times[doc])
-        return pa.table({"h": h.view(np.int64), "block": np.full(len(h), _block(t) or 0, np.int32), "twice": twice})
+        at, twice = _once([h], w.times[doc])
+        return pa.table({"h": h[at].view(np.int64), "block": np.full(len(at), _block(t) or 0, np.int32), "twice": twice})
 
     def extended(t: pa.Table, hot: pa.Table) -> pa.Table:
         w = Words(t if hot.num_rows else t.slice(0, 0))
@@ -122,23 +135,25 @@ def repeated_words(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         s, owner = w.starts(length)
         near = np.cumsum(edge)[s] > 0
         s, owner = s[near], owner[near]
-        (f, g), twice = _once([prints(w.hash, s, length), _second(prints(w.hash, s, length, _SECOND))], w.times[owner])
-        return pa.table({"f": f.view(np.int64), "g": g, "block": np.full(len(f), _block(t) or 0, np.int32), "twice": twice})
+        f, g = windows(w, s)
+        first, twice = _once([f, g], w.times[owner])
+        return pa.table({"f": f[first].view(np.int64), "g": g[first], "block": np.full(len(first), _block(t) or 0, np.int32), "at": (2 * s[first] + twice).astype(np.int32)})
 
     def cut(t: pa.Table, found: pa.Table) -> pa.Table:
         w = Words(t)
         gone = np.zeros(len(w.hash) + 1, np.int64)
         if found.num_rows:
             s, _ = w.starts(length)
-            f, g = found.column("f").to_numpy().view(np.uint64), found.column("g").to_numpy()
-            s, own = s[(hit := np.isin(own := prints(w.hash, s, length), f))], own[hit]
-            pairs = np.zeros(len(f), [("f", "u8"), ("g", "i4")])
-            pairs["f"], pairs["g"] = f, g
-            mine = np.zeros(len(s), pairs.dtype)
-            mine["f"], mine["g"] = own, _second(prints(w.hash, s, length, _SECOND))
-            s = s[np.isin(mine, pairs)]
-            np.add.at(gone, s, 1)
-            np.add.at(gone, s + length, -1)
+            f, g = windows(w, np.arange(max(0, len(w.hash) - length + 1)))
+            at = found.column("at").to_numpy() >> 1
+            at = at[np.lexsort((g[at], f[at]))]
+            place = np.searchsorted(f[at], f[s])
+            hit = np.zeros(len(s), bool)
+            for k in range(int(np.unique(f[at], return_counts=True)[1].max())):  # once, but for two windows equal in f alone
+                there = at[np.minimum(place + k, len(at) - 1)]
+                hit |= (f[there] == f[s]) & (g[there] == g[s])
+            np.add.at(gone, s[hit], 1)
+            np.add.at(gone, s[hit] + length, -1)
         covered = np.cumsum(gone)[:-1] > 0
         rows: list[tuple] = []
         for i, words in enumerate(w.raw):
@@ -152,15 +167,16 @@ def repeated_words(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
             rows.append((len(words), sum(e - s for s, e in spans), b" ".join(kept + words[done:]), ",".join(f"{s}:{e}" for s, e in spans)))
         cols = list(zip(*rows, strict=True)) or [()] * 4
         new = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)]
-        return pa.Table.from_arrays([t.column("doc_id"), *new, t.column("times")], ["doc_id", "n_words", "n_removed", "kept", "removed", "times"])
+        return pa.Table.from_arrays([pa.array(w.ids, pa.int64()), *new, pa.array(w.times, pa.int64())], ["doc_id", "n_words", "n_removed", "kept", "removed", "times"])
 
     n = grown_blocks(docs, text_col=text_col)
     d = tallied(docs, n, id_col, text_col)
     d = d.withColumn("block", block_of(n, "doc_id", "data")).repartition(n, "block")
-    again = lambda df, *k: df.withColumn("rows", F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(W.partitionBy(*k))).filter("rows > 1")
-    hot = again(d.groupBy("block").applyInArrow(listed, "h long, block int, twice boolean").repartition(n, "h"), "h").select("h", "block")
-    sent = d.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(extended, "f long, g int, block int, twice boolean")
-    found = again(sent.repartition(n, "f"), "f", "g").select("f", "g", "block")
+    again = lambda df, twice, *k: df.withColumn("rows", F.sum(F.when(twice, 2).otherwise(1)).over(W.partitionBy(*k))).filter("rows > 1")
+    hot = again(d.groupBy("block").applyInArrow(listed, "h long, block int, twice boolean").repartition(n, "h"), F.col("twice"), "h").select("h", "block")
+    sent = d.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(extended, "f long, g int, block int, at int")
+    # a window goes back by its place alone
+    found = again(sent.repartition(n, "f"), F.col("at") % 2 == 1, "f", "g").select("block", "at")
     out = d.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary, removed string, times long")
     # a row for each that was counted, ROWS at a time
     part = F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(ROWS).cast("long"))

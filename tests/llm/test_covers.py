@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -92,3 +93,10 @@ def test_equal_rows_are_summed_before_they_are_dealt(spark):
     df = spark.createDataFrame([(1, "a")] * 500 + [(k, f"t{k}") for k in range(100)], "doc_id long, text string")
     got = common.tallied(df, 6).collect()
     assert len(got) == 101 and sum(r["times"] for r in got) == 600
+
+
+def test_places_do_not_depend_on_the_order_of_rows():
+    rows = [(k % 7 if k % 5 else None, f"a{k % 3} b c{k}".encode(), 1 + k % 2) for k in range(40)]
+    table = lambda rows: pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "data": [r[1] for r in rows], "times": [r[2] for r in rows]})
+    a, b = covers.Words(table(rows)), covers.Words(table(random.Random(1).sample(rows, len(rows))))
+    assert a.ids == b.ids and a.raw == b.raw and (a.hash == b.hash).all() and (a.times == b.times).all()
