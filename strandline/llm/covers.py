@@ -22,13 +22,16 @@ whichever task they came from; a null id stays null; extra columns are not used;
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordIds, block_of, grown_blocks, mix64, table, tallied
+from strandline.llm.common import block_of, grown_blocks, mix64, table, tallied
 
 LENGTH = 35
 #: A perfect difference set (fixed values): every residue but 0 is one difference of two of them.
@@ -54,7 +57,44 @@ def prints(words: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
         return mix64(out[: max(0, len(words) - n + 1)])
 
 
-_IDS = WordIds()
+SPACES = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
+#: Bytes hashed at once; a longer word has a hash of its own kind.
+CHUNK = 1 << 20
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SECOND))
+
+
+@functools.cache
+def _powers(base: int) -> np.ndarray:
+    """base^0 to base^CHUNK modulo 2^64."""
+    with np.errstate(over="ignore"):
+        out, power = np.ones(1, np.uint64), base
+        while len(out) <= CHUNK:
+            out, power = np.concatenate([out, out * np.uint64(power)]), power * power & (1 << 64) - 1
+        return out
+
+
+def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text (bytes that end in a space) begins, and its 64-bit hash: the sum of its bytes' random numbers by powers,
+    from a running sum.
+    """
+    inner = ~SPACES[text]
+    edge = np.flatnonzero(np.diff(inner, prepend=False))
+    s, e = edge[::2], edge[1::2]
+    out = np.zeros(len(s), np.uint64)
+    up, down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+    k = 0
+    with np.errstate(over="ignore"):
+        while k < len(s):
+            to = max(k, int(np.searchsorted(e, s[k] + CHUNK, "right")))
+            if to == k:
+                out[k], k = xxhash.xxh3_64_intdigest(text[s[k] : e[k]].tobytes()), k + 1
+                continue
+            part = text[s[k] : e[to - 1]]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * up[: len(part)])])
+            a, b = s[k:to] - s[k], e[k:to] - s[k]
+            out[k:to] = (total[b] - total[a]) * down[a]
+            k = to
+    return s, mix64(out)
 
 
 class Words:
@@ -67,13 +107,10 @@ class Words:
         parts, self.raw = [], []
         ids, data = t.column("doc_id").to_pylist(), t.column("data").to_pylist()
         o = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, data[i]))
-        self.ids = [ids[i] for i in o]
-        for i in o:
-            w = data[i].split()
-            self.raw.append(w)
-            parts.append(_IDS.of(w))
-        self.hash = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.size = np.array([len(p) for p in parts], np.int64)
+        self.ids, self.data = [ids[i] for i in o], [data[i] for i in o]
+        at, self.hash = word_hashes(np.frombuffer(b" ".join([*self.data, b""]), np.uint8))
+        end = np.cumsum([len(d) + 1 for d in self.data], dtype=np.int64)
+        self.size = np.diff(np.searchsorted(at, end), prepend=0)
         self.start = np.cumsum(self.size) - self.size
         self.times = t.column("times").to_numpy()[o] if o else np.empty(0, np.int64)
 
@@ -156,7 +193,8 @@ def repeated_words(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
             np.add.at(gone, s[hit] + length, -1)
         covered = np.cumsum(gone)[:-1] > 0
         rows: list[tuple] = []
-        for i, words in enumerate(w.raw):
+        for i, data in enumerate(w.data):
+            words = data.split()
             c = covered[w.start[i] : w.start[i] + len(words)]
             turn = np.flatnonzero(np.diff(np.concatenate([[False], c, [False]]))).tolist()
             spans = list(zip(turn[::2], turn[1::2], strict=True))

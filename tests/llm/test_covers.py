@@ -99,4 +99,19 @@ def test_places_do_not_depend_on_the_order_of_rows():
     rows = [(k % 7 if k % 5 else None, f"a{k % 3} b c{k}".encode(), 1 + k % 2) for k in range(40)]
     table = lambda rows: pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "data": [r[1] for r in rows], "times": [r[2] for r in rows]})
     a, b = covers.Words(table(rows)), covers.Words(table(random.Random(1).sample(rows, len(rows))))
-    assert a.ids == b.ids and a.raw == b.raw and (a.hash == b.hash).all() and (a.times == b.times).all()
+    assert a.ids == b.ids and a.data == b.data and (a.hash == b.hash).all() and (a.times == b.times).all()
+
+
+def test_words_are_hashed_alike_at_any_place(monkeypatch):
+    import numpy as np
+
+    words = [b"a", b"b" * 70, b"\xc3\xa9t", b"a", b"\xff\x00", b"c" * 300, b"ab", b"ba", b"c" * 299]
+    text = b" \t".join(words * 40) + b" "
+    s, h = covers.word_hashes(np.frombuffer(text, np.uint8))
+    assert [text[k:].split(None, 1)[0] for k in s.tolist()] == words * 40
+    assert len(set(h.tolist())) == len(set(words)) and (h.reshape(40, -1) == h[: len(words)]).all()
+    monkeypatch.setattr(covers, "CHUNK", 100)
+    covers._powers.cache_clear()
+    _, g = covers.word_hashes(np.frombuffer(text, np.uint8))
+    covers._powers.cache_clear()
+    assert len(set(g.tolist())) == len(set(words)) and (g.reshape(40, -1) == g[: len(words)]).all()
