@@ -57,6 +57,21 @@ def shape_pyramid(df: DataFrame, guard: bool = False) -> DataFrame:
     return c.withColumn("val", F.when(size > 0, F.col("val") / size).otherwise(F.col("val") if guard else F.lit(None)))
 
 
+def velocity_pyramid(df: DataFrame, ends: int = 0) -> DataFrame:
+    """Square-root velocities of the sequence at unit scale, summed in every pyramid bin, and the whole code of unit length:
+    (seq_id, level, bin, sx, sy, sz).
+
+    ``ends`` rows at either end are left out after velocities are taken. A sequence that never moves, or has no row left, is all zeros.
+    """
+    s = ["sx", "sy", "sz"]
+    v = sequence.square_root_velocity(sequence.unit_scale(df))
+    if ends:
+        v = sequence.trim(v, ends).withColumn("t", F.col("t") - ends)
+    c = encoding.all_bins(df).join(encoding.pool(v, "sum", *s), ["seq_id", "level", "bin"], "left").fillna(0.0)
+    size = F.sqrt(F.sum(sum(F.col(k) * F.col(k) for k in s)).over(W.partitionBy("seq_id")))
+    return c.withColumn("_size", size).select("seq_id", "level", "bin", *(F.when(F.col("_size") > 0, F.col(k) / F.col("_size")).otherwise(0.0).alias(k) for k in s))
+
+
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
     """Rows in a fixed pseudo-random order of their content: a sort key, not a draw, so that a repeated task gives the same rows."""
     return df.withColumn("shuffle_key", F.xxhash64(F.lit(seed), *df.columns))

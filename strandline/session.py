@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +21,13 @@ def session(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSess
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return SparkSession.builder.master(f"local[{cores}]").config(map=settings | conf).getOrCreate()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new, uniquely named folder under the shared spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="strandline-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
