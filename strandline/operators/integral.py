@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -117,45 +118,76 @@ def integral_invariants(df: DataFrame, width: int = 6, radius: float = 0.1) -> D
     return spread(df.select("seq_id", "t", "x", "y", "z")).groupBy("seq_id").applyInPandas(run, "seq_id long, t long, osculating double, rectifying double")
 
 
-def polar_gradients(image: np.ndarray, radius: int = 30, rings: int = 4, sectors: int = 8, bins: int = 6, norm: str = "l2") -> np.ndarray:
-    """Log-polar histograms of gradient orientation around every diagonal pixel of a self-similarity image.
-
-    The innermost ring is one cell: (rings * sectors - sectors + 1) * bins numbers a pixel.
+@functools.cache
+def _stencil(radius: int, rings: int, sectors: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the pixels on and right of the diagonal within a radius of a diagonal pixel, and each one's share in every
+    (sector, ring): linear in the angle to the diagonal and in the logarithm of the radius. Shares of cells outside are lost.
     """
-    gy, gx = np.gradient(image.astype(float))
-    size, angle = np.hypot(gx, gy), np.mod(np.arctan2(gy, gx), math.pi)
-    n = len(image)
     d = np.arange(-radius, radius + 1)
-    dy, dx = np.meshgrid(d, d, indexing="ij")
-    r = np.hypot(dy, dx)
-    ring = np.clip(np.floor(rings * np.log1p(r) / np.log1p(radius)).astype(int), 0, rings - 1)
-    sector = np.floor(np.mod(np.arctan2(dy, dx), 2 * math.pi) / (2 * math.pi / sectors)).astype(int) % sectors
-    cell = np.where(ring == 0, 0, 1 + (ring - 1) * sectors + sector)
-    inside = r <= radius
-    cells = rings * sectors - sectors + 1
-    out = np.zeros((n, cells * bins))
-    share = angle / (math.pi / bins) - 0.5
-    low = np.floor(share).astype(int)
-    part = share - low
-    for i in range(n):
-        y, x = dy[inside] + i, dx[inside] + i
-        ok = (y >= 0) & (y < n) & (x >= 0) & (x < n)
-        y, x, c = y[ok], x[ok], cell[inside][ok]
-        h = np.bincount(c * bins + low[y, x] % bins, weights=size[y, x] * (1 - part[y, x]), minlength=cells * bins)
-        out[i] = h + np.bincount(c * bins + (low[y, x] + 1) % bins, weights=size[y, x] * part[y, x], minlength=cells * bins)
+    dy, dx = (v.ravel() for v in np.meshgrid(d, d, indexing="ij"))
+    own = (dx >= dy) & (dy * dy + dx * dx > 0) & (dy * dy + dx * dx <= radius * radius)
+    dy, dx = dy[own], dx[own]
+    share = np.ones((len(dy), sectors + 2, rings + 2))
+    along, across = (dy + dx) / math.sqrt(2), (dx - dy) / math.sqrt(2)
+    places = (np.arctan2(across, along) * sectors / math.pi + 0.5, np.log(np.hypot(along, across)) * rings / math.log(radius) + 0.5)
+    for axis, at in enumerate(places):
+        low = np.floor(at).astype(int)
+        one = np.zeros((len(dy), share.shape[axis + 1]))
+        one[np.arange(len(dy)), low], one[np.arange(len(dy)), low + 1] = 1 - (at - low), at - low
+        share *= np.expand_dims(one, 2 - axis)
+    return dy, dx, share[:, 1:-1, 1:-1].reshape(len(dy), -1)
+
+
+def _normalised(h: np.ndarray, norm: str, eps: float = 0.001, most: float = 0.6) -> np.ndarray:
+    length = lambda v: np.sqrt((v * v).sum(1, keepdims=True) + eps * eps)
+    if norm == "none":
+        return h
     if norm in ("l1", "l1sqrt"):
-        out /= out.sum(1, keepdims=True) + 1e-12
-    if norm == "l1sqrt":
-        out = np.sqrt(out)
-    if norm in ("l2", "l2hys"):
-        out /= np.sqrt((out**2).sum(1, keepdims=True)) + 1e-12
+        h = h / (h.sum(1, keepdims=True) + eps)
+        return h if norm == "l1" else np.sqrt(h)
+    if norm == "l2":
+        return h / length(h)
     if norm == "l2hys":
-        out = np.minimum(out, 0.2)
-        out /= np.sqrt((out**2).sum(1, keepdims=True)) + 1e-12
-    return out
+        h = np.minimum(h / length(h), most)
+        return h / length(h)
+    raise ValueError("norm is one of none, l1, l1sqrt, l2, l2hys")
 
 
-def similarity_gradients(ssm: DataFrame, norm: str = "l2") -> DataFrame:
+def polar_gradients(image: np.ndarray, radius: int = 30, rings: int = 4, sectors: int = 8, bins: int = 6, signed: bool = False, norm: str = "l2hys") -> np.ndarray:
+    """Log-polar histograms of gradient orientation around every diagonal pixel of a self-similarity image, upper half.
+
+    A pixel's magnitude is shared over radius, angle and orientation, between two bins of each; it is left out below 1e-5. Shares
+    in the borders' outer bins are lost, but for signed orientations, which wrap. After normalising, the
+    innermost ring's sectors are added up: (rings * sectors - sectors + 1) * bins numbers a pixel. Geometry does not
+    depend on the pixel, so a pixel's histogram is one product: the stencil's shares by the planes of orientation under it.
+    """
+    n, around = len(image), np.pad(image.astype(float), 1)
+    gx, gy = around[1:-1, 2:] - around[1:-1, :-2], around[:-2, 1:-1] - around[2:, 1:-1]
+    size = np.sqrt(gx * gx + gy * gy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        angle = np.nan_to_num(np.arctan(gy / (gx + 1e-4)))
+    turn = 2 * math.pi if signed else math.pi
+    angle = angle + (np.where(gx < 0, math.pi, np.where(gy < 0, turn, 0.0)) if signed else np.where(angle < 0, math.pi, 0.0))
+    at = angle * bins / turn + 0.5
+    low = np.floor(at).astype(int)
+    size = np.where(size < 1e-5, 0.0, size)
+    planes = np.zeros((n, n, bins + 2))
+    np.put_along_axis(planes, low[..., None], (size * (1 - (at - low)))[..., None], 2)
+    np.put_along_axis(planes, low[..., None] + 1, (size * (at - low))[..., None], 2)
+    if signed:
+        planes[..., 1] += planes[..., bins + 1]
+        planes[..., bins] += planes[..., 0]
+    planes = planes[..., 1:-1]
+    dy, dx, share = _stencil(radius, rings, sectors)
+    out = np.zeros((n, sectors * rings, bins))
+    for t in range(n):
+        there = (dy + t >= 0) & (dx + t < n) & (dx + t >= 0) & (dy + t < n)
+        out[t] = share[there].T @ planes[dy[there] + t, dx[there] + t]
+    out = _normalised(np.maximum(out.reshape(n, -1), 0.0), norm).reshape(n, sectors, rings, bins)
+    return np.concatenate([out[:, :, 0].sum(1), out[:, :, 1:].reshape(n, -1)], axis=1)
+
+
+def similarity_gradients(ssm: DataFrame, norm: str = "l2hys") -> DataFrame:
     """(seq_id, t, u, s) -> (seq_id, t, hog array): the matrix as a 16-bit image, then polar_gradients."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -272,7 +272,8 @@ def integral_inv(s, d):
 
 @query
 def ssm_hog(s, d):
-    return integral.similarity_gradients(pairwise.self_similarity(sequence.patches(traj(s, d), 2, *XYZ)))
+    h = integral.similarity_gradients(pairwise.self_similarity(sequence.patches(traj(s, d), 2, *XYZ)))
+    return rounded(h.select("seq_id", "t", F.posexplode("hog").alias("i", "v")), 4, "v").filter("v <> 0")
 
 
 # encoding
@@ -697,9 +698,10 @@ def _describe(name: str) -> None:
         x = describe.describe(traj(s, d), name)
         if name == "shape":
             x = x.select("seq_id", "t", F.posexplode("d").alias("i", "v")).filter("v <> 0")
-        elif name in ("differential", "velocity", "similarity"):
+        elif name in ("differential", "velocity", "similarity", "similarity_gradients"):
             x = x.select("seq_id", "t", F.posexplode("d").alias("i", "v"))
-        return rounded(x, 4, "v") if "v" in x.columns else x
+        x = rounded(x, 4, "v") if "v" in x.columns else x
+        return x.filter("v <> 0") if name == "similarity_gradients" else x
 
     _QUERIES[f"describe_{name}"] = run
 

@@ -19,6 +19,19 @@ PAIRS = TRAJ + """, pr AS (SELECT a.seq_id, a.t, b.t AS u, b.x - a.x AS dx, b.y
 PATCH = TRAJ + """, n AS (SELECT seq_id, max(t) AS n FROM traj GROUP BY seq_id),
   off AS (SELECT a.seq_id, a.t, o.o, b.x, b.y, b.z FROM traj a CROSS JOIN (SELECT unnest(range(-2, 3)) AS o) o JOIN traj b ON a.seq_id = b.seq_id AND b.t = a.t + o.o JOIN n ON n.seq_id = a.seq_id WHERE a.t > 2 AND a.t <= n.n - 2),
   ss AS (SELECT p.seq_id, p.t - 2 AS t, q.t - 2 AS u, sqrt(sum((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) + (p.z-q.z)*(p.z-q.z))) AS d FROM off p JOIN off q ON p.seq_id = q.seq_id AND p.o = q.o GROUP BY ALL)"""
+#: Squares are added in one order, so that both engines cut the image's levels alike.
+HOG = PATCH + """, pa AS MATERIALIZED (SELECT seq_id, t - 2 AS t, flatten(list([x, y, z] ORDER BY o)) AS p FROM off GROUP BY seq_id, t),
+  dd AS (SELECT a.seq_id, a.t, b.t AS u, sqrt(list_reduce(list_transform(list_zip(a.p, b.p), lambda q: (q[1] - q[2]) * (q[1] - q[2])), lambda s, q: s + q)) AS d FROM pa a JOIN pa b USING (seq_id)),
+  g0 AS (SELECT seq_id, t, u, floor(d / coalesce(nullif(max(d) OVER (PARTITION BY seq_id), 0), 1) * 65535) AS g FROM dd),
+  g1 AS (SELECT seq_id, t, u, max(t) OVER (PARTITION BY seq_id) AS m, lead(g, 1, 0) OVER r - lag(g, 1, 0) OVER r AS gx, lag(g, 1, 0) OVER c - lead(g, 1, 0) OVER c AS gy FROM g0 WINDOW r AS (PARTITION BY seq_id, t ORDER BY u), c AS (PARTITION BY seq_id, u ORDER BY t)),
+  g2 AS (SELECT seq_id, t, u, m, sqrt(gx*gx + gy*gy) AS size, (CASE WHEN atan(gy / (gx + 1e-4)) < 0 THEN pi() ELSE 0 END + atan(gy / (gx + 1e-4))) * 6 / pi() + 0.5 AS o FROM g1),
+  votes AS MATERIALIZED (SELECT seq_id, t, u - t AS side, m, floor(o) + k AS z, size * (CASE k WHEN 0 THEN 1 - (o - floor(o)) ELSE o - floor(o) END) AS val FROM g2, (SELECT unnest([0, 1]) AS k) WHERE u >= t AND size >= 1e-5),
+  o0 AS (SELECT dy, dx, atan2(dx - dy, dx + dy) * 8 / pi() + 0.5 AS a, ln(sqrt(dx*dx + dy*dy)) * 4 / ln(30) + 0.5 AS b FROM (SELECT unnest(range(-30, 31)) AS dy), (SELECT unnest(range(-30, 31)) AS dx) WHERE dx >= dy AND dx*dx + dy*dy BETWEEN 1 AND 900),
+  o1 AS MATERIALIZED (SELECT dy, dx - dy AS side, CAST(floor(a) + i AS INTEGER) AS sector, CAST(floor(b) + j AS INTEGER) AS ring, (CASE i WHEN 0 THEN 1 - (a - floor(a)) ELSE a - floor(a) END) * (CASE j WHEN 0 THEN 1 - (b - floor(b)) ELSE b - floor(b) END) AS share FROM o0, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE floor(a) + i BETWEEN 1 AND 8 AND floor(b) + j BETWEEN 1 AND 4),
+  cells AS (SELECT seq_id, t - dy AS t, sector, ring, CAST(z AS INTEGER) AS z, greatest(sum(share * val), 0) AS h FROM votes JOIN o1 USING (side) WHERE t - dy BETWEEN 1 AND m AND z BETWEEN 1 AND 6 GROUP BY ALL),
+  n1 AS (SELECT * EXCLUDE h, least(h / sqrt(sum(h*h) OVER w + 1e-6), 0.6) AS h FROM cells WINDOW w AS (PARTITION BY seq_id, t)),
+  n2 AS (SELECT * EXCLUDE h, h / sqrt(sum(h*h) OVER w + 1e-6) AS h FROM n1 WINDOW w AS (PARTITION BY seq_id, t)),
+  hog AS (SELECT seq_id, t, CAST(CASE WHEN ring = 1 THEN 0 ELSE (sector - 1) * 3 + ring - 1 END * 6 + z - 1 AS INTEGER) AS i, round(sum(h), 4) + 0.0 AS v FROM n2 GROUP BY ALL HAVING round(sum(h), 4) <> 0)"""
 SHAPE = PAIRS + """, q AS (SELECT pr.seq_id, t, u, sqrt(dx*dx + dy*dy + dz*dz) / mean_dist AS r, CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END AS th, atan2(sqrt(dx*dx + dy*dy), dz) AS al FROM pr JOIN md USING (seq_id) WHERE mean_dist > 0),
   b AS (SELECT seq_id, t, u, CAST(least(floor(th / (pi() * 2 / 18)) + 1, 18) AS INTEGER) AS theta, CAST(least(floor(al / (pi() / 9)) + 1, 9) AS INTEGER) AS alpha,
   CAST((r < 0.125)::INT + (r < 0.25)::INT + (r < 0.5)::INT + (r < 1.0)::INT + (r < 2.0)::INT AS INTEGER) AS radius FROM q)"""
@@ -236,6 +249,8 @@ ORACLES = {
     "ridge_stationary": "SELECT CAST(d AS INTEGER) AS d, CAST(c AS INTEGER) AS c, 0.0::DOUBLE AS g FROM (SELECT unnest(range(0, 64)) AS d), (SELECT unnest(range(0, 10)) AS c)",
     "describe_velocity": f"WITH {GRAD}, s AS (SELECT seq_id, t, [" + ", ".join(f"v{c} / sqrt(sqrt(vx*vx+vy*vy+vz*vz) + 2.220446049250313e-16)" for c in "xyz") + f"] AS d FROM grad WHERE t > 2 AND t <= n - 2) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM s, (SELECT unnest(range(1, 4)) AS i)",
     "describe_two_hands": f"WITH {GRAD}, s AS (SELECT seq_id, t, [" + ", ".join(f"{f}v{c} / sqrt(sqrt({f}vx*{f}vx+vy*vy+vz*vz) + 2.220446049250313e-16)".replace(f"{f}vy", "vy").replace(f"{f}vz", "vz") for f in ("", "2*") for c in "xyz") + f"] AS d FROM grad WHERE t > 2 AND t <= n - 2) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM s, (SELECT unnest(range(1, 7)) AS i)",
+    "ssm_hog": f"WITH {HOG} SELECT seq_id, t, i, v FROM hog",
+    "describe_similarity_gradients": f"WITH {HOG} SELECT seq_id, t, i, v FROM hog",
     "describe_similarity": f"WITH {PATCH} SELECT seq_id, t, CAST(u - 1 AS INTEGER) AS i, {R('d', 'v', 4)} FROM ss",
     "describe_shape": f"WITH {SHAPE}, n AS (SELECT seq_id, max(t) AS n FROM traj GROUP BY seq_id), h AS (SELECT seq_id, t, CAST(((radius - 1) * 9 + alpha - 1) * 18 + theta - 1 AS INTEGER) AS i, CAST(count(*) AS DOUBLE) AS v FROM b WHERE radius > 0 GROUP BY ALL) SELECT seq_id, t, i, v FROM h JOIN n USING (seq_id) WHERE t > 2 AND t <= n - 2",
     "shape_pyramid": f"WITH {SHAPE}, n AS (SELECT seq_id, max(t) AS n FROM traj GROUP BY seq_id), f AS (SELECT DISTINCT seq_id, t FROM b WHERE radius > 0), m AS (SELECT seq_id, t, count(*) OVER (PARTITION BY seq_id) AS m FROM f JOIN n USING (seq_id) WHERE t > 2 AND t <= n - 2), h AS (SELECT seq_id, t, CAST(((radius - 1) * 9 + alpha - 1) * 18 + theta - 1 AS INTEGER) AS i, CAST(count(*) AS DOUBLE) AS v FROM b WHERE radius > 0 GROUP BY ALL),"
