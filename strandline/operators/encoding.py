@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions import vector as V
+from strandline.operators.dictionary import dual_basis, feature_sign
 from strandline.operators.sequence import whole
+from strandline.session import stored
 
 LEVELS = (1, 2, 4, 8)
 
@@ -337,7 +339,7 @@ def sparse_codes(df: DataFrame, names: list[str], basis: np.ndarray, lam: float
             if nearest:
                 on = np.zeros(inner.shape, bool)
                 np.put_along_axis(on, np.argsort(-inner, axis=1, kind="stable")[:, :nearest], True, 1)
-            codes = l1_quadratic(gram, -inner, lam, on)
+            codes, _ = feature_sign(gram, -inner, lam, on)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.float64()))], [*batch.schema.names, "code"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("code", T.ArrayType(T.DoubleType()))]))
@@ -352,31 +354,36 @@ def sparse_objective(df: DataFrame, names: list[str], basis: np.ndarray, lam: fl
     return d.withColumn("objective", F.col("residual") + F.col("penalty") + F.col("ridge"))
 
 
-def learn_basis(df: DataFrame, names: list[str], atoms: int, lam: float = 0.15, rounds: int = 5, seed: int = 1) -> np.ndarray:
-    """Dictionary with atoms of length at most one: codes in parallel, atoms from the sums S S' and X S' alone."""
+def _code_sums(coded: DataFrame, names: list[str], atoms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """S S', X S', and (|X|^2, |S|_1, |S|^2, rows), added in the tasks and then by place, a number each to the driver."""
+
+    def sums(batches):
+        total = np.zeros(atoms * atoms + len(names) * atoms + 4)
+        for b in batches:
+            x = _matrix(b, names)
+            s = b.column("code").flatten().to_numpy(zero_copy_only=False).reshape(len(x), atoms)
+            total += np.concatenate([(s.T @ s).ravel(), (x.T @ s).ravel(), [(x * x).sum(), np.abs(s).sum(), (s * s).sum(), len(x)]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    got = coded.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    v = np.array([r["v"] for r in got])
+    return v[: atoms * atoms].reshape(atoms, atoms), v[atoms * atoms : -4].reshape(len(names), atoms), v[-4:]
+
+
+def learn_basis(df: DataFrame, names: list[str], atoms: int, lam: float = 0.15, rounds: int = 50, seed: int = 1, beta: float = 1e-4, history: list[dict] | None = None) -> np.ndarray:
+    """Dictionary with atoms of length at most one: in each round rows get codes by feature-sign search, and atoms come from the Lagrange
+    dual of S S' and X S'. ``history`` gets every round's objective a row, before the atoms move, and the atoms' duality gap.
+    """
     rng = np.random.default_rng(seed)
     basis = rng.normal(size=(len(names), atoms))
     basis /= np.linalg.norm(basis, axis=0)
+    rows = stored(df.select(*names), "basis-rows")
     for _ in range(rounds):
-        def sums(batches):
-            ss, xs = np.zeros((atoms, atoms)), np.zeros((len(names), atoms))
-            for b in batches:
-                x = _matrix(b, names)
-                s = np.array(b.column("code").to_pylist()).reshape(len(x), atoms)
-                ss += s.T @ s
-                xs += x.T @ s
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.concatenate([ss.ravel(), xs.ravel()])], pa.list_(pa.float64()))], ["one", "v"])
-
-        part = sparse_codes(df.select(*names), names, basis, lam).mapInArrow(sums, "one long, v array<double>")
-        size = atoms * atoms + len(names) * atoms
-        total = part.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").limit(size).collect()
-        v = np.array([r["v"] for r in total])
-        ss, xs = v[: atoms * atoms].reshape(atoms, atoms), v[atoms * atoms :].reshape(len(names), atoms)
-        for _ in range(20):  # block descent over atoms under the length bound
-            for k in range(atoms):
-                if ss[k, k] > 1e-12:
-                    d = basis[:, k] + (xs[:, k] - basis @ ss[:, k]) / ss[k, k]
-                    basis[:, k] = d / max(1.0, np.linalg.norm(d))
+        ss, xs, (xx, s1, s2, n) = _code_sums(sparse_codes(rows, names, basis, lam, beta), names, atoms)
+        fit = 0.5 * (xx - 2 * (basis * xs).sum() + (basis @ ss * basis).sum())
+        basis, gap = dual_basis(ss, xs, basis)
+        if history is not None:
+            history.append({"objective": (fit + lam * s1 + beta * s2) / max(n, 1), "gap": gap / max(n, 1)})
     return basis
 
 

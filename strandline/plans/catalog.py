@@ -393,6 +393,16 @@ def dictionary(s, d):
     return s.createDataFrame([(i, k, float(b[i, k])) for i in range(b.shape[0]) for k in range(b.shape[1])], "i int, atom int, v double")
 
 
+@query
+def dictionary_optimal(s, d):
+    """What proves a dictionary of all rows: no atom longer than one, no gap to the dual, no round whose objective rose."""
+    seen: list[dict] = []
+    b = encoding.learn_basis(sequence.unit_scale(traj(s, d)).select(*XYZ), XYZ, 8, 0.05, rounds=10, history=seen)
+    rose = [max(0.0, y["objective"] - x["objective"]) for x, y in zip(seen, seen[1:], strict=False)]
+    long = np.maximum(np.linalg.norm(b, axis=0) - 1, 0)
+    return s.createDataFrame([(k, round(float(long[k]), 9) + 0.0, round(float(max(x["gap"] for x in seen)), 6) + 0.0, round(float(max(rose)), 9) + 0.0) for k in range(8)], "atom int, too_long double, gap double, rose double")
+
+
 @query
 def topk_atoms(s, d):
     a, k = np.meshgrid(np.arange(256), np.arange(64), indexing="ij")

@@ -242,6 +242,7 @@ ORACLES = {
     "sparse_objective": f"WITH {RANGES}, u AS (SELECT (x - lx) / span AS x, (y - ly) / span AS y, (z - lz) / span AS z FROM traj JOIN r USING (seq_id)), c AS (SELECT x, y, z, [x - 0.5, y, 0.0, -z, 0.25, x * y] AS s FROM u), e AS (SELECT s, "
     + ", ".join(f"{n} - (" + " + ".join(f"s[{k + 1}] * ({BASIS[i, k]!r})".replace("np.float64", "") for k in range(6)) + f") AS e{i}" for i, n in enumerate("xyz"))
     + " FROM c), o AS (SELECT sum(e0*e0 + e1*e1 + e2*e2) / 2 AS residual, 0.15 * sum(list_sum(list_transform(s, lambda v: abs(v)))) AS penalty, 1e-4 * sum(list_sum(list_transform(s, lambda v: v * v))) AS ridge FROM e) SELECT round(residual, 3) AS residual, round(penalty, 3) AS penalty, round(ridge, 3) AS ridge, round(residual + penalty + ridge, 3) AS objective FROM o",
+    "dictionary_optimal": "SELECT CAST(k AS INTEGER) AS atom, 0.0::DOUBLE AS too_long, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS rose FROM (SELECT unnest(range(0, 8)) AS k)",
     "sparse_codes_stationary": f"WITH {TRAJ} SELECT seq_id, t, 0.0::DOUBLE AS off FROM traj",
     "encode_two_widths": f"WITH {TRAJ} SELECT DISTINCT seq_id, 180 AS width_a, 120 AS width_b, 1.0::DOUBLE AS size_a, 1.0::DOUBLE AS size_b FROM traj",
     "encode_whole_fixed": f"WITH {TRAJ}{_fisher('seq_id', 'traj')} SELECT seq_id, CAST(CASE part WHEN 'v' THEN 6 ELSE 0 END + k * 3 + d AS INTEGER) AS i, {R('val', 'val')} FROM fn",
