@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.operators.optimise import minimise
+from strandline.session import stored
+from strandline.sources.trajectories import batch_ids
+
 
 def _sums(df: DataFrame, size: int, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum over the rows' batches of f(X, y), a vector of ``size``: one row a task, added before it reaches the driver."""
@@ -41,32 +45,8 @@ def _rows(batch) -> np.ndarray:
 
 
 def conjugate_gradient(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 100, tol: float = 1e-9) -> tuple[np.ndarray, list[float]]:
-    """Polak-Ribiere directions with a backtracking and expanding line search; returns x and the values so far."""
-    v, g = f(x)
-    d, values, step = -g, [v], 1.0 / (1.0 + np.linalg.norm(g))
-    for _ in range(rounds):
-        slope = g @ d
-        if slope >= 0:
-            d, slope = -g, -(g @ g)
-        if -slope < tol * max(1.0, abs(v)):
-            break
-        a = step
-        for _ in range(40):
-            nv, ng = f(x + a * d)
-            if not np.isfinite(nv) or nv > v + 1e-4 * a * slope:
-                # minimum of the parabola through the value and slope at 0 and the value at a
-                q = 2 * (nv - v - a * slope)
-                a = max(0.1 * a, min(0.5 * a, -slope * a * a / q)) if np.isfinite(nv) and q > 0 else 0.1 * a
-            elif ng @ d < 0.9 * slope:
-                a *= 2.0
-            else:
-                break
-        if nv >= v:
-            break
-        beta = max(0.0, ng @ (ng - g) / max(g @ g, 1e-300))
-        x, v, g, d, step = x + a * d, nv, ng, -ng + beta * d, a
-        values.append(v)
-    return x, values
+    """optimise.minimise: the point and the values so far."""
+    return minimise(f, x, rounds, tol=tol)[:2]
 
 
 def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 100, memory: int = 10, tol: float = 1e-7) -> tuple[np.ndarray, list[float]]:
@@ -203,31 +183,35 @@ def fit_two(df: DataFrame, first: str, second: str, classes: int, lam1: float, l
     return fit_mixed(both, classes, [np.arange(a), np.arange(a, a + b)], lam1, lam2, **settings)
 
 
-def fit_batches(df: DataFrame, classes: int, groups: list[np.ndarray], lam1: float, lam2: float, size: int = 256, epochs: int = 40, seed: int = 1) -> np.ndarray:
-    """Mini-batch training: in each epoch every batch of ``size`` rows takes one conjugate-gradient step from the weights so far.
+def fit_batches(df: DataFrame, classes: int, groups: list[np.ndarray], lam1: float, lam2: float, size: int = 256, epochs: int = 40, seed: int = 1, checkpoint: str | None = None) -> np.ndarray:
+    """Mini-batch training: in each epoch every batch of ``size`` rows takes one conjugate-gradient search from the weights so far.
 
-    Batches follow one another, so they stream through the driver, one at a time, in a fixed pseudo-random order of the rows.
+    Rows are numbered in the order of a hash and written once, a folder a batch. A step reads its batch's folder alone and searches in one
+    task, which holds ``size`` rows; the driver holds weights. Full batches follow in an order of the epoch's own, the short one comes
+    last. With ``checkpoint`` the weights are written after each epoch, and a later call goes on from them.
     """
-    d = len(df.select("features").first()[0])
-    rows = df.select("features", "label").withColumn("_o", F.xxhash64(F.lit(seed), "features", "label")).orderBy("_o").select("features", "label").persist()
-    theta = np.full((d, classes), 1e-3)
-    try:
-        for _ in range(epochs):
-            held = []
-            for r in rows.toLocalIterator(prefetchPartitions=True):
-                held.append(r)
-                if len(held) == size:
-                    theta = _step(theta, held, groups, lam1, lam2)
-                    held = []
-            if held:
-                theta = _step(theta, held, groups, lam1, lam2)
-    finally:
-        rows.unpersist()
+    spark, first = df.sparkSession, df.select("features").first()
+    if first is None:
+        raise ValueError("no rows to train on")
+    d = len(first[0])
+    rows = df.select("features", "label").withColumn("_o", F.xxhash64(F.lit(seed), "features", "label"))
+    table = stored(batch_ids(rows, size, "_o").drop("_o"), "batches", "batch")
+    counts = {r["batch"]: r["n"] for r in table.groupBy("batch").agg(F.count("*").alias("n")).toLocalIterator()}
+    full, short = sorted(k for k, n in counts.items() if n == size), sorted(k for k, n in counts.items() if n != size)
+    theta, done = np.full((d, classes), 1e-3), 0
+    if checkpoint and (kept := load_weights(spark, checkpoint)):
+        done, theta = kept
+    for epoch in range(done, epochs):
+        for k in [*np.random.default_rng([seed, epoch]).permutation(full).tolist(), *short]:
+            theta = _step(table.filter(F.col("batch") == k).select("features", "label"), theta, groups, lam1, lam2)
+        if checkpoint:
+            save_weights(spark, checkpoint, epoch + 1, theta)
     return theta
 
 
-def _step(theta: np.ndarray, rows: list, groups: list[np.ndarray], lam1: float, lam2: float) -> np.ndarray:
-    x, y = np.array([r["features"] for r in rows], float), np.eye(theta.shape[1])[np.array([r["label"] for r in rows]) - 1]
+def batch_search(x: np.ndarray, label: np.ndarray, theta: np.ndarray, groups: list[np.ndarray], lam1: float, lam2: float) -> np.ndarray:
+    """Weights after one search on a batch of rows."""
+    y = np.eye(theta.shape[1])[label - 1]
 
     def f(t):
         t = t.reshape(theta.shape)
@@ -238,6 +222,17 @@ def _step(theta: np.ndarray, rows: list, groups: list[np.ndarray], lam1: float,
     return conjugate_gradient(f, theta.ravel(), 1)[0].reshape(theta.shape)
 
 
+def _step(batch: DataFrame, theta: np.ndarray, groups: list[np.ndarray], lam1: float, lam2: float) -> np.ndarray:
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        x, y = np.concatenate([_rows(b) for b in held]), np.concatenate([np.asarray(b.column("label")) for b in held])
+        o = np.lexsort((*x.T[::-1], y))  # files come in any order; sums must not
+        new = batch_search(x[o], y[o], theta, groups, lam1, lam2)
+        yield pa.RecordBatch.from_arrays([pa.array([new.tobytes()], pa.binary())], ["w"])
+
+    return np.frombuffer(batch.coalesce(1).mapInArrow(run, "w binary").first()["w"]).reshape(theta.shape)
+
+
 def save_weights(spark: SparkSession, path: str, rounds: int, theta: np.ndarray) -> None:
     """One row a feature under a folder a number of rounds: an older one stays whole while a newer is written."""
     spark.createDataFrame([(i, list(map(float, w))) for i, w in enumerate(theta)], "d long, w array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/rounds={rounds}")

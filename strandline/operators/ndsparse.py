@@ -215,15 +215,19 @@ def convolve(a: DataFrame, kernel: DataFrame, limit: int = 100_000) -> DataFrame
     return j.select(*((F.col(c) + F.col(f"_c.{c}") - 1).alias(c) for c in k), (F.col("_a") * F.col("_c.val")).alias("val")).groupBy(*k).agg(F.sum("val").alias("val")).filter("val <> 0")
 
 
-def solve(a: DataFrame, b: DataFrame, n: int) -> list[float]:
-    """x with A x = b for a small system (rows i, columns j)."""
-    import numpy as np
-
-    if n > 4096:
-        raise ValueError("the system is solved on the driver: at most 4096 unknowns")
-    m, v = np.zeros((n, n)), np.zeros(n)
-    for r in a.collect():
-        m[r["i"] - 1, r["j"] - 1] = r["val"]
-    for r in b.collect():
-        v[r["i"] - 1] = r["val"]
-    return np.linalg.solve(m, v).tolist()
+def solve(a: DataFrame, b: DataFrame, tol: float = 1e-10, rounds: int | None = None) -> DataFrame:
+    """x (j, val) with A x = b for A (i, j, val) and b (i, val); least squares where A is not square.
+
+    b may have further axes, a system each. See linear.least_squares.
+    """
+    from strandline.operators.linear import least_squares
+
+    return least_squares(a, b, tol, rounds)
+
+
+def inverse(a: DataFrame, tol: float = 1e-12) -> DataFrame:
+    """The inverse (i, j, val) of a square matrix (i, j, val), a system a column, all solved together."""
+    from strandline.operators.linear import least_squares
+
+    one = a.select(F.col("i")).distinct().select("i", F.col("i").alias("column"), F.lit(1.0).alias("val"))
+    return least_squares(a, one, tol).select(F.col("j").alias("i"), F.col("column").alias("j"), "val")

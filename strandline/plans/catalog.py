@@ -559,13 +559,45 @@ nd("random", lambda s, d: rounded(ndsparse.random(s, SHAPE, 0.3), 9, "val"))
 SHAPE = {"i": 7, "j": 5, "k": 4}
 
 
+def _heavy(s, d) -> DataFrame:
+    """The sums over i and j, square, with a heavy diagonal."""
+    a = ndsparse.reduce(nda(s, d), "k", 4, "sum").filter("i <= 5")
+    return a.withColumn("val", F.col("val") % 7 + F.when(F.col("i") == F.col("j"), 50.0).otherwise(0.0)).select("i", "j", "val")
+
+
 @query
 def ndsparse_solve(s, d):
-    """A x = b for the sums over i and j with a heavy diagonal, and the product A x, which is b."""
-    a = ndsparse.reduce(nda(s, d), "k", 4, "sum").filter("i <= 5").withColumn("val", F.col("val") % 7 + F.when(F.col("i") == F.col("j"), 50.0).otherwise(0.0)).select("i", "j", "val")
+    """A x = b, and the product A x, which is b."""
     b = s.range(1, 6).select(F.col("id").alias("i"), (F.col("id") * 2.0 - 1).alias("val"))
-    x = s.createDataFrame([(k + 1, v) for k, v in enumerate(ndsparse.solve(a, b, 5))], "j long, val double")
-    return rounded(ndsparse.multiply(a, x, "j"), 6, "val")
+    return rounded(ndsparse.multiply(_heavy(s, d), ndsparse.solve(_heavy(s, d), b), "j"), 6, "val")
+
+
+@query
+def ndsparse_inverse(s, d):
+    """The product of a matrix and its inverse: one on the diagonal, nothing else."""
+    inv = ndsparse.inverse(_heavy(s, d)).select(F.col("i").alias("j"), F.col("j").alias("k"), "val")
+    return rounded(ndsparse.multiply(_heavy(s, d), inv, "j"), 6, "val").filter("val <> 0")
+
+
+@query
+def user_network_solve(s, d):
+    """A system that grows with the events: users who share a key k, each tied to all others of the key by the key's mean.
+
+    (D + A'A) x = b for the incidence A of users and keys and b the users' mean values; the residual's largest size, which is nothing.
+    """
+    e = s.read.parquet(f"{d}/events.parquet").select((F.col("user_id") + 1).alias("u"), (F.get_json_object("props", "$.k").cast("long") + 1).alias("k"), "value")
+    inc = e.groupBy("u", "k").agg(F.lit(0.1).alias("val"))
+    rows = e.groupBy("u").agg(F.avg("value").alias("val"))
+    # the square system written as least squares: users' own rows, then the keys' rows
+    n = F.lit(1 << 40)
+    own = rows.select(F.col("u").alias("i"), F.col("u").alias("j"), F.lit(1.0).alias("val"))
+    a = own.unionByName(inc.select((F.col("k") + n).alias("i"), F.col("u").alias("j"), "val"))
+    x = ndsparse.solve(a, rows.select(F.col("u").alias("i"), "val"))
+    # normal equations: x + A'(A x) = b
+    hit = inc.join(x.withColumnRenamed("val", "_x"), F.col("u") == F.col("j")).groupBy("k").agg(F.sum(F.col("val") * F.col("_x")).alias("y"))
+    back = inc.join(hit, "k").groupBy(F.col("u").alias("j")).agg(F.sum(F.col("val") * F.col("y")).alias("z"))
+    off = x.join(back, "j").join(rows.select(F.col("u").alias("j"), F.col("val").alias("b")), "j").select(F.abs(F.col("val") + F.col("z") - F.col("b")).alias("off"))
+    return rounded(off.agg(F.max("off").alias("off"), F.count("*").alias("users")), 5, "off")
 
 
 # functions and sources

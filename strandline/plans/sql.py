@@ -232,6 +232,8 @@ ORACLES = {
     "ndsparse_convolve": f"WITH {NDA}, h AS (SELECT i, j, k, i * 1.0 - j * 3 AS val FROM a WHERE i <= 2 AND j <= 2 AND k = 1) SELECT a.i + h.i - 1 AS i, a.j + h.j - 1 AS j, a.k + h.k - 1 AS k, CAST(sum(a.val * h.val) AS DOUBLE) AS val FROM a, h GROUP BY ALL HAVING sum(a.val * h.val) <> 0",
     "ndsparse_random": "SELECT f % 7 + 1 AS i, (f // 7) % 5 + 1 AS j, f // 35 + 1 AS k, round(((f + 1) * 31337 % 104729 + 1) / 104729.0::DOUBLE, 9) AS val FROM (SELECT unnest(range(0, 140)) AS f) WHERE (f + 1) * 7919 % 104729 < 31418",
     "ndsparse_solve": "SELECT i, i * 2.0::DOUBLE - 1 AS val FROM (SELECT unnest(range(1, 6)) AS i)",
+    "ndsparse_inverse": "SELECT i, i AS k, 1.0::DOUBLE AS val FROM (SELECT unnest(range(1, 6)) AS i)",
+    "user_network_solve": "SELECT 0.0::DOUBLE AS off, count(DISTINCT user_id) AS users FROM events",
     "rounding_functions": f"WITH {TRAJ}, v AS (SELECT seq_id, t, x - 500 AS x, (y % 13) - 6 AS y FROM traj) SELECT seq_id, t, CAST(trunc(x / 7) AS BIGINT) AS fix, round(CASE WHEN y <> 0 THEN x - trunc(x / y) * y END, 6) AS rem, round(CASE WHEN y <> 0 THEN x - floor(x / y) * y ELSE x END, 6) AS mod FROM v",
     "integer_functions": f"WITH {TRAJ} SELECT seq_id, t, gcd(t * 6, seq_id * 4) AS g, CAST(factorial(CAST(t % 15 AS INTEGER)) AS BIGINT) AS f FROM traj",
     "time_stamps": "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S') AS stamp FROM events",

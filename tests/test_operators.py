@@ -324,7 +324,7 @@ def test_sparse_arrays(spark):
     for (p, q), v in np.ndenumerate(kernel):
         full[p : p + 4, q : q + 3] += v * a
     assert (back(ndsparse.convolve(x, put(kernel, "ij")), "ij", (5, 4)) == full).all()
-    assert ndsparse.solve(put(np.array([[2.0, 0], [0, 4.0]]), "ij"), put(np.array([2.0, 8.0]), "i"), 2) == [1.0, 2.0]
+    assert [(r["j"], round(r["val"], 9)) for r in ndsparse.solve(put(np.array([[2.0, 0], [0, 4.0]]), "ij"), put(np.array([2.0, 8.0]), "i")).orderBy("j").collect()] == [(1, 1.0), (2, 2.0)]
 
 
 def test_integral_invariants(spark, helices):
@@ -333,8 +333,9 @@ def test_integral_invariants(spark, helices):
 
 
 def test_gradient_histograms():
+    # all cells are of unit length before the innermost are added up; test_gradients compares with a literal vote
     h = integral.polar_gradients(np.add.outer(np.arange(12.0), np.zeros(12)))
-    assert h.shape == (12, 150) and np.allclose(np.linalg.norm(h, axis=1), 1)
+    assert h.shape == (12, 150) and (h >= 0).all() and (np.linalg.norm(h, axis=1) > 0.5).all()
 
 
 def test_text_records(spark, tmp_path):
