@@ -37,7 +37,7 @@ def describe(df: DataFrame, method: str) -> DataFrame:
 
 def _shape(df: DataFrame) -> DataFrame:
     """Shape contexts in long form: (seq_id, t, i, cnt), i the place of a bin among the 810."""
-    b = pairwise.shape_context(pairwise.shape_bins(df, pairwise.mean_distance(df)))
+    b = pairwise.shape_histogram(df, pairwise.mean_distance(df))
     i = ((F.col("radius") - 1) * 9 + F.col("alpha") - 1) * 18 + F.col("theta") - 1
     return b.select("seq_id", "t", i.cast("int").alias("i"), "cnt")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions import vector as V
@@ -20,12 +21,19 @@ def fixed_segments(df: DataFrame, length: int = 9, step: int = 4) -> DataFrame:
 
 def key_points(df: DataFrame, segments: DataFrame) -> DataFrame:
     """Each frame's left key, the begin of the first segment that ends at or after it, and right key, the end of
-    the last segment that begins at or before it: an as-of lookup joined on the sequence.
+    the last segment that begins at or before it: an as-of lookup by order. Frames and segments' ends are put in one
+    order a sequence, and a running least begin and largest end pass over them; no frame meets a segment it does not need.
     """
-    j = df.select("seq_id", "t").join(segments, "seq_id")
-    left = F.min(F.when(F.col("e") >= F.col("t"), F.col("b")))
-    right = F.max(F.when(F.col("b") <= F.col("t"), F.col("e")))
-    return j.groupBy("seq_id", "t").agg(left.alias("l"), right.alias("r"))
+    none = F.lit(None).cast("long")
+    row = lambda d, at, b, e, kind: d.select("seq_id", F.col(at).cast("long").alias("t"), b.alias("b"), e.alias("e"), F.lit(kind).alias("frame"))
+    ends = row(segments, "e", F.col("b").cast("long"), none, False).unionByName(row(segments, "b", none, F.col("e").cast("long"), False))
+    every = row(df, "t", none, none, True).unionByName(ends)
+    # a segment counts for a frame at its own end, so it comes before the frame in both orders
+    down, up = W.partitionBy("seq_id").orderBy(F.col("t").desc(), "frame"), W.partitionBy("seq_id").orderBy("t", "frame")
+    ran = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
+    every = every.select("seq_id", "t", "frame", F.min("b").over(ran(down)).alias("l"), F.max("e").over(ran(up)).alias("r"))
+    known = every.withColumn("some", F.max(~F.col("frame")).over(W.partitionBy("seq_id")))
+    return known.filter("frame and some").select("seq_id", "t", "l", "r")
 
 
 def frames(df: DataFrame, keys: DataFrame) -> DataFrame:

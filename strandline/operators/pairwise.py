@@ -1,11 +1,17 @@
-"""Operators on pairs of frames of one sequence: equi-joins on the sequence, never a cross join."""
+"""Operators on pairs of frames of one sequence: equi-joins on the sequence, never a cross join.
+
+What returns a row a pair joins frames; means and histograms, which do not, work on tiles of frames.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import vector as V
 from strandline.operators.sequence import XYZ, spread
@@ -29,9 +35,46 @@ def distances(df: DataFrame, *names: str) -> DataFrame:
     return pairs(df, *names).select("seq_id", "t", "u", V.dot(d, d).alias("d2"))
 
 
+#: Frames a tile.
+TILE = 256
+
+
+def tile_pairs(df: DataFrame, *names: str, marked: str | None = None) -> DataFrame:
+    """All pairs of a sequence's tiles, as two lists of rows each: (seq_id, a, b), of structs of t, the coordinates and, if it is named, a
+    mark.
+
+    A tile holds TILE frames at most, and meets each tile of its sequence in a row of its own, dealt by both numbers: pairs of
+    frames are formed in numpy within a row, so none is shuffled, and a long sequence is spread over tasks. Rows with a null
+    coordinate take no part.
+    """
+    names = names or XYZ
+    d = df.dropna(subset=list(names)).select("seq_id", "t", *names, *([marked] if marked else []))
+    t = d.groupBy("seq_id", F.floor((F.col("t") - 1) / TILE).alias("tile")).agg(F.collect_list(F.struct("t", *names, *([marked] if marked else []))).alias("a"))
+    n = t.groupBy("seq_id").agg(F.collect_list("tile").alias("tiles"))
+    first = t.join(n, "seq_id").select("seq_id", "a", F.explode("tiles").alias("tile"))
+    return first.join(t.withColumnRenamed("a", "b"), ["seq_id", "tile"]).select("seq_id", "a", "b")
+
+
+def _tile(batch: pa.RecordBatch, name: str, row: int, names: tuple[str, ...]) -> list[np.ndarray]:
+    part = batch.column(name).slice(row, 1).flatten()
+    return [part.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def mean_distance(df: DataFrame) -> DataFrame:
     """Mean distance over all ordered pairs, self-pairs too."""
-    return distances(df).groupBy("seq_id").agg(F.avg(F.sqrt("d2")).alias("mean_dist"))
+
+    def run(batches):
+        for b in batches:
+            total, count = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            for k in range(b.num_rows):
+                one, two = (_tile(b, c, k, XYZ) for c in "ab")
+                total[k] = np.sqrt(sum((q - p[:, None]) ** 2 for p, q in zip(one, two, strict=True))).sum()
+                count[k] = len(one[0]) * len(two[0])
+            yield pa.RecordBatch.from_arrays([b.column("seq_id"), pa.array(total), pa.array(count)], ["seq_id", "total", "count"])
+
+    p = tile_pairs(df)
+    sums = p.mapInArrow(run, T.StructType([p.schema["seq_id"], T.StructField("total", T.DoubleType()), T.StructField("count", T.LongType())]))
+    return sums.groupBy("seq_id").agg((F.sum("total") / F.sum("count")).alias("mean_dist"))
 
 
 def self_similarity(df: DataFrame, beta: float | None = None, c: float = 0.0) -> DataFrame:
@@ -72,7 +115,51 @@ def shape_context(bins: DataFrame, inliers: DataFrame | None = None) -> DataFram
     return b.groupBy("seq_id", "t", "theta", "alpha", "radius").agg(F.count("*").alias("cnt"))
 
 
+def shape_histogram(df: DataFrame, mean: DataFrame, inliers: DataFrame | None = None, theta: int = 18, alpha: int = 9, radii: int = 5, inner: float = 0.125, outer: float = 2.0) -> DataFrame:
+    """shape_context of shape_bins without frames, by tiles: (seq_id, t, theta, alpha, radius, cnt); a bin that a frame's tile pairs
+    fill in several rows is added up.
+    """
+    d = df.select("seq_id", "t", *XYZ)
+    if inliers is None:
+        d = d.withColumn("own", F.lit(True))
+    else:
+        d = d.join(inliers.select("seq_id", "t").distinct().withColumn("own", F.lit(True)), ["seq_id", "t"], "left").fillna(False, ["own"])
+    edges = [inner * (outer / inner) ** (k / (radii - 1)) for k in range(radii)]
+
+    def run(batches):
+        for batch in batches:
+            held: list[list[np.ndarray]] = [[], [], [], []]
+            for k in range(batch.num_rows):
+                t, *one = _tile(batch, "a", k, ("t", *XYZ))
+                own, *two = _tile(batch, "b", k, ("own", *XYZ))
+                dx, dy, dz = (q[own.astype(bool)] - p[:, None] for p, q in zip(one, two, strict=True))
+                r = np.sqrt(dx * dx + dy * dy + dz * dz) / batch.column("mean_dist")[k].as_py()
+                ring = sum((r < e).astype(np.int64) for e in edges)
+                i, j = np.nonzero(ring)
+                dx, dy, dz = dx[i, j], dy[i, j], dz[i, j]
+                around = np.arctan2(dy, dx)
+                around = np.where(around < 0, around + TAU, around)
+                up = np.arctan2(np.sqrt(dx * dx + dy * dy), dz)
+                cut = lambda v, width, n: np.minimum(np.floor(v / width).astype(np.int64), n - 1)
+                place = ((ring[i, j] - 1) * alpha + cut(up, math.pi / alpha, alpha)) * theta + cut(around, TAU / theta, theta)
+                found = np.bincount(i * (theta * alpha * radii) + place, minlength=0)
+                full = np.flatnonzero(found)
+                for h, v in zip(held, (np.full(len(full), k), t[full // (theta * alpha * radii)], full % (theta * alpha * radii), found[full]), strict=True):
+                    h.append(v)
+                if k + 1 == batch.num_rows or sum(map(len, held[0])) > 1 << 20:
+                    rows, *rest = (np.concatenate(h).astype(np.int64) for h in held)
+                    held = [[], [], [], []]
+                    yield pa.RecordBatch.from_arrays([batch.column("seq_id").take(pa.array(rows)), *map(pa.array, rest)], ["seq_id", "t", "code", "cnt"])
+
+    p = tile_pairs(d, marked="own").join(mean.filter("mean_dist > 0"), "seq_id")
+    got = p.mapInArrow(run, T.StructType([p.schema["seq_id"], *(T.StructField(c, T.LongType()) for c in ("t", "code", "cnt"))]))
+    got = got.groupBy("seq_id", "t", "code").agg(F.sum("cnt").alias("cnt"))
+    code = F.col("code")
+    return got.select("seq_id", "t", (code % theta + 1).cast("int").alias("theta"), (F.floor(code / theta) % alpha + 1).cast("int").alias("alpha"), (F.floor(code / (theta * alpha)) + 1).cast("int").alias("radius"), "cnt")
+
+
 def shape_context_marginals(bins: DataFrame) -> DataFrame:
-    """Two histograms, (theta, radius) and (alpha, radius), by grouping sets in one pass."""
+    """Two histograms, (theta, radius) and (alpha, radius), by grouping sets in one pass over pairs' bins or a joint histogram."""
     k, theta, alpha, radius = [F.col("seq_id"), F.col("t")], F.col("theta"), F.col("alpha"), F.col("radius")
-    return bins.groupingSets([[*k, theta, radius], [*k, alpha, radius]], *k, theta, alpha, radius).agg(F.count("*").alias("cnt"))
+    count = F.sum("cnt") if "cnt" in bins.columns else F.count("*")
+    return bins.groupingSets([[*k, theta, radius], [*k, alpha, radius]], *k, theta, alpha, radius).agg(count.alias("cnt"))

@@ -181,25 +181,22 @@ def ssm_tanh(s, d):
     return rounded(pairwise.self_similarity(sequence.patches(traj(s, d), 2, *XYZ), 0.0005, 0.1), 6, "s")
 
 
-def _bins(s, d):
-    t = traj(s, d)
-    return t, pairwise.shape_bins(t, pairwise.mean_distance(t))
-
-
 @query
 def shape_ctx_810(s, d):
-    return pairwise.shape_context(_bins(s, d)[1])
+    t = traj(s, d)
+    return pairwise.shape_histogram(t, pairwise.mean_distance(t))
 
 
 @query
 def shape_ctx_inliers(s, d):
-    t, b = _bins(s, d)
-    return pairwise.shape_context(b, t.filter("t % 5 <> 0"))
+    t = traj(s, d)
+    return pairwise.shape_histogram(t, pairwise.mean_distance(t), t.filter("t % 5 <> 0"))
 
 
 @query
 def shape_ctx_135(s, d):
-    return pairwise.shape_context_marginals(_bins(s, d)[1])
+    t = traj(s, d)
+    return pairwise.shape_context_marginals(pairwise.shape_histogram(t, pairwise.mean_distance(t)))
 
 
 # geometry
