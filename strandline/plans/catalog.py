@@ -259,7 +259,7 @@ def lrf_descriptor(s, d):
 
 @query
 def resample64(s, d):
-    return resample.resample(traj(s, d), 64)
+    return rounded(resample.resample(traj(s, d), 64), 4, *XYZ)
 
 
 @query

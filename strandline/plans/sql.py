@@ -136,6 +136,26 @@ EMB = """emb AS (SELECT vec_id, label + 1 AS label, embedding FROM embeddings),
 NDA = "nda AS (SELECT user_id % 7 + 1 AS i, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 + 1 AS j, CAST(floor(value / 100) AS BIGINT) % 4 + 1 AS k, floor(value) AS val FROM events), a AS (SELECT i, j, k, sum(val) AS val FROM nda GROUP BY ALL HAVING sum(val) <> 0)"
 
 
+def _spline(source: str, name: str) -> str:
+    """The not-a-knot spline through source (seq_id, k from 0, n, x, y, z) at steps of 0.1, of four points at least.
+
+    Second derivatives solve m[k-1] + 4 m[k] + m[k+1] = r[k] between the first and last inner knots, where not-a-knot gives m = r / 6.
+    The inverse of that matrix is explicit: powers of sqrt(3) - 2, and their reflections at both ends; 60 powers exceed double precision.
+    """
+    each = lambda f: ", ".join(f(c) for c in "xyz")
+    power = lambda e: f"CASE WHEN {e} <= 60 THEN power(sqrt(3) - 2, {e}) ELSE 0 END"
+    green = f"({power('abs(a.k - b.k)')} - {power('a.k + b.k - 2')} - {power('2 * a.n - a.k - b.k - 4')}) / (2 * sqrt(3))"
+    m = lambda c: f"CASE k WHEN 0 THEN 2 * lead(m{c}, 1) OVER w - lead(m{c}, 2) OVER w WHEN n - 1 THEN 2 * lag(m{c}, 1) OVER w - lag(m{c}, 2) OVER w ELSE m{c} END AS m{c}"
+    value = lambda c: f"{c} * (1 - s) + {c}1 * s + ((s*s*s - s) * m{c}1 + ((1-s)*(1-s)*(1-s) - (1-s)) * m{c}) / 6 AS {c}"
+    return f""", {name}r AS MATERIALIZED (SELECT seq_id, k, n, {each(lambda c: f"6 * (lead({c}) OVER w - 2 * {c} + lag({c}) OVER w) AS r{c}")} FROM {source} WINDOW w AS (PARTITION BY seq_id ORDER BY k)),
+  {name}b AS MATERIALIZED (SELECT seq_id, k, n, {each(lambda c: f"r{c} - CASE WHEN k = 2 THEN lag(r{c}) OVER w / 6 ELSE 0 END - CASE WHEN k = n - 3 THEN lead(r{c}) OVER w / 6 ELSE 0 END AS r{c}")} FROM {name}r WINDOW w AS (PARTITION BY seq_id ORDER BY k)),
+  {name}m AS MATERIALIZED (SELECT a.seq_id, a.k, {each(lambda c: f"sum(b.r{c} * g) AS m{c}")} FROM (SELECT a.seq_id, a.k, b.k AS j, {green} AS g FROM {name}b a JOIN {name}b b ON a.seq_id = b.seq_id AND b.k BETWEEN a.k - 60 AND a.k + 60 WHERE a.k BETWEEN 2 AND a.n - 3 AND b.k BETWEEN 2 AND b.n - 3) a JOIN {name}b b ON a.seq_id = b.seq_id AND a.j = b.k GROUP BY a.seq_id, a.k
+    UNION ALL SELECT seq_id, k, {each(lambda c: f"r{c} / 6")} FROM {name}r WHERE k IN (1, n - 2) UNION ALL SELECT seq_id, k, NULL, NULL, NULL FROM {name}r WHERE k IN (0, n - 1)),
+  {name}f AS MATERIALIZED (SELECT seq_id, k, n, x, y, z, {each(m)} FROM {source} JOIN {name}m USING (seq_id, k) WINDOW w AS (PARTITION BY seq_id ORDER BY k)),
+  {name}p AS (SELECT *, {each(lambda c: f"lead({c}) OVER w AS {c}1, lead(m{c}) OVER w AS m{c}1")} FROM {name}f WINDOW w AS (PARTITION BY seq_id ORDER BY k)),
+  {name} AS MATERIALIZED (SELECT seq_id, 10 * k + j AS k, 10 * (n - 1) + 1 AS n, {each(value)} FROM (SELECT *, j / 10.0::DOUBLE AS s FROM {name}p, (SELECT unnest(range(0, 11)) AS j) WHERE k <= n - 2 AND (j < 10 OR k = n - 2)))"""
+
+
 def R(e: str, n: str, k: int = 6) -> str:  # noqa: N802
     return f"round({e}, {k}) + 0.0 AS {n}"
 
@@ -252,6 +272,7 @@ ORACLES = {
     "ridge_stationary": "SELECT CAST(d AS INTEGER) AS d, CAST(c AS INTEGER) AS c, 0.0::DOUBLE AS g FROM (SELECT unnest(range(0, 64)) AS d), (SELECT unnest(range(0, 10)) AS c)",
     "describe_velocity": f"WITH {GRAD}, s AS (SELECT seq_id, t, [" + ", ".join(f"v{c} / sqrt(sqrt(vx*vx+vy*vy+vz*vz) + 2.220446049250313e-16)" for c in "xyz") + f"] AS d FROM grad WHERE t > 2 AND t <= n - 2) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM s, (SELECT unnest(range(1, 4)) AS i)",
     "describe_two_hands": f"WITH {GRAD}, s AS (SELECT seq_id, t, [" + ", ".join(f"{f}v{c} / sqrt(sqrt({f}vx*{f}vx+vy*vy+vz*vz) + 2.220446049250313e-16)".replace(f"{f}vy", "vy").replace(f"{f}vz", "vz") for f in ("", "2*") for c in "xyz") + f"] AS d FROM grad WHERE t > 2 AND t <= n - 2) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM s, (SELECT unnest(range(1, 7)) AS i)",
+    "resample64": f"WITH {TRAJ}, q0 AS (SELECT seq_id, t - 1 AS k, count(*) OVER (PARTITION BY seq_id) AS n, x, y, z FROM traj)" + _spline("q0", "qa") + _spline("qa", "qb") + f" SELECT seq_id, i AS t, {R('x', 'x', 4)}, {R('y', 'y', 4)}, {R('z', 'z', 4)} FROM qb JOIN (SELECT unnest(range(1, 65)) AS i) ON k + 1 = least(greatest(ceil(i * (n / 64.0::DOUBLE) - 0.5), 1), n)",
     "ssm_hog": f"WITH {HOG} SELECT seq_id, t, i, v FROM hog",
     "describe_similarity_gradients": f"WITH {HOG} SELECT seq_id, t, i, v FROM hog",
     "describe_similarity": f"WITH {PATCH} SELECT seq_id, t, CAST(u - 1 AS INTEGER) AS i, {R('d', 'v', 4)} FROM ss",
