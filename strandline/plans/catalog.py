@@ -254,7 +254,7 @@ def mbs_segments(s, d):
 
 @query
 def lrf_descriptor(s, d):
-    return segmentation.local_descriptor(traj(s, d))
+    return rounded(segmentation.local_descriptor(traj(s, d)), 4, "qw", "qx", "qy", "qz", "ux", "uy", "uz")
 
 
 @query
@@ -696,6 +696,13 @@ def encode_whole_fixed(s, d):
     return rounded(c.select("seq_id", F.posexplode("code").alias("i", "val")), 6, "val")
 
 
+@query
+def encode_parts_fixed(s, d):
+    """The assembled code of the default two stretches and four levels, for a fixed mixture: every place whose number is not zero."""
+    c = rounded(encoding.encode(traj(s, d), XYZ, gmm=sql.GMM).select("seq_id", F.posexplode("code").alias("i", "val")), 5, "val")
+    return c.filter("val <> 0")
+
+
 @query
 def mean_posteriors(s, d):
     q = encoding.posteriors(traj(s, d).select("seq_id", *XYZ), XYZ, sql.GMM)
@@ -737,6 +744,8 @@ def _describe(name: str) -> None:
         x = describe.describe(traj(s, d), name)
         if name == "shape":
             x = x.select("seq_id", "t", F.posexplode("d").alias("i", "v")).filter("v <> 0")
+        elif name == "local":  # outer: no filter on the array is inferred and pushed into its algebra
+            x = x.select("seq_id", "t", F.posexplode_outer("d").alias("i", "v"))
         elif name in ("differential", "velocity", "similarity", "similarity_gradients"):
             x = x.select("seq_id", "t", F.posexplode("d").alias("i", "v"))
         x = rounded(x, 4, "v") if "v" in x.columns else x

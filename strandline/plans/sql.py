@@ -102,6 +102,33 @@ TURN = FRAMES + """, ft AS (SELECT fr.*, x, y, z FROM fr JOIN traj USING (seq_id
   fd AS (SELECT *, """ + " + ".join(f"b0{r} * {_COF[0][r]}" for r in range(3)) + """ AS det FROM fg),
   fm AS (SELECT *, """ + ", ".join("CASE WHEN det <> 0 THEN (" + " + ".join(f"n{i}{r} * {_COF[j][r]}" for r in range(3)) + f") / det END AS m{i}{j}" for i in range(3) for j in range(3)) + """, sqrt(sqrt(vx*vx + vy*vy + vz*vz) + 2.220446049250313e-16) AS vn FROM fd),
   rot AS (SELECT *, """ + ", ".join(f"m{j}{i} AS r{i}{j}" for i in range(3) for j in range(3)) + """ FROM fm)"""
+#: Maximal blurred segments by their definition, from all pairs and triples of points instead of a growing hull. J: the first point that with an
+#: earlier one and what lies between stands five or more apart; shut: the first point that a piece from b does not take; wide:
+#: the first that gives it an extent; ac: how many points of the piece from b to k the views accept; then the scan over (b, k).
+MBS = RANGES + """, nx AS (SELECT seq_id, max(t) AS n FROM traj GROUP BY seq_id),
+  gr AS (SELECT seq_id, t, CAST(round((x - lx) / (span / 1000)) AS BIGINT) AS gx, CAST(round((y - ly) / (span / 1000)) AS BIGINT) AS gy, CAST(round((z - lz) / (span / 1000)) AS BIGINT) AS gz FROM traj JOIN r USING (seq_id) WHERE span <> 0),
+  v0 AS (SELECT seq_id, t, p, v, CASE v WHEN 1 THEN gx WHEN 2 THEN -gx WHEN 3 THEN -h ELSE h END AS x, CASE v WHEN 1 THEN h WHEN 2 THEN h WHEN 3 THEN -gx ELSE gx END AS y FROM (SELECT *, CASE p WHEN 1 THEN gy ELSE gz END AS h FROM gr, (SELECT unnest([1, 2]) AS p), (SELECT unnest([1, 2, 3, 4]) AS v))),
+  v1 AS (SELECT *, CASE WHEN x < lag(x) OVER w THEN 1 ELSE 0 END AS falls FROM v0 WINDOW w AS (PARTITION BY seq_id, p, v ORDER BY t)),
+  v2 AS MATERIALIZED (SELECT *, sum(falls) OVER (PARTITION BY seq_id, p, v ORDER BY t) AS run FROM v1),
+  two AS MATERIALIZED (SELECT i.seq_id, i.p, i.v, i.run, i.t AS i, j.t AS j, i.x AS xi, i.y AS yi, j.x AS xj, j.y AS yj FROM v2 i JOIN v2 j USING (seq_id, p, v, run) WHERE j.t > i.t),
+  bad AS (SELECT seq_id, p, v, i, j FROM two WHERE xi = xj AND abs(yi - yj) >= 5 UNION ALL
+    SELECT two.seq_id, two.p, two.v, i, j FROM two JOIN v2 m ON m.seq_id = two.seq_id AND m.p = two.p AND m.v = two.v AND m.t > i AND m.t < j WHERE xi < xj AND abs((m.y - yi) * (xj - xi) - (yj - yi) * (m.x - xi)) >= 5 * (xj - xi)),
+  v3 AS (SELECT v2.*, J FROM v2 LEFT JOIN (SELECT seq_id, p, v, i AS t, min(j) AS J FROM bad GROUP BY ALL) USING (seq_id, p, v, t)),
+  v4 AS (SELECT seq_id, p, v, t AS b, least(coalesce(min(J) OVER (PARTITION BY seq_id, p, v, run ORDER BY t DESC), 1000000000), max(t) OVER (PARTITION BY seq_id, p, v, run) + 1) AS shut FROM v3),
+  v5 AS (SELECT v4.*, coalesce(wide, 1000000000) AS wide FROM v4 LEFT JOIN (SELECT seq_id, p, v, i AS b, min(j) AS wide FROM two WHERE xj > xi GROUP BY ALL) USING (seq_id, p, v, b)),
+  v6 AS (SELECT seq_id, p, b, list(shut ORDER BY v) AS c, list(wide ORDER BY v) AS w FROM v5 GROUP BY ALL),
+  a0 AS (SELECT seq_id, p, b, k, c, w, [least(q, k + 1) - b FOR q IN c] AS m, [w[q] <= k AND w[q] < c[q] FOR q IN [1, 2, 3, 4]] AS has FROM (SELECT v6.*, unnest(range(b, n + 1)) AS k FROM v6 JOIN nx USING (seq_id))),
+  ac AS MATERIALIZED (SELECT seq_id, b, k, k - b + 1 AS size, min(CASE WHEN has[1] THEN greatest(m[1], m[2], m[3], m[4]) WHEN has[2] THEN greatest(m[2], m[3], m[4]) WHEN has[3] THEN greatest(m[3], m[4]) WHEN has[4] THEN m[4] ELSE k - b + 2 END) AS a FROM a0 GROUP BY ALL),
+  slide AS MATERIALIZED (SELECT seq_id, b, k, min(CASE WHEN a = size OR b = k THEN b END) OVER (PARTITION BY seq_id, k ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb FROM ac),
+  grow AS MATERIALIZED (SELECT seq_id, b, k, n, coalesce(min(CASE WHEN a < size THEN k END) OVER (PARTITION BY seq_id, b ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n) AS nk FROM ac JOIN nx USING (seq_id)),
+  scan(seq_id, seg_id, b, k, e) AS (SELECT g.seq_id, CAST(1 AS BIGINT), g.b, g.nk, least(ac.a, n) FROM grow g JOIN ac ON ac.seq_id = g.seq_id AND ac.b = 1 AND ac.k = g.nk WHERE g.b = 1 AND g.k = 1 AND n > 1
+    UNION ALL SELECT s.seq_id, s.seg_id + 1, g.b, g.nk, g.nk - 1 FROM scan s JOIN slide l ON l.seq_id = s.seq_id AND l.b = s.b AND l.k = s.k JOIN grow g ON g.seq_id = s.seq_id AND g.b = l.nb AND g.k = s.k WHERE s.k < g.n),
+  seg AS MATERIALIZED (SELECT seq_id, seg_id, b, e FROM scan)"""
+_FILLED = ", ".join(f"last_value(CASE WHEN inn THEN {a}{c} ELSE 0 END IGNORE NULLS) OVER (PARTITION BY seq_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {a}{c}" for a in "tas" for c in "xyz")
+#: The whole descriptor; degenerate frames copy the one before. The events have no point that repeats the one before it.
+LOCAL = MBS + """,
+  keys AS (SELECT t.seq_id, t.t, min(CASE WHEN e >= t.t THEN b END) AS l, max(CASE WHEN b <= t.t THEN e END) AS r FROM traj t JOIN seg USING (seq_id) GROUP BY ALL)""" + TURN[len(SEG) :].replace(", ft AS (SELECT fr.*, x, y, z FROM fr ", f""", known AS (SELECT traj.seq_id, traj.t, nx.n, traj.t >= 3 AND traj.t <= nx.n - 2 AS inn, {', '.join(f'fr.{a}{c}' for a in 'tas' for c in 'xyz')} FROM traj JOIN nx USING (seq_id) LEFT JOIN fr USING (seq_id, t)),
+  filled AS (SELECT seq_id, t, n, inn, {_FILLED} FROM known), ft AS (SELECT filled.*, x, y, z FROM filled """)
 #: curvature and torsion of five points around each, and their derivatives
 _P = {"a": (2, 1), "b": (3, 2), "c": (3, 1), "d": (4, 3), "e": (4, 2), "f": (4, 1), "g": (1, 0), "k": (2, 0), "m": (3, 0)}
 
@@ -268,11 +295,17 @@ ORACLES = {
     "sparse_codes_stationary": f"WITH {TRAJ} SELECT seq_id, t, 0.0::DOUBLE AS off FROM traj",
     "encode_two_widths": f"WITH {TRAJ} SELECT DISTINCT seq_id, 180 AS width_a, 120 AS width_b, 1.0::DOUBLE AS size_a, 1.0::DOUBLE AS size_b FROM traj",
     "encode_whole_fixed": f"WITH {TRAJ}{_fisher('seq_id', 'traj')} SELECT seq_id, CAST(CASE part WHEN 'v' THEN 6 ELSE 0 END + k * 3 + d AS INTEGER) AS i, {R('val', 'val')} FROM fn",
+    "encode_parts_fixed": f"WITH {TRAJ}, st AS (SELECT seq_id AS whole, CAST(ceil(t / len) AS INTEGER) AS part_no, t - (CAST(ceil(t / len) AS BIGINT) - 1) * len AS t, len AS n, x, y, z FROM (SELECT *, floor(count(*) OVER (PARTITION BY seq_id) / 2) AS len FROM traj) WHERE t <= 2 * len),"
+    " pyr AS (SELECT whole * 2 + part_no AS seq_id, whole, part_no, level, CAST(ceil(t / (n / level)) AS INTEGER) AS bin, t, x, y, z FROM st, (SELECT unnest([1, 2, 4, 8]) AS level))" + _fisher("whole, part_no, level, bin", "pyr")
+    + " , un AS (SELECT whole AS seq_id, (part_no - 1) * 15 * 12 + (level - 1 + bin - 1) * 12 + CASE part WHEN 'v' THEN 6 ELSE 0 END + k * 3 + d AS i, val / sqrt(sum(val*val) OVER (PARTITION BY whole, part_no)) AS val FROM fn) SELECT seq_id, CAST(i AS INTEGER) AS i, round(val, 5) + 0.0 AS val FROM un WHERE round(val, 5) <> 0",
     "mean_posteriors": f"WITH {TRAJ}{_mixture('traj')}, po AS (SELECT *, exp(l - ml) / sum(exp(l - ml)) OVER (PARTITION BY seq_id, t) AS q FROM (SELECT *, max(l) OVER (PARTITION BY seq_id, t) AS ml FROM dens)) SELECT seq_id, k, {R('avg(q)', 'q')} FROM po GROUP BY seq_id, k",
     "ridge_stationary": "SELECT CAST(d AS INTEGER) AS d, CAST(c AS INTEGER) AS c, 0.0::DOUBLE AS g FROM (SELECT unnest(range(0, 64)) AS d), (SELECT unnest(range(0, 10)) AS c)",
     "describe_velocity": f"WITH {GRAD}, s AS (SELECT seq_id, t, [" + ", ".join(f"v{c} / sqrt(sqrt(vx*vx+vy*vy+vz*vz) + 2.220446049250313e-16)" for c in "xyz") + f"] AS d FROM grad WHERE t > 2 AND t <= n - 2) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM s, (SELECT unnest(range(1, 4)) AS i)",
     "describe_two_hands": f"WITH {GRAD}, s AS (SELECT seq_id, t, [" + ", ".join(f"{f}v{c} / sqrt(sqrt({f}vx*{f}vx+vy*vy+vz*vz) + 2.220446049250313e-16)".replace(f"{f}vy", "vy").replace(f"{f}vz", "vz") for f in ("", "2*") for c in "xyz") + f"] AS d FROM grad WHERE t > 2 AND t <= n - 2) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM s, (SELECT unnest(range(1, 7)) AS i)",
     "resample64": f"WITH {TRAJ}, q0 AS (SELECT seq_id, t - 1 AS k, count(*) OVER (PARTITION BY seq_id) AS n, x, y, z FROM traj)" + _spline("q0", "qa") + _spline("qa", "qb") + f" SELECT seq_id, i AS t, {R('x', 'x', 4)}, {R('y', 'y', 4)}, {R('z', 'z', 4)} FROM qb JOIN (SELECT unnest(range(1, 65)) AS i) ON k + 1 = least(greatest(ceil(i * (n / 64.0::DOUBLE) - 0.5), 1), n)",
+    "mbs_segments": "WITH RECURSIVE " + MBS + " SELECT seq_id, seg_id, b, e, 'ok' AS status FROM seg UNION ALL SELECT seq_id, 0, 0, 0, 'short' FROM nx WHERE seq_id NOT IN (SELECT seq_id FROM seg)",
+    "lrf_descriptor": f"WITH RECURSIVE {LOCAL}{QUAT} SELECT seq_id, t, " + ", ".join(R(f"a{c}/nq", f"q{c}", 4) for c in "wxyz") + ", " + ", ".join(R("(" + " + ".join(f"v{c} / vn * m{i}{j}" for i, c in enumerate("xyz")) + ")", f"u{'xyz'[j]}", 4) for j in range(3)) + " FROM qn",
+    "describe_local": f"WITH RECURSIVE {LOCAL}{QUAT}, lo AS (SELECT seq_id, t, [" + ", ".join(f"a{c}/nq" for c in "wxyz") + ", " + ", ".join(" + ".join(f"v{c} / vn * m{i}{j}" for i, c in enumerate("xyz")) for j in range(3)) + f"] AS d FROM qn) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM lo, (SELECT unnest(range(1, 8)) AS i)",
     "ssm_hog": f"WITH {HOG} SELECT seq_id, t, i, v FROM hog",
     "describe_similarity_gradients": f"WITH {HOG} SELECT seq_id, t, i, v FROM hog",
     "describe_similarity": f"WITH {PATCH} SELECT seq_id, t, CAST(u - 1 AS INTEGER) AS i, {R('d', 'v', 4)} FROM ss",
