@@ -275,8 +275,17 @@ def fit_squared_hinge(df: DataFrame, classes: int, lam: float = 1e-3, rounds: in
         df.unpersist()
 
 
+def first_largest(s: np.ndarray) -> np.ndarray:
+    """The first place in each row whose number is the largest, up to rounding."""
+    top = s.max(1, keepdims=True)
+    return (s >= top - 1e-12 * np.maximum(1.0, np.abs(s).max(1, keepdims=True))).argmax(1).astype(np.int32)
+
+
 def predict(df: DataFrame, theta: np.ndarray, bias: np.ndarray | None = None) -> DataFrame:
-    """scores and prediction, the class of the first largest score; the weights go to the tasks as one array."""
+    """scores and prediction, the class of the first largest score; the weights go to the tasks as one array.
+
+    Scores that differ by rounding alone count as equal: a matrix product may add up equal columns in different orders.
+    """
     b0 = np.zeros(theta.shape[1]) if bias is None else np.asarray(bias, float)
 
     def run(batches):
@@ -284,7 +293,7 @@ def predict(df: DataFrame, theta: np.ndarray, bias: np.ndarray | None = None) ->
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 s = _rows(part) @ theta + b0
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(s), pa.list_(pa.float64())), pa.array(s.argmax(1).astype(np.int32) + 1)], [*part.schema.names, "scores", "prediction"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(s), pa.list_(pa.float64())), pa.array(first_largest(s) + 1)], [*part.schema.names, "scores", "prediction"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("prediction", T.IntegerType())]))
 

@@ -112,3 +112,11 @@ def test_written_batches(spark, tmp_path):
     rows = sorted((r["seq_id"], r["batch"]) for r in got.collect())
     assert [b for _, b in rows] == [k // 32 for k in range(100)]
     assert sorted(p.name for p in (tmp_path / "b").glob("batch=*")) == [f"batch={k}" for k in range(4)]
+
+
+def test_equal_columns_predict_the_first():
+    rng = np.random.default_rng(7)
+    x, theta = rng.normal(size=(500, 64)), rng.integers(-2, 3, size=(64, 5)) / 10
+    s = x @ np.concatenate([theta, theta], axis=1)
+    assert (classify.first_largest(s + 1e-15 * rng.normal(size=s.shape)) == (x @ theta).argmax(1)).all()
+    assert classify.first_largest(np.array([[0.0, 0.0], [1.0, 1.1], [2.0, 1.0]])).tolist() == [0, 1, 0]
