@@ -224,20 +224,39 @@ def load_gmm(spark: SparkSession, path: str) -> Mixture:
 
 
 def pca(df: DataFrame, names: list[str], ratio: float = 0.98) -> np.ndarray:
-    """Directions (columns) whose cumulative share of the variance is under ratio; from one pass of sums."""
-    n = len(names)
-    sums = df.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(names)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i in range(n) for j in range(i, n))).first()
-    mean = np.array([sums[f"s{i}"] for i in range(n)]) / sums["n"]
-    c = np.array([[sums[f"p{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / sums["n"] - np.outer(mean, mean)
+    """Directions (columns) whose cumulative share of the variance is under ratio; from one pass, products of rows summed in the tasks."""
+    d = len(names)
+
+    def sums(batches):
+        total = np.zeros(1 + d + d * d)
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b, names)
+                total += np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    got = df.select(*names).dropna().mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    v = np.array([r["v"] for r in got])
+    if not len(v) or v[0] == 0:
+        return np.zeros((d, 0))
+    mean = v[1 : 1 + d] / v[0]
+    c = v[1 + d :].reshape(d, d) / v[0] - np.outer(mean, mean)
     w, v = np.linalg.eigh(c)
     w, v = w[::-1], v[:, ::-1]
-    v = v * np.sign(v[np.abs(v).argmax(0), range(n)])
+    v = v * np.sign(v[np.abs(v).argmax(0), range(d)])
     return v[:, np.cumsum(w) / w.sum() < ratio]
 
 
 def project(df: DataFrame, names: list[str], directions: np.ndarray) -> DataFrame:
-    """Uncentred coordinates on directions, as pc0, pc1, ..."""
-    return df.withColumns({f"pc{k}": sum((F.col(c) * float(x) for c, x in zip(names, d, strict=True)), F.lit(0.0)) for k, d in enumerate(directions.T)})
+    """Uncentred coordinates on directions, as pc0, pc1, ..., a product a batch."""
+    new = [f"pc{k}" for k in range(directions.shape[1])]
+
+    def run(batches):
+        for b in batches:
+            x = _matrix(b, names) @ directions
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in x.T)], [*b.schema.names, *new])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in new)]))
 
 
 def encode(df: DataFrame, names: list[str], k: int = 4, samples: int = 2000, parts: int = 2, levels: tuple[int, ...] = LEVELS, gmm: Mixture | None = None, ratio: float | None = None, iterations: int = 20) -> DataFrame:

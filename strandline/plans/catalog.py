@@ -445,8 +445,9 @@ def ridge_gradient(s, d):
 
 @query
 def mixed_norm_objective(s, d):
+    loss, _ = classify.ridge_objective(emb(s, d), theta(), 0.0)
     v, _ = classify.mixed_norm(theta(), [np.arange(32), np.arange(32, 64)], 0.4, 0.7)
-    return s.createDataFrame([(round(v, 6),)], "objective double")
+    return s.createDataFrame([(round(float(loss) + v, 3),)], "objective double")
 
 
 @query
@@ -552,7 +553,7 @@ nd("mpower", lambda s, d: ndsparse.matrix_power(ndsparse.apply(ndsparse.reduce(n
 nd("rot90", lambda s, d: ndsparse.rotate90(nda(s, d), "i", "j", 5))
 nd("squeeze", lambda s, d: ndsparse.squeeze(nda(s, d).filter("j = 1"), {"i": 7, "j": 1, "k": 4}))
 nd("convolve", lambda s, d: ndsparse.convolve(nda(s, d), nda(s, d).filter("i <= 2 and j <= 2 and k = 1").withColumn("val", F.col("i") * 1.0 - F.col("j") * 3)))
-nd("random", lambda s, d: rounded(ndsparse.random(s, SHAPE, 0.3), 9, "val"))
+nd("random", lambda s, d: rounded(ndsparse.elementwise(nda(s, d), ndsparse.random(s, SHAPE, 0.3), lambda a, b: a * b), 6, "val"))
 SHAPE = {"i": 7, "j": 5, "k": 4}
 
 
@@ -641,7 +642,7 @@ def load_skeletons(s, d):
     p = t.groupBy("seq_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x", "y", "z"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"))).alias("p"))
     joint = lambda k, p: F.struct(F.lit(k).alias("joint_id"), F.array(p).alias("instances"))
     cells = p.select(F.col("label").alias("class_id"), F.col("seq_id").alias("subject_id"), F.array(joint(7, F.col("p")), joint(11, F.reverse("p"))).alias("skeleton"))
-    train = s.createDataFrame([(k,) for k in range(0, 100_000, 3)], "subject_id long")
+    train = s.range(0, 100_000, 3).withColumnRenamed("id", "subject_id")
     return trajectories.load_skeletons(cells, [7], train, F.col("class_id") == 12)
 
 

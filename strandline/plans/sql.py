@@ -239,7 +239,7 @@ ORACLES = {
     "accuracy": f"WITH {EMB} SELECT {R('avg((label = prediction)::INT)', 'accuracy')} FROM pred",
     "ridge_objective": f"WITH {EMB} SELECT round((SELECT sum((s - (label = c + 1)::INT) * (s - (label = c + 1)::INT)) FROM sc) + 0.5 * (SELECT sum(w * w) FROM th), 3) AS objective",
     "ridge_gradient": f"WITH {EMB} SELECT CAST(d AS INTEGER) AS d, CAST(c AS INTEGER) AS c, round(2 * sum(v * (s - (sc.label = c + 1)::INT)) + any_value(w), 3) + 0.0 AS g FROM el JOIN sc USING (vec_id) JOIN th USING (d, c) GROUP BY d, c",
-    "mixed_norm_objective": f"WITH {EMB} SELECT round(0.4 * (SELECT sum(sqrt(r)) FROM (SELECT sum(w * w) AS r FROM th GROUP BY d)) + 0.7 * (SELECT sum(sqrt(r)) FROM (SELECT sum(w*w*w*w) AS r FROM th GROUP BY d // 32, c)), 6) AS objective",
+    "mixed_norm_objective": f"WITH {EMB} SELECT round((SELECT sum((s - (label = c + 1)::INT) * (s - (label = c + 1)::INT)) FROM sc) + 0.4 * (SELECT sum(sqrt(r)) FROM (SELECT sum(w * w) AS r FROM th GROUP BY d)) + 0.7 * (SELECT sum(sqrt(r)) FROM (SELECT sum(w*w*w*w) AS r FROM th GROUP BY d // 32, c)), 3) AS objective",
     "onehot": "SELECT vec_id, CAST(unnest(range(1, 11)) AS INTEGER) AS class, CASE WHEN label + 1 = unnest(range(1, 11)) THEN 1.0 ELSE 0.0 END AS v FROM embeddings",
     "inverse_onehot": "SELECT vec_id, label + 1 AS class FROM embeddings",
     "concat_modalities": "SELECT vec_id, CAST(len(embedding) * 2 AS INTEGER) AS width, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * 3)), 4) + 0.0 AS total FROM embeddings",
@@ -277,7 +277,7 @@ ORACLES = {
     "ndsparse_rot90": f"WITH {NDA} SELECT 6 - j AS i, i AS j, k, val FROM a",
     "ndsparse_squeeze": f"WITH {NDA} SELECT i, k, val FROM a WHERE j = 1",
     "ndsparse_convolve": f"WITH {NDA}, h AS (SELECT i, j, k, i * 1.0 - j * 3 AS val FROM a WHERE i <= 2 AND j <= 2 AND k = 1) SELECT a.i + h.i - 1 AS i, a.j + h.j - 1 AS j, a.k + h.k - 1 AS k, CAST(sum(a.val * h.val) AS DOUBLE) AS val FROM a, h GROUP BY ALL HAVING sum(a.val * h.val) <> 0",
-    "ndsparse_random": "SELECT f % 7 + 1 AS i, (f // 7) % 5 + 1 AS j, f // 35 + 1 AS k, round(((f + 1) * 31337 % 104729 + 1) / 104729.0::DOUBLE, 9) AS val FROM (SELECT unnest(range(0, 140)) AS f) WHERE (f + 1) * 7919 % 104729 < 31418",
+    "ndsparse_random": f"WITH {NDA} SELECT i, j, k, round(a.val * b.val, 6) + 0.0 AS val FROM a JOIN (SELECT f % 7 + 1 AS i, (f // 7) % 5 + 1 AS j, f // 35 + 1 AS k, ((f + 1) * 31337 % 104729 + 1) / 104729.0::DOUBLE AS val FROM (SELECT unnest(range(0, 140)) AS f) WHERE (f + 1) * 7919 % 104729 < 31418) b USING (i, j, k)",
     "ndsparse_solve": "SELECT i, i * 2.0::DOUBLE - 1 AS val FROM (SELECT unnest(range(1, 6)) AS i)",
     "ndsparse_inverse": "SELECT i, i AS k, 1.0::DOUBLE AS val FROM (SELECT unnest(range(1, 6)) AS i)",
     "user_network_solve": "SELECT 0.0::DOUBLE AS off, count(DISTINCT user_id) AS users FROM events",

@@ -120,3 +120,19 @@ def test_equal_columns_predict_the_first():
     s = x @ np.concatenate([theta, theta], axis=1)
     assert (classify.first_largest(s + 1e-15 * rng.normal(size=s.shape)) == (x @ theta).argmax(1)).all()
     assert classify.first_largest(np.array([[0.0, 0.0], [1.0, 1.1], [2.0, 1.0]])).tolist() == [0, 1, 0]
+
+
+def test_pca_of_many_columns(spark):
+    """More columns than one aggregate a pair of them could hold in a plan."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 80)) @ np.diag(np.linspace(3, 0.1, 80))
+    names = [f"c{k}" for k in range(80)]
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = encoding.pca(df, names, 0.9)
+    w, v = np.linalg.eigh(np.cov(x.T, bias=True))
+    keep = (np.cumsum(w[::-1]) / w.sum() < 0.9).sum()
+    assert got.shape == (80, keep) and np.allclose(np.abs((got * v[:, ::-1][:, :keep]).sum(0)), 1, atol=1e-6)
+    p = encoding.project(df, names, got).select("c0", *(f"pc{k}" for k in range(keep))).collect()
+    want = {round(r[0], 9): r @ got for r in x}
+    assert all(np.allclose(r[1:], want[round(r[0], 9)]) for r in p)
+    assert encoding.pca(df.limit(0), names).shape == (80, 0)
