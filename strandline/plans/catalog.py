@@ -212,6 +212,15 @@ def asof_keypoints(s, d):
     return _keys(s, d)[1]
 
 
+@query
+def orientation(s, d):
+    """Turns of three points of large whole coordinates, nearly on a line: p, p + 3 q, and p + 7 q but for at most one unit in y."""
+    t = traj(s, d).select("seq_id", "t", (F.floor(F.col("x") * 100) * 30_000_001).cast("double").alias("px"), (F.floor("y") * 70_000_003).cast("double").alias("py"), (F.floor("x") * 1_000_003 + F.col("t")).cast("double").alias("qx"), (F.floor("z") * 999_983 + 1).cast("double").alias("qy"))
+    p, q = V.cols("px", "py"), V.cols("qx", "qy")
+    at = lambda k, off: [p[0] + k * q[0], p[1] + k * q[1] + off]
+    return t.select("seq_id", "t", geometry.turn(p, at(3, 0), at(7, F.col("t") % 3 - 1)).alias("turn"))
+
+
 @query
 def circumcentre(s, d):
     t, k = _keys(s, d)

@@ -215,6 +215,7 @@ ORACLES = {
     "shape_ctx_inliers": f"WITH {SHAPE} SELECT seq_id, t, theta, alpha, radius, count(*) AS cnt FROM b WHERE radius > 0 AND u % 5 <> 0 GROUP BY ALL",
     "shape_ctx_135": f"WITH {SHAPE} SELECT seq_id, t, theta, alpha, radius, count(*) AS cnt FROM b WHERE radius > 0 GROUP BY GROUPING SETS ((seq_id, t, theta, radius), (seq_id, t, alpha, radius))",
     "circumcentre": f"WITH {CENTRE} SELECT seq_id, t, NOT den > 1e3 AS flat, " + ", ".join(R(f"CASE WHEN den > 1e3 THEN o{c} END", f"c{c}", 3) for c in "xyz") + " FROM cc",
+    "orientation": f"WITH {TRAJ}, p AS (SELECT seq_id, t, CAST(floor(x) AS HUGEINT) * 1000003 + t AS qx, CAST(floor(z) AS HUGEINT) * 999983 + 1 AS qy, t % 3 - 1 AS off FROM traj), d AS (SELECT seq_id, t, (-7 * qx) * (-4 * qy - off) - (-7 * qy - off) * (-4 * qx) AS det FROM p) SELECT seq_id, t, CAST(CASE WHEN det > 0 THEN 1 WHEN det < 0 THEN -1 ELSE 0 END AS INTEGER) AS turn FROM d",
     "asof_keypoints": f"WITH {SEG} SELECT seq_id, t, l, r FROM keys",
     "frames_fixed": f"WITH {FRAMES} SELECT seq_id, t, " + ", ".join(R(f"CASE WHEN inn THEN {a}{c} ELSE 0 END", f"{o}{c}", 5) for o, a in (("t", "t"), ("n", "a"), ("b", "s")) for c in "xyz") + " FROM fr",
     "quat": f"WITH {TRAJ}, ang AS (SELECT seq_id, t, (x % 7) - 3 AS p, (y % 6) - 3 AS w FROM traj), rot AS (SELECT seq_id, t, cos(p)*cos(w) AS r00, -sin(p) AS r01, cos(p)*sin(w) AS r02, sin(p)*cos(w) AS r10, cos(p) AS r11, sin(p)*sin(w) AS r12, -sin(w) AS r20, 0.0 AS r21, cos(w) AS r22 FROM ang){QUAT} SELECT seq_id, t, {R('aw/nq', 'qw')}, {R('ax/nq', 'qx')}, {R('ay/nq', 'qy')}, {R('az/nq', 'qz')} FROM qn",
