@@ -1,19 +1,25 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A file's segments are the file itself, its lines, paragraphs (runs of lines between empty ones) and sentences, and
-windows of a template's length at the places that its rarer words point to. Templates are notices, standard headers and whole
+A file's segments are the file itself, its lines, paragraphs (runs of lines between empty ones) and sentences, windows of a
+template's length at the places that its rarer words point to (templates of up to WINDOW words), and stretches that share runs of
+GRAM words with a longer template, with gaps of at most GAP words. Templates are notices, standard headers and whole
 licences (``license_texts``). A segment's sparse TF-IDF vector (words of letters, digits, dots and dashes, lower case) is compared with each
 template's; inverse document frequencies are those of the templates, and a word of no template weighs as a rarest
-one. The best template of cosine THRESHOLD or more is the file's own licence; of equals, the first by name. Whole texts are scanned.
-A template of over LONG words is compared with segments of half to twice its words; a shorter one with those that
-hold SHARE of its words or more, or with any that has an anchor word. No segment is passed over that could reach the threshold: one that does
-holds a key of the template, the words left when its commonest of together less than THRESHOLD**2 of its squared length are set aside.
+one. All segments of a batch of texts are multiplied with all templates at once, as one sparse product; a segment is left out only if its words
+known to the templates hold less than THRESHOLD**2 of its squared length, which bounds its cosine (Cauchy and Schwarz). One
+word in common is no statement (mit, isc), unless it is an identifier with a digit (apache-2.0).
+
+A segment's licence is the template's of highest cosine, at THRESHOLD or more; templates of several licences that are equal make it all of
+these, joined by OR, as the terms that two licences begin with do. A file's own licence is that of its best segment: of one licence before
+several, then by cosine, name and place. Whole texts are scanned.
 
 A file named like LICENSE or COPYING, or whose licence segment is at least half of its words, speaks for its
 directory (best cosine first, then path). A file without an own licence takes that of its nearest
 ancestor directory that has one. Directories are joined once each, not once a file.
 
-Null text: no licence. Null path: never inherits. Rows that repeat an id or path are files of their own.
+Null and empty text: no licence. Null path: never inherits. Rows that repeat an id or path are files of their own. Very long texts are
+scanned whole, BATCH words of segments at a time, or one longer segment. An empty table gives no rows. Extra columns are not used,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +27,7 @@ from __future__ import annotations
 import math
 import pkgutil
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +37,20 @@ from pyspark.sql import functions as F
 from strandline.llm.common import slices, stored, table
 
 THRESHOLD = 0.7
+#: Terms that two licences share.
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 TEMPLATES = {
+    "0BSD": ["Released under the Zero-Clause BSD License.", FEE, "SPDX-License-Identifier: 0BSD"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-3-Clause": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD-2-Clause": ["Released under the Simplified BSD License.", BSD, "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": ["Released under the BSD License.", BSD, "SPDX-License-Identifier: BSD-3-Clause"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2", "SPDX-License-Identifier: GPL-2.0"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3", "SPDX-License-Identifier: GPL-3.0"],
-    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"],
+    "ISC": ["Released under the ISC License.", FEE, "SPDX-License-Identifier: ISC"],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
@@ -57,9 +67,8 @@ HEADERS = {
     "MIT": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "MIT License"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "This Source Code Form is subject to the terms of the Mozilla Public", "Mozilla Public License Version 2.0"],
 }
-TEXTS = ("Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
-LONG, SHARE = 60, 0.6
-ANCHORS = ("licen", "redistribut", "permission", "free software")
+TEXTS = ("0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
+WINDOW, GRAM, GAP, BATCH = 240, 4, 200, 1 << 21
 FILE_NAME = r"^(?i)(licen[cs]e|copying|copyright|notice)([._-].*)?$"
 _WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*[A-Za-z0-9]|[A-Za-z0-9]")
 _BREAK = re.compile(r"[.!?][\"')\]]*\s+(?=[^a-z0-9\s])|\n[ \t\r\f\v]*(?=\n)")
@@ -78,98 +87,168 @@ def all_templates() -> dict[str, list[str]]:
 
 
 class Templates:
-    """Normalised TF-IDF weights, a row a word; the keys of each template and their places."""
+    """Normalised TF-IDF weights, a row a word; where the keys of short templates stand, and the runs of words of long ones.
+
+    A key is a word left when a template's commonest words of together less than THRESHOLD**2 of its squared length are set aside.
+    """
 
     def __init__(self, templates: dict[str, list[str]], threshold: float = THRESHOLD):
         self.threshold, self.least = threshold, threshold**2 - 1e-9
-        docs = [(name, Counter(words(x))) for name in sorted(templates) for x in templates[name]]
+        texts = [(name, words(x)) for name in sorted(templates) for x in templates[name]]
+        docs = [Counter(x) for _, x in texts]
         n = len(docs)
-        df = Counter(w for _, c in docs for w in c)
-        self.idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in df.items()}
+        df = Counter(w for c in docs for w in c)
         self.rare = math.log((1 + n) / 2) + 1
-        self.names = [name for name, _ in docs]
-        self.size = np.array([c.total() for _, c in docs])
-        self.distinct = np.array([len(c) for _, c in docs])
+        self.names = [name for name, _ in texts]
+        self.size = np.array([len(x) for _, x in texts])
         self.id = {w: i for i, w in enumerate(df)}
+        self.idf = np.array([math.log((1 + n) / (1 + k)) + 1 for k in df.values()])
+        self.tag = np.array([w in {x.lower() for x in templates} and any(x.isdigit() for x in w) for w in df])
         self.weight = np.zeros((len(df), n))
-        for k, (_, c) in enumerate(docs):
-            norm = math.sqrt(sum((f * self.idf[w]) ** 2 for w, f in c.items()))
-            for w, f in c.items():
-                self.weight[self.id[w], k] = f * self.idf[w] / norm
-        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.keys: set[str] = set()
-        self.votes = np.ones(n, int)
-        for k, (x, (_, c)) in enumerate(zip((x for name in sorted(templates) for x in templates[name]), docs, strict=True)):
-            spare, keys = threshold**2, set(c)
-            for w in sorted(c, key=lambda w: (self.idf[w], w)):
-                if (spare := spare - self.weight[self.id[w], k] ** 2) <= 0:
-                    break
-                keys.discard(w)
-            if self.size[k] <= LONG:
-                self.keys |= keys
-            if self.size[k] <= 4 * LONG:
-                at = [(i, w) for i, w in enumerate(words(x)) if w in keys]
-                self.votes[k] = max(1, len(at) // 3)
-                for i, w in at:
-                    self.places[w].append((k, i))
-
-    def best(self, segment: list[str], anchor: bool) -> tuple[float, str]:
-        c = Counter(segment)
-        known = [w for w in c if w in self.id]
-        square = sum((f * self.idf.get(w, self.rare)) ** 2 for w, f in c.items())
-        v = [c[w] * self.idf[w] for w in known]
-        if not known or sum(x * x for x in v) < self.least * square:
-            return 0.0, ""
-        n = len(segment)
-        weight = self.weight[[self.id[w] for w in known]]
-        fits = np.where(self.size > LONG, (2 * n >= self.size) & (n <= 2 * self.size), anchor | ((weight > 0).sum(0) >= SHARE * self.distinct))
-        score = np.where(fits, np.array(v) @ weight, 0.0)
-        k = int(score.argmax())
-        return float(score[k]) / math.sqrt(square), self.names[k]
+        for k, c in enumerate(docs):
+            at = [self.id[w] for w in c]
+            v = np.array(list(c.values())) * self.idf[at]
+            self.weight[at, k] = v / math.sqrt((v * v).sum())
+        self.votes = np.ones(n, np.int64)
+        places, runs = [], []
+        for k, (_, x) in enumerate(texts):
+            ids = np.array([self.id[w] for w in x])
+            if len(x) > WINDOW:
+                runs += [(g, k) for g in set(self._runs(ids).tolist())]
+                continue
+            order = sorted(docs[k], key=lambda w: (self.idf[self.id[w]], w))
+            mass = np.cumsum([self.weight[self.id[w], k] ** 2 for w in order])
+            keys = {self.id[w] for w, m in zip(order, mass, strict=True) if m >= threshold**2}
+            at = [i for i, w in enumerate(ids.tolist()) if w in keys]
+            self.votes[k] = max(1, len(at) // 3)
+            places += [(int(ids[i]), k, i) for i in at]
+        self.places = np.array(sorted(places), np.int64).reshape(-1, 3)
+        self.runs = np.array(sorted(runs), np.int64).reshape(-1, 2)
+
+    def _runs(self, ids: np.ndarray) -> np.ndarray:
+        """A number for each GRAM words in a row; -1 where one is not a template's."""
+        n, v = max(0, len(ids) - GRAM + 1), len(self.id)
+        out = np.zeros(n, np.int64)
+        for j in range(GRAM):
+            out = out * v + ids[j : j + n]
+        bad = np.cumsum(np.concatenate([[0], ids >= v]))
+        return np.where(bad[GRAM : GRAM + n] > bad[:n], -1, out)
+
+    def _pointed(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and stretches (from, to) in the words of texts that begin at ``first``."""
+        t, which = _hits(ids, self.places[:, 0])
+        k, place = self.places[which, 1], self.places[which, 2]
+        text = np.searchsorted(first, t, "right") - 1
+        order = np.lexsort((t - place, k, text))
+        rows = np.stack([text, k, t - place])[:, order]
+        new = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(0)])) if len(order) else order
+        many = np.diff(np.append(new, len(order))) >= self.votes[rows[1, new]]
+        text, k, at = rows[:, new[many]]
+        ends = np.append(first[1:], len(ids))
+        a, b = np.maximum(first[text], at), np.minimum(ends[text], at + self.size[k])
+        t, which = _hits(self._runs(ids), self.runs[:, 0])
+        k, text = self.runs[which, 1], np.searchsorted(first, t, "right") - 1
+        inside = t + GRAM <= ends[text]
+        t, k, text = t[inside], k[inside], text[inside]
+        order = np.lexsort((t, k, text))
+        t, k, text = t[order], k[order], text[order]
+        if not len(t):
+            return a, b
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(t) > GAP) | (np.diff(k) != 0) | (np.diff(text) != 0)]))
+        return np.concatenate([a, t[new]]), np.concatenate([b, t[np.append(new[1:], len(t)) - 1] + GRAM])
+
+    def scores(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray, codes: int) -> list[tuple[int, float, str]]:
+        """(segment, cosine, licence) of the segments ids[a:b] that reach the threshold; ids of no template's word lie below ``codes``."""
+        out, v = [], len(self.id)
+        lo, total = 0, np.cumsum(b - a)
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BATCH, "right")))
+            n = b[lo:hi] - a[lo:hi]
+            seg = np.repeat(np.arange(hi - lo), n)
+            at = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[lo:hi], n)
+            key, count = np.unique(seg * codes + ids[at], return_counts=True)
+            seg, word = key // codes, key % codes
+            known = word < v
+            other = np.bincount(seg[~known], count[~known].astype(float) ** 2, hi - lo) * self.rare**2
+            seg, word = seg[known], word[known]
+            x = count[known] * self.idf[word]
+            own = np.bincount(seg, x * x, hi - lo)
+            stays = (own >= self.least * (own + other))[seg]
+            seg, word, x = seg[stays], word[stays], x[stays]
+            new = np.flatnonzero(np.concatenate([[True], np.diff(seg) != 0])) if len(seg) else seg
+            for i in range(0, len(new), 4096):
+                part = slice(new[i], new[i + 4096] if i + 4096 < len(new) else len(seg))
+                w, start = self.weight[word[part]], new[i : i + 4096] - new[i]
+                score = np.add.reduceat(w * x[part, None], start) / np.sqrt((own + other)[seg[new[i : i + 4096]]])[:, None]
+                alone = np.add.reduceat((w > 0).astype(np.int32), start) + np.add.reduceat((w > 0) & self.tag[word[part], None], start, dtype=np.int32) < 2
+                score[alone] = 0
+                top = score.max(1)
+                for j in np.flatnonzero(top >= self.threshold):
+                    best = sorted({self.names[k] for k in np.flatnonzero(score[j] >= top[j] - 1e-12)})
+                    out.append((lo + int(seg[new[i + j]]), min(float(top[j]), 1.0), " OR ".join(best)))
+            lo = hi
+        return out
+
+    def scan_all(self, texts: list[str]) -> list[tuple[str | None, float | None, int, int]]:
+        """(licence, cosine, start, end) of the best segment of each text."""
+        code, ids, starts, ends, first = dict(self.id), [], [], [], []
+        spans: list[np.ndarray] = []
+        for text in texts:
+            base = len(ids)
+            first.append(base)
+            at, to = [], []
+            for m in _WORD.finditer(text):
+                at.append(m.start())
+                to.append(m.end())
+                ids.append(code.setdefault(m[0].lower(), len(code)))
+            starts += at
+            ends += to
+            cuts = np.array(_spans(text), np.int64)
+            spans.append(np.concatenate([np.searchsorted(np.array(at, np.int64), cuts) + base, cuts, np.full((len(cuts), 1), len(first) - 1)], axis=1))
+        words_, starts, ends, first = np.array(ids, np.int64), np.array(starts, np.int64), np.array(ends, np.int64), np.array(first, np.int64)
+        a, b = self._pointed(words_, first)
+        spans.append(np.stack([a, b, starts[a], ends[b - 1], np.searchsorted(first, a, "right") - 1], axis=1) if len(a) else np.zeros((0, 5), np.int64))
+        s = np.concatenate(spans)
+        s = s[s[:, 1] > s[:, 0]]
+        _, keep = np.unique(s[:, 0] * (len(ids) + 1) + s[:, 1], return_index=True)
+        s = s[np.sort(keep)]
+        best: dict[int, tuple] = {}
+        for i, cosine, name in self.scores(words_, s[:, 0], s[:, 1], len(code)):
+            _, _, start, end, text = s[i].tolist()
+            found = (" OR " in name, -round(cosine, 12), name, start, end, cosine)
+            best[text] = min(best.get(text, found), found)
+        return [(x[2], x[5], x[3], x[4]) if (x := best.get(k)) else (None, None, 0, 0) for k in range(len(texts))]
 
     def scan(self, text: str) -> tuple[str | None, float | None, int, int]:
-        """(licence, cosine, start, end) of the best segment."""
-        at, tokens = [], []
-        for m in _WORD.finditer(text):
-            at.append(m.start())
-            tokens.append(m[0].lower())
-        spans, start = [], 0
-        for line in text.split("\n"):
-            spans.append((start, start + len(line)))
-            start += len(line) + 1
-        block = None
-        for s, e in [*spans, (len(text), len(text))]:
-            if text[s:e].strip():
-                block = (block[0] if block else s, e)
-            elif block:
-                spans.append(block)
-                block = None
-        start = 0
-        for m in _BREAK.finditer(text):
-            spans.append((start, m.end()))
-            start = m.end()
-        spans += [(start, len(text)), (0, len(text))]
-        segments: dict[tuple[int, int], tuple[int, int]] = {}
-        for s, e in spans:
-            segments.setdefault((bisect_left(at, s), bisect_left(at, e)), (s, e))
-        hot = [0]
-        seen: Counter = Counter()
-        for i, w in enumerate(tokens):
-            hot.append(hot[-1] + (w in self.keys))
-            for k, place in self.places.get(w, ()):
-                seen[k, i - place] += 1
-        for (k, i), n in seen.items():
-            if n >= self.votes[k] and (i >= 0 or i + self.size[k] > 0):
-                a, b = max(0, i), min(len(tokens), i + int(self.size[k]))
-                segments.setdefault((a, b), (at[a], at[b - 1] + len(tokens[b - 1])))
-        best = (0.0, "", 0, 0)
-        for (a, b), (s, e) in segments.items():
-            if b > a and (hot[b] > hot[a] or 2 * (b - a) > LONG):
-                low = text[s:e].lower() if b - a <= 4 * LONG else ""
-                found = (*self.best(tokens[a:b], any(x in low for x in ANCHORS)), s, e)
-                best = min(best, found, key=lambda x: (-round(x[0], 12), x[1], x[2]))
-        score, name, s, e = best
-        return (name, min(score, 1.0), s, e) if score >= self.threshold else (None, None, 0, 0)
+        return self.scan_all([text])[0]
+
+
+def _hits(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (place in values, row of the sorted table) of equal numbers."""
+    lo, hi = np.searchsorted(table, values, "left"), np.searchsorted(table, values, "right")
+    n = hi - lo
+    t = np.repeat(np.arange(len(values)), n)
+    return t, np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def _spans(text: str) -> list[tuple[int, int]]:
+    """Lines, paragraphs, sentences and the whole of a text."""
+    out, start = [], 0
+    for line in text.split("\n"):
+        out.append((start, start + len(line)))
+        start += len(line) + 1
+    block = None
+    for s, e in [*out, (len(text), len(text))]:
+        if text[s:e].strip():
+            block = (block[0] if block else s, e)
+        elif block:
+            out.append(block)
+            block = None
+    start = 0
+    for m in _BREAK.finditer(text):
+        out.append((start, m.end()))
+        start = m.end()
+    return [*out, (start, len(text)), (0, len(text))]
 
 
 def _scan(templates: dict, threshold: float):
@@ -178,7 +257,7 @@ def _scan(templates: dict, threshold: float):
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in slices(np.fromiter((len(x or "") for x in texts), np.int64, len(texts)), 4 << 20):
-                rows = [t.scan(x or "") for x in texts[lo:hi]]
+                rows = t.scan_all([x or "" for x in texts[lo:hi]])
                 half = [r[0] is not None and 2 * len((x or "")[r[2] : r[3]].split()) >= len((x or "").split()) for r, x in zip(rows, texts[lo:hi], strict=True)]
                 name, score, s, e = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("path").slice(lo, hi - lo), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(half)], ["doc_id", "path", "own", "cosine", "start", "end", "mostly"])
