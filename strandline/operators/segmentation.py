@@ -7,8 +7,11 @@ rational arithmetic). One sequence is one group: the scan is sequential by natur
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,6 +176,68 @@ def maximal_segments(grid: DataFrame, width: int = 5, recheck: bool = False) ->
     return spread(grid).groupBy("seq_id").applyInPandas(run, SEGMENTS)
 
 
+def digital_line(points: list[tuple[int, int]], width: int) -> tuple[int, ...] | None:
+    """(view, a, b, low, high, x0, x1, y0, y1) of the first view that takes all points with an extent; else None.
+
+    In that view all points have low <= a x + b y <= high, b > 0, along the slope of least vertical width. Of the slopes of equal
+    width it is the least, or the greatest where the borders stand widest apart at the right end. ``high`` leaves room for a point at each x.
+    """
+    for view, turn in enumerate(VIEWS):
+        run, seen = Run(), [turn(*p) for p in points]
+        for q in seen:
+            run.add(q, width)
+            if not run.open:
+                break
+        if run.open and run.wide:
+            break
+    else:
+        return None
+    best: list = []
+    for own, other, sign in ((run.up, run.low, 1), (run.low, run.up, -1)):
+        k = 0
+        for (ax, ay), (bx, by) in zip(own[-2::-1], own[:0:-1], strict=True):  # so the touching vertex moves right
+            dx, dy = bx - ax, by - ay
+            height = lambda q: sign * (q[1] * dx - dy * q[0])  # noqa: B023, E731
+            while k + 1 < len(other) and height(other[k + 1]) <= height(other[k]):
+                k += 1
+            best.append((Fraction(height((ax, ay)) - height(other[k]), dx), Fraction(dy, dx)))
+    least = min(best)[0]
+    end = run.up[-1][1] - run.low[-1][1]
+    slope = (max if end == least else min)(s for w, s in best if w == least)
+    a, b = -slope.numerator, slope.denominator
+    g = [a * x + b * y for x, y in (*run.up, *run.low)]
+    y = [q[1] for q in seen]
+    return view + 1, a, b, min(g), max(max(g), min(g) + b - 1), seen[0][0], seen[-1][0], min(y), max(y)
+
+
+def strips(grid: DataFrame, seg: DataFrame, width: int = 5) -> DataFrame:
+    """The digital lines of segments: seq_id, seg_id, plane (1: gx, gy; 2: gx, gz), view, a, b, low, high and the box x0, x1, y0, y1.
+
+    A plane in which no view has an extent has none. A segment's points are joined by time and gathered, one row a segment.
+    """
+    at = seg.filter("status = 'ok'").select("seq_id", "seg_id", F.explode(F.sequence("b", "e")).alias("t"))
+    g = at.join(grid.select("seq_id", F.col("t").cast("long").alias("t"), "gx", "gy", "gz"), ["seq_id", "t"])
+    g = g.groupBy("seq_id", "seg_id").agg(F.sort_array(F.collect_list(F.struct("t", "gx", "gy", "gz"))).alias("g"))
+    names = ["plane", "view", "a", "b", "low", "high", "x0", "x1", "y0", "y1"]
+
+    def lines(batches):
+        for b in batches:
+            rows = [(i, j, plane + 1, *x) for i, j, g in zip(*(b[c].to_pylist() for c in ("seq_id", "seg_id", "g")), strict=True) for plane, axis in enumerate(("gy", "gz")) if (x := digital_line([(q["gx"], q[axis]) for q in g], width))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(12)], ["seq_id", "seg_id", *names])
+
+    return g.mapInArrow(lines, ", ".join(f"{n} long" for n in ["seq_id", "seg_id", *names]))
+
+
+def strip_points(lines: DataFrame, *keep: str) -> DataFrame:
+    """The integer points of strips within their boxes: seq_id, seg_id, plane, gx, h (gy or gz), and other columns of theirs."""
+    x = lines.withColumn("x", F.explode(F.sequence("x0", "x1")))
+    low = F.greatest(F.expr("-floor((a * x - low) / b)"), "y0")
+    high = F.least(F.expr("floor((high - a * x) / b)"), "y1")
+    x = x.withColumn("lo", low).withColumn("hi", high).filter("lo <= hi").withColumn("y", F.explode(F.sequence("lo", "hi")))
+    back = lambda *c: F.expr(f"CASE view WHEN 1 THEN {c[0]} WHEN 2 THEN {c[1]} WHEN 3 THEN {c[2]} ELSE {c[3]} END")
+    return x.select("seq_id", "seg_id", "plane", back("x", "-x", "-y", "y").alias("gx"), back("y", "y", "-x", "x").alias("h"), *keep)
+
+
 def local_descriptor(df: DataFrame, width: int = 5, mean: DataFrame | None = None) -> DataFrame:
     """The whole descriptor: repeats removed, grid, segments, key points, frames, rotation and velocity.
 

@@ -261,6 +261,15 @@ def mbs_segments(s, d):
     return segmentation.maximal_segments(t)
 
 
+@query
+def segment_strips(s, d):
+    """The digital line of each segment, and how many points its strip regenerates."""
+    t = sequence.grid_range(traj(s, d))
+    lines = segmentation.strips(t, segmentation.maximal_segments(t))
+    line = ["view", "a", "b", "low", "high"]
+    return segmentation.strip_points(lines, *line).groupBy("seq_id", "seg_id", "plane", *line).agg(F.count("*").alias("points"))
+
+
 @query
 def lrf_descriptor(s, d):
     return rounded(segmentation.local_descriptor(traj(s, d)), 4, "qw", "qx", "qy", "qz", "ux", "uy", "uz")

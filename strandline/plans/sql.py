@@ -124,6 +124,18 @@ MBS = RANGES + """, nx AS (SELECT seq_id, max(t) AS n FROM traj GROUP BY seq_id)
   scan(seq_id, seg_id, b, k, e) AS (SELECT g.seq_id, CAST(1 AS BIGINT), g.b, g.nk, least(ac.a, n) FROM grow g JOIN ac ON ac.seq_id = g.seq_id AND ac.b = 1 AND ac.k = g.nk WHERE g.b = 1 AND g.k = 1 AND n > 1
     UNION ALL SELECT s.seq_id, s.seg_id + 1, g.b, g.nk, g.nk - 1 FROM scan s JOIN slide l ON l.seq_id = s.seq_id AND l.b = s.b AND l.k = s.k JOIN grow g ON g.seq_id = s.seq_id AND g.b = l.nb AND g.k = s.k WHERE s.k < g.n),
   seg AS MATERIALIZED (SELECT seq_id, seg_id, b, e FROM scan)"""
+#: The digital lines of segments: all slopes of pairs, the width along each, the first view under the width, and the points between.
+STRIPS = MBS + """,
+  pt AS MATERIALIZED (SELECT seq_id, seg_id, p, v, x, y, run FROM seg JOIN v2 USING (seq_id) WHERE t BETWEEN b AND e),
+  fit AS (SELECT seq_id, seg_id, p, v, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pt GROUP BY ALL HAVING min(run) = max(run) AND min(x) < max(x)),
+  slopes AS (SELECT DISTINCT seq_id, seg_id, p, v, CAST((j.y - i.y) / gcd(j.x - i.x, j.y - i.y) AS BIGINT) AS dy, CAST((j.x - i.x) / gcd(j.x - i.x, j.y - i.y) AS BIGINT) AS dx FROM pt i JOIN pt j USING (seq_id, seg_id, p, v) JOIN fit USING (seq_id, seg_id, p, v) WHERE j.x > i.x),
+  wide AS (SELECT seq_id, seg_id, p, v, dx, dy, min(y * dx - dy * x) AS low, max(y * dx - dy * x) AS high FROM slopes JOIN pt USING (seq_id, seg_id, p, v) GROUP BY ALL),
+  thin AS (SELECT *, (high - low) / dx AS w, min((high - low) / dx) OVER (PARTITION BY seq_id, seg_id, p, v) AS least FROM wide),
+  one AS (SELECT seq_id, seg_id, p, min(v) AS v FROM thin WHERE least < 5 GROUP BY ALL),
+  tip AS (SELECT seq_id, seg_id, p, v, max(y) - min(y) AS tip FROM pt JOIN fit USING (seq_id, seg_id, p, v) WHERE x = x1 GROUP BY ALL),
+  ln AS (SELECT thin.*, greatest(high, low + dx - 1) AS top, row_number() OVER (PARTITION BY seq_id, seg_id, p, v ORDER BY CASE WHEN tip = least THEN -dy / dx ELSE dy / dx END) AS place FROM thin JOIN one USING (seq_id, seg_id, p, v) JOIN tip USING (seq_id, seg_id, p, v) WHERE w = least),
+  ct AS (SELECT seq_id, seg_id, p, v, sum(greatest(0, least(y1, CAST(floor((top + dy * x) / dx) AS BIGINT)) - greatest(y0, CAST(ceil((low + dy * x) / dx) AS BIGINT)) + 1)) AS points FROM (SELECT ln.*, fit.y0, fit.y1, unnest(range(x0, x1 + 1)) AS x FROM ln JOIN fit USING (seq_id, seg_id, p, v) WHERE place = 1) GROUP BY ALL)
+  SELECT seq_id, seg_id, CAST(p AS BIGINT) AS plane, CAST(v AS BIGINT) AS view, CAST(-dy AS BIGINT) AS a, CAST(dx AS BIGINT) AS b, CAST(low AS BIGINT) AS low, CAST(top AS BIGINT) AS high, CAST(points AS BIGINT) AS points FROM ln JOIN ct USING (seq_id, seg_id, p, v) WHERE place = 1"""
 _FILLED = ", ".join(f"last_value(CASE WHEN inn THEN {a}{c} ELSE 0 END IGNORE NULLS) OVER (PARTITION BY seq_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {a}{c}" for a in "tas" for c in "xyz")
 #: The whole descriptor; degenerate frames copy the one before. The events have no point that repeats the one before it.
 LOCAL = MBS + """,
@@ -305,6 +317,7 @@ ORACLES = {
     "describe_two_hands": f"WITH {GRAD}, s AS (SELECT seq_id, t, [" + ", ".join(f"{f}v{c} / sqrt(sqrt({f}vx*{f}vx+vy*vy+vz*vz) + 2.220446049250313e-16)".replace(f"{f}vy", "vy").replace(f"{f}vz", "vz") for f in ("", "2*") for c in "xyz") + f"] AS d FROM grad WHERE t > 2 AND t <= n - 2) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM s, (SELECT unnest(range(1, 7)) AS i)",
     "resample64": f"WITH {TRAJ}, q0 AS (SELECT seq_id, t - 1 AS k, count(*) OVER (PARTITION BY seq_id) AS n, x, y, z FROM traj)" + _spline("q0", "qa") + _spline("qa", "qb") + f" SELECT seq_id, i AS t, {R('x', 'x', 4)}, {R('y', 'y', 4)}, {R('z', 'z', 4)} FROM qb JOIN (SELECT unnest(range(1, 65)) AS i) ON k + 1 = least(greatest(ceil(i * (n / 64.0::DOUBLE) - 0.5), 1), n)",
     "mbs_segments": "WITH RECURSIVE " + MBS + " SELECT seq_id, seg_id, b, e, 'ok' AS status FROM seg UNION ALL SELECT seq_id, 0, 0, 0, 'short' FROM nx WHERE seq_id NOT IN (SELECT seq_id FROM seg)",
+    "segment_strips": "WITH RECURSIVE " + STRIPS,
     "lrf_descriptor": f"WITH RECURSIVE {LOCAL}{QUAT} SELECT seq_id, t, " + ", ".join(R(f"a{c}/nq", f"q{c}", 4) for c in "wxyz") + ", " + ", ".join(R("(" + " + ".join(f"v{c} / vn * m{i}{j}" for i, c in enumerate("xyz")) + ")", f"u{'xyz'[j]}", 4) for j in range(3)) + " FROM qn",
     "describe_local": f"WITH RECURSIVE {LOCAL}{QUAT}, lo AS (SELECT seq_id, t, [" + ", ".join(f"a{c}/nq" for c in "wxyz") + ", " + ", ".join(" + ".join(f"v{c} / vn * m{i}{j}" for i, c in enumerate("xyz")) for j in range(3)) + f"] AS d FROM qn) SELECT seq_id, t, CAST(i - 1 AS INTEGER) AS i, {R('d[i]', 'v', 4)} FROM lo, (SELECT unnest(range(1, 8)) AS i)",
     "ssm_hog": f"WITH {HOG} SELECT seq_id, t, i, v FROM hog",
