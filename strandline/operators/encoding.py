@@ -373,6 +373,31 @@ def sparse_objective(df: DataFrame, names: list[str], basis: np.ndarray, lam: fl
     return d.withColumn("objective", F.col("residual") + F.col("penalty") + F.col("ridge"))
 
 
+#: Penalties of a coefficient s (over its scale) and their derivatives; e: where the smooth ones bend.
+PENALTIES = {
+    "l1": (lambda s, e: F.abs(s), lambda s, e: F.signum(s)),
+    "log": (lambda s, e: F.log1p(s * s), lambda s, e: 2 * s / (1 + s * s)),
+    "eps": (lambda s, e: F.sqrt(e + s * s), lambda s, e: s / F.sqrt(e + s * s)),
+    "huber": (lambda s, e: F.when(F.abs(s) < e, s * s / (2 * e)).otherwise(F.abs(s) - e / 2), lambda s, e: F.when(F.abs(s) < e, s / e).otherwise(F.signum(s))),
+    "square": (lambda s, e: s * s, lambda s, e: 2 * s),
+}
+
+
+def code_gradient(df: DataFrame, names: list[str], basis: np.ndarray, penalty: str = "l1", beta: float = 0.15, noise: float = 1.0, sigma: float = 1.0, epsilon: float = 1e-3) -> DataFrame:
+    """Rows with a ``code`` get ``fit`` |x - B s|^2 / (2 noise), ``cost`` beta times the penalties of s / sigma, and ``gradient`` of their sum by s.
+
+    The objective of codes is the sum of fit and cost; that of codes on nearest atoms has penalty ``square`` and noise 1/2. A null
+    coordinate or code gives nulls. At a coefficient of zero the gradient of ``l1`` is that of the fit alone.
+    """
+    value, slope = PENALTIES[penalty]
+    d = df.withColumn("_off", F.array(*(sum((F.get("code", F.lit(k)) * float(basis[i, k]) for k in range(basis.shape[1])), F.lit(0.0)) - F.col(c) for i, c in enumerate(names))))
+    fit = F.aggregate("_off", F.lit(0.0), lambda a, x: a + x * x) / (2 * noise)
+    cost = F.aggregate("code", F.lit(0.0), lambda a, x: a + value(x / sigma, epsilon)) * beta
+    pull = lambda k: sum((F.get("_off", F.lit(i)) * float(basis[i, k] / noise) for i in range(len(names))), F.lit(0.0))
+    gradient = F.array(*(pull(k) + slope(F.get("code", F.lit(k)) / sigma, epsilon) * (beta / sigma) for k in range(basis.shape[1])))
+    return d.withColumns({"fit": fit, "cost": cost, "gradient": gradient}).drop("_off")
+
+
 def _code_sums(coded: DataFrame, names: list[str], atoms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """S S', X S', and (|X|^2, |S|_1, |S|^2, rows), added in the tasks and then by place, a number each to the driver."""
 

@@ -7,6 +7,7 @@ engines' sums agree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -673,6 +674,18 @@ def sparse_objective(s, d):
     return rounded(encoding.sparse_objective(t, XYZ, sql.BASIS, 0.15, 1e-4), 3, "residual", "penalty", "ridge", "objective")
 
 
+@query
+def code_gradients(s, d):
+    """Objectives and summed gradients of given codes under each penalty, the last that of codes on nearest atoms."""
+    t = sequence.unit_scale(traj(s, d)).withColumn("code", F.array(F.col("x") - 0.5, F.col("y"), F.lit(0.0), -F.col("z"), F.lit(0.25), F.col("x") * F.col("y")))
+    cols, sums = ["fit", "cost", "gradient"], {}
+    for name in ("l1", "log", "eps", "huber", "square"):
+        t = encoding.code_gradient(t, XYZ, sql.BASIS, name, 0.15, 0.5, 0.7, 0.2).withColumnsRenamed({c: f"{name}_{c}" for c in cols})
+        sums[name] = F.struct(F.lit(name).alias("penalty"), F.sum(f"{name}_fit").alias("fit"), F.sum(f"{name}_cost").alias("cost"), *(F.sum(F.get(f"{name}_gradient", F.lit(k))).alias(f"g{k}") for k in range(6)))
+    one = t.agg(F.array(*sums.values()).alias("x")).select(F.inline("x"))
+    return rounded(one, 3, "fit", "cost", *(f"g{k}" for k in range(6)))
+
+
 @query
 def sparse_codes_stationary(s, d):
     """How far each row's code is from the conditions of a minimum: nowhere."""

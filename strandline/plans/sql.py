@@ -304,6 +304,16 @@ ORACLES = {
     "sparse_objective": f"WITH {RANGES}, u AS (SELECT (x - lx) / span AS x, (y - ly) / span AS y, (z - lz) / span AS z FROM traj JOIN r USING (seq_id)), c AS (SELECT x, y, z, [x - 0.5, y, 0.0, -z, 0.25, x * y] AS s FROM u), e AS (SELECT s, "
     + ", ".join(f"{n} - (" + " + ".join(f"s[{k + 1}] * ({BASIS[i, k]!r})".replace("np.float64", "") for k in range(6)) + f") AS e{i}" for i, n in enumerate("xyz"))
     + " FROM c), o AS (SELECT sum(e0*e0 + e1*e1 + e2*e2) / 2 AS residual, 0.15 * sum(list_sum(list_transform(s, lambda v: abs(v)))) AS penalty, 1e-4 * sum(list_sum(list_transform(s, lambda v: v * v))) AS ridge FROM e) SELECT round(residual, 3) AS residual, round(penalty, 3) AS penalty, round(ridge, 3) AS ridge, round(residual + penalty + ridge, 3) AS objective FROM o",
+    "code_gradients": f"WITH {RANGES}, u AS (SELECT (x - lx) / span AS x, (y - ly) / span AS y, (z - lz) / span AS z FROM traj JOIN r USING (seq_id)), c AS (SELECT x, y, z, [x - 0.5, y, 0.0, -z, 0.25, x * y] AS s FROM u), e AS (SELECT s, "
+    + ", ".join("(" + " + ".join(f"s[{k + 1}] * ({float(BASIS[i, k])!r})" for k in range(6)) + f") - {n} AS e{i}" for i, n in enumerate("xyz"))
+    + " FROM c), q AS (SELECT *, list_transform(s, lambda v: v / 0.7) AS v FROM e), "
+    + ", ".join(
+        f"{name} AS (SELECT '{name}' AS penalty, sum(e0*e0 + e1*e1 + e2*e2) AS fit, sum(0.15 * list_sum(list_transform(v, lambda a: {value}))) AS cost, "
+        + ", ".join("sum(2 * (" + " + ".join(f"e{i} * ({float(BASIS[i, k])!r})" for i in range(3)) + f") + 0.15 / 0.7 * list_extract(list_transform(v, lambda a: {slope}), {k + 1})) AS g{k}" for k in range(6))
+        + " FROM q)"
+        for name, value, slope in [("l1", "abs(a)", "sign(a)"), ("log", "ln(1 + a * a)", "2 * a / (1 + a * a)"), ("eps", "sqrt(0.2 + a * a)", "a / sqrt(0.2 + a * a)"), ("huber", "CASE WHEN abs(a) < 0.2 THEN a * a / 0.4 ELSE abs(a) - 0.1 END", "CASE WHEN abs(a) < 0.2 THEN a / 0.2 ELSE sign(a) END"), ("square", "a * a", "2 * a")]
+    )
+    + " SELECT penalty, " + ", ".join(f"round({c}, 3) + 0.0 AS {c}" for c in ["fit", "cost", *(f"g{k}" for k in range(6))]) + " FROM (" + " UNION ALL ".join(f"SELECT * FROM {n}" for n in ("l1", "log", "eps", "huber", "square")) + ")",
     "dictionary_optimal": "SELECT CAST(k AS INTEGER) AS atom, 0.0::DOUBLE AS too_long, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS rose FROM (SELECT unnest(range(0, 8)) AS k)",
     "sparse_codes_stationary": f"WITH {TRAJ} SELECT seq_id, t, 0.0::DOUBLE AS off FROM traj",
     "encode_two_widths": f"WITH {TRAJ} SELECT DISTINCT seq_id, 180 AS width_a, 120 AS width_b, 1.0::DOUBLE AS size_a, 1.0::DOUBLE AS size_b FROM traj",
