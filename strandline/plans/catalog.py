@@ -7,7 +7,6 @@ engines' sums agree.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
