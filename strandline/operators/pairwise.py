@@ -40,8 +40,8 @@ TILE = 256
 
 
 def tile_pairs(df: DataFrame, *names: str, marked: str | None = None) -> DataFrame:
-    """All pairs of a sequence's tiles, as two lists of rows each: (seq_id, a, b), of structs of t, the coordinates and, if it is named, a
-    mark.
+    """All pairs of a sequence's tiles, as two lists of rows each: (seq_id, at, a, b), of structs of t, the coordinates and, if it is named, a
+    mark; ``at`` is the number of tile a.
 
     A tile holds TILE frames at most, and meets each tile of its sequence in a row of its own, dealt by both numbers: pairs of
     frames are formed in numpy within a row, so none is shuffled, and a long sequence is spread over tasks. Rows with a null
@@ -51,8 +51,8 @@ def tile_pairs(df: DataFrame, *names: str, marked: str | None = None) -> DataFra
     d = df.dropna(subset=list(names)).select("seq_id", "t", *names, *([marked] if marked else []))
     t = d.groupBy("seq_id", F.floor((F.col("t") - 1) / TILE).alias("tile")).agg(F.collect_list(F.struct("t", *names, *([marked] if marked else []))).alias("a"))
     n = t.groupBy("seq_id").agg(F.collect_list("tile").alias("tiles"))
-    first = t.join(n, "seq_id").select("seq_id", "a", F.explode("tiles").alias("tile"))
-    return first.join(t.withColumnRenamed("a", "b"), ["seq_id", "tile"]).select("seq_id", "a", "b")
+    first = t.join(n, "seq_id").select("seq_id", F.col("tile").alias("at"), "a", F.explode("tiles").alias("tile"))
+    return first.join(t.withColumnRenamed("a", "b"), ["seq_id", "tile"]).select("seq_id", "at", "a", "b")
 
 
 def _tile(batch: pa.RecordBatch, name: str, row: int, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -115,9 +115,16 @@ def shape_context(bins: DataFrame, inliers: DataFrame | None = None) -> DataFram
     return b.groupBy("seq_id", "t", "theta", "alpha", "radius").agg(F.count("*").alias("cnt"))
 
 
-def shape_histogram(df: DataFrame, mean: DataFrame, inliers: DataFrame | None = None, theta: int = 18, alpha: int = 9, radii: int = 5, inner: float = 0.125, outer: float = 2.0) -> DataFrame:
-    """shape_context of shape_bins without frames, by tiles: (seq_id, t, theta, alpha, radius, cnt); a bin that a frame's tile pairs
-    fill in several rows is added up.
+#: Counts a batch that leaves a task holds, about.
+CELLS = 1 << 20
+
+
+def _shape_tiles(df: DataFrame, mean: DataFrame, inliers: DataFrame | None, theta: int, alpha: int, radii: int, inner: float, outer: float, marginal: bool, packed: bool) -> DataFrame:
+    """Histograms of frames by tiles, whole when they leave their task: (seq_id, t, code, cnt), a row a bin, or with ``packed`` a row a
+    frame, its bins in two arrays.
+
+    All rows of a tile a come to one task side by side and are added up there, so no bin is shuffled. A code is the place of a joint bin,
+    or of a marginal one: (radius, theta) first, then (radius, alpha).
     """
     d = df.select("seq_id", "t", *XYZ)
     if inliers is None:
@@ -125,39 +132,102 @@ def shape_histogram(df: DataFrame, mean: DataFrame, inliers: DataFrame | None =
     else:
         d = d.join(inliers.select("seq_id", "t").distinct().withColumn("own", F.lit(True)), ["seq_id", "t"], "left").fillna(False, ["own"])
     edges = [inner * (outer / inner) ** (k / (radii - 1)) for k in range(radii)]
+    size = radii * (theta + alpha) if marginal else radii * theta * alpha
+
+    def places(ring, up, around):
+        return [ring * theta + around, radii * theta + ring * alpha + up] if marginal else [(ring * alpha + up) * theta + around]
+
+    def counts(one, two, own, mean, frames, n):
+        dx, dy, dz = (q[own.astype(bool)] - p[:, None] for p, q in zip(one, two, strict=True))
+        with np.errstate(invalid="ignore"):
+            r = np.sqrt(dx * dx + dy * dy + dz * dz) / mean
+            ring = sum((r < e).astype(np.int64) for e in edges)
+        i, j = np.nonzero(ring)
+        dx, dy, dz = dx[i, j], dy[i, j], dz[i, j]
+        around = np.arctan2(dy, dx)
+        around = np.where(around < 0, around + TAU, around)
+        up = np.arctan2(np.sqrt(dx * dx + dy * dy), dz)
+        cut = lambda v, width, n: np.minimum(np.floor(v / width).astype(np.int64), n - 1)
+        at = places(ring[i, j] - 1, cut(up, math.pi / alpha, alpha), cut(around, TAU / theta, theta))
+        return sum(np.bincount(frames[i] * size + x, minlength=n * size) for x in at)
 
     def run(batches):
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        seqs, key, total, t = [], None, None, None
+
+        def close():
+            """The tile's frames, how many bins each has, and these."""
+            full = np.flatnonzero(total)
+            some, many = np.unique(full // size, return_counts=True)
+            seqs.append((key[0], len(some)))
+            for h, v in zip(held, (t[some], many, full % size, total[full]), strict=True):
+                h.append(v)
+
+        def out():
+            frames, many, codes, cnt = (np.concatenate(h) for h in held)
+            ids = pa.array([s for s, _ in seqs], kind).take(pa.array(np.repeat(np.arange(len(seqs)), [k for _, k in seqs])))
+            if packed:
+                at = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+                cells = [pa.ListArray.from_arrays(at, pa.array(v.astype(np.int32))) for v in (codes, cnt)]
+            else:
+                ids, frames = ids.take(pa.array(np.repeat(np.arange(len(frames)), many))), np.repeat(frames, many)
+                cells = [pa.array(codes), pa.array(cnt)]
+            held[:], seqs[:] = [[], [], [], []], []
+            return pa.RecordBatch.from_arrays([ids, pa.array(frames), *cells], ["seq_id", "t", "code", "cnt"])
+
+        kind = None
         for batch in batches:
-            held: list[list[np.ndarray]] = [[], [], [], []]
-            for k in range(batch.num_rows):
-                t, *one = _tile(batch, "a", k, ("t", *XYZ))
+            kind = batch.column("seq_id").type
+            for k, own_key in enumerate(zip(batch.column("seq_id").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+                ts, *one = _tile(batch, "a", k, ("t", *XYZ))
                 own, *two = _tile(batch, "b", k, ("own", *XYZ))
-                dx, dy, dz = (q[own.astype(bool)] - p[:, None] for p, q in zip(one, two, strict=True))
-                r = np.sqrt(dx * dx + dy * dy + dz * dz) / batch.column("mean_dist")[k].as_py()
-                ring = sum((r < e).astype(np.int64) for e in edges)
-                i, j = np.nonzero(ring)
-                dx, dy, dz = dx[i, j], dy[i, j], dz[i, j]
-                around = np.arctan2(dy, dx)
-                around = np.where(around < 0, around + TAU, around)
-                up = np.arctan2(np.sqrt(dx * dx + dy * dy), dz)
-                cut = lambda v, width, n: np.minimum(np.floor(v / width).astype(np.int64), n - 1)
-                place = ((ring[i, j] - 1) * alpha + cut(up, math.pi / alpha, alpha)) * theta + cut(around, TAU / theta, theta)
-                found = np.bincount(i * (theta * alpha * radii) + place, minlength=0)
-                full = np.flatnonzero(found)
-                for h, v in zip(held, (np.full(len(full), k), t[full // (theta * alpha * radii)], full % (theta * alpha * radii), found[full]), strict=True):
-                    h.append(v)
-                if k + 1 == batch.num_rows or sum(map(len, held[0])) > 1 << 20:
-                    rows, *rest = (np.concatenate(h).astype(np.int64) for h in held)
-                    held = [[], [], [], []]
-                    yield pa.RecordBatch.from_arrays([batch.column("seq_id").take(pa.array(rows)), *map(pa.array, rest)], ["seq_id", "t", "code", "cnt"])
+                ts, frames = np.unique(ts, return_inverse=True)
+                found = counts(one, two, own, batch.column("mean_dist")[k].as_py(), frames, len(ts))
+                if own_key == key:
+                    total += found
+                    continue
+                if key is not None:
+                    close()
+                    if sum(map(len, held[2])) > CELLS:
+                        yield out()
+                key, total, t = own_key, found, ts
+        if key is not None:
+            close()
+            yield out()
 
     p = tile_pairs(d, marked="own").join(mean.filter("mean_dist > 0"), "seq_id")
-    got = p.mapInArrow(run, T.StructType([p.schema["seq_id"], *(T.StructField(c, T.LongType()) for c in ("t", "code", "cnt"))]))
-    got = got.groupBy("seq_id", "t", "code").agg(F.sum("cnt").alias("cnt"))
-    code = F.col("code")
+    p = spread(p, "seq_id", "at").sortWithinPartitions("seq_id", "at")
+    one = lambda t: T.ArrayType(T.IntegerType()) if packed else t
+    return p.mapInArrow(run, T.StructType([p.schema["seq_id"], T.StructField("t", T.LongType()), T.StructField("code", one(T.LongType())), T.StructField("cnt", one(T.LongType()))]))
+
+
+def shape_rows(df: DataFrame, mean: DataFrame, inliers: DataFrame | None = None, theta: int = 18, alpha: int = 9, radii: int = 5, inner: float = 0.125, outer: float = 2.0) -> DataFrame:
+    """shape_histogram with a row a frame: (seq_id, t, code array, cnt array), a code the place ((radius - 1) * alphas + alpha - 1) * thetas + theta - 1
+    of a bin that is not empty. A frame without one has no row.
+    """
+    return _shape_tiles(df, mean, inliers, theta, alpha, radii, inner, outer, False, True)
+
+
+def shape_histogram(df: DataFrame, mean: DataFrame, inliers: DataFrame | None = None, theta: int = 18, alpha: int = 9, radii: int = 5, inner: float = 0.125, outer: float = 2.0) -> DataFrame:
+    """shape_context of shape_bins without frames, by tiles: (seq_id, t, theta, alpha, radius, cnt)."""
+    got, code = _shape_tiles(df, mean, inliers, theta, alpha, radii, inner, outer, False, False), F.col("code")
     return got.select("seq_id", "t", (code % theta + 1).cast("int").alias("theta"), (F.floor(code / theta) % alpha + 1).cast("int").alias("alpha"), (F.floor(code / (theta * alpha)) + 1).cast("int").alias("radius"), "cnt")
 
 
+def shape_marginals(df: DataFrame, mean: DataFrame, inliers: DataFrame | None = None, theta: int = 18, alpha: int = 9, radii: int = 5, inner: float = 0.125, outer: float = 2.0) -> DataFrame:
+    """shape_context_marginals of shape_histogram, counted as such within tiles."""
+    got, code = _shape_tiles(df, mean, inliers, theta, alpha, radii, inner, outer, True, False), F.col("code")
+    first, rest = code < radii * theta, code - radii * theta
+    return got.select(
+        "seq_id",
+        "t",
+        F.when(first, code % theta + 1).cast("int").alias("theta"),
+        F.when(~first, rest % alpha + 1).cast("int").alias("alpha"),
+        F.when(first, F.floor(code / theta) + 1).otherwise(F.floor(rest / alpha) + 1).cast("int").alias("radius"),
+        "cnt",
+    )
+
+
 def shape_context_marginals(bins: DataFrame) -> DataFrame:
     """Two histograms, (theta, radius) and (alpha, radius), by grouping sets in one pass over pairs' bins or a joint histogram."""
     k, theta, alpha, radius = [F.col("seq_id"), F.col("t")], F.col("theta"), F.col("alpha"), F.col("radius")

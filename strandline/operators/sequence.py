@@ -16,10 +16,10 @@ def order():
     return W.partitionBy("seq_id").orderBy("t")
 
 
-def spread(df: DataFrame, key: str = "seq_id") -> DataFrame:
-    """df dealt by its key over all cores: work that is heavy for its bytes is not drawn together into a few tasks."""
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """df dealt by its key (seq_id) over all cores: work that is heavy for its bytes is not drawn together into a few tasks."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *(key or ("seq_id",)))
 
 
 def whole():
