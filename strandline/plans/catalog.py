@@ -196,7 +196,7 @@ def shape_ctx_inliers(s, d):
 @query
 def shape_ctx_135(s, d):
     t = traj(s, d)
-    return pairwise.shape_context_marginals(pairwise.shape_histogram(t, pairwise.mean_distance(t)))
+    return pairwise.shape_marginals(t, pairwise.mean_distance(t))
 
 
 # geometry

@@ -45,3 +45,12 @@ def test_histograms_leave_their_task_whole(walks, monkeypatch, batches, size):
     code = ((F.col("radius") - 1) * 9 + F.col("alpha") - 1) * 18 + F.col("theta") - 1
     rows = pairwise.shape_rows(walks, mean).select("seq_id", "t", F.inline(F.arrays_zip("code", "cnt")))
     assert plain(rows.select("seq_id", "t", "code", "cnt")) == plain(want.select("seq_id", "t", code.alias("code"), "cnt"))
+
+
+@pytest.mark.parametrize("size", [5, 256])
+def test_marginals_are_counted_in_the_tasks(walks, monkeypatch, batches, size):
+    monkeypatch.setattr(pairwise, "TILE", size)
+    mean = walks.select("seq_id").distinct().withColumn("mean_dist", F.lit(2.3017))
+    got = pairwise.shape_marginals(walks, mean)
+    assert not {"Aggregate", "Expand"} & set(after_python(got).split())
+    assert plain(got) == plain(pairwise.shape_context_marginals(pairwise.shape_bins(walks, mean)))
