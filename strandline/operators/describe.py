@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.operators import encoding, integral, pairwise, segmentation, sequence
 
@@ -28,18 +31,27 @@ def describe(df: DataFrame, method: str) -> DataFrame:
             return integral.similarity_gradients(s).select("seq_id", "t", F.col("hog").alias("d"))
         return s.groupBy("seq_id", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "s"))), lambda x: x["s"]).alias("d"))
     elif method == "shape":
-        m = _shape(df).groupBy("seq_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("i", "cnt"))).alias("m"))
-        d = m.select("seq_id", "t", F.transform(F.sequence(F.lit(0), F.lit(809)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double")).alias("d"))
+        return _dense(sequence.trim(pairwise.shape_rows(df, pairwise.mean_distance(df))), 810)
     else:
         raise ValueError(f"method is one of {', '.join(METHODS)}")
     return sequence.trim(d)
 
 
-def _shape(df: DataFrame) -> DataFrame:
-    """Shape contexts in long form: (seq_id, t, i, cnt), i the place of a bin among the 810."""
-    b = pairwise.shape_histogram(df, pairwise.mean_distance(df))
-    i = ((F.col("radius") - 1) * 9 + F.col("alpha") - 1) * 18 + F.col("theta") - 1
-    return b.select("seq_id", "t", i.cast("int").alias("i"), "cnt")
+def _dense(rows: DataFrame, size: int) -> DataFrame:
+    """(seq_id, t, code array, cnt array) -> (seq_id, t, d), of ``size`` numbers."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                code, cnt = part.column("code"), part.column("cnt")
+                many = np.diff(code.offsets.to_numpy())
+                d = np.zeros((part.num_rows, size))
+                d[np.repeat(np.arange(len(d)), many), code.flatten().to_numpy()] = cnt.flatten().to_numpy()
+                at = pa.array(np.arange(len(d) + 1, dtype=np.int32) * size)
+                yield pa.RecordBatch.from_arrays([part.column("seq_id"), part.column("t"), pa.ListArray.from_arrays(at, pa.array(d.ravel()))], ["seq_id", "t", "d"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["seq_id"], rows.schema["t"], T.StructField("d", T.ArrayType(T.DoubleType()))]))
 
 
 def two_hands(left: DataFrame, right: DataFrame, method: str) -> DataFrame:
@@ -49,12 +61,59 @@ def two_hands(left: DataFrame, right: DataFrame, method: str) -> DataFrame:
 
 
 def shape_pyramid(df: DataFrame, guard: bool = False) -> DataFrame:
-    """Summed shape contexts of every pyramid bin, in long form, and the sequence's unit length; without guard a zero vector is null."""
-    h = _shape(df)
-    bins = encoding.pyramid(sequence.trim(h.select("seq_id", "t").distinct()))
-    c = h.join(bins, ["seq_id", "t"]).groupBy("seq_id", "level", "bin", "i").agg(F.sum("cnt").cast("double").alias("val"))
-    size = F.sqrt(F.sum(F.col("val") * F.col("val")).over(W.partitionBy("seq_id")))
-    return c.withColumn("val", F.when(size > 0, F.col("val") / size).otherwise(F.col("val") if guard else F.lit(None)))
+    """Summed shape contexts of every pyramid bin, in long form, and the sequence's unit length. Only bins that are not empty have rows, so no length is
+    zero, with ``guard`` or without.
+
+    Frames come with all their bins in a row, are sorted by sequence, and are added up as they pass: no bin is shuffled or joined.
+    """
+    size, levels = 810, encoding.LEVELS
+    rows = sequence.trim(pairwise.shape_rows(df, pairwise.mean_distance(df))).withColumn("_n", F.count("*").over(sequence.whole()))
+
+    def sums(seq: np.ndarray, t: np.ndarray, n: np.ndarray, part: pa.RecordBatch, more: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """(seq, level, bin, code, cnt) of the rows and of ``more``, added up and in order; seq numbers the sequences from 0."""
+        many = np.diff(part.column("code").offsets.to_numpy())
+        code, cnt = part.column("code").flatten().to_numpy(), part.column("cnt").flatten().to_numpy()
+        each = [(np.repeat(seq, many), np.repeat(np.full(len(t), p), many), np.repeat(np.ceil(t / (n / p)).astype(np.int64), many), code, cnt) for p in levels]
+        seq, level, bin_, code, cnt = (np.concatenate(v) for v in zip(*each, more, strict=True))
+        place, width = np.unique((level << 40) + bin_, return_inverse=True)
+        total = np.bincount((seq * len(place) + width) * size + code, weights=cnt)
+        full = np.flatnonzero(total)
+        at = place[full // size % len(place)]
+        return full // (size * len(place)), at >> 40, at & ((1 << 40) - 1), full % size, total[full]
+
+    def run(batches):
+        none = tuple(np.zeros(0, np.int64) for _ in range(5))
+        key, left = None, none
+
+        def out(ids, seq, level, bin_, code, val):
+            square = np.bincount(seq, weights=val * val)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                val = val / np.sqrt(square)[seq]
+            ids = pa.array(ids, kind).take(pa.array(seq))
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(v.astype(np.int32)) for v in (level, bin_, code)), pa.array(val)], ["seq_id", "level", "bin", "i", "val"])
+
+        for b in batches:
+            kind = b.column("seq_id").type
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                ids = part.column("seq_id").to_pylist()
+                new = np.array([i > 0 and ids[i] != ids[i - 1] for i in range(len(ids))])
+                seq = np.cumsum(new)
+                firsts = [ids[0], *(ids[i] for i in np.flatnonzero(new))]
+                if len(left[0]) and key != ids[0]:
+                    yield out([key], *left)
+                    left = none
+                got = sums(seq, part.column("t").to_numpy(), part.column("_n").to_numpy(), part, left)
+                # the last sequence may go on
+                key, last = ids[-1], got[0] == seq[-1]
+                left = (np.zeros(last.sum(), np.int64), *(v[last] for v in got[1:]))
+                if not last.all():
+                    yield out(firsts, *(v[~last] for v in got))
+        if len(left[0]):
+            yield out([key], *left)
+
+    rows = rows.sortWithinPartitions("seq_id")
+    return rows.mapInArrow(run, T.StructType([rows.schema["seq_id"], *(T.StructField(c, T.IntegerType()) for c in ("level", "bin", "i")), T.StructField("val", T.DoubleType())]))
 
 
 def velocity_pyramid(df: DataFrame, ends: int = 0) -> DataFrame:

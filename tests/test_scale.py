@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.operators import pairwise
+from strandline.operators import describe, encoding, pairwise, sequence
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,27 @@ def test_marginals_are_counted_in_the_tasks(walks, monkeypatch, batches, size):
     got = pairwise.shape_marginals(walks, mean)
     assert not {"Aggregate", "Expand"} & set(after_python(got).split())
     assert plain(got) == plain(pairwise.shape_context_marginals(pairwise.shape_bins(walks, mean)))
+
+
+def _cells(walks):
+    b = pairwise.shape_histogram(walks, pairwise.mean_distance(walks))
+    i = ((F.col("radius") - 1) * 9 + F.col("alpha") - 1) * 18 + F.col("theta") - 1
+    return b.select("seq_id", "t", i.cast("int").alias("i"), "cnt")
+
+
+def test_dense_shapes_are_filled_by_place(walks, batches):
+    got = describe.describe(walks, "shape")
+    assert "Aggregate" not in after_python(got) and "element_at" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.filter(F.size("d") != 810).isEmpty()
+    inner = sequence.trim(_cells(walks).select("seq_id", "t").distinct())
+    want = _cells(walks).join(inner, ["seq_id", "t"]).select("seq_id", "t", "i", F.col("cnt").cast("double").alias("v"))
+    assert plain(got.select("seq_id", "t", F.posexplode("d").alias("i", "v")).filter("v <> 0")) == plain(want)
+
+
+def test_shape_pyramid_joins_no_bins(walks, batches):
+    got = describe.shape_pyramid(walks)
+    assert not {"Join", "Aggregate", "Window"} & set(after_python(got).split())
+    bins = encoding.pyramid(sequence.trim(_cells(walks).select("seq_id", "t").distinct()))
+    c = _cells(walks).join(bins, ["seq_id", "t"]).groupBy("seq_id", "level", "bin", "i").agg(F.sum("cnt").cast("double").alias("val"))
+    want = c.withColumn("val", F.col("val") / F.sqrt(F.sum(F.col("val") * F.col("val")).over(W.partitionBy("seq_id"))))
+    assert plain(got, "val") == plain(want, "val")
