@@ -68,10 +68,12 @@ def stratified_sample(df: DataFrame, total: int, sequences: int | None = None, a
 
 def fill_to_quota(df: DataFrame, total: int, *names: str, most: int = 20) -> DataFrame:
     """Samples without zero rows until there are total rows; stops with an error after ``most`` passes."""
-    total = max(total, df.select("seq_id").distinct().count())  # a row a sequence at least
+    sequences = df.select("seq_id").distinct().count()
+    total = max(total, sequences)  # a row a sequence at least
     out, have = None, 0
     for k in range(most):
-        batch = drop_zero(stratified_sample(df, total, a=7919 + 2 * k), *names)
+        # a pass is worked out once: it is counted, and read by all that learns from it, as it was written
+        batch = stored(drop_zero(stratified_sample(df, total, sequences, a=7919 + 2 * k), *names), "sample")
         got = batch.count()
         out, have = batch if out is None else out.unionByName(batch), have + got
         if have >= total:
@@ -195,22 +197,68 @@ def em_step(df: DataFrame, names: list[str], gmm: Mixture, floor: float = 1e-6)
     return s.select("k", (F.col("q") / F.sum("q").over(W.partitionBy())).alias("prior"), *((mean[j] + z[j] * F.sqrt(var[j])).alias(f"mean{j}") for j in range(len(names))), *(F.greatest((square[j] - z[j] * z[j]) * var[j], F.lit(floor)).alias(f"var{j}") for j in range(len(names))), "ll")
 
 
+#: Rows a block of packed rows.
+BLOCK = 8192
+
+
+def _blocks(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows as blocks of up to BLOCK: (rows binary), float64, a row after the other; a pass over them converts none."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(_matrix(b.slice(lo, BLOCK), names)).tobytes()], pa.binary())], ["rows"])
+
+    return df.select(*names).mapInArrow(run, "rows binary")
+
+
+def _block_step(blocks: DataFrame, dims: int, gmm: Mixture, floor: float) -> tuple[Mixture, float]:
+    """em_step on blocks, the same sums: one row of numbers a task, added by place. Components without rows go."""
+    k = len(gmm)
+
+    def run(batches):
+        mean, dev = np.array([m for _, m, _ in gmm], float), np.sqrt(np.array([v for _, _, v in gmm], float))
+        total = np.zeros(1 + k + 2 * k * dims)
+        for b in batches:
+            for rows in b.column("rows"):
+                block = np.frombuffer(rows.as_buffer(), float).reshape(-1, dims)
+                for lo in range(0, len(block), 2048):
+                    x = block[lo : lo + 2048]
+                    q, ll = _posteriors(x, gmm)
+                    z = [(x[:, j : j + 1] - mean[:, j]) / dev[:, j] for j in range(dims)]
+                    total += np.concatenate([[ll.sum()], q.sum(0), *((q * v).sum(0) for v in z), *((q * v * v).sum(0) for v in z)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    got = blocks.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(1 + k + 2 * k * dims)
+    total[[r["i"] for r in got]] = [r["v"] for r in got]
+    q, (u, v) = total[1 : 1 + k], total[1 + k :].reshape(2, dims, k)
+    out = []
+    for c in np.flatnonzero(q != 0):
+        m, var, z = gmm[c][1], gmm[c][2], u[:, c] / q[c]
+        out.append((max(float(q[c] / q.sum()), 1e-12), [float(m[j] + z[j] * math.sqrt(var[j])) for j in range(dims)], [max(float((v[j, c] / q[c] - z[j] * z[j]) * var[j]), floor) for j in range(dims)]))
+    return out, float(total[0])
+
+
 def fit_gmm(df: DataFrame, names: list[str], k: int, iterations: int = 100, seed: int = 240925, tol: float = 1e-6, floor: float = 1e-6) -> tuple[Mixture, list[float]]:
-    """Diagonal mixture by EM: components and the log-likelihood of each round. Only k rows of sums reach the driver."""
-    df, history = df.select(*names).persist(), []
+    """Diagonal mixture by EM: components and the log-likelihood of each round. The rows are worked out once, to blocks; a round is one
+    pass over these, and only k rows of sums reach the driver.
+    """
+    history: list[float] = []
+    rows = stored(df.select(*names), "mixture-rows")
+    blocks = _blocks(rows, names).persist()
     try:
-        start = df.distinct().orderBy(F.xxhash64(F.lit(seed), *names), *names).limit(k).collect()
-        var = df.agg(*(F.var_pop(c).alias(c) for c in names)).first()
+        start = rows.distinct().orderBy(F.xxhash64(F.lit(seed), *names), *names).limit(k).collect()
+        var = rows.agg(*(F.var_pop(c).alias(c) for c in names)).first()
         spread = [max(var[c] or 0.0, floor) for c in names]
         gmm = [(1 / len(start), [float(r[c]) for c in names], list(spread)) for r in start]
         for _ in range(iterations):
-            rows = em_step(df, names, gmm, floor).collect()
-            history.append(rows[0]["ll"])
-            gmm = [(max(r["prior"], 1e-12), [r[f"mean{j}"] for j in range(len(names))], [r[f"var{j}"] for j in range(len(names))]) for r in sorted(rows, key=lambda r: r["k"]) if r["mean0"] is not None]
+            gmm, ll = _block_step(blocks, len(names), gmm, floor)
+            history.append(ll)
             if len(history) > 1 and abs(history[-1] - history[-2]) <= tol * abs(history[-2]):
                 break
     finally:
-        df.unpersist()
+        blocks.unpersist()
     return gmm, history
 
 
@@ -266,7 +314,7 @@ def encode(df: DataFrame, names: list[str], k: int = 4, samples: int = 2000, par
     A mixture that is given is not fitted again. With ``ratio`` the columns are projected on the principal directions that
     hold that share of the variance.
     """
-    sample = None
+    sample, df = None, df.select("seq_id", "t", *names)
     if ratio is not None:
         sample = fill_to_quota(df, samples, *names)
         directions = pca(sample, names, ratio)
@@ -276,40 +324,100 @@ def encode(df: DataFrame, names: list[str], k: int = 4, samples: int = 2000, par
         df, sample, names = project(df, names, directions), project(sample, names, directions), new
     if gmm is None:
         gmm, _ = fit_gmm(sample if sample is not None else fill_to_quota(df, samples, *names), names, k, iterations)
+    return _stretch_codes(df, names, gmm, parts, levels)
+
+
+#: Numbers of sums that a task holds at once, about.
+SUMS = 1 << 22
+
+
+def _stretch_codes(df: DataFrame, names: list[str], gmm: Mixture, parts: int, levels: tuple[int, ...]) -> DataFrame:
+    """(seq_id, code): fisher_pyramid of every stretch, laid out as encode says, of unit length a stretch.
+
+    Frames are dealt by sequence and sorted, once; a task adds up a sequence's bins as its frames pass, so only frames are shuffled and only
+    whole codes leave. Of a sequence that is longer than a batch it holds the sums.
+    """
     n = F.floor(F.count("*").over(whole()) / parts)
-    d = df.withColumn("_len", n).withColumn("part_no", F.ceil(F.col("t") / F.col("_len"))).filter(F.col("part_no") <= parts)
-    d = d.withColumn("t", F.col("t") - (F.col("part_no") - 1) * F.col("_len")).withColumn("whole", F.col("seq_id")).withColumn("seq_id", F.struct("whole", "part_no"))
-    f = fisher_pyramid(d, names, gmm, levels)
+    d = df.select("seq_id", "t", *names).withColumn("_len", n).filter((F.col("_len") > 0) & F.col(names[-1]).isNotNull() & ~F.isnan(names[-1]))
+    d = d.withColumn("part_no", F.ceil(F.col("t") / F.col("_len"))).filter(F.col("part_no") <= parts)
+    d = d.withColumn("_n", F.count("*").over(W.partitionBy("seq_id", "part_no")))
+    d = d.select("seq_id", "part_no", (F.col("t") - (F.col("part_no") - 1) * F.col("_len")).alias("t"), "_n", *names).sortWithinPartitions("seq_id")
+    k, dims, bins = len(gmm), len(names), sum(levels)
     first = dict(zip(levels, np.cumsum([0, *levels[:-1]]).tolist(), strict=True))
-    at = F.col("bin") - 1
-    for p in levels:
-        at = F.when(F.col("level") == p, F.col("bin") - 1 + first[p]).otherwise(at)
-    width = 2 * len(gmm) * len(names)
-    index = (F.col("seq_id.part_no") - 1) * (sum(levels) * width) + at * width + F.when(F.col("part") == "v", len(gmm) * len(names)).otherwise(0) + F.col("k") * len(names) + F.col("d")
-    return _codes(f.select(F.col("seq_id.whole").alias("seq_id"), index.cast("long").alias("i"), "val"), parts * sum(levels) * width)
+    width = 1 + k * (1 + 2 * dims)  # of a bin: rows, and of each component the sums of q, q z and q z^2
+
+    def sums(b: pa.RecordBatch, seq: np.ndarray, many: int) -> np.ndarray:
+        """(sequences, parts * bins, width)"""
+        x, t, n = _matrix(b, names), b.column("t").to_numpy(), b.column("_n").to_numpy()
+        part = b.column("part_no").to_numpy().astype(np.int64) - 1
+        q, _ = _posteriors(x, gmm)
+        q[q < 1e-6] = 0.0
+        cells = np.empty((len(x), width))
+        cells[:, 0], cells[:, 1 : 1 + k] = 1.0, q
+        for j in range(dims):
+            z = (x[:, j : j + 1] - np.array([m[j] for _, m, _ in gmm])) / np.sqrt([v[j] for _, _, v in gmm])
+            cells[:, 1 + k + 2 * j * k : 1 + k + (2 * j + 1) * k] = q * z
+            cells[:, 1 + k + (2 * j + 1) * k : 1 + k + (2 * j + 2) * k] = q * z * z
+        out = np.zeros((many * parts * bins, width))
+        for p in levels:
+            # a frame beyond the last bin, as missing ones leave, belongs to it
+            place = (seq * parts + part) * bins + first[p] + np.minimum(np.ceil(t / (n / p)).astype(np.int64), p) - 1
+            order = np.argsort(place, kind="stable")
+            full, start = np.unique(place[order], return_index=True)
+            out[full] += np.add.reduceat(cells[order], start)
+        return out.reshape(many, parts * bins, width)
+
+    def codes(s: np.ndarray) -> np.ndarray:
+        w, count, q = np.array([p for p, _, _ in gmm]), s[..., 0], s[..., 1 : 1 + k]
+        uv = s[..., 1 + k :].reshape(*s.shape[:2], dims, 2, k)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            u = uv[..., 0, :] / (count[..., None, None] * np.sqrt(w))
+            v = (uv[..., 1, :] - q[..., None, :]) / (count[..., None, None] * np.sqrt(2 * w))
+        val = np.stack([u, v], axis=2).swapaxes(3, 4).reshape(*s.shape[:2], -1)
+        val = np.where(count[..., None] > 0, np.sign(val) * np.sqrt(np.abs(val)), 0.0)
+        val /= np.maximum(np.sqrt((val * val).sum(2, keepdims=True)), 1e-12)
+        val = val.reshape(len(s), parts, -1)
+        size = np.sqrt((val * val).sum(2, keepdims=True))
+        return np.divide(val, size, out=np.zeros_like(val), where=size > 0).reshape(len(s), -1)
 
+    def run(batches):
+        key, left, kind = None, None, None
+        step = max(64, min(4096, SUMS // (parts * bins * width)))
 
-def _codes(cells: DataFrame, size: int) -> DataFrame:
-    """(seq_id, i, val) -> one array of ``size`` numbers a sequence."""
+        def out(ids, s):
+            for lo in range(0, len(ids), 256):
+                c = codes(s[lo : lo + 256])
+                at = pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 256], kind), pa.ListArray.from_arrays(at, pa.array(c.ravel()))], ["seq_id", "code"])
 
-    def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part, out = b.slice(lo, 256), []
-                for cell in part.column("c"):
-                    v = np.zeros(size)
-                    v[cell.values.field("i").to_numpy()] = cell.values.field("val").to_numpy(zero_copy_only=False)
-                    out.append(v)
-                yield pa.RecordBatch.from_arrays([part.column("seq_id"), pa.array(out, pa.list_(pa.float64()))], ["seq_id", "code"])
-
-    rows = cells.groupBy("seq_id").agg(F.collect_list(F.struct("i", "val")).alias("c"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["seq_id"], T.StructField("code", T.ArrayType(T.DoubleType()))]))
+            kind = b.column("seq_id").type
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                ids = part.column("seq_id").to_pylist()
+                new = np.array([i > 0 and ids[i] != ids[i - 1] for i in range(len(ids))])
+                seq, firsts = np.cumsum(new), [ids[0], *(ids[i] for i in np.flatnonzero(new))]
+                got = sums(part, seq, len(firsts))
+                if left is not None and key == ids[0]:
+                    got[0] += left
+                elif left is not None:
+                    yield from out([key], left[None])
+                # the last sequence may go on
+                key, left = ids[-1], got[-1].copy()
+                yield from out(firsts[:-1], got[:-1])
+        if left is not None:
+            yield from out([key], left[None])
+
+    return d.mapInArrow(run, T.StructType([d.schema["seq_id"], T.StructField("code", T.ArrayType(T.DoubleType()))]))
 
 
 def encode_two(a: DataFrame, names_a: list[str], b: DataFrame, names_b: list[str], **settings) -> DataFrame:
-    """Two modalities of the same sequences, each with a mixture of its own, their codes one after the other; and the first's width."""
+    """Two modalities of the same sequences, each with a mixture of its own, their codes one after the other; and the first's width.
+
+    Codes are never broadcast, as they would pass through the driver.
+    """
     one, two = encode(a, names_a, **settings), encode(b, names_b, **settings).withColumnRenamed("code", "_b")
-    return one.join(two, "seq_id").select("seq_id", F.concat("code", "_b").alias("code"), F.size("code").alias("width"))
+    return one.hint("merge").join(two.hint("merge"), "seq_id").select("seq_id", F.concat("code", "_b").alias("code"), F.size("code").alias("width"))
 
 
 def write_batches(codes: DataFrame, path: str, size: int = 256) -> DataFrame:

@@ -79,3 +79,47 @@ def test_shape_pyramid_joins_no_bins(walks, batches):
     c = _cells(walks).join(bins, ["seq_id", "t"]).groupBy("seq_id", "level", "bin", "i").agg(F.sum("cnt").cast("double").alias("val"))
     want = c.withColumn("val", F.col("val") / F.sqrt(F.sum(F.col("val") * F.col("val")).over(W.partitionBy("seq_id"))))
     assert plain(got, "val") == plain(want, "val")
+
+
+MIXTURE = [(0.4, [0.5, -0.5, 0.0], [1.0, 2.0, 0.5]), (0.6, [-1.0, 1.0, 0.3], [0.7, 1.5, 3.0])]
+
+
+def test_codes_leave_their_task_whole(walks, batches):
+    d = sequence.drop_missing(walks).filter("seq_id <> 4")
+    got = encoding.encode(d, ["x", "y", "z"], gmm=MIXTURE)
+    assert not {"Aggregate", "Window", "Generate", "Join"} & set(after_python(got).split())
+    n = F.floor(F.count("*").over(W.partitionBy("seq_id")) / 2)
+    for part in (1, 2):
+        p = d.withColumn("_len", n).filter(F.ceil(F.col("t") / F.col("_len")) == part).withColumn("t", F.col("t") - (part - 1) * F.col("_len")).drop("_len")
+        f = encoding.fisher_pyramid(p, ["x", "y", "z"], MIXTURE)
+        at = (part - 1) * 180 + (F.col("level") - 1 + F.col("bin") - 1) * 12 + F.when(F.col("part") == "v", 6).otherwise(0) + F.col("k") * 3 + F.col("d")
+        want = {(r["seq_id"], r["i"]): r["val"] for r in f.select("seq_id", at.cast("int").alias("i"), "val").collect()}
+        rows = got.collect()
+        assert {r["seq_id"] for r in rows} == {s for s, _ in want} == {1, 2, 3, 7, 8} and len(rows) == 5
+        for r in rows:
+            assert len(r["code"]) == 360
+            assert all(abs(r["code"][i] - want.get((r["seq_id"], i), 0.0)) < 1e-9 for i in range((part - 1) * 180, part * 180))
+
+
+def test_sample_is_worked_out_once(walks):
+    d = sequence.drop_missing(walks)
+    s = encoding.fill_to_quota(d, 30, "x", "y", "z")
+    assert "Window" not in s._jdf.queryExecution().optimizedPlan().toString() and s.count() >= 30
+
+
+def test_mixture_by_blocks_is_that_by_rows(walks, monkeypatch):
+    monkeypatch.setattr(encoding, "BLOCK", 7)
+    d, names = sequence.drop_missing(walks), ["x", "y", "z"]
+    gmm, history = encoding.fit_gmm(d, names, 2, iterations=1)
+    again, longer = encoding.fit_gmm(d, names, 2, iterations=2)
+    step = encoding.em_step(d, names, gmm).orderBy("k").collect()
+    assert len(history) == 1 and len(longer) == 2 and abs(step[0]["ll"] - longer[1]) < 1e-8
+    for r, (prior, mean, var) in zip(step, again, strict=True):
+        assert abs(r["prior"] - prior) < 1e-9
+        assert all(abs(r[f"mean{j}"] - mean[j]) < 1e-9 and abs(r[f"var{j}"] - var[j]) < 1e-9 for j in range(3))
+
+
+def test_codes_of_two_modalities_are_not_broadcast(walks):
+    d = sequence.drop_missing(walks)
+    two = encoding.encode_two(d, ["x", "y", "z"], d, ["x", "y", "z"], gmm=MIXTURE)
+    assert "Broadcast" not in two._jdf.queryExecution().executedPlan().toString()
