@@ -26,9 +26,10 @@ def describe(df: DataFrame, method: str) -> DataFrame:
     elif method == "velocity":
         d = sequence.square_root_velocity(df).select("seq_id", "t", F.array("sx", "sy", "sz").alias("d"))
     elif method in ("similarity", "similarity_gradients"):
-        s = pairwise.self_similarity(sequence.patches(df, 2, *sequence.XYZ))
+        p = sequence.patches(df, 2, *sequence.XYZ)
         if method == "similarity_gradients":
-            return integral.similarity_gradients(s).select("seq_id", "t", F.col("hog").alias("d"))
+            return integral.path_gradients(p).select("seq_id", "t", F.col("hog").alias("d"))
+        s = pairwise.self_similarity(p)
         return s.groupBy("seq_id", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "s"))), lambda x: x["s"]).alias("d"))
     elif method == "shape":
         return _dense(sequence.trim(pairwise.shape_rows(df, pairwise.mean_distance(df))), 810)

@@ -287,7 +287,7 @@ def integral_inv(s, d):
 
 @query
 def ssm_hog(s, d):
-    h = integral.similarity_gradients(pairwise.self_similarity(sequence.patches(traj(s, d), 2, *XYZ)))
+    h = integral.path_gradients(sequence.patches(traj(s, d), 2, *XYZ))
     return rounded(h.select("seq_id", "t", F.posexplode("hog").alias("i", "v")), 4, "v").filter("v <> 0")
 
 

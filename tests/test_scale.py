@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.operators import describe, encoding, pairwise, sequence
+from strandline.operators import describe, encoding, integral, pairwise, sequence
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +124,16 @@ def test_codes_of_two_modalities_are_not_broadcast(walks):
     d = sequence.drop_missing(walks)
     two = encoding.encode_two(d, ["x", "y", "z"], d, ["x", "y", "z"], gmm=MIXTURE)
     assert "Broadcast" not in two._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gradients_hold_squares_along_the_diagonal(walks, batches):
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(150, 15)).cumsum(0)
+    a = integral._gaps(p, p)
+    want = integral.polar_gradients(np.floor(a / a.max() * 65535))
+    assert all(np.allclose(integral.patch_gradients(p, block=b), want, atol=1e-9) for b in (16, 64, 149, 256))
+    patches = sequence.patches(sequence.drop_missing(walks), 2, "x", "y", "z")
+    got = integral.path_gradients(patches)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    cells = lambda df: df.select("seq_id", "t", F.posexplode("hog").alias("i", "v"))
+    assert plain(cells(got), "v") == plain(cells(integral.similarity_gradients(pairwise.self_similarity(patches))), "v")
