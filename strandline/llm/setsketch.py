@@ -42,6 +42,7 @@ SHINGLE = 5
 M, MISS = 128, 5e-7
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 THRESHOLD = 0.85
+STEP = 2  #: steps of sizes to a doubling, see _least_shared
 _MULT = mix64(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _POS = mix64(np.arange(100, 100 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -200,13 +201,40 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.select(*key).distinct().join(old, ["a", "b"], "left_anti").withColumn("whole", F.lit(False))
 
 
+def _least_shared(kind: DataFrame, limit: Limit) -> DataFrame:
+    """(a, removed, added, need): no fewer than ``need`` additions are shared with any member of the family that may be a link; kinds without
+    such a member are left out. kind: distinct (a, size, removed, added).
+
+    Kinds are not paired. Of two with removals r <= r2 the number rises with U added2 + I r2, of two with r >= r2 with U (added2 - r2); both
+    are least over a range of removals, which a window in their order gives. As no more than added2 can be shared, this is done apart for every
+    STEP of sizes of added2: a kind has a row a step, whatever the family's size. Within a step added2 stands for the step's largest, so ``need`` may be
+    lower than over all pairs of kinds, never higher.
+    """
+    i, u = limit.inter, limit.union
+    some = kind.filter("added > 0").withColumn("step", F.floor(F.log2("added") * STEP))
+    own = some.groupBy("a", "step", "removed").agg(F.min("added").alias("low"), F.max("added").alias("top"))
+    own = own.select("a", "step", "removed", (u * F.col("low") + i * F.col("removed")).alias("up"), (u * (F.col("low") - F.col("removed"))).alias("down"), "top")
+    ask = some.withColumn("steps", F.collect_set("step").over(W.partitionBy("a"))).withColumn("step", F.explode("steps")).drop("steps")
+    every = own.unionByName(ask, allowMissingColumns=True)
+    w = W.partitionBy("a", "step")
+    to = w.orderBy("removed")
+    every = every.select(
+        "a",
+        "size",
+        "removed",
+        "added",
+        F.min("up").over(to.rangeBetween(W.currentRow, W.unboundedFollowing)).alias("up"),
+        F.min("down").over(to.rangeBetween(W.unboundedPreceding, W.currentRow)).alias("down"),
+        F.max("top").over(w).alias("top"),
+    ).filter("added is not null")
+    least = F.least(u * (F.col("size") - F.col("removed") + F.col("added")) - i * F.col("size") + F.col("up"), u * (F.col("size") + F.col("added")) - i * (F.col("size") - F.col("removed")) + F.col("down"))
+    need = F.greatest(F.ceil(least / F.lit(float(i + u)) - 1e-9), F.lit(1))
+    return every.select("a", "removed", "added", "top", need.alias("need")).filter(F.col("need") <= F.least("added", "top")).groupBy("a", "removed", "added").agg(F.min("need").alias("need"))
+
+
 def _meeting(family: DataFrame, limit: Limit) -> DataFrame:
     """Pairs (x, y) of a family, in different components, that may share enough additions to be a link."""
-    kind = family.select("a", "size", "removed", "added").distinct()
-    other = kind.select("a", F.col("removed").alias("r2"), F.col("added").alias("a2"))
-    least = F.ceil((limit.union * (F.col("size") - F.least("removed", "r2") + F.col("added") + F.col("a2")) - limit.inter * (F.col("size") - F.greatest("removed", "r2"))) / F.lit(float(limit.inter + limit.union)) - 1e-9)
-    need = kind.join(other, "a").select("a", "removed", "added", "a2", F.greatest(least, F.lit(1)).alias("need")).filter(F.col("need") <= F.least("added", "a2"))
-    need = need.groupBy("a", "removed", "added").agg(F.min("need").alias("need"))
+    need = _least_shared(family.select("a", "size", "removed", "added").distinct(), limit)
     by = family.join(need, ["a", "removed", "added"]).select("a", "x", "component", "main", "need", F.explode("additions").alias("h"))
     often = by.groupBy("a", "h").agg(F.count("*").alias("times")).filter("times > 1")
     w = W.partitionBy("a", "x")

@@ -155,6 +155,36 @@ def test_family_of_edited_copies(spark):
     assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(d).collect()} == {k: find(k) for k in range(len(texts))}
 
 
+def _kind_rows(rng, a, size, n):
+    return [(a, size, r, s) for r, s in {(rng.randrange(size // 4), rng.choice((0, rng.randrange(8), rng.randrange(size // 3)))) for _ in range(n)}]
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_counts_of_a_family_are_not_paired(spark, threshold):
+    limit, rng = setsketch.Limit(threshold), random.Random(4)
+    rows = [x for a, size, n in ((1, 400, 150), (2, 60, 30), (3, 5, 4), (4, 9000, 90)) for x in _kind_rows(rng, a, size, n)] + [(5, 300, 0, 40)]
+    kind = spark.createDataFrame(rows, "a long, size long, removed long, added long")
+    got = setsketch._least_shared(kind, limit)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    need = {(x.a, x.removed, x.added): x.need for x in got.collect()}
+    tight = {}
+    for a, size, r, s in rows:
+        for b, _, r2, s2 in rows:
+            if a == b:
+                k = max(1, -((limit.inter * (size - max(r, r2)) - limit.union * (size - min(r, r2) + s + s2)) // (limit.inter + limit.union)))
+                if k <= min(s, s2):
+                    tight[a, r, s] = min(k, tight.get((a, r, s), k))
+    assert tight and all(need[k] <= v for k, v in tight.items())  # no link is lost
+    # and the bound is of use: few kinds have one far below that of all pairs
+    assert sum(need[k] >= 0.6 * v for k, v in tight.items()) > 0.8 * len(tight) and len(need) < 1.3 * len(tight)
+
+
+def test_families_meet_without_a_join_of_their_counts(spark):
+    family = spark.createDataFrame([(1, 2, 2, 1, 9, 3, 100, [1, 2, 3]), (1, 3, 3, 1, 9, 3, 100, [1, 2, 3])], "a long, x long, component long, main long, removed long, added long, size long, additions array<long>")
+    plan = setsketch._meeting(family, setsketch.Limit(0.8))._jdf.queryExecution().optimizedPlan().toString()
+    assert "greatest(" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
 def test_near_duplicates_of_a_lower_threshold(spark):
     """Pairs of Jaccard 0.80 to 0.85, alone and in a family, and the pipeline's stage, which links them."""
     r = random.Random(8)
