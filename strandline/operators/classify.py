@@ -183,12 +183,16 @@ def fit_two(df: DataFrame, first: str, second: str, classes: int, lam1: float, l
     return fit_mixed(both, classes, [np.arange(a), np.arange(a, a + b)], lam1, lam2, **settings)
 
 
+#: Batches whose searches one job takes.
+STEPS = 64
+
+
 def fit_batches(df: DataFrame, classes: int, groups: list[np.ndarray], lam1: float, lam2: float, size: int = 256, epochs: int = 40, seed: int = 1, checkpoint: str | None = None) -> np.ndarray:
     """Mini-batch training: in each epoch every batch of ``size`` rows takes one conjugate-gradient search from the weights so far.
 
-    Rows are numbered in the order of a hash and written once, a folder a batch. A step reads its batch's folder alone and searches in one
-    task, which holds ``size`` rows; the driver holds weights. Full batches follow in an order of the epoch's own, the short one comes
-    last. With ``checkpoint`` the weights are written after each epoch, and a later call goes on from them.
+    Rows are numbered in the order of a hash and written once, a folder a batch. A job reads the folders of the next ``STEPS`` batches and
+    searches on one after the other in a task, which holds their rows; the driver holds weights. Full batches follow in an order of the
+    epoch's own, the short one comes last. With ``checkpoint`` the weights are written after each epoch, and a later call goes on from them.
     """
     spark, first = df.sparkSession, df.select("features").first()
     if first is None:
@@ -202,8 +206,9 @@ def fit_batches(df: DataFrame, classes: int, groups: list[np.ndarray], lam1: flo
     if checkpoint and (kept := load_weights(spark, checkpoint)):
         done, theta = kept
     for epoch in range(done, epochs):
-        for k in [*np.random.default_rng([seed, epoch]).permutation(full).tolist(), *short]:
-            theta = _step(table.filter(F.col("batch") == k).select("features", "label"), theta, groups, lam1, lam2)
+        order = [*np.random.default_rng([seed, epoch]).permutation(full).tolist(), *short]
+        for at in range(0, len(order), STEPS):
+            theta = _steps(table, order[at : at + STEPS], theta, groups, lam1, lam2)
         if checkpoint:
             save_weights(spark, checkpoint, epoch + 1, theta)
     return theta
@@ -222,15 +227,21 @@ def batch_search(x: np.ndarray, label: np.ndarray, theta: np.ndarray, groups: li
     return conjugate_gradient(f, theta.ravel(), 1)[0].reshape(theta.shape)
 
 
-def _step(batch: DataFrame, theta: np.ndarray, groups: list[np.ndarray], lam1: float, lam2: float) -> np.ndarray:
+def _steps(table: DataFrame, order: list[int], theta: np.ndarray, groups: list[np.ndarray], lam1: float, lam2: float) -> np.ndarray:
+    """Weights after a search on each of some batches, in their order."""
+
     def run(batches):
         held = [b for b in batches if b.num_rows]
-        x, y = np.concatenate([_rows(b) for b in held]), np.concatenate([np.asarray(b.column("label")) for b in held])
-        o = np.lexsort((*x.T[::-1], y))  # files come in any order; sums must not
-        new = batch_search(x[o], y[o], theta, groups, lam1, lam2)
+        x, y, k = np.concatenate([_rows(b) for b in held]), *(np.concatenate([np.asarray(b.column(c)) for b in held]) for c in ("label", "batch"))
+        new = theta
+        for own in order:
+            at = np.flatnonzero(k == own)
+            at = at[np.lexsort((*x[at].T[::-1], y[at]))]  # files come in any order; sums must not
+            new = batch_search(x[at], y[at], new, groups, lam1, lam2)
         yield pa.RecordBatch.from_arrays([pa.array([new.tobytes()], pa.binary())], ["w"])
 
-    return np.frombuffer(batch.coalesce(1).mapInArrow(run, "w binary").first()["w"]).reshape(theta.shape)
+    rows = table.filter(F.col("batch").isin(order)).select("features", "label", "batch")
+    return np.frombuffer(rows.coalesce(1).mapInArrow(run, "w binary").first()["w"]).reshape(theta.shape)
 
 
 def save_weights(spark: SparkSession, path: str, rounds: int, theta: np.ndarray) -> None:

@@ -136,3 +136,20 @@ def test_pca_of_many_columns(spark):
     want = {round(r[0], 9): r @ got for r in x}
     assert all(np.allclose(r[1:], want[round(r[0], 9)]) for r in p)
     assert encoding.pca(df.limit(0), names).shape == (80, 0)
+
+
+def test_batches_share_a_job(spark, labelled, monkeypatch):
+    def fit(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            w = classify.fit_batches(labelled, 3, GROUPS, 0.1, 0.1, size=20, epochs=3)
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        return w, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    w, few = fit("batches of a job")
+    monkeypatch.setattr(classify, "STEPS", 1)
+    one, many = fit("a batch a job")
+    assert (w == one).all()
+    # three epochs take a job each, not one a batch
+    assert many - few == 3 * (-(-labelled.count() // 20) - 1)
