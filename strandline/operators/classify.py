@@ -241,7 +241,8 @@ def _steps(table: DataFrame, order: list[int], theta: np.ndarray, groups: list[n
         yield pa.RecordBatch.from_arrays([pa.array([new.tobytes()], pa.binary())], ["w"])
 
     rows = table.filter(F.col("batch").isin(order)).select("features", "label", "batch")
-    return np.frombuffer(rows.coalesce(1).mapInArrow(run, "w binary").first()["w"]).reshape(theta.shape)
+    # collected, not first(): a task that is cut off takes its Python worker with it, and the next job starts one anew
+    return np.frombuffer(rows.coalesce(1).mapInArrow(run, "w binary").collect()[0]["w"]).reshape(theta.shape)
 
 
 def save_weights(spark: SparkSession, path: str, rounds: int, theta: np.ndarray) -> None:
