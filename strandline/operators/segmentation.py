@@ -10,7 +10,6 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -164,16 +163,27 @@ def segments(g: np.ndarray, width: int, recheck: bool = False) -> list[tuple[int
 
 
 def maximal_segments(grid: DataFrame, width: int = 5, recheck: bool = False) -> DataFrame:
-    """(seq_id, t, gx, gy, gz) -> (seq_id, seg_id, b, e, status); a sequence without segments gives one row, status short."""
+    """(seq_id, t, gx, gy, gz) -> (seq_id, seg_id, b, e, status); a sequence without segments gives one row, status short.
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.sort_values("t")[["gx", "gy", "gz"]].dropna().to_numpy(np.int64)
-        s = segments(g, width, recheck)
-        if not s:
-            return pd.DataFrame({"seq_id": [key[0]], "seg_id": [0], "b": [0], "e": [0], "status": ["short"]})
-        return pd.DataFrame({"seq_id": key[0], "seg_id": range(1, len(s) + 1), "b": [x for x, _ in s], "e": [y for _, y in s], "status": "ok"})
+    Sequences come to Python as rows of an Arrow batch, many at a time.
+    """
 
-    return spread(grid).groupBy("seq_id").applyInPandas(run, SEGMENTS)
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                g = part.column("g")
+                ends, flat = np.cumsum(g.value_lengths().to_numpy()), g.flatten()
+                axes = [flat.field(c) for c in ("gx", "gy", "gz")]
+                there = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in axes])
+                points = np.column_stack([c.fill_null(0).to_numpy() for c in axes])
+                found = [segments(points[i:j][there[i:j]], width, recheck) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+                rows = [(k, n, b, e, "ok" if s else "short") for k, s in enumerate(found) for n, (b, e) in enumerate(s or [(0, 0)], 1 if s else 0)]
+                k, n, b, e, status = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("seq_id").take(pa.array(k)), *(pa.array(v, pa.int64()) for v in (n, b, e)), pa.array(status)], ["seq_id", "seg_id", "b", "e", "status"])
+
+    rows = spread(grid).groupBy(F.col("seq_id").cast("long").alias("seq_id")).agg(F.sort_array(F.collect_list(F.struct("t", "gx", "gy", "gz"))).alias("g"))
+    return rows.mapInArrow(run, SEGMENTS)
 
 
 def digital_line(points: list[tuple[int, int]], width: int) -> tuple[int, ...] | None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.operators import describe, encoding, integral, pairwise, sequence
+from strandline.operators import describe, encoding, integral, pairwise, segmentation, sequence
 
 
 @pytest.fixture(scope="module")
@@ -137,3 +137,16 @@ def test_gradients_hold_squares_along_the_diagonal(walks, batches):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     cells = lambda df: df.select("seq_id", "t", F.posexplode("hog").alias("i", "v"))
     assert plain(cells(got), "v") == plain(cells(integral.similarity_gradients(pairwise.self_similarity(patches))), "v")
+
+
+def test_segments_of_many_sequences_come_in_batches(spark, batches):
+    rng = random.Random(3)
+    rows = [(s, t, None if s == 5 or (s + t) % 37 == 0 else rng.randrange(30), rng.randrange(30), rng.randrange(30)) for s in range(1, 301) for t in range(1, 2 + s % 13)]
+    grid = spark.createDataFrame(rows, "seq_id long, t long, gx long, gy long, gz long")
+    got = segmentation.maximal_segments(grid)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for s in range(1, 301):
+        own = segmentation.segments(np.array([r[2:] for r in rows if r[0] == s and r[2] is not None], dtype=np.int64).reshape(-1, 3), 5)
+        want += [(s, k, b, e, "ok") for k, (b, e) in enumerate(own, 1)] or [(s, 0, 0, 0, "short")]
+    assert sorted(map(tuple, got.collect())) == want and {x[4] for x in want} == {"ok", "short"}
