@@ -319,24 +319,32 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("vec", array_to_vector(F.col("features").cast("array<double>"))).withColumn("y", F.col("label").cast("double"))
 
 
+#: Numbers of a pair's rows that are worth a task of their own in a machine's search.
+PART = 1 << 22
+
+
 def fit_pairwise_svm(df: DataFrame, c: float = 1.0, rounds: int = 50, parallel: int = 8) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
-    """A linear hinge machine for each pair of classes; ``parallel`` pairs are fitted at a time, each by jobs of its own."""
+    """A linear hinge machine for each pair of classes; ``parallel`` pairs are fitted at a time, each by jobs of its own.
+
+    Rows are written once, a folder a class, so a pair reads its two classes alone. A search is a hundred short jobs, whose time is that of
+    their tasks' start: its rows are drawn together into one task for every ``PART`` numbers.
+    """
     from pyspark.ml.classification import LinearSVC
 
-    d = _vectors(df).select("vec", "label").persist()
-    try:
-        sizes = {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}
+    d = stored(df.select("features", "label"), "classes", "label")
+    sizes = {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}
+    width = len(d.select("features").first()[0]) if sizes else 0
 
-        def one(pair):
-            a, b = pair
-            two = d.filter(F.col("label").isin(a, b)).withColumn("y", (F.col("label") == a).cast("double"))
-            m = LinearSVC(featuresCol="vec", labelCol="y", maxIter=rounds, standardization=False, regParam=1.0 / (c * (sizes[a] + sizes[b]))).fit(two)
-            return pair, (m.coefficients.toArray(), m.intercept)
+    def one(pair):
+        a, b = pair
+        n = sizes[a] + sizes[b]
+        own = d.filter(F.col("label").isin(a, b)).withColumn("label", (F.col("label") == a).cast("int"))
+        two = _vectors(own.coalesce(n * width // PART + 1)).select("vec", "y")
+        m = LinearSVC(featuresCol="vec", labelCol="y", maxIter=rounds, standardization=False, regParam=1.0 / (c * n)).fit(two)
+        return pair, (m.coefficients.toArray(), m.intercept)
 
-        with ThreadPoolExecutor(parallel) as pool:
-            return dict(pool.map(inheritable_thread_target(df.sparkSession)(one), list(combinations(sorted(sizes), 2))))
-    finally:
-        d.unpersist()
+    with ThreadPoolExecutor(parallel) as pool:
+        return dict(pool.map(inheritable_thread_target(df.sparkSession)(one), list(combinations(sorted(sizes), 2))))
 
 
 def fit_sigmoids(df: DataFrame, machines: dict, rounds: int = 100) -> dict[tuple[int, int], tuple[float, float]]:
@@ -355,13 +363,17 @@ def fit_sigmoids(df: DataFrame, machines: dict, rounds: int = 100) -> dict[tuple
 
         def sums(a, b):
             def f(x, y):
-                own, s = (y[:, None] == first) | (y[:, None] == second), x @ w + w0
-                t = np.where(y[:, None] == first, (n1 + 1) / (n1 + 2), 1 / (n2 + 2))
-                z = a * s + b
-                p = 1 / (1 + np.exp(np.clip(z, -500, 500)))
-                loss = t * z + np.logaddexp(0, -z)
-                q, e = p * (1 - p), t - p
-                return np.concatenate([(own * v).sum(0) for v in (loss, e * s, e, q * s * s, q * s, q)])
+                out = np.zeros((6, len(pairs)))
+                for k in np.unique(y):  # a row counts for the pairs of its class alone
+                    own = np.flatnonzero((first == k) | (second == k))
+                    s = x[y == k] @ w[:, own] + w0[own]
+                    t = np.where(first[own] == k, (n1[own] + 1) / (n1[own] + 2), 1 / (n2[own] + 2))
+                    z = a[own] * s + b[own]
+                    p = 1 / (1 + np.exp(np.clip(z, -500, 500)))
+                    loss = t * z + np.logaddexp(0, -z)
+                    q, e = p * (1 - p), t - p
+                    out[:, own] += [v.sum(0) for v in (loss, e * s, e, q * s * s, q * s, q)]
+                return out.ravel()
 
             return _sums(df, 6 * len(pairs), f).reshape(6, -1)
 
@@ -375,7 +387,8 @@ def fit_sigmoids(df: DataFrame, machines: dict, rounds: int = 100) -> dict[tuple
             step = np.ones(len(pairs))
             for _ in range(20):
                 new = sums(a + step * da, b + step * db)
-                worse = new[0] > loss + 1e-4 * step * (ga * da + gb * db) + 1e-12
+                # near the minimum a step's gain drowns in the rounding of a loss that grows with the rows
+                worse = new[0] > loss + 1e-4 * step * (ga * da + gb * db) + 1e-12 * np.maximum(1.0, np.abs(loss))
                 if not worse.any():
                     break
                 step = np.where(worse, step / 2, step)

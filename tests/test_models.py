@@ -89,3 +89,17 @@ def test_coupled_solves_its_quadratic_programme():
 
 def test_out_of_bag_is_a_share(labelled):
     assert 0.6 < classify.out_of_bag(labelled.withColumn("vec_id", F.xxhash64("features")), trees=5) <= 1.0
+
+
+def test_a_pair_is_fitted_in_few_tasks_on_its_own_rows(spark, labelled, monkeypatch):
+    """A machine's jobs have tasks by the size of its pair, whatever the input's partitions, and the machines are those of the plain fit."""
+    from pyspark.ml.classification import LinearSVC
+
+    seen, fit = [], LinearSVC.fit
+    monkeypatch.setattr(LinearSVC, "fit", lambda self, d: seen.append((d.rdd.getNumPartitions(), d.count())) or fit(self, d))
+    got = classify.fit_pairwise_svm(labelled.repartition(13), rounds=10)
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    assert sorted(seen) == sorted((1, sizes[a] + sizes[b]) for a, b in got)
+    two = classify._vectors(labelled.filter(F.col("label").isin(1, 2)).withColumn("label", (F.col("label") == 1).cast("int"))).coalesce(1)
+    plain = fit(LinearSVC(featuresCol="vec", labelCol="y", maxIter=10, standardization=False, regParam=1.0 / (sizes[1] + sizes[2])), two)
+    assert np.allclose(got[1, 2][0], plain.coefficients.toArray(), atol=1e-6)
