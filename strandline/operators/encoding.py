@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions import vector as V
-from strandline.operators.dictionary import dual_basis, feature_sign
+from strandline.operators.dictionary import by_signs, dual_basis, feature_sign
 from strandline.operators.sequence import whole
 from strandline.session import stored
 
@@ -460,14 +460,15 @@ def sparse_codes(df: DataFrame, names: list[str], basis: np.ndarray, lam: float
     """code: each row's coefficients on the basis' columns; with nearest, only on its k best-matching atoms."""
 
     def run(batches):
-        gram = basis.T @ basis + 2 * beta * np.eye(basis.shape[1])
+        gram, known = basis.T @ basis + 2 * beta * np.eye(basis.shape[1]), []
         for batch in batches:
             inner, on = _matrix(batch, names) @ basis, None
             if nearest:
                 on = np.zeros(inner.shape, bool)
                 np.put_along_axis(on, np.argsort(-inner, axis=1, kind="stable")[:, :nearest], True, 1)
-            codes, _ = feature_sign(gram, -inner, lam, on)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.float64()))], [*batch.schema.names, "code"])
+            codes = by_signs(gram, -inner, lam, known) if on is None else feature_sign(gram, -inner, lam, on)[0]
+            at = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(codes.ravel()))], [*batch.schema.names, "code"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("code", T.ArrayType(T.DoubleType()))]))
 
@@ -506,19 +507,23 @@ def code_gradient(df: DataFrame, names: list[str], basis: np.ndarray, penalty: s
     return d.withColumns({"fit": fit, "cost": cost, "gradient": gradient}).drop("_off")
 
 
-def _code_sums(coded: DataFrame, names: list[str], atoms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """S S', X S', and (|X|^2, |S|_1, |S|^2, rows), added in the tasks and then by place, a number each to the driver."""
+def _code_sums(rows: DataFrame, names: list[str], basis: np.ndarray, lam: float, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """S S', X S', and (|X|^2, |S|_1, |S|^2, rows) for the rows' codes S, which never leave their task; sums are added in the tasks and then by
+    place, a number each to the driver.
+    """
+    atoms = basis.shape[1]
 
     def sums(batches):
+        gram, known = basis.T @ basis + 2 * beta * np.eye(atoms), []
         total = np.zeros(atoms * atoms + len(names) * atoms + 4)
         for b in batches:
             x = _matrix(b, names)
-            s = b.column("code").flatten().to_numpy(zero_copy_only=False).reshape(len(x), atoms)
+            s = by_signs(gram, -(x @ basis), lam, known)
             total += np.concatenate([(s.T @ s).ravel(), (x.T @ s).ravel(), [(x * x).sum(), np.abs(s).sum(), (s * s).sum(), len(x)]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
 
-    got = coded.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    v = np.array([r["v"] for r in got])
+    got = rows.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    v = np.array([r["v"] for r in sorted(got)])
     return v[: atoms * atoms].reshape(atoms, atoms), v[atoms * atoms : -4].reshape(len(names), atoms), v[-4:]
 
 
@@ -531,7 +536,7 @@ def learn_basis(df: DataFrame, names: list[str], atoms: int, lam: float = 0.15,
     basis /= np.linalg.norm(basis, axis=0)
     rows = stored(df.select(*names), "basis-rows")
     for _ in range(rounds):
-        ss, xs, (xx, s1, s2, n) = _code_sums(sparse_codes(rows, names, basis, lam, beta), names, atoms)
+        ss, xs, (xx, s1, s2, n) = _code_sums(rows, names, basis, lam, beta)
         fit = 0.5 * (xx - 2 * (basis * xs).sum() + (basis @ ss * basis).sum())
         basis, gap = dual_basis(ss, xs, basis)
         if history is not None:

@@ -81,3 +81,30 @@ def test_learning_lowers_the_objective(spark):
     values = [h["objective"] for h in seen]
     assert all(q <= p + 1e-9 for p, q in zip(values, values[1:], strict=False)) and values[-1] < 0.85 * values[0]
     assert max(abs(h["gap"]) for h in seen) < 1e-6 and (np.linalg.norm(b, axis=0) <= 1 + 1e-9).all()
+
+
+def test_signs_of_some_rows_serve_all():
+    """Same codes as the search of every row, which few rows need."""
+    rng = np.random.default_rng(4)
+    basis = rng.normal(size=(3, 5))
+    basis /= np.linalg.norm(basis, axis=0)
+    a, b = basis.T @ basis + 2e-4 * np.eye(5), -rng.random((5000, 3)) @ basis
+    b[17] = np.nan
+    want, searched, known = dictionary.feature_sign(a, b, 0.15)[0], [], []
+    find = dictionary.feature_sign
+    dictionary.feature_sign = lambda a, b, *v, **k: searched.append(len(b)) or find(a, b, *v, **k)
+    try:
+        got = np.concatenate([dictionary.by_signs(a, part, 0.15, known) for part in (b[:3000], b[3000:])])
+    finally:
+        dictionary.feature_sign = find
+    assert np.abs(got - want).max() < 1e-9 and sum(searched) < 500
+
+
+def test_codes_stay_in_the_task_that_sums_them(spark, monkeypatch):
+    """A round of the dictionary is one Python step: no code goes out and in again."""
+    steps = []
+    rows = spark.createDataFrame(np.random.default_rng(2).random((50, 2)).tolist(), "a double, b double")
+    real = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *v, **k: steps.append(1) or real(self, *v, **k))
+    encoding.learn_basis(rows, ["a", "b"], 3, rounds=2)
+    assert len(steps) == 2
