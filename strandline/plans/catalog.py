@@ -610,9 +610,9 @@ def user_network_solve(s, d):
     a = own.unionByName(inc.select((F.col("k") + n).alias("i"), F.col("u").alias("j"), "val"))
     x = ndsparse.solve(a, rows.select(F.col("u").alias("i"), "val"))
     # normal equations: x + A'(A x) = b
-    hit = inc.join(x.withColumnRenamed("val", "_x"), F.col("u") == F.col("j")).groupBy("k").agg(F.sum(F.col("val") * F.col("_x")).alias("y"))
+    hit = inc.hint("merge").join(x.withColumnRenamed("val", "_x"), F.col("u") == F.col("j")).groupBy("k").agg(F.sum(F.col("val") * F.col("_x")).alias("y"))
     back = inc.join(hit, "k").groupBy(F.col("u").alias("j")).agg(F.sum(F.col("val") * F.col("y")).alias("z"))
-    off = x.join(back, "j").join(rows.select(F.col("u").alias("j"), F.col("val").alias("b")), "j").select(F.abs(F.col("val") + F.col("z") - F.col("b")).alias("off"))
+    off = x.hint("merge").join(back, "j").hint("merge").join(rows.select(F.col("u").alias("j"), F.col("val").alias("b")), "j").select(F.abs(F.col("val") + F.col("z") - F.col("b")).alias("off"))
     return rounded(off.agg(F.max("off").alias("off"), F.count("*").alias("users")), 5, "off")
 
 

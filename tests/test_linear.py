@@ -1,5 +1,7 @@
 """Sparse systems against numpy."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -76,3 +78,16 @@ def test_many_unknowns_in_few_rounds(spark):
     x = got(ndsparse.solve(a, b, tol=1e-8, rounds=40), n)
     m = 4 * x - np.append(x[1:], 0) - np.append(0, x[:-1])
     assert np.abs(m - np.arange(1, n + 1) % 7).max() < 1e-5
+
+
+def test_no_table_of_the_system_is_broadcast(spark, monkeypatch):
+    """A broadcast goes through the driver; only step sizes, a row a system, may."""
+    from strandline.operators import linear
+
+    plans, kept = [], linear._kept
+    monkeypatch.setattr(linear, "_kept", lambda spark, df, *v: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(spark, df, *v))
+    m = np.eye(4) + 0.1
+    x = got(least_squares(put(spark, m), right(spark, [1.0, 2.0, 3.0, 4.0])), 4)
+    assert np.allclose(m @ x.ravel(), [1, 2, 3, 4])
+    keys = [k for p in plans for k in re.findall(r"BroadcastHashJoin \[(\w+)#", p)]
+    assert plans and all("SortMergeJoin" in p for p in plans[1:2]) and set(keys) <= {"system"}
