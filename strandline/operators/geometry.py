@@ -72,34 +72,56 @@ def key_points(df: DataFrame, segments: DataFrame) -> DataFrame:
     return known.filter("frame and some").select("seq_id", "t", "l", "r")
 
 
-def frames(df: DataFrame, keys: DataFrame) -> DataFrame:
+def _beside(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Frames that have both key points, with them (lx.., rx..) and the sequence's number of rows n.
+
+    A frame asks at its keys' places; points and askers of a sequence are put in one order of places, in which a point answers those beside
+    it, and a frame's point and answers are added up again. All of it is dealt by sequence, so no step but the first deals anew.
+    """
+    none, own = F.lit(None).cast("double"), F.col("t").cast("long")
+    pts = df.select("seq_id", own.alias("at"), F.lit(0).alias("side"), own.alias("t"), *XYZ)
+    asks = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).cast("long").alias("at")) for k, c in enumerate(("l", "r"), 1))))
+    asks = keys.select("seq_id", F.col("t").cast("long").alias("t"), asks.alias("a")).select("seq_id", "a.at", "a.side", "t", *(none.alias(c) for c in XYZ))
+    place = W.partitionBy("seq_id").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
+    point = F.struct("at", *XYZ)
+    every = pts.unionByName(asks).withColumn("_n", F.sum((F.col("side") == 0).cast("long")).over(whole()))
+    every = every.withColumn("_p", F.last(F.when(F.col("side") == 0, point), ignorenulls=True).over(place))
+    every = every.filter(F.col("_p.at") == F.col("at"))
+    named = lambda k, c: F.max(F.when(F.col("side") == k, F.col(f"_p.{c}")))
+    got = every.groupBy("seq_id", "t").agg(F.first("_n").alias("n"), F.count("*").alias("_sides"), *(named(k, c).alias(f"{s}{c}") for k, s in enumerate(("", "l", "r")) for c in XYZ))
+    return got.filter("_sides = 3").drop("_sides")
+
+
+def frames(df: DataFrame, keys: DataFrame, points: bool = False) -> DataFrame:
     """Tangent, normal and binormal of each inner frame from its key points' circumcircle; zero for two rows at
-    either end, and null (status degenerate) where the three points are on a line.
+    either end, and null (status degenerate) where the three points are on a line. With ``points`` the frame's own point comes along.
     """
-    pts = df.select("seq_id", "t", *XYZ)
-    side = lambda k: pts.select("seq_id", F.col("t").alias(k), *(F.col(c).alias(f"{k}{c}") for c in XYZ))
-    d = pts.withColumn("n", F.count("*").over(whole())).join(keys, ["seq_id", "t"]).join(side("l"), ["seq_id", "l"]).join(side("r"), ["seq_id", "r"])
+    d = _beside(df, keys)
     p, q, o = V.cols("lx", "ly", "lz"), V.cols("rx", "ry", "rz"), V.cols(*XYZ)
     step = lambda df, **v: df.select("*", *(c.alias(f"_{n}{x}") for n, e in v.items() for c, x in zip(e, XYZ, strict=True)))
     own = lambda n: V.cols(*(f"_{n}{x}" for x in XYZ))
     # each step names what the next one reads several times
-    d = step(d.select("seq_id", "t", "n", *p, *q, *o), u=V.sub(o, p), w=V.sub(q, p), f=V.sub(q, o))
+    d = step(d, u=V.sub(o, p), w=V.sub(q, p), f=V.sub(q, o))
     d = step(d, c=V.circumcentre([F.lit(0.0)] * 3, own("u"), own("w")), g=V.unit(own("u")), h=V.unit(own("f")))
     d = step(d, i=V.sub(own("c"), own("u")), e=V.cross(own("g"), own("h")))
-    d = d.select("seq_id", "t", "n", *(c.alias(f"a{x}") for c, x in zip(V.unit(own("i")), XYZ, strict=True)), *(c.alias(f"c{x}") for c, x in zip(V.unit(own("e")), XYZ, strict=True)))
+    d = d.select("seq_id", "t", "n", *(c.alias(f"a{x}") for c, x in zip(V.unit(own("i")), XYZ, strict=True)), *(c.alias(f"c{x}") for c, x in zip(V.unit(own("e")), XYZ, strict=True)), *XYZ)
     nrm, bin_ = V.cols("ax", "ay", "az"), V.cols("cx", "cy", "cz")
     inner = (F.col("t") >= 3) & (F.col("t") <= F.col("n") - 2)
     full = [*V.cross(nrm, bin_), *nrm, *bin_]
     bad = inner & full[0].isNull()
-    return d.select("seq_id", "t", *(F.when(inner, c).otherwise(0.0).alias(a) for c, a in zip(full, AXES, strict=True)), F.when(bad, "degenerate").when(inner, "ok").otherwise("border").alias("status"))
+    return d.select("seq_id", "t", *(F.when(inner, c).otherwise(0.0).alias(a) for c, a in zip(full, AXES, strict=True)), F.when(bad, "degenerate").when(inner, "ok").otherwise("border").alias("status"), *(XYZ if points else ()))
 
 
 def rotation_velocity(df: DataFrame, frame: DataFrame) -> DataFrame:
     """Seven numbers a frame: quaternion of the turn to the next frame, and the velocity's square root in it.
 
-    Rows at the ends are trimmed before velocities are taken; degenerate frames give null.
+    Rows at the ends are trimmed before velocities are taken; degenerate frames give null. Frames of every row that bring their points are not
+    joined with them.
     """
-    f = trim(frame.select("seq_id", "t", *AXES)).join(trim(df.select("seq_id", "t", *XYZ)), ["seq_id", "t"])
+    if set(XYZ) <= set(frame.columns):
+        f = trim(frame.select("seq_id", "t", *AXES, *XYZ))
+    else:
+        f = trim(frame.select("seq_id", "t", *AXES)).join(trim(df.select("seq_id", "t", *XYZ)), ["seq_id", "t"])
     f = gradient(f, *XYZ)
     f = f.withColumns({f"_{a}": F.coalesce(F.lead(a).over(order()), F.when(F.lead("t").over(order()).isNull(), F.col(a))) for a in AXES})
     # matrices whose columns are the three axes

@@ -252,7 +252,7 @@ def quat(s, d):
 @query
 def rrv_fixed(s, d):
     t, k = _keys(s, d)
-    return rounded(geometry.rotation_velocity(t, geometry.frames(t, k)), 5, "qw", "qx", "qy", "qz", "ux", "uy", "uz")
+    return rounded(geometry.rotation_velocity(t, geometry.frames(t, k, points=True)), 5, "qw", "qx", "qy", "qz", "ux", "uy", "uz")
 
 
 @query

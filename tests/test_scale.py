@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.operators import describe, encoding, integral, pairwise, segmentation, sequence
+from strandline.operators import describe, encoding, geometry, integral, pairwise, segmentation, sequence
 
 
 @pytest.fixture(scope="module")
@@ -150,3 +150,19 @@ def test_segments_of_many_sequences_come_in_batches(spark, batches):
         own = segmentation.segments(np.array([r[2:] for r in rows if r[0] == s and r[2] is not None], dtype=np.int64).reshape(-1, 3), 5)
         want += [(s, k, b, e, "ok") for k, (b, e) in enumerate(own, 1)] or [(s, 0, 0, 0, "short")]
     assert sorted(map(tuple, got.collect())) == want and {x[4] for x in want} == {"ok", "short"}
+
+
+def test_frames_meet_their_key_points_without_a_join(spark, walks):
+    """Same frames as by joins, of keys that lie anywhere; a frame with a key that is no row is left out."""
+    rng = random.Random(3)
+    last = {r["seq_id"]: r["n"] for r in walks.groupBy("seq_id").agg(F.max("t").alias("n")).collect()}
+    keys = spark.createDataFrame([(s, t, rng.randint(1, n), rng.randint(1, n + 1)) for s, n in last.items() for t in range(1, n + 1)], "seq_id long, t long, l long, r long")
+    side = lambda k: walks.select("seq_id", F.col("t").alias(k), *(F.col(c).alias(f"{k}{c}") for c in "xyz"))
+    want = walks.withColumn("n", F.count("*").over(W.partitionBy("seq_id"))).join(keys, ["seq_id", "t"]).join(side("l"), ["seq_id", "l"]).join(side("r"), ["seq_id", "r"]).drop("l", "r")
+    got = geometry._beside(walks, keys)
+    assert plain(got) == plain(want) and got.count() < keys.count()
+    dealt = sequence.spread(walks)
+    fixed = geometry.key_points(dealt, geometry.fixed_segments(dealt))
+    moved = geometry.rotation_velocity(dealt, geometry.frames(dealt, fixed, points=True))
+    assert "Join" not in moved._jdf.queryExecution().optimizedPlan().toString()
+    assert plain(moved, "qw", "qx", "ux") == plain(geometry.rotation_velocity(dealt, geometry.frames(dealt, fixed)), "qw", "qx", "ux")
