@@ -122,12 +122,22 @@ def velocity_pyramid(df: DataFrame, ends: int = 0) -> DataFrame:
     (seq_id, level, bin, sx, sy, sz).
 
     ``ends`` rows at either end are left out after velocities are taken. A sequence that never moves, or has no row left, is all zeros.
+    Rows are added up once, in the finest bins, and all is dealt by sequence: no row is copied a level, and no bin is joined.
     """
-    s = ["sx", "sy", "sz"]
+    s, finest = ["sx", "sy", "sz"], max(encoding.LEVELS)
     v = sequence.square_root_velocity(sequence.unit_scale(df))
-    if ends:
-        v = sequence.trim(v, ends).withColumn("t", F.col("t") - ends)
-    c = encoding.all_bins(df).join(encoding.pool(v, "sum", *s), ["seq_id", "level", "bin"], "left").fillna(0.0)
+    v = v.withColumn("_all", F.count("*").over(sequence.whole()))
+    v = v.withColumn("_own", (F.col("t") > ends) & (F.col("t") <= F.col("_all") - ends))
+    v = v.withColumn("_n", F.count_if("_own").over(sequence.whole()))
+    # a bin of a level is a run of the finest one's, as each level halves the bins of the one before; a row of no bin still names its sequence
+    bin_ = F.ceil((F.col("t") - ends) / (F.col("_n") / finest)).cast("int")
+    v = v.withColumn("_b", F.when(F.col("_own") & F.col("sz").isNotNull() & ~F.isnan("sz"), bin_))
+    v = v.groupBy("seq_id", "_b").agg(*(F.sum(k).alias(k) for k in s)).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("_b", *s))).alias("_c"))
+    every = F.array(*(F.struct(F.lit(p).alias("level"), F.lit(i).alias("bin")) for p in encoding.LEVELS for i in range(1, p + 1)))
+    c = v.select("seq_id", "_c", F.explode(every).alias("_e")).select("seq_id", "_e.level", "_e.bin", "_c")
+    own = F.filter("_c", lambda x: F.ceil(x["_b"] * F.col("level") / finest) == F.col("bin"))
+    total = lambda k: F.aggregate("_own", F.lit(0.0), lambda a, x: a + F.coalesce(x[k], F.lit(0.0)))
+    c = c.select("seq_id", "level", "bin", own.alias("_own")).select("seq_id", "level", "bin", *(F.nanvl(total(k), F.lit(0.0)).alias(k) for k in s))
     size = F.sqrt(F.sum(sum(F.col(k) * F.col(k) for k in s)).over(W.partitionBy("seq_id")))
     return c.withColumn("_size", size).select("seq_id", "level", "bin", *(F.when(F.col("_size") > 0, F.col(k) / F.col("_size")).otherwise(0.0).alias(k) for k in s))
 

@@ -166,3 +166,16 @@ def test_frames_meet_their_key_points_without_a_join(spark, walks):
     moved = geometry.rotation_velocity(dealt, geometry.frames(dealt, fixed, points=True))
     assert "Join" not in moved._jdf.queryExecution().optimizedPlan().toString()
     assert plain(moved, "qw", "qx", "ux") == plain(geometry.rotation_velocity(dealt, geometry.frames(dealt, fixed)), "qw", "qx", "ux")
+
+
+@pytest.mark.parametrize("ends", [0, 2])
+def test_velocity_pyramid_copies_no_row_and_joins_no_bin(walks, ends):
+    """Same codes as by a copy of every row a level and a join with all bins."""
+    s = ["sx", "sy", "sz"]
+    got = describe.velocity_pyramid(walks, ends)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Aggregate")
+    v = sequence.trim(sequence.square_root_velocity(sequence.unit_scale(walks)), ends).withColumn("t", F.col("t") - ends)
+    c = encoding.all_bins(walks).join(encoding.pool(v, "sum", *s), ["seq_id", "level", "bin"], "left").fillna(0.0)
+    c = c.withColumn("_size", F.sqrt(F.sum(sum(F.col(k) * F.col(k) for k in s)).over(W.partitionBy("seq_id"))))
+    assert plain(got, *s) == plain(c.select("seq_id", "level", "bin", *(F.when(F.col("_size") > 0, F.col(k) / F.col("_size")).otherwise(0.0).alias(k) for k in s)), *s)
