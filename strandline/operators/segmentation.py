@@ -2,7 +2,7 @@
 
 A digitised curve piece is a blurred segment of a width if, in one of four orientations, its abscissa never
 falls and the vertical distance between the upper and lower border of its convex hull stays under the width (exact
-rational arithmetic). One sequence is one group: the scan is sequential by nature.
+rational arithmetic). The scan of a sequence is sequential by nature; what it asks of short pieces is worked out for many sequences at once.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from strandline.operators.sequence import spread
 #: The four views of a point in which a segment may run.
 VIEWS = (lambda x, y: (x, y), lambda x, y: (-x, y), lambda x, y: (-y, -x), lambda x, y: (y, x))
 SEGMENTS = "seq_id long, seg_id long, b long, e long, status string"
+#: Points of a piece up to which all pieces of a block of rows are worked out side by side.
+AHEAD = 8
+#: Coordinates from here on could leave 64 bits in a product; they are worked out in Python's integers.
+FAR = 2**29
 
 
 def _turn(o, a, b) -> int:
@@ -127,41 +131,108 @@ def longest_prefix(points: list[tuple[int, int]], width: int, recheck: bool = Fa
     return prefix(Piece([[[view(int(x), int(y)) for x, y in points] for view in VIEWS]], 0, len(points), width, recheck).runs[0], recheck)
 
 
-def segments(g: np.ndarray, width: int, recheck: bool = False) -> list[tuple[int, int]]:
-    """Overlapping maximal segments (1-based, inclusive) of an integer curve: grow, then slide the begin until the piece
-    is accepted again. The last one ends before the last point if the curve ends while it grows.
+def _ahead(g: np.ndarray, ends: np.ndarray, width: int, recheck: bool) -> np.ndarray:
+    """(rows, AHEAD): what Piece.accepted says of the 1, 2, ... points that begin at a row, for integers below FAR.
 
-    A piece grows by one point a step in each view; only a begin that slides starts it anew.
+    All rows and views take their next point at once. A piece stays under the width if no point of it stands ``width`` above or below
+    a chord of two others; with each new point only the chords that end there are new.
     """
-    n = len(g)
+    n, own = len(g), np.minimum(ends, len(g)) - np.arange(len(g))
+    x, y = (np.stack(c) for c in zip(*(view(g[:, 0], g[:, axis]) for axis in (1, 2) for view in VIEWS), strict=True))
+    taken, wide = np.ones(x.shape, np.int8), np.zeros(x.shape, np.int8)
+    run, at = np.divmod(np.arange(x.size), n)
+    for s in range(1, AHEAD):
+        go = own[at] > s
+        run, at = run[go], at[go]
+        go = x[run, at + s] >= x[run, at + s - 1]
+        run, at = run[go], at[go]
+        px, py = ([c[run, at + i] for i in range(s + 1)] for c in (x, y))
+        far = np.zeros(len(at), bool)
+        for i in range(s):
+            dx, dy = px[s] - px[i], py[s] - py[i]
+            far |= (dx == 0) & (np.abs(dy) >= width)
+            for j in range(i + 1, s):
+                far |= (dx > 0) & (np.abs((py[j] - py[i]) * dx - dy * (px[j] - px[i])) >= width * dx)
+        extent = (px[s] > px[0])[~far]
+        run, at = run[~far], at[~far]
+        taken[run, at] = s + 1
+        first = extent & (wide[run, at] == 0)
+        wide[run[first], at[first]] = s
+    out = np.empty((n, AHEAD), np.int8)
+    for s in range(1, AHEAD + 1):
+        both = []
+        for plane in (0, len(VIEWS)):
+            best = np.zeros(n, np.int8)
+            for v in range(plane, plane + len(VIEWS)):
+                size = np.minimum(taken[v], s)
+                has = (wide[v] > 0) & (wide[v] < size)
+                best = np.where(best == 0, np.where(has, size, 0), np.where(has | (not recheck), np.maximum(best, size), best))
+            both.append(np.where(best == 0, s + 1, best))
+        out[:, s - 1] = np.minimum(*both)
+    return out
+
+
+def _scan(rows: np.ndarray, ahead: list[list[int]] | None, width: int, recheck: bool) -> list[tuple[int, int]]:
+    n, piece, begin, views = len(rows), None, -1, None
+
+    def accepted(b: int, k: int) -> int:
+        """Of the points from b (from 1) to k; a piece longer than is known ahead grows by one point a step, and a begin that slides starts it anew."""
+        nonlocal piece, begin, views
+        if ahead is not None and k - b < AHEAD:
+            return ahead[b - 1][k - b]
+        if begin != b:
+            if views is None:
+                g = rows.tolist()
+                views = [[[view(p[0], p[axis]) for p in g] for view in VIEWS] for axis in (1, 2)]
+            piece, begin = Piece(views, b - 1, k, width, recheck), b
+        while piece.size < k - b + 1:
+            piece.add(b - 1 + piece.size)
+        return piece.accepted()
+
     if n < 2:
         return []
-    rows = g.tolist()
-    views = [[[view(p[0], p[axis]) for p in rows] for view in VIEWS] for axis in (1, 2)]
     out, b, k, first = [], 1, 1, 0
-    piece = Piece(views, 0, 1, width, recheck)
     while k < n:
-        piece.add(k)
         k += 1
-        first = piece.accepted()
+        first = accepted(1, k)
         if first < k:
             break
     out.append((1, min(first, n)))
     while k < n:
         while b < k:
             b += 1
-            piece = Piece(views, b - 1, k, width, recheck)
-            if b == k or piece.accepted() == k - b + 1:
+            if b == k or accepted(b, k) == k - b + 1:
                 break
         while k < n:
-            piece.add(k)
             k += 1
-            if piece.accepted() < k - b + 1:
+            if accepted(b, k) < k - b + 1:
                 break
         out.append((b, k - 1))
     return out
 
 
+def segments_of(g: np.ndarray, ends: np.ndarray, width: int, recheck: bool = False, block: int = 8192) -> list[list[tuple[int, int]]]:
+    """``segments`` of many curves that lie one after another in g and end before the rows ``ends``.
+
+    Short pieces are worked out for all rows side by side, ``block`` rows at a time; only longer ones grow point by point.
+    """
+    begins, ahead = ends - np.diff(ends, prepend=0), None
+    if len(g) and -FAR < g.min() and g.max() < FAR:
+        end, ahead = np.repeat(ends, ends - begins), []
+        for lo in range(0, len(g), block):
+            hi = min(lo + block, len(g))
+            stop = min(hi + AHEAD - 1, len(g))
+            ahead += _ahead(g[lo:stop], end[lo:stop] - lo, width, recheck)[: hi - lo].tolist()
+    return [_scan(g[i:j], ahead and ahead[i:j], width, recheck) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+
+
+def segments(g: np.ndarray, width: int, recheck: bool = False) -> list[tuple[int, int]]:
+    """Overlapping maximal segments (1-based, inclusive) of an integer curve: grow, then slide the begin until the piece
+    is accepted again. The last one ends before the last point if the curve ends while it grows.
+    """
+    return segments_of(g, np.array([len(g)]), width, recheck)[0]
+
+
 def maximal_segments(grid: DataFrame, width: int = 5, recheck: bool = False) -> DataFrame:
     """(seq_id, t, gx, gy, gz) -> (seq_id, seg_id, b, e, status); a sequence without segments gives one row, status short.
 
@@ -177,7 +248,7 @@ def maximal_segments(grid: DataFrame, width: int = 5, recheck: bool = False) ->
                 axes = [flat.field(c) for c in ("gx", "gy", "gz")]
                 there = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in axes])
                 points = np.column_stack([c.fill_null(0).to_numpy() for c in axes])
-                found = [segments(points[i:j][there[i:j]], width, recheck) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+                found = segments_of(points[there], np.concatenate([[0], np.cumsum(there)])[ends], width, recheck)
                 rows = [(k, n, b, e, "ok" if s else "short") for k, s in enumerate(found) for n, (b, e) in enumerate(s or [(0, 0)], 1 if s else 0)]
                 k, n, b, e, status = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("seq_id").take(pa.array(k)), *(pa.array(v, pa.int64()) for v in (n, b, e)), pa.array(status)], ["seq_id", "seg_id", "b", "e", "status"])

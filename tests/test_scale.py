@@ -179,3 +179,90 @@ def test_velocity_pyramid_copies_no_row_and_joins_no_bin(walks, ends):
     c = encoding.all_bins(walks).join(encoding.pool(v, "sum", *s), ["seq_id", "level", "bin"], "left").fillna(0.0)
     c = c.withColumn("_size", F.sqrt(F.sum(sum(F.col(k) * F.col(k) for k in s)).over(W.partitionBy("seq_id"))))
     assert plain(got, *s) == plain(c.select("seq_id", "level", "bin", *(F.when(F.col("_size") > 0, F.col(k) / F.col("_size")).otherwise(0.0).alias(k) for k in s)), *s)
+
+
+def grown(g, width, recheck):
+    """The scan of one curve with every piece grown point by point."""
+    rows, n = g.tolist(), len(g)
+    views = [[[view(p[0], p[axis]) for p in rows] for view in segmentation.VIEWS] for axis in (1, 2)]
+    accepted = lambda b, k: segmentation.Piece(views, b - 1, k, width, recheck).accepted()
+    if n < 2:
+        return []
+    k = next((k for k in range(2, n + 1) if accepted(1, k) < k), n)
+    out, b = [(1, min(accepted(1, k), n))], 1
+    while k < n:
+        b = next(c for c in range(b + 1, k + 1) if c == k or accepted(c, k) == k - c + 1)
+        k = next((e for e in range(k + 1, n + 1) if accepted(b, e) < e - b + 1), n)
+        out.append((b, k - 1))
+    return out
+
+
+def test_short_pieces_of_many_curves_are_worked_out_side_by_side(monkeypatch):
+    rng = np.random.default_rng(8)
+    curves = [np.zeros((0, 3), int), np.full((14, 3), 4), np.column_stack([np.arange(30), np.arange(30) // 3, np.zeros(30, int)])]
+    for most in (1, 3, 12, 40):
+        steps = [rng.integers(-most, most + 1, size=(n, 3)) for n in rng.integers(0, 35, 12)]
+        curves += [*steps, *(s.cumsum(0) for s in steps), *(np.abs(s).cumsum(0) for s in steps)]
+    curves.append(curves[-1] * 2**40)
+    for some in (curves, curves[:-1]):
+        for width, recheck in ((1, False), (5, True), (6, False)):
+            want = [grown(g, width, recheck) for g in some]
+            for block in (7, 8192):
+                assert segmentation.segments_of(np.concatenate(some), np.cumsum([len(g) for g in some]), width, recheck, block) == want
+    rough = rng.integers(0, 1000, size=(4000, 3))
+    monkeypatch.setattr(segmentation, "Piece", None)  # none is grown where curves leave a strip at once
+    assert all(len(s) > 20 for s in segmentation.segments_of(rough, np.arange(40, 4001, 40), 6))
+
+
+def shares(p, width=6, radius=0.1):
+    """Integral invariants sample by sample, along the definition."""
+    q = p[[k for k in range(len(p)) if k == 0 or (p[k] != p[k - 1]).any()]]
+    n, out, cell = len(q), np.full((len(q), 2), 0.5), 2 * radius / 500
+    span = np.ptp(q, axis=0).max()
+    if n > 3 and span > 0:
+        q = (q - q.min(0)) / span
+        seg = grown(np.floor(q * 1000 + 0.5).astype(int), width, False)
+        unit = lambda v: v / np.linalg.norm(v)
+        for i in range(1, n - 2):
+            left = q[next((b for b, e in seg if e >= i + 1), seg[-1][0]) - 1]
+            right = q[max(e for b, e in seg if b <= i + 1) - 1]
+            w = np.cross(q[i] - left, right - left)
+            if not w.any():
+                continue
+            u, v = q[i] - left, right - left
+            normal = unit(np.cross(u @ u * v - v @ v * u, w) / (2 * w @ w) - u)
+            binormal = unit(np.cross(unit(q[i] - left), unit(right - q[i])))
+            tangent = np.cross(normal, binormal)
+            for j, (off, up) in enumerate(((binormal, normal), (normal, binormal))):
+                flat, area = (q - q[i]) - np.outer((q - q[i]) @ off, off), 0.0
+                for step in (-1, 1):
+                    k = i
+                    while 0 <= k + step < n:
+                        edge = (flat[k + step] - flat[k]) * step
+                        stride = cell / (edge @ tangent / np.linalg.norm(edge))
+                        for m in range(1, int(abs(np.trunc(np.linalg.norm(edge) / stride))) + 1):
+                            at = flat[k] + step * m * abs(stride) * unit(edge)
+                            if at @ at < radius**2:
+                                area += cell * (np.sqrt(abs(radius**2 - (at @ tangent) ** 2)) - at @ up) * np.sign(stride)
+                        k += step
+                        if np.linalg.norm(flat[k]) > radius:
+                            break
+                area /= np.pi * radius**2
+                out[i, j] = abs(area) if j else 1 - area if area > 0.5 else area
+    places = np.cumsum([k == 0 or (p[k] != p[k - 1]).any() for k in range(len(p))]) - 1
+    return out[places]
+
+
+def test_integral_invariants_take_many_sequences_side_by_side(spark, walks, batches):
+    still = spark.createDataFrame([(s, t, float(t // 2 * (s > 20)), 1.0, float((t // 2) ** 2 % 5)) for s in (20, 21) for t in range(1, 12)], walks.schema)
+    d = walks.unionByName(still.filter("seq_id > 20 or t < 3"))
+    got = integral.integral_invariants(d)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    have = {(r.seq_id, r.t): (r.osculating, r.rectifying) for r in got.collect()}
+    rows = sorted((r.seq_id, r.t, *(np.nan if c is None else c for c in (r.x, r.y, r.z))) for r in d.collect())
+    want = {}
+    for s in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == s]
+        want |= {(s, r[1]): v for r, v in zip(own, shares(np.array([r[2:] for r in own])), strict=True)}
+    assert have.keys() == want.keys() and len({v for v in have.values()}) > 100
+    assert all(np.allclose(have[k], want[k], atol=1e-9, equal_nan=True) for k in want)
